@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -9,9 +10,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Python workers get the package's functions with the task and needn't have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+
 #: Rows that a Python worker turns into objects at once; a batch of Arrow may be larger.
 ROWS_AT_ONCE = 512
 #: Words a worker keeps hashes of before it starts afresh.
