@@ -33,6 +33,8 @@ LEXICONS = {
 }
 DIMS = 1 << 16
 MINED = 60
+#: Rows of the sample that a word or beginning must occur in to be a feature.
+LEAST_ROWS = 4
 #: Letters of the beginnings of words that are features besides the words.
 PREFIXES = (4, 5, 6)
 _LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
@@ -117,20 +119,22 @@ class Voters:
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> np.ndarray:
     """Posterior of class 1 for each row of 0/1 votes, by EM from the posteriors ``start``.
 
-    Each voter has a rate of speaking in either class (its accuracy).  Its log likelihood ratio is
-    divided by how much it agrees with all voters within the classes (their correlations).
+    Each voter has a rate of speaking in either class (its accuracy); where it is silent it abstains.
+    Its log likelihood ratio is divided by how much it agrees with all voters within the classes (their
+    squared correlations, its own being 1).  Rates are estimated half from ``start``, as from one more
+    noisy voter, so that the classes stay what they stand for.
     """
-    p = np.clip(start, 0.02, 0.98)
+    p = start
+    odds = np.log(start.mean() / (1 - start.mean()))
     for _ in range(rounds):
-        prior = np.clip(p.mean(), 0.01, 0.99)
-        one = (p @ votes + 0.5) / (p.sum() + 1.0)
-        zero = ((1 - p) @ votes + 0.5) / ((1 - p).sum() + 1.0)
-        rest = votes - np.outer(p, one) - np.outer(1 - p, zero)
+        q = (p + start) / 2
+        one = (q @ votes + 0.5) / (q.sum() + 1.0)
+        zero = ((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1.0)
+        rest = votes - np.outer(q, one) - np.outer(1 - q, zero)
         cov = rest.T @ rest / len(votes)
         sd = np.sqrt(np.diag(cov)) + 1e-6
-        weight = 1.0 / np.maximum(1.0, np.abs(cov / np.outer(sd, sd)).sum(axis=1))
-        ratio = votes * np.log(one / zero) + (1 - votes) * np.log((1 - one) / (1 - zero))
-        p = 1.0 / (1.0 + np.exp(-np.clip(np.log(prior / (1 - prior)) + ratio @ weight, -30, 30)))
+        weight = 1.0 / np.maximum(1.0, ((cov / np.outer(sd, sd)) ** 2).sum(axis=1))
+        p = 1.0 / (1.0 + np.exp(-np.clip(odds + votes @ (weight * np.log(one / zero)), -30, 30)))
     return p
 
 
@@ -204,9 +208,14 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 3000
         return ToxicityModel([], w, -3.0)
     votes = np.array(gathered["votes"].to_pylist())
     posterior = label_model(votes, 0.05 + 0.9 * np.array(gathered["toxic"].to_pylist(), float))
-    rows = [(np.array(f, np.int64), np.ones(len(f))) for f in gathered["features"].to_pylist()]
-    w, b = ftrl(rows, np.stack([1 - posterior, posterior], axis=1), DIMS, alpha=0.5, l1=0.1, l2=0.01, epochs=max(6, min(40, 60_000 // len(rows))))
-    return ToxicityModel(mined, w[:, 1] - w[:, 0], float(b[1] - b[0]))
+    found = [np.array(f, np.int64) for f in gathered["features"].to_pylist()]
+    common = np.bincount(np.concatenate(found), minlength=DIMS) >= LEAST_ROWS
+    rows = [(f[common[f]], np.ones(int(common[f].sum()))) for f in found]
+    w, b = ftrl(rows, np.stack([1 - posterior, posterior], axis=1), DIMS, alpha=0.5, l1=0.6, l2=0.01, epochs=max(8, min(60, 40_000 // len(rows))))
+    # the sample has about as many rows of either class; scores are for texts as they come
+    drawn_odds = posterior.mean() / (1 - posterior.mean())
+    odds = min(1.0, sizes[1] / sizes[0] / drawn_odds)
+    return ToxicityModel(mined, w[:, 1] - w[:, 0], float(b[1] - b[0] + np.log(odds)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
