@@ -3,8 +3,8 @@
 1. Shingles are counted in ``FREQUENCY_CELLS`` hashed cells, over all documents: the order from rare
    to frequent.
 2. Each document's set is sorted in that order and cut to its prefix; equal sets become one class
-   (64-bit hash of the set).  Classes meet on prefix shingles; length, position and suffix (counts in
-   four hash ranges bound the overlap) drop pairs that cannot reach the threshold.
+   (64-bit hash of the set).  Classes meet on prefix shingles; length, position and suffix (the
+   parities of hash cells bound how much two sets differ) drop pairs that cannot reach the threshold.
 3. Each remaining pair is verified once, exactly, on the sets of the classes in it; a bit table says
    which documents' sets are worth sending.  ``linkage`` keeps large groups from becoming all pairs.
 
@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, arrow_map, materialize, mix, signed, windows
-from .linkage import id_bits, linked
+from .linkage import chosen_sets, least_common, linked, parity
 
 FREQUENCY_CELLS = 1 << 18
+#: Longs of the parity of a set; as many bits as its suffix filter looks at.
+PARITY_WORDS = 16
 
 
 def shingle_set(text: str | None, width: int, cache: WordHashes) -> np.ndarray:
@@ -55,7 +57,7 @@ def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, th (hash of the text), k (class), n (set size), q (sizes of four hash ranges), prefix; written."""
+    """doc_id, th (hash of the text), k (class), n (set size), bits (parity of the set), prefix; written."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     order = docs.sparkSession.sparkContext.broadcast(_frequencies(rows.select("text"), width))
 
@@ -70,60 +72,24 @@ def prefix_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if n:
                     length = n - -(-percent * n // 100) + 1
                     rare = np.lexsort((mix(h), often[(h & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64)]))[:length]
-                    parts = np.minimum(np.bincount((h >> np.uint64(62)).astype(np.int64), minlength=4), 0x7FFF)
-                    values = (set_key(h), n, int(sum(int(p) << (16 * j) for j, p in enumerate(parts))), signed(h[rare]))
+                    values = (set_key(h), n, parity(h, PARITY_WORDS), signed(h[rare]))
                 else:
-                    values = (None, 0, 0, np.zeros(0, np.int64))
+                    values = (None, 0, None, np.zeros(0, np.int64))
                 for column, value in zip(out[2:], values, strict=True):
                     column.append(value)
             return out
 
         return step
 
-    return materialize(arrow_map(rows, "doc_id long, th long, k long, n long, q long, prefix array<long>", start))
-
-
-def _sets(texts: DataFrame, width: int, wanted: dict[int, int]) -> DataFrame:
-    """(k, h): the sets of the classes among ``wanted``, each once, and perhaps of a few others; written."""
-    words = np.zeros(1 << 20, np.uint64)
-    if wanted:
-        words[np.fromiter(wanted, np.int64, len(wanted))] = np.array(list(wanted.values()), np.int64).view(np.uint64)
-    table = texts.sparkSession.sparkContext.broadcast(words)
-
-    def start():
-        cache, bits, sent = WordHashes(), table.value, set()
-
-        def step(column):
-            out: list[list] = [[], []]
-            for t in column:
-                h = shingle_set(t, width, cache)
-                if not len(h):
-                    continue
-                k = set_key(h)
-                if (int(bits[(k & ((1 << 26) - 1)) >> 6]) >> (k & 63)) & 1 and k not in sent:
-                    if len(sent) > 500_000:
-                        sent.clear()
-                    sent.add(k)
-                    out[0].append(k)
-                    out[1].append(signed(h))
-            return out
-
-        return step
-
-    return materialize(arrow_map(texts, "k long, h array<long>", start).groupBy("k").agg(F.first("h").alias("h")))
+    return materialize(arrow_map(rows, "doc_id long, th long, k long, n int, bits array<long>, prefix array<long>", start))
 
 
 def _keep(percent: int):
     def keep(x, y) -> Column:
         n, m = x("n"), y("n")
-        # least overlap: percent * (n + m) / (100 + percent), rounded up
-        least = F.ceil(F.lit(percent) * (n + m) / F.lit(float(100 + percent)) - F.lit(1e-9))
-        length = (F.least(n, m) * 100) >= (F.greatest(n, m) * percent)
-        position = (F.least(n - x("i"), m - y("i"))) >= least
-        part = lambda q, j: F.shiftrightunsigned(q, 16 * j).bitwiseAND(F.lit(0x7FFF))
-        apart = sum((F.abs(part(x("q"), j) - part(y("q"), j)) for j in range(1, 4)), F.abs(part(x("q"), 0) - part(y("q"), 0)))
-        suffix = (F.greatest(n, m) > 0x7FFF) | (apart <= n + m - 2 * least)
-        return length & position & suffix
+        length = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+        position = F.least(n - x("i"), m - y("i")) >= least_common(n, m, percent)
+        return length & position
 
     return keep
 
@@ -131,18 +97,23 @@ def _keep(percent: int):
 def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The prefix table of ``docs``, the verified links (a, b) between classes, and their components (id, label)."""
     table = prefix_table(docs, width, percent)
-    classes = table.filter(F.col("k").isNotNull()).groupBy("k").agg(F.min(F.struct("n", "q", "prefix")).alias("x"))
-    postings = classes.select("k", F.col("x.n").alias("n"), F.col("x.q").alias("q"), F.posexplode("x.prefix").alias("i", "s"))
-    texts = docs.select("text")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        sets = _sets(texts, width, id_bits(ids, "k"))
-        both = pairs.join(sets.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b").join(sets.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a")
-        common = F.size(F.array_intersect("ha", "hb"))
-        return both.filter(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
-
-    links, label = linked(postings, ["n", "q", "i"], _keep(percent), verify)
+    classes = table.filter(F.col("k").isNotNull()).groupBy("k").agg(F.min(F.struct("n", "prefix")).alias("x"))
+    postings = classes.select("k", F.col("x.n").alias("n"), F.posexplode("x.prefix").alias("i", "s"))
+    bits = table.filter(F.col("k").isNotNull()).select("k", "n", "bits").dropDuplicates(["k"])
+    homes = table.filter(F.col("k").isNotNull()).select("k", "th")
+
+    def sets_in():
+        cache = WordHashes()
+
+        def of(texts):
+            for t in texts:
+                h = shingle_set(t, width, cache)
+                if len(h):
+                    yield set_key(h), lambda h=h: h
+
+        return of
+
+    links, label = linked(postings, ["n", "i"], _keep(percent), bits, percent, PARITY_WORDS, lambda ids: chosen_sets(docs, ids, homes, sets_in))
     return table, links, label
 
 

@@ -8,16 +8,20 @@ with the items of other components.  No link that would join two components is l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_map, materialize, mix, signed
 
-LIGHT = 24
+LIGHT = 16
 #: Leaders are drawn by one of so many orders, by the key of the list, so that a large group gets a few leaders.
 ORDERS = 4
+#: Bits of the ids of which a table says whose sets are wanted.
+ID_BITS = 26
 
 Keep = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -42,20 +46,89 @@ def first_pairs(lists: DataFrame, payload: list[str], keep: Keep) -> DataFrame:
     return _pairs(near.select(F.col("x.k").alias("p"), F.col("y.k").alias("q")).unionAll(heavy.select(F.col("k").alias("p"), F.col("lead.k").alias("q"))), "p", "q")
 
 
-def left_pairs(lists: DataFrame, labels: DataFrame, keep: Keep) -> DataFrame:
+def parity(h: np.ndarray, words: int) -> np.ndarray:
+    """Of each of 64 * ``words`` cells whether an odd number of the hashes falls into it.
+
+    Two sets differ in at least as many elements as their parities differ in bits.
+    """
+    cells = np.bincount((mix(h) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def least_common(n: Column, m: Column, percent: int) -> Column:
+    """Elements that sets of n and m have in common at least where their similarity reaches ``percent``."""
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(float(100 + percent)) - F.lit(1e-9))
+
+
+def suffix_filter(x: Callable[[str], Column], y: Callable[[str], Column], percent: int, words: int) -> Column:
+    """Whether the parities (columns n, bits) leave it open that two sets reach the similarity."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.get(x("bits"), F.lit(j)).bitwiseXOR(F.get(y("bits"), F.lit(j)))) for j in range(words)])
+    return apart <= x("n") + y("n") - 2 * least_common(x("n"), y("n"), percent)
+
+
+def _sieved(pairs: DataFrame, bits: DataFrame, percent: int, words: int) -> DataFrame:
+    x, y = bits.select(F.col("k").alias("a"), F.struct("n", "bits").alias("x")), bits.select(F.col("k").alias("b"), F.struct("n", "bits").alias("y"))
+    both = pairs.join(x, "a").join(y, "b")
+    return both.filter(suffix_filter(lambda c: F.col("x")[c], lambda c: F.col("y")[c], percent, words)).select("a", "b")
+
+
+def left_pairs(lists: DataFrame, labels: DataFrame, bits: DataFrame, keep: Keep, percent: int, words: int) -> DataFrame:
     """Pairs of different components in long lists, one of them outside the list's largest component."""
-    heavy = lists.filter(F.col("m") > LIGHT).drop("lead")
-    heavy = materialize(heavy.join(labels.select(F.col("id").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k")))
+    heavy = lists.filter(F.col("m") > LIGHT).drop("lead", "n")
+    heavy = materialize(heavy.join(labels.select(F.col("id").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k")).join(bits.select("k", "n", "bits"), "k"))
     sizes = heavy.groupBy("s", "label").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("s").agg(F.max(F.struct("n", "label"))["label"].alias("most"))
     x = heavy.join(most, "s").filter(F.col("label") != F.col("most")).alias("x")
     y = heavy.alias("y")
     # two items outside the largest component meet twice here: once is enough
     once = (F.col("y.label") == F.col("x.most")) | (F.col("x.k") < F.col("y.k"))
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & once & keep(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & once & keep(a, b) & suffix_filter(a, b, percent, words))
     return _pairs(met.select(F.col("x.k").alias("p"), F.col("y.k").alias("q")), "p", "q")
 
 
+def chosen_sets(texts: DataFrame, ids: DataFrame, homes: DataFrame, sets_in: Callable[[], Callable[[list], Iterable[tuple[int, Callable[[], np.ndarray]]]]]) -> DataFrame:
+    """(k, h): the sets of the classes ``ids`` (k), each once, and perhaps of a few others; written.
+
+    ``homes`` (k, th): hashes of texts that hold a class; one text of each class is looked at, the
+    others aren't even cut into words.  ``sets_in()`` gives a task its function from texts to keys and
+    (lazily) sets.  What reaches the driver is a table of 2 ** ID_BITS bits, however many ids there are.
+    """
+    home = materialize(homes.join(ids.distinct(), "k", "left_semi").groupBy("k").agg(F.min("th").alias("th")))
+    words = np.zeros(1 << (ID_BITS - 6), np.uint64)
+    if wanted := id_bits(home.select(F.explode(F.array("k", "th")).alias("k")), "k", ID_BITS):
+        words[np.fromiter(wanted, np.int64, len(wanted))] = np.array(list(wanted.values()), np.int64).view(np.uint64)
+    table = texts.sparkSession.sparkContext.broadcast(words)
+    mask = (1 << ID_BITS) - 1
+
+    def start():
+        bits, sent, of = table.value, set(), sets_in()
+        has = lambda x: (int(bits[(x & mask) >> 6]) >> (x & 63)) & 1
+
+        def step(hashes, column):
+            keys, sets = [], []
+            for k, h in of([t for th, t in zip(hashes, column, strict=True) if has(th)]):
+                if has(k) and k not in sent:
+                    if len(sent) > 500_000:
+                        sent.clear()
+                    sent.add(k)
+                    keys.append(k)
+                    sets.append(signed(h()))
+            return [keys, sets]
+
+        return step
+
+    rows = texts.select(F.xxhash64("text").alias("th"), "text")
+    return materialize(arrow_map(rows, "k long, h array<long>", start).groupBy("k").agg(F.first("h").alias("h")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets reach the similarity, exactly."""
+    both = pairs.join(sets.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b").join(sets.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.filter(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, label) of the items in ``links`` (a, b): the smallest id that links reach.
 
@@ -79,26 +152,29 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def linked(postings: DataFrame, payload: list[str], keep: Keep, bits: DataFrame, percent: int, words: int, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all that is connected, and the components (id, label).
 
-    ``verify`` gets candidate pairs (a, b), each once, and returns those that hold.
+    ``bits``: k, n, bits (parity) of every class; ``sets_of`` gives the sets of classes.  Each pair is
+    verified once.
     """
     lists = shared_lists(postings, payload)
-    links = materialize(verify(materialize(first_pairs(lists, payload, keep))))
+    first = materialize(_sieved(first_pairs(lists, payload, keep), bits, percent, words))
+    ends = F.explode(F.array("a", "b")).alias("k")
+    links = materialize(verified(first, sets_of(first.select(ends)), percent))
     label = components(links)
     if lists.filter(F.col("m") > LIGHT).isEmpty():
         return links, label
-    more = materialize(left_pairs(lists, label, keep))
+    more = materialize(left_pairs(lists, label, bits, keep, percent, words))
     if not more.isEmpty():
-        more = materialize(verify(more))
+        more = materialize(verified(more, sets_of(more.select(ends)), percent))
         if not more.isEmpty():
             links = links.unionAll(more)
             label = components(links)
     return links, label
 
 
-def id_bits(ids: DataFrame, column: str, bits: int = 26) -> dict[int, int]:
+def id_bits(ids: DataFrame, column: str, bits: int) -> dict[int, int]:
     """Which of 2**bits cells the hashed ids fall into, as 64-bit words: at most 2**(bits-6) rows reach the driver."""
     cell = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     word = F.shiftrightunsigned(cell, 6)

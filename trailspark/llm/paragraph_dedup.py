@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, arrow_map, materialize, signed, windows
-from .linkage import id_bits, linked
+from .linkage import chosen_sets, linked, parity
 
 WIDTH = 5
+PARITY_WORDS = 4
 LONG_LINE = 40
 #: Words a stretch of sentences has at least.
 STRETCH_WORDS = 12
@@ -45,8 +46,8 @@ def tune_bands(threshold: float, recall: float, most_hashes: int = 64) -> tuple[
 class Paragraphs:
     """Paragraphs of a batch of texts, as arrays over one stream of word hashes."""
 
-    def __init__(self, min_words: int):
-        self.cache, self.min_words = WordHashes(), min_words
+    def __init__(self, min_words: int, stretches: bool = True):
+        self.cache, self.min_words, self.stretches = WordHashes(), min_words, stretches
 
     def __call__(self, texts: list[str | None]):
         """doc, place, length, kind (0 line, 1 stretch), first word, words; and the word hashes.
@@ -63,7 +64,7 @@ class Paragraphs:
                     first = len(words)
                     words += [w.lower() for w in raw]
                     out.append((d, place, len(line), 0, first, len(raw)))
-                    if len(raw) > LONG_LINE:
+                    if self.stretches and len(raw) > LONG_LINE:
                         out += self._stretches(d, place, line, raw, first)
                 place += len(line) + 1
         h = self.cache.of(words)
@@ -105,7 +106,9 @@ def _bands(shingles: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, th, place, len, kind, k (class), n (shingles), s (band hashes; none for stretches); written."""
+    """doc_id, th, place, len, kind, k (class), n (shingles), bits (parity), s (band hashes); written.
+
+    Stretches, and lines of a class that the task has met before, have neither bits nor bands.."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
     def start():
@@ -113,7 +116,7 @@ def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> D
 
         def step(ids, hashes, texts):
             units, h = cut(texts)
-            keys, sizes, sets, line = [], [], [], []
+            keys, sizes, sets, line, bits = [], [], [], [], []
             for u in units:
                 part = h[u[4] : u[4] + u[5]]
                 k = _class(part)
@@ -121,50 +124,19 @@ def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> D
                 own = u[3] == 0 and k not in sent
                 if len(sent) > 500_000:
                     sent.clear()
-                if u[3] == 0:
-                    sizes.append(max(1, u[5] - WIDTH + 1))
-                    if own:
-                        sent.add(k)
-                        sets.append(windows(part, WIDTH))
-                else:
-                    sizes.append(0)
                 line.append(own)
+                if own:
+                    sent.add(k)
+                    sets.append(np.unique(windows(part, WIDTH)))
+                sizes.append(len(sets[-1]) if own else 0)
+                bits.append(parity(sets[-1], PARITY_WORDS) if own else None)
             values = iter(signed(_bands(sets, bands, rows)) if sets else ())
             none = np.zeros(0, np.int64)
-            return [[ids[u[0]] for u in units], [hashes[u[0]] for u in units], [u[1] for u in units], [u[2] for u in units], [u[3] for u in units], keys, sizes, [next(values) if own else none for own in line]]
-
-        return step
-
-    return materialize(arrow_map(source, "doc_id long, th long, place int, len int, kind int, k long, n int, s array<long>", start))
-
-
-def _sets(texts: DataFrame, min_words: int, wanted: dict[int, int]) -> DataFrame:
-    words = np.zeros(1 << 20, np.uint64)
-    if wanted:
-        words[np.fromiter(wanted, np.int64, len(wanted))] = np.array(list(wanted.values()), np.int64).view(np.uint64)
-    table = texts.sparkSession.sparkContext.broadcast(words)
-
-    def start():
-        cut, bits, sent = Paragraphs(min_words), table.value, set()
-        cut._stretches = lambda *a: []
-
-        def step(column):
-            out: list[list] = [[], []]
-            units, h = cut(column)
-            for u in units:
-                part = h[u[4] : u[4] + u[5]]
-                k = _class(part)
-                if k not in sent and (int(bits[(k & ((1 << 26) - 1)) >> 6]) >> (k & 63)) & 1:
-                    if len(sent) > 500_000:
-                        sent.clear()
-                    sent.add(k)
-                    out[0].append(k)
-                    out[1].append(signed(np.unique(windows(part, WIDTH))))
-            return out
+            return [[ids[u[0]] for u in units], [hashes[u[0]] for u in units], [u[1] for u in units], [u[2] for u in units], [u[3] for u in units], keys, sizes, bits, [next(values) if own else none for own in line]]
 
         return step
 
-    return materialize(arrow_map(texts, "k long, h array<long>", start).groupBy("k").agg(F.first("h").alias("h")))
+    return materialize(arrow_map(source, "doc_id long, th long, place int, len int, kind int, k long, n int, bits array<long>, s array<long>", start))
 
 
 def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, min_words: int = 8) -> DataFrame:
@@ -172,20 +144,25 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float =
     bands, rows = tune_bands(threshold, recall)
     table = paragraph_table(docs, min_words, bands, rows)
     percent = int(round(threshold * 100))
-    classes = table.filter(F.size("s") > 0).groupBy("k").agg(F.min(F.struct("n", "s")).alias("x"))
-    postings = classes.select("k", F.col("x.n").alias("n"), F.explode("x.s").alias("s"))
-    texts = docs.select("text")
+    lines = table.filter(F.col("bits").isNotNull())
+    postings = lines.groupBy("k").agg(F.min(F.struct("n", "s")).alias("x")).select("k", F.col("x.n").alias("n"), F.explode("x.s").alias("s"))
+    bits = lines.select("k", "n", "bits").dropDuplicates(["k"])
 
     def keep(x, y):
-        return x("k") != y("k")
+        return F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent
+
+    def sets_in():
+        cut = Paragraphs(min_words, stretches=False)
+
+        def of(column):
+            units, h = cut(column)
+            for u in units:
+                part = h[u[4] : u[4] + u[5]]
+                yield _class(part), lambda part=part: np.unique(windows(part, WIDTH))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        sets = _sets(texts, min_words, id_bits(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k"))
-        both = pairs.join(sets.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b").join(sets.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a")
-        common = F.size(F.array_intersect("ha", "hb"))
-        return both.filter(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
+        return of
 
-    _, label = linked(postings, ["n"], keep, verify)
+    _, label = linked(postings, ["n"], keep, bits, percent, PARITY_WORDS, lambda ids: chosen_sets(docs, ids, lines.select("k", "th"), sets_in))
     # classes that occur more than once, alone or with what they are linked to
     places = table.select("doc_id", "th", "place", "len", "k").join(label.select(F.col("id").alias("k"), "label"), "k", "left").withColumn("c", F.coalesce("label", "k"))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "place", "len")
