@@ -19,7 +19,7 @@ from .common import arrow_map, materialize, mix, signed
 
 LIGHT = 16
 #: Leaders are drawn by one of so many orders, by the key of the list, so that a large group gets a few leaders.
-ORDERS = 4
+ORDERS = 12
 #: Bits of the ids of which a table says whose sets are wanted.
 ID_BITS = 26
 
