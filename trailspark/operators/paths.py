@@ -60,8 +60,8 @@ def to_daily_states(df: DataFrame, schema: StreamSchema, active_events=None, max
     whole = Window.partitionBy(*keys).orderBy("__day")
     end = df.agg(F.max(F.to_date(ts)).alias("__end"))  # one row
     # up to the day before the next day with rows, and behind the last one as long as dormant days last
-    nxt = F.lead("__day").over(whole)
-    until = F.coalesce(F.date_sub(nxt, 1), F.least(F.date_add("__day", max_dormant_days), F.col("__end")))
+    days = days.withColumn("__next", F.lead("__day").over(whole))
+    until = F.coalesce(F.date_sub("__next", 1), F.least(F.date_add("__day", max_dormant_days), F.col("__end")))
     filled = days.join(F.broadcast(end)).withColumn("__d", F.explode(F.sequence("__day", until)))
     filled = filled.withColumn("__on", F.when(F.col("__d") == F.col("__day"), F.col("__on")).otherwise(F.lit(0)))
     by_day = Window.partitionBy(*keys).orderBy("__d")
