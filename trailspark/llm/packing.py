@@ -14,45 +14,91 @@ pieces and a rest; repeated rows are separate documents; a null doc_id stays nul
 from __future__ import annotations
 
 import bisect
+import os
 import re
+import sys
 import zlib
 from array import array
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, arrow_map, materialize
+from .common import arrow_map, materialize
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Chunks a worker keeps the ids of before it starts afresh.
+CHUNKS_KEPT = 1_000_000
 #: Ranks within a length are given out in this many lanes, so that a length of very many pieces isn't one task's.
 LANES = 64
 _CHUNKS = re.compile("[^ \n]+")
+_PARTS = re.compile("[^ \n.,!%$&*#|]+(?:[.,!%$&*#|]+[^ \n.,!%$&*#|]+)*|[.,!%$&*#|]+")
+
+
+def chunks_of(text: str) -> list[str]:
+    """Parts whose ids add up: cut at spaces and line feeds, and before marks that end a word.
+
+    Letters and digits never share a piece with what is neither.  Plain ASCII is lower-cased here, as
+    the tokenizer does, unless it may hold a special string.
+    """
+    if "<|" in text:
+        return _CHUNKS.findall(text)
+    return _PARTS.findall(text.lower() if text.isascii() else text)
 
 
 class ChunkIds(dict):
-    """Little-endian ids of white-space chunks."""
+    """Little-endian ids of chunks; words of letters alone are encoded many at a time."""
 
     def __init__(self, path: str):
+        # a task has one core: no threads of the library's own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        pieces = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.ends = [x.endswith("</w>") for x in pieces]
 
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CACHE_WORDS:
+        if len(self) + len(new) > CHUNKS_KEPT:
             self.clear()
             new = list(chunks)
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        words, others = [], []
+        for c in new:
+            (words if c.isalpha() else others).append(c)
+        for at in range(0, len(words), 500):
+            others += self._words(words[at : at + 500])
+        for c, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self[c] = array("I", e.ids).tobytes()
 
+    def _words(self, words: list[str]) -> list[str]:
+        """Learns words set side by side; returns them where they don't come out as one end of word each."""
+        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        stops = [k + 1 for k, i in enumerate(ids) if self.ends[i]]
+        if len(stops) != len(words):
+            return words
+        data, at = array("I", ids).tobytes(), 0
+        for w, stop in zip(words, stops, strict=True):
+            self[w] = data[4 * at : 4 * stop]
+            at = stop
+        return []
+
+
+def worker_chunks(path: str) -> ChunkIds:
+    """The chunks that this Python worker knows; it may serve many tasks."""
+    known = sys.__dict__.setdefault("_trailspark_chunks", {})
+    if path not in known:
+        known[path] = ChunkIds(path)
+    return known[path]
+
 
 def piece_rows(ids: list, texts: list[str | None], cache: ChunkIds, capacity: int) -> list[list]:
     out: list[list] = [[], [], [], [], []]
-    for doc_id, text in zip(ids, texts, strict=True):
-        chunks = _CHUNKS.findall(text or "")
-        cache.learn(set(chunks))
+    # new chunks of all rows go to the library in one call
+    cut = [chunks_of(t or "") for t in texts]
+    cache.learn(set().union(*cut))
+    for doc_id, chunks in zip(ids, cut, strict=True):
         data = b"".join(map(cache.__getitem__, chunks)) + array("I", [END_ID]).tobytes()
         for piece, at in enumerate(range(0, len(data), 4 * capacity)):
             part = data[at : at + 4 * capacity]
@@ -70,7 +116,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 4096, tokenizer_path: str
             import public_tokenizers
 
             path = public_tokenizers.path(DEFAULT_TOKENIZER)
-        cache = ChunkIds(path)
+        cache = worker_chunks(path)
         return lambda ids, texts: piece_rows(ids, texts, cache, capacity)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
