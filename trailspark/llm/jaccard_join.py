@@ -26,6 +26,8 @@ from .linkage import chosen_sets, least_common, linked, parity
 FREQUENCY_CELLS = 1 << 18
 #: Longs of the parity of a set; as many bits as its suffix filter looks at.
 PARITY_WORDS = 16
+#: Orders that leaders of long lists are drawn by: documents have many lists, so few suffice.
+ORDERS = 4
 
 
 def shingle_set(text: str | None, width: int, cache: WordHashes) -> np.ndarray:
@@ -113,7 +115,7 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80) -
 
         return of
 
-    links, label = linked(postings, ["n", "i"], _keep(percent), bits, percent, PARITY_WORDS, lambda ids: chosen_sets(docs, ids, homes, sets_in))
+    links, label = linked(postings, ["n", "i"], _keep(percent), bits, percent, PARITY_WORDS, ORDERS, lambda ids: chosen_sets(docs, ids, homes, sets_in))
     return table, links, label
 
 

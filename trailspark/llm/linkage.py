@@ -18,18 +18,19 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialize, mix, signed
 
 LIGHT = 16
-#: Leaders are drawn by one of so many orders, by the key of the list, so that a large group gets a few leaders.
-ORDERS = 12
 #: Bits of the ids of which a table says whose sets are wanted.
 ID_BITS = 26
 
 Keep = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def shared_lists(postings: DataFrame, payload: list[str]) -> DataFrame:
-    """Postings (s, k, payload) of keys that at least two items have, with the list's size m and leader; written."""
+def shared_lists(postings: DataFrame, payload: list[str], orders: int) -> DataFrame:
+    """Postings (s, k, payload) of keys that at least two items have, with the list's size m and leader; written.
+
+    Leaders are drawn by one of ``orders`` orders, by the key of the list, so that a large group gets a few leaders.
+    """
     dealt = postings.select("s", "k", *payload).repartition("s")
-    order = F.xxhash64("k", F.pmod("s", F.lit(ORDERS)))
+    order = F.xxhash64("k", F.pmod("s", F.lit(orders)))
     lists = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(order.alias("r"), "k", *payload)).alias("lead")).filter("m > 1")
     return materialize(dealt.join(lists, "s"))
 
@@ -152,13 +153,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def linked(postings: DataFrame, payload: list[str], keep: Keep, bits: DataFrame, percent: int, words: int, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def linked(postings: DataFrame, payload: list[str], keep: Keep, bits: DataFrame, percent: int, words: int, orders: int, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all that is connected, and the components (id, label).
 
     ``bits``: k, n, bits (parity) of every class; ``sets_of`` gives the sets of classes.  Each pair is
     verified once.
     """
-    lists = shared_lists(postings, payload)
+    lists = shared_lists(postings, payload, orders)
     first = materialize(_sieved(first_pairs(lists, payload, keep), bits, percent, words))
     ends = F.explode(F.array("a", "b")).alias("k")
     links = materialize(verified(first, sets_of(first.select(ends)), percent))

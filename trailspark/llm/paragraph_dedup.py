@@ -27,6 +27,8 @@ from .linkage import chosen_sets, linked, parity
 
 WIDTH = 5
 PARITY_WORDS = 4
+#: Orders that leaders of long lists are drawn by.
+ORDERS = 12
 LONG_LINE = 40
 #: Words a stretch of sentences has at least.
 STRETCH_WORDS = 12
@@ -162,7 +164,7 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float =
 
         return of
 
-    _, label = linked(postings, ["n"], keep, bits, percent, PARITY_WORDS, lambda ids: chosen_sets(docs, ids, lines.select("k", "th"), sets_in))
+    _, label = linked(postings, ["n"], keep, bits, percent, PARITY_WORDS, ORDERS, lambda ids: chosen_sets(docs, ids, lines.select("k", "th"), sets_in))
     # classes that occur more than once, alone or with what they are linked to
     places = table.select("doc_id", "th", "place", "len", "k").join(label.select(F.col("id").alias("k"), "label"), "k", "left").withColumn("c", F.coalesce("label", "k"))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "place", "len")
