@@ -89,6 +89,33 @@ def test_repeated_paragraphs_stay_once(docs, empty):
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99
 
 
+def test_passages_in_other_lines_stay_once(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"{rng.choice(WORDS)}{rng.randint(0, 9999)}" for _ in range(n)]
+    plain, changed, wrapped = words(50), words(50), words(50)
+    wrap = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    rows, alone = [], {}
+
+    def add(doc, passage):
+        before, after = words(60), words(60)
+        rows.append((doc, " ".join(before) + " " + passage + " " + " ".join(after)))
+        alone[doc] = before + after
+
+    for i in range(20):
+        add(i, " ".join(plain))
+        add(100 + i, wrap(wrapped, 5 + i))
+        mine = list(changed)
+        if i:
+            mine[(5, 12, 25, 38, 44)[i % 5]] = f"new{i}"
+        add(200 + i, " ".join(mine))
+    out = {r["doc_id"]: r for r in paragraph_dedup.remove_repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for first in (0, 100, 200):
+        assert out[first]["text"] == dict(rows)[first] and not out[first]["removed"]
+        assert all(out[first + i]["text"].split() == alone[first + i] for i in range(1, 20))
+    texts = dict(rows)
+    assert all("".join(texts[d][s["start"] : s["start"] + s["length"]] for s in r["removed"]).split() for d, r in out.items() if d % 100)
+
+
 def test_packing_is_gapless_and_whole(docs, empty):
     out = packing.pack_documents(docs, capacity=64).collect()
     ends = {}

@@ -1,12 +1,17 @@
 """Operator 5: repeated paragraphs, by MinHash bands, exact verification and components.
 
 A paragraph is a line; a line of more than ``LONG_LINE`` words also yields stretches of sentences, cut
-where the text itself says so (the hash of the word that ends a sentence), so that a passage set into
-different lines has the same stretches.  Paragraphs of ``min_words`` words or more are compared by
-five-word shingles of the lower-cased words.  Equal ones are one class.  Bands are as many as a pair at the
-threshold needs to collide with probability ``recall``; classes that collide are verified by exact
-Jaccard similarity, and of each component of linked classes all but the first occurrence (by doc_id,
-then place) is removed.  Stretches are matched by equality.
+where the text itself says so (the hash of the word that ends a sentence).  Paragraphs of ``min_words``
+words or more are compared by five-word shingles of the lower-cased words.  Equal ones are one class.
+Bands are as many as a pair at the threshold needs to collide with probability ``recall``; classes that
+collide are verified by exact Jaccard similarity, and of each component of linked classes all but the
+first occurrence (by doc_id, then place) is removed.  Stretches are matched by equality.
+
+Passages inside otherwise different lines are found over the whole word stream of a text, whatever its
+lines and punctuation: seeds of ``SEED_WORDS`` words, so dense that any ``PASSAGE_WORDS - 1`` equal words
+hold one, are matched with their first occurrence.  Runs of such seeds are extended word by word, over
+changed words too as far as the passages' similarity stays at the threshold, and joined; what has
+``PASSAGE_WORDS`` words or more is removed.
 
 Edge cases: null texts stay null, nothing is removed from them; rows with equal doc_id and text are
 one document, so they keep or lose the same paragraphs; a document may lose all its text, which then
@@ -16,6 +21,7 @@ is empty; a null doc_id comes after all others.
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import numpy as np
 import xxhash
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, arrow_map, materialize, signed, windows
-from .linkage import chosen_sets, linked, parity
+from .linkage import ID_BITS, chosen_sets, id_bits, linked, parity
 
 WIDTH = 5
 PARITY_WORDS = 4
@@ -32,7 +38,15 @@ ORDERS = 12
 LONG_LINE = 40
 #: Words a stretch of sentences has at least.
 STRETCH_WORDS = 12
+#: Words of a seed of a passage, and how many runs of words a seed is the least of.
+SEED_WORDS = SEED_WINDOW = 12
+#: Words that a passage set anywhere in a text has at least.
+PASSAGE_WORDS = SEED_WORDS + SEED_WINDOW
+#: Words around a run of seeds that are compared with where they are first found.
+CONTEXT = 32
 _END = re.compile(rb"[.!?][\"')\]]*$")
+_CLOSING = b".!?\"')]"
+_SPACE = np.array([bytes([c]).isspace() for c in range(256)])
 
 
 def tune_bands(threshold: float, recall: float, most_hashes: int = 64) -> tuple[int, int]:
@@ -52,40 +66,74 @@ class Paragraphs:
         self.cache, self.min_words, self.stretches = WordHashes(), min_words, stretches
 
     def __call__(self, texts: list[str | None]):
-        """doc, place, length, kind (0 line, 1 stretch), first word, words; and the word hashes.
+        """doc, place, length, kind (0 line, 1 stretch), first word, words; the word hashes; and where each text's begin.
 
         place and length are in bytes of the UTF-8 text.
         """
-        words: list[bytes] = []
         out: list[tuple[int, int, int, int, int, int]] = []
+        hashes, base = [], [0]
         for d, text in enumerate(texts):
-            place = 0
-            for line in (text or "").encode().split(b"\n"):
-                raw = line.split()
-                if len(raw) >= self.min_words:
-                    first = len(words)
-                    words += [w.lower() for w in raw]
-                    out.append((d, place, len(line), 0, first, len(raw)))
-                    if self.stretches and len(raw) > LONG_LINE:
-                        out += self._stretches(d, place, line, raw, first)
-                place += len(line) + 1
-        h = self.cache.of(words)
-        return out, h
-
-    def _stretches(self, d: int, place: int, line: bytes, raw: list[bytes], first: int):
-        found, start, at, begin = [], 0, 0, None
-        for j, w in enumerate(raw):
-            where = line.index(w, at)
-            begin = where if begin is None else begin
-            at = where + len(w)
-            last = j == len(raw) - 1
-            if last or _END.search(w) and self.cache[w.lower()] & 1:
-                if j + 1 - start >= STRETCH_WORDS and j + 1 - start < len(raw):
-                    found.append((d, place + begin, at - begin, 1, first + start, j + 1 - start))
-                start, begin = j + 1, None
+            data = (text or "").encode()
+            words = data.lower().split()
+            h = self.cache.of(words)
+            starts, ends = word_places(data)
+            feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+            begins, stops = np.concatenate(([0], feeds + 1)), np.append(feeds, len(data))
+            firsts = np.append(np.searchsorted(starts, begins), len(starts))
+            for begin, stop, first, n in zip(begins.tolist(), stops.tolist(), firsts.tolist(), np.diff(firsts).tolist(), strict=False):
+                if n >= self.min_words:
+                    out.append((d, begin, stop - begin, 0, base[-1] + first, n))
+                    if self.stretches and n > LONG_LINE:
+                        out += self._stretches(d, data, words, h, starts, ends, first, first + n, base[-1])
+            hashes.append(h)
+            base.append(base[-1] + len(h))
+        return out, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), base
+
+    def _stretches(self, d: int, data: bytes, words: list[bytes], h: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, stop: int, base: int):
+        found, start = [], first
+        odd = (h[first:stop] & np.uint64(1)).astype(bool)
+        at = [j for j in (first + np.flatnonzero(odd)).tolist() if data[ends[j] - 1] in _CLOSING and _END.search(words[j])]
+        for j in at if at and at[-1] == stop - 1 else [*at, stop - 1]:
+            n = j + 1 - start
+            if n >= STRETCH_WORDS and n < stop - first:
+                found.append((d, int(starts[start]), int(ends[j] - starts[start]), 1, base + start, n))
+            start = j + 1
         return found
 
 
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``data.split()`` start and end."""
+    edges = np.diff(np.concatenate(([True], _SPACE[np.frombuffer(data, np.uint8)], [True])).astype(np.int8))
+    return np.flatnonzero(edges < 0), np.flatnonzero(edges > 0)
+
+
+def _pooled(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = best(x[: len(x) - step], x[step:])
+        have += step
+    return x
+
+
+def seeds(h: np.ndarray, base: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the stream the seeds of its texts begin, and their hashes.
+
+    Of any ``SEED_WINDOW`` runs of ``SEED_WORDS`` words that begin one after the other the least is a
+    seed, wherever lines and sentences end: equal passages of ``PASSAGE_WORDS`` words have equal seeds.
+    """
+    if len(h) < SEED_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    most = np.uint64(2**64 - 1)
+    s = np.concatenate((windows(h, SEED_WORDS), np.full(SEED_WORDS - 1, most)))
+    for b in base[1:]:  # no run reaches into the next text
+        s[max(0, b - SEED_WORDS + 1) : b] = most
+    ends = np.full(SEED_WINDOW - 1, most)
+    low = _pooled(np.concatenate((ends, s, ends)), SEED_WINDOW, np.minimum)
+    at = np.flatnonzero((_pooled(np.where(low == most, np.uint64(0), low), SEED_WINDOW, np.maximum) == s) & (s != most))
+    return at, s[at]
+
+
 def _class(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), seed=len(h)) - (1 << 63)
 
@@ -110,14 +158,15 @@ def _bands(shingles: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, th, place, len, kind, k (class), n (shingles), bits (parity), s (band hashes); written.
 
-    Stretches, and lines of a class that the task has met before, have neither bits nor bands.."""
+    Stretches, and lines of a class that the task has met before, have neither bits nor bands.  A row of
+    kind 2 holds the seeds of a text: their first words in bits, their hashes in s."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
     def start():
         cut, sent = Paragraphs(min_words), set()
 
         def step(ids, hashes, texts):
-            units, h = cut(texts)
+            units, h, base = cut(texts)
             keys, sizes, sets, line, bits = [], [], [], [], []
             for u in units:
                 part = h[u[4] : u[4] + u[5]]
@@ -134,19 +183,157 @@ def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> D
                 bits.append(parity(sets[-1], PARITY_WORDS) if own else None)
             values = iter(signed(_bands(sets, bands, rows)) if sets else ())
             none = np.zeros(0, np.int64)
-            return [[ids[u[0]] for u in units], [hashes[u[0]] for u in units], [u[1] for u in units], [u[2] for u in units], [u[3] for u in units], keys, sizes, bits, [next(values) if own else none for own in line]]
+            bands_of = [next(values) if own else none for own in line]
+            at, found = seeds(h, base)
+            for d, (a, b) in enumerate(pairwise(np.searchsorted(at, base).tolist())):
+                if b > a:
+                    units.append((d, 0, 0, 2, 0, 0))
+                    keys.append(0)
+                    sizes.append(0)
+                    bits.append(at[a:b] - base[d])
+                    bands_of.append(signed(found[a:b]))
+            return [[ids[u[0]] for u in units], [hashes[u[0]] for u in units], [u[1] for u in units], [u[2] for u in units], [u[3] for u in units], keys, sizes, bits, bands_of]
 
         return step
 
     return materialize(arrow_map(source, "doc_id long, th long, place int, len int, kind int, k long, n int, bits array<long>, s array<long>", start))
 
 
+def repeated_runs(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, th, runs: what of a document is made of seeds that an earlier place has; written.
+
+    A run: its words [a, b), and the words before and after the places where its first and last seed are
+    found first (left, right: 32-bit hashes; lt, lw and rt, rw: text and word).
+    """
+    each = table.filter("kind = 2").select("doc_id", "th", F.explode(F.arrays_zip(F.col("bits").alias("w"), F.col("s").alias("s"))).alias("x")).select(F.col("x.s").alias("s"), "doc_id", "th", F.col("x.w").cast("int").alias("w"))
+    dealt = each.repartition("s")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "w")
+    first = dealt.groupBy("s").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("s", "f")
+    same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
+    # a seed in one text with its first place begins after that has ended
+    hits = materialize(dealt.join(first, "s").filter(~same | (F.col("w") >= F.col("f.w") + SEED_WORDS)).select("doc_id", "th", "w", F.col("f.th").alias("bt"), F.col("f.w").alias("bw")))
+    by_text = hits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("w", "bt", "bw"))).alias("hits"))
+
+    def chain():
+        def step(ids, hashes, found):
+            out: list[list] = [[] for _ in range(8)]
+            for doc, th, hs in zip(ids, hashes, found, strict=True):
+                runs: list[list[int]] = []
+                for x in hs:
+                    if runs and x["w"] <= runs[-1][1]:
+                        runs[-1][1], runs[-1][4], runs[-1][5] = x["w"] + SEED_WORDS, x["bt"], x["bw"] + SEED_WORDS
+                    else:
+                        runs.append([x["w"], x["w"] + SEED_WORDS, x["bt"], x["bw"], x["bt"], x["bw"] + SEED_WORDS])
+                for r in runs:
+                    for column, value in zip(out, (doc, th, *r), strict=True):
+                        column.append(value)
+            return out
+
+        return step
+
+    runs = materialize(arrow_map(by_text, "doc_id long, th long, a int, b int, lt long, lw int, rt long, rw int", chain))
+    cells = np.zeros(1 << (ID_BITS - 6), np.uint64)
+    if wanted := id_bits(runs.select(F.explode(F.array("lt", "rt")).alias("k")), "k", ID_BITS):
+        cells[np.fromiter(wanted, np.int64, len(wanted))] = np.array(list(wanted.values()), np.int64).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(cells)
+
+    def cut():
+        bits, cache = shared.value, WordHashes()
+
+        def step(hashes, texts):
+            out: list[list] = [[], []]
+            for th, text in zip(hashes, texts, strict=True):
+                x = th & ((1 << ID_BITS) - 1)
+                if text and int(bits[x >> 6]) >> (x & 63) & 1:
+                    out[0].append(th)
+                    out[1].append(_short(cache, text.encode().lower().split()))
+            return out
+
+        return step
+
+    words = materialize(arrow_map(docs.select(F.xxhash64("text").alias("th"), "text"), "th long, h array<int>", cut).groupBy("th").agg(F.first("h").alias("h")))
+    left = words.select(F.col("th").alias("lt"), F.col("h").alias("lh"))
+    right = words.select(F.col("th").alias("rt"), F.col("h").alias("rh"))
+    near = F.struct("a", "b", "lt", "lw", "rt", "rw", F.slice("lh", F.greatest(F.lit(1), F.col("lw") - (CONTEXT - 1)), F.least(F.lit(CONTEXT), F.col("lw"))).alias("left"), F.slice("rh", F.col("rw") + 1, F.lit(CONTEXT)).alias("right"))
+    return materialize(runs.join(left, "lt").join(right, "rt").groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(near)).alias("runs")))
+
+
+def _short(cache: WordHashes, words: list[bytes]) -> np.ndarray:
+    return (cache.of(words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _extended(own: list[int], source: list[int]) -> list[tuple[int, int, int]]:
+    """How far two sequences agree from their start: (own words, source words, common shingles) without a change, and after each.
+
+    A change is a word replaced, added or left out, with ``WIDTH`` words that agree after it.
+    """
+    i = j = common = begun = 0
+    out = []
+    while True:
+        while i < len(own) and j < len(source) and own[i] == source[j]:
+            i, j = i + 1, j + 1
+        # the first stretch goes on from a run, so each of its words ends a shingle
+        common += i if not out else max(0, i - begun - (WIDTH - 1))
+        out.append((i, j, common))
+        for x, y in ((1, 1), (1, 0), (0, 1)):
+            if own[i + x : i + x + WIDTH] == source[j + y : j + y + WIDTH] and len(own) >= i + x + WIDTH and len(source) >= j + y + WIDTH:
+                i, j = i + x, j + y
+                begun = i
+                break
+        else:
+            return out
+
+
+def passages(own: list[int], runs: list[dict], percent: int) -> list[tuple[int, int]]:
+    """The words [a, b) of passages that occur before: runs, extended and joined as far as the similarity allows."""
+
+    def alike(n: int, m: int, common: int) -> bool:
+        n, m = n - (WIDTH - 1), m - (WIDTH - 1)
+        return common * 100 >= (n + m - common) * percent
+
+    # own words, source words, common shingles; and the text and words of the source
+    done: list[dict] = []
+    for r in runs:
+        a, b = r["a"], r["b"]
+        n, m, common = b - a, b - a, b - a - (WIDTH - 1)
+        before = _extended(own[max(0, a - CONTEXT) : a][::-1], list(r["left"])[::-1])
+        x, y, more = next(e for e in reversed(before) if alike(n + e[0], m + e[1], common + e[2]))
+        n, m, common, a, first = n + x, m + y, common + more, a - x, r["lw"] - y
+        after = _extended(own[b : b + CONTEXT], list(r["right"]))
+        x, y, more = next(e for e in reversed(after) if alike(n + e[0], m + e[1], common + e[2]))
+        new = {"a": a, "b": b + x, "m": m + y, "common": common + more, "lt": r["lt"], "lw": first, "rt": r["rt"], "rw": r["rw"] + y}
+        if done:
+            last = done[-1]
+            lap = last["b"] - new["a"]
+            apart = new["lw"] - last["rw"]
+            if lap >= 0:  # what both hold counts once
+                last["common"] += max(0, new["common"] - max(0, lap - (WIDTH - 1)))
+                last["m"] += max(0, new["m"] - lap)
+                last["b"], last["rt"], last["rw"] = max(last["b"], new["b"]), new["rt"], new["rw"]
+                continue
+            if last["rt"] == new["lt"] and apart >= 0 and alike(new["b"] - last["a"], last["m"] + apart + new["m"], last["common"] + new["common"]):
+                last["common"] += new["common"]
+                last["m"] += apart + new["m"]
+                last["b"], last["rt"], last["rw"] = new["b"], new["rt"], new["rw"]
+                continue
+        done.append(new)
+    return [(d["a"], d["b"]) for d in done if d["b"] - d["a"] >= PASSAGE_WORDS]
+
+
+def _with_passages(cuts: list[dict] | None, text: str, runs: list[dict], percent: int, cache: WordHashes) -> list[dict]:
+    data = text.encode()
+    starts, ends = word_places(data)
+    found = [{"place": int(starts[a]), "len": int(ends[b - 1] - starts[a])} for a, b in passages(_short(cache, data.lower().split()).tolist(), runs, percent)]
+    return sorted([*(cuts or []), *found], key=lambda c: (c["place"], c["len"]))
+
+
 def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, min_words: int = 8) -> DataFrame:
-    """doc_id, th, cuts: the stretches (place, len; in bytes) to remove from each document that has any."""
+    """doc_id, th, cuts: the stretches (place, len; in bytes) to remove from each document that has any; and its runs."""
     bands, rows = tune_bands(threshold, recall)
     table = paragraph_table(docs, min_words, bands, rows)
+    runs = repeated_runs(docs, table)
     percent = int(round(threshold * 100))
-    lines = table.filter(F.col("bits").isNotNull())
+    lines = table.filter((F.col("kind") == 0) & F.col("bits").isNotNull())
     postings = lines.groupBy("k").agg(F.min(F.struct("n", "s")).alias("x")).select("k", F.col("x.n").alias("n"), F.explode("x.s").alias("s"))
     bits = lines.select("k", "n", "bits").dropDuplicates(["k"])
 
@@ -157,7 +344,7 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float =
         cut = Paragraphs(min_words, stretches=False)
 
         def of(column):
-            units, h = cut(column)
+            units, h, _ = cut(column)
             for u in units:
                 part = h[u[4] : u[4] + u[5]]
                 yield _class(part), lambda part=part: np.unique(windows(part, WIDTH))
@@ -166,11 +353,12 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float =
 
     _, label = linked(postings, ["n"], keep, bits, percent, PARITY_WORDS, ORDERS, lambda ids: chosen_sets(docs, ids, lines.select("k", "th"), sets_in))
     # classes that occur more than once, alone or with what they are linked to
-    places = table.select("doc_id", "th", "place", "len", "k").join(label.select(F.col("id").alias("k"), "label"), "k", "left").withColumn("c", F.coalesce("label", "k"))
+    places = table.filter("kind < 2").select("doc_id", "th", "place", "len", "k").join(label.select(F.col("id").alias("k"), "label"), "k", "left").withColumn("c", F.coalesce("label", "k"))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "place", "len")
     first = places.groupBy("c").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("c", "f")
     cut = places.join(first, "c").filter(~order.eqNullSafe(F.col("f")))
-    return cut.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("place", "len"))).alias("cuts"))
+    both = cut.select("doc_id", "th", F.struct("place", "len").alias("c"), F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")).unionByName(runs.withColumn("c", F.lit(None).cast("struct<place:int,len:int>")))
+    return both.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("c")).alias("cuts"), F.first("runs", ignorenulls=True).alias("runs"))
 
 
 def _without(text: str, cuts: list[dict]) -> tuple[str, list[dict]]:
@@ -182,14 +370,14 @@ def _without(text: str, cuts: list[dict]) -> tuple[str, list[dict]]:
             spans.append([c["place"], c["place"] + c["len"]])
     kept, at = [], 0
     for a, b in spans:
-        kept.append(data[at:a])
+        kept.append(data[at:a] + b"\n" * data.count(b"\n", a, b))
         at = b
     kept.append(data[at:])
     # what held a removed paragraph, and only white space besides, goes
     removed = {data.count(b"\n", 0, a) + j for a, b in spans for j in range(data.count(b"\n", a, b) + 1)}
     out, line = [], 0
     joined = b"".join(kept).split(b"\n")
-    # line feeds are never inside a paragraph, so lines keep their numbers
+    # line feeds inside a passage stay, so lines keep their numbers
     for line, content in enumerate(joined):
         if line in removed and not content.strip():
             continue
@@ -200,24 +388,28 @@ def _without(text: str, cuts: list[dict]) -> tuple[str, list[dict]]:
 
 def remove_repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, min_words: int = 8) -> DataFrame:
     """``docs`` with text rid of repeated paragraphs, and removed: their spans in the old text, in code points."""
-    cuts = repeated_paragraphs(docs, threshold, recall, min_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("cuts").alias("_cuts"))
+    cuts = repeated_paragraphs(docs, threshold, recall, min_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("cuts").alias("_cuts"), F.col("runs").alias("_runs"))
     keyed = docs.withColumn("_th", F.xxhash64("text"))
     joined = keyed.join(cuts, F.col("_d").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_t") == F.col("_th")), "left").drop("_d", "_t", "_th")
-    names = [c for c in joined.columns if c != "_cuts"]
-    at = names.index("text")
+    names = [c for c in joined.columns if c not in ("_cuts", "_runs")]
+    at, percent = names.index("text"), int(round(threshold * 100))
 
     def start():
+        cache = WordHashes()
+
         def step(*columns):
             columns = list(columns)
             texts, spans = [], []
-            for text, cut in zip(columns[at], columns[-1], strict=True):
+            for text, cut, runs in zip(columns[at], columns[-2], columns[-1], strict=True):
+                if runs and text is not None:
+                    cut = _with_passages(cut, text, runs, percent, cache)
                 new, gone = _without(text, cut) if cut and text is not None else (text, [])
                 texts.append(new)
                 spans.append(gone)
             columns[at] = texts
-            return [*columns[:-1], spans]
+            return [*columns[:-2], spans]
 
         return step
 
     schema = ", ".join(f"`{c}` {k}" for c, k in joined.select(*names).dtypes)
-    return arrow_map(joined.select(*names, "_cuts"), f"{schema}, removed array<struct<start:long,length:long>>", start)
+    return arrow_map(joined.select(*names, "_cuts", "_runs"), f"{schema}, removed array<struct<start:long,length:long>>", start)
