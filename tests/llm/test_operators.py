@@ -212,6 +212,19 @@ def test_main_text_query_rows(spark):
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract_main_text(df).collect()) == [(0, "", 0), (1, "hello", 5), (1, "hello", 5)]
 
 
+def test_boilerplate_is_found_over_the_whole_host(spark):
+    note = "all prices on this page are without any warranty of ours"
+    story = lambda i: f"story {i} " + " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(i, f"http://a/{i}", f"<div>{story(i)}</div>" + (f"<div>{note}</div>" if i % 75 == 0 else "")) for i in range(300)]
+    rows += [(i, "http://b/x", f"<div>{story(300)}</div><div>{note}</div>") for i in (300, 301)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for partitions in (1, 7):
+        out = {r["page_id"]: r["text"] for r in html_text.extract_main_text(df, partitions=partitions).collect()}
+        assert all(out[i] == story(i) for i in range(300))
+        # what only copies of one page have is its own text
+        assert out[300] == out[301] == f"{story(300)}\n{note}"
+
+
 def test_languages(spark, empty):
     rng = random.Random(4)
     kinds = {"aa": "abcde", "bb": "vwxyz"}

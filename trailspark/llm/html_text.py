@@ -1,14 +1,14 @@
-"""Operator 2: main text of pages, with a suffix array over the pages of a host.
-
-Pages are dealt by ranges of (host, hash of the page), so a host with very many pages is spread over
-tasks and within a task pages of a host come together.  They are read in groups of at most
-``group_pages`` pages of one host.  A page is cut into blocks with a zone: *main* (inside an article
-or main element or what is named like one), *outside* (menus, headers, footers, sidebars, notices,
-adverts, forms, comments; never text) or *open* (neither).  The token streams of what isn't main are
-concatenated and their suffixes sorted to the depth of ``run_tokens``; suffixes that agree so far on
-two distinct pages and on ``least_share`` of the group's pages are runs of the host's boilerplate.
-A page with a main zone yields that whole, even what other pages repeat; any other page yields its
-open blocks without the covered tokens, so unique runs stay.
+"""Operator 2: main text of pages, with the runs of words that pages of a host repeat.
+
+A page is cut into blocks with a zone: *main* (inside an article or main element or what is named like
+one), *outside* (menus, headers, footers, sidebars, notices, adverts, forms, comments; never text) or
+*open* (neither).  Of what isn't main, each run of ``run_tokens`` tokens is hashed, and the distinct pages
+of the whole host that have it are counted, whichever tasks read them: a row for each (host, page, run)
+is dealt by all three, so no host is too large for a task.  Runs of two distinct pages, and of
+``least_share`` of the host's, are the host's boilerplate; they are joined back to the pages that need
+them.  A page with a main zone yields that whole, even what other pages repeat; any other page yields its
+open blocks without the covered tokens, so unique runs stay.  ``main_texts`` does the same for a list of
+pages in memory, by a suffix array.
 
 Edge cases: null, empty or markup-free html is read as it stands (null: empty text); a null url is a
 host of its own; broken markup never fails; copies of a page don't make each other
@@ -22,11 +22,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes
+from .common import WordHashes, arrow_map, materialize, signed, windows
 
 MAIN, OPEN, OUTSIDE = 0, 1, 2
 #: Elements of HTML by their part in a page.
@@ -175,7 +175,7 @@ def boilerplate_tokens(tokens: np.ndarray, stream: np.ndarray, page: np.ndarray,
     return np.cumsum(edge)[: len(tokens)] > 0
 
 
-def main_texts(pages: list[list[tuple[int, str]]], run_tokens: int = 8, least_share: float = 0.2) -> list[str]:
+def main_texts(pages: list[list[tuple[int, str]]], run_tokens: int = 8, least_share: float = 0.0) -> list[str]:
     """Main texts of pages of one host, given their blocks."""
     hashes = WordHashes()
     number: dict[tuple, int] = {}
@@ -192,45 +192,92 @@ def main_texts(pages: list[list[tuple[int, str]]], run_tokens: int = 8, least_sh
     covered = boilerplate_tokens(np.concatenate(h or none), np.concatenate(stream or none), np.concatenate(page or none), len(number), run_tokens, least_share)
     out, at = [], 0
     for blocks in pages:
-        has_main = any(z == MAIN for z, _ in blocks)
-        keep = []
-        for zone, text in blocks:
-            if zone == MAIN:
-                keep.append(text)
-                continue
-            words = text.split(" ")
-            marks = covered[at : at + len(words)]
-            at += len(words)
-            if zone == OPEN and not has_main and (rest := " ".join(w for w, m in zip(words, marks, strict=True) if not m)):
-                keep.append(rest)
-        out.append("\n".join(keep))
+        sizes = [len(text.split(" ")) for z, text in blocks if z != MAIN]
+        out.append(_kept(blocks, iter(np.split(covered[at : at + sum(sizes)], np.cumsum(sizes)[:-1]))))
+        at += sum(sizes)
     return out
 
 
-def extract_main_text(pages: DataFrame, run_tokens: int = 8, least_share: float = 0.2, group_pages: int = 128, partitions: int | None = None) -> DataFrame:
+def _kept(blocks: list[tuple[int, str]], covered: Iterator[np.ndarray]) -> str:
+    """The text of a page; ``covered`` says of the tokens of each block that isn't main whether they are boilerplate."""
+    has_main = any(z == MAIN for z, _ in blocks)
+    keep = []
+    for zone, text in blocks:
+        if zone == MAIN:
+            keep.append(text)
+            continue
+        marks = next(covered)
+        if zone == OPEN and not has_main and (rest := " ".join(w for w, m in zip(text.split(" "), marks, strict=True) if not m)):
+            keep.append(rest)
+    return "\n".join(keep)
+
+
+def block_runs(blocks: list[tuple[int, str]], hashes: WordHashes, run_tokens: int) -> list[np.ndarray]:
+    """Hashes of the runs of each block that isn't main; none in a block that is too short."""
+    each = [hashes.of([w.encode() for w in text.split(" ")]) for z, text in blocks if z != MAIN]
+    return [windows(h, run_tokens) if len(h) >= run_tokens else h[:0] for h in each]
+
+
+def _covered(runs: np.ndarray, tokens: int, repeated: np.ndarray, run_tokens: int) -> np.ndarray:
+    starts = np.flatnonzero(np.isin(runs, repeated))
+    edge = np.zeros(tokens + run_tokens + 1, np.int64)
+    edge[starts] += 1
+    edge[starts + run_tokens] -= 1
+    return np.cumsum(edge)[:tokens] > 0
+
+
+def repeated_runs(pages: DataFrame, run_tokens: int, least_share: float) -> DataFrame:
+    """h, th, repeated: the runs of host h's boilerplate that are in the html hashed th, where it has no main zone; written."""
+
+    def start():
+        hashes = WordHashes()
+
+        def step(hosts, texts, htmls):
+            out: list[list] = [[], [], [], [], []]
+            for h, th, page in zip(hosts, texts, htmls, strict=True):
+                blocks = blocks_of(page)
+                runs = block_runs(blocks, hashes, run_tokens)
+                # copies of a page, by what isn't main, are one page
+                who = xxhash.xxh64_intdigest("\n".join(f"{z}{t}" for z, t in blocks if z != MAIN).encode()) - (1 << 63)
+                found = signed(np.unique(np.concatenate(runs))) if runs else []
+                for column, value in zip(out, (h, th, who, all(z != MAIN for z, _ in blocks), found), strict=True):
+                    column.append(value)
+            return out
+
+        return step
+
+    cut = materialize(arrow_map(pages.select("h", "th", "html"), "h long, th long, who long, open boolean, runs array<long>", start))
+    often = cut.select("h", "who", F.explode("runs").alias("run")).distinct().groupBy("h", "run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if least_share > 0:
+        sizes = cut.select("h", "who").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
+        often = often.join(sizes, "h").filter(F.col("n") >= F.ceil(F.lit(least_share) * F.col("pages")))
+    here = cut.filter("open").select("h", "th", F.explode("runs").alias("run"))
+    return materialize(here.join(often.select("h", "run"), ["h", "run"]).groupBy("h", "th").agg(F.collect_set("run").alias("repeated")))
+
+
+def extract_main_text(pages: DataFrame, run_tokens: int = 8, least_share: float = 0.0, partitions: int | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id").alias("deal"))
-    by = ["host", "deal"]
-    dealt = (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions("host", "deal")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def done(group: list[tuple]) -> pa.RecordBatch:
-            texts = main_texts([blocks_of(g[2]) for g in group], run_tokens, least_share)
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array([g[1] for g in group], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    if held and (row[3] != held[-1][3] or len(held) >= group_pages or size > 16_000_000):
-                        yield done(held)
-                        held, size = [], 0
-                    held.append(row)
-                    size += len(row[2] or "")
-        if held:
-            yield done(held)
-
-    return dealt.select("page_id", "url", "html", "host").withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host).alias("h"), F.xxhash64("html").alias("th"))
+    if partitions:
+        rows = rows.repartition(partitions)
+    joined = rows.join(repeated_runs(rows, run_tokens, least_share), ["h", "th"], "left").select("page_id", "url", "html", "repeated")
+
+    def start():
+        hashes = WordHashes()
+
+        def step(ids, urls, htmls, repeated):
+            texts = []
+            for page, found in zip(htmls, repeated, strict=True):
+                blocks = blocks_of(page)
+                known = np.array(found or (), np.int64).view(np.uint64)
+                beside = [text for z, text in blocks if z != MAIN]
+                marks = (np.zeros(text.count(" ") + 1, bool) for text in beside)
+                if found:
+                    marks = (_covered(r, text.count(" ") + 1, known, run_tokens) for r, text in zip(block_runs(blocks, hashes, run_tokens), beside, strict=True))
+                texts.append(_kept(blocks, marks))
+            return [ids, urls, texts, [len(t) for t in texts]]
+
+        return step
+
+    return arrow_map(joined, "page_id long, url string, text string, n_chars long", start)
