@@ -252,6 +252,16 @@ def test_toxicity(spark, empty):
     assert toxicity.normal_word("1d10t!!") == ("idiot", True)
 
 
+def test_disguised_learnt_words_are_toxic(spark):
+    rng = random.Random(9)
+    rows = [(i, text(rng, 40) + (" you zorgblat" if i % 3 == 0 else "")) for i in range(300)]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity_model(spark.createDataFrame(rows, "doc_id long, text string"), lab)
+    assert "zorgblat" in model.mined
+    new = spark.createDataFrame([(i, text(rng, 40) + end) for i, end in enumerate((" you z0rgbl4t", " you zorgblaaaat", " you zorgblat", " you there"))], "doc_id long, text string")
+    assert [r["predicted"] for r in model.score(new).orderBy("doc_id").collect()] == [1, 1, 1, 0]
+
+
 def test_rates_meet_targets(spark, empty):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(("red", "blue")[i % 2 : i % 2 + 1]) + str(rng.randint(0, 9)) for _ in range(30))) for i in range(200)]

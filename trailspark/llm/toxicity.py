@@ -144,12 +144,12 @@ class ToxicityModel:
 
     def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """``df`` with score and predicted."""
-        b, columns = self.b, df.columns
+        mined, b, columns = self.mined, self.b, df.columns
         weights = {int(f): float(self.w[f]) for f in np.flatnonzero(self.w)}
         at = columns.index(text_col)
 
         def start():
-            words = Words(voters_of([]), frozenset(weights))
+            words = Words(voters_of(mined), frozenset(weights))
 
             def step(*cols):
                 scores = []
