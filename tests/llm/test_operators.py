@@ -236,6 +236,13 @@ def test_languages(spark, empty):
     assert langid.predict_languages(empty).count() == 0
 
 
+def test_letters_beyond_the_first_plane():
+    grams = langid.Grams()
+    assert grams("\U0001f600 \U0001f680\U0001f680") is None
+    assert grams("\U00010428\U00010429") is not None
+    assert all((x == y).all() for x, y in zip(grams("ab \U0001f600 c"), grams("ab c"), strict=True))
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(5)
     rows, labels = [], []

@@ -24,7 +24,7 @@ UNKNOWN = "und"
 
 
 def _letters() -> np.ndarray:
-    return np.frombuffer(bytes(chr(c).isalpha() and not 0xD800 <= c < 0xE000 for c in range(0x10000)), np.bool_)
+    return np.frombuffer(bytes(map(str.isalpha, map(chr, range(0x110000)))), np.bool_)
 
 
 class Grams:
@@ -37,7 +37,7 @@ class Grams:
         if not text:
             return None
         c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        is_letter = self.letters[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+        is_letter = self.letters[c]
         if not is_letter.any():
             return None
         c = np.where(is_letter, c, 32)
