@@ -281,6 +281,17 @@ def test_rates_meet_targets(spark, empty):
     assert mixing.document_rates(empty, lab.limit(0)).count() == 0
 
 
+def test_domains_without_a_target_get_no_share(spark):
+    rng = random.Random(10)
+    kinds = ("red", "blue", "green", "grey")
+    rows = [(i, " ".join(kinds[i % 4] + str(rng.randint(0, 9)) for _ in range(30))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, kinds[i % 4]) for i in range(200)], "doc_id long, domain string")
+    out = mixing.document_rates(df, lab, {"red": 0.7, "blue": 0.3}).toPandas()
+    share = {d: (g.n_tokens * g.rate).sum() / out.n_tokens.sum() for d, g in out.groupby("domain")}
+    assert abs(share["red"] - 0.7) < 0.01 and abs(share["blue"] - 0.3) < 0.01 and share[mixing.REST] < 0.01
+
+
 def test_tables_are_released(spark, docs):
     kept = common.materialize(docs)
     path = common.live_tables()[-1]

@@ -9,8 +9,9 @@ documents whose rate is positive, and rates are never below 0.  The state of the
 steps, so a rate can be computed from a document's text alone and nothing is joined.
 
 Edge cases: null and empty texts have no tokens and the prior's posterior; without labelled rows all
-rates are 1; domains without a labelled row are left out and the other targets scaled up; repeated
-rows are separate documents.
+rates are 1; domains without a labelled row are left out and the other targets scaled up; labelled
+domains without a target are fitted as one domain ``REST`` of weight 0, so their documents get rates near 0;
+repeated rows are separate documents.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import let, materialize, words_of
 
 CELLS = 1 << 11
 SOFT_WORDS = 40
+#: The domain of labelled rows without a target.
+REST = "(no target)"
 #: Logarithms are kept in thousandths.
 SCALE = 1000
 
@@ -131,7 +134,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
 def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, per_domain: int = 1500) -> tuple[DomainModel, list[list[float]], DataFrame]:
     """The classifier, the steps and the members (doc_id, n_tokens, posterior) of a mixture."""
     targets = TARGETS if targets is None else targets
-    model = fit_domains(docs, labelled.filter(F.col("domain").isin(*targets)), per_domain)
+    model = fit_domains(docs, labelled.withColumn("domain", F.when(F.col("domain").isNull() | F.col("domain").isin(*targets), F.col("domain")).otherwise(F.lit(REST))), per_domain)
     tokens = F.size(words_of(F.col("text"))).cast("long").alias("n_tokens")
     posterior = (model.posterior(F.col("text")) if model.domains else F.array().cast("array<double>")).alias("posterior")
     members = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens, posterior))
