@@ -1,7 +1,12 @@
 """A training corpus from documents: toxic texts out, one of near duplicates, repeated paragraphs out, mixed, packed.
 
 Each stage is one of the operators of ``trailspark.llm``; it gets the rows its predecessor wrote and,
-but for the last, returns the columns of documents.
+but for the last, returns the columns of documents, in their order, with any extra ones.
+
+Edge cases: a null or empty text is clean, has no near duplicate, loses no paragraph and is packed as the
+end id alone, if its rate lets it stay; a null doc_id is a document like others (the last of its group);
+rows with equal doc_id and text become one at near duplicates; an empty table stays empty; extra columns,
+whatever their names, are carried along up to packing.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import live_tables, release, shared_dir, table
+from trailspark.llm.common import fresh, release, shared_dir, table, tables_made
 from trailspark.llm.jaccard_join import keep_one_of_each
 from trailspark.llm.mixing import mix
 from trailspark.llm.packing import pack_documents
@@ -22,51 +27,30 @@ from trailspark.llm.toxicity import fit_toxicity_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Tables that the stage before wrote for itself; its result is written when the next stage begins.
-_passing: list[str] = []
-
-
-def _stage(f: Stage) -> Stage:
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, [p for p in live_tables() if p in _passing])
-        _passing.clear()
-        before = set(live_tables())
-        out = f(spark, docs, sf_dir)
-        _passing.extend(p for p in live_tables() if p not in before)
-        return out
-
-    run_stage.__name__, run_stage.__doc__ = f.__name__, f.__doc__
-    return run_stage
-
-
-@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: rows whose score is 0.5 or more go; labels of every fifth document aren't learned from."""
     labels = table(spark, sf_dir, "labels").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     model = fit_toxicity_model(docs, labels)
-    return model.score(docs).filter("predicted = 0").select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return model.score(docs, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
-@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each group of documents linked at 0.8 on five-word shingles the first stays."""
     return keep_one_of_each(docs)
 
 
-@_stage
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: repeated paragraphs are cut out of the texts; no document goes."""
-    out = remove_repeated_paragraphs(docs).drop("removed")
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    out = remove_repeated_paragraphs(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
-@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: rows are repeated or left out as their rates say."""
     return mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")))
 
 
-@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: the documents as pieces of sequences."""
     return pack_documents(docs)
@@ -85,10 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``, each written and read again; only the last one's table stays."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with tables_made() as made:
+            try:
+                stage(spark, docs, sf_dir).write.parquet(path)
+            finally:
+                release(spark, [*made, *before])
+                made.clear()
+        docs, before = spark.read.parquet(path), [path]
     return docs

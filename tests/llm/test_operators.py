@@ -266,7 +266,7 @@ def test_disguised_learnt_words_are_toxic(spark):
     model = toxicity.fit_toxicity_model(spark.createDataFrame(rows, "doc_id long, text string"), lab)
     assert "zorgblat" in model.mined
     new = spark.createDataFrame([(i, text(rng, 40) + end) for i, end in enumerate((" you z0rgbl4t", " you zorgblaaaat", " you zorgblat", " you there"))], "doc_id long, text string")
-    assert [r["predicted"] for r in model.score(new).orderBy("doc_id").collect()] == [1, 1, 1, 0]
+    assert [r["score"] >= 0.5 for r in model.score(new).orderBy("doc_id").collect()] == [True, True, True, False]
 
 
 def test_rates_meet_targets(spark, empty):
@@ -293,8 +293,10 @@ def test_domains_without_a_target_get_no_share(spark):
 
 
 def test_tables_are_released(spark, docs):
-    kept = common.materialize(docs)
-    path = common.live_tables()[-1]
-    assert kept.count() == docs.count()
-    common.release(spark, [path])
-    assert path not in common.live_tables()
+    import os
+
+    with common.tables_made() as made:
+        kept = common.settled(spark, lambda: common.materialize(docs).filter("doc_id < 5"))
+    assert len(made) == 1 and kept.count() == 5
+    common.release(spark, made)
+    assert not os.path.exists(made[0].removeprefix("file://"))

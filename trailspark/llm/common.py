@@ -7,12 +7,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Python workers get the package's functions with the task and needn't have it installed.
@@ -23,14 +24,17 @@ ROWS_AT_ONCE = 512
 #: Words a worker keeps hashes of before it starts afresh.
 CACHE_WORDS = 400_000
 
-_live: list[str] = []
+#: Where ``materialize`` notes the tables it writes, for ``tables_made``.
+_made: ContextVar[list[str] | None] = ContextVar("tables made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests on one machine)."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="trailspark-")
         context.setCheckpointDir(where)
     return where.rstrip("/")
@@ -60,12 +64,22 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     with shuffles_removed(spark):
         df.write.parquet(path)
-    _live.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def live_tables() -> list[str]:
-    return list(_live)
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of the tables that are written in here, in order; those of an inner one are added to the outer one's."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        if (outer := _made.get()) is not None:
+            outer.extend(made)
 
 
 def release(spark: SparkSession, paths: Iterable[str]) -> None:
@@ -74,8 +88,19 @@ def release(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _live:
-            _live.remove(path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build()`` returns, written; all tables that it wrote on the way are deleted, also if it fails."""
+    with tables_made() as made:
+        try:
+            out = materialize(build())
+            last = made.pop()
+        finally:
+            release(spark, made)
+            made.clear()
+        made.append(last)
+    return out
 
 
 def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[tuple]]], finish: bool = False) -> DataFrame:
@@ -111,6 +136,28 @@ def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list
     return df.mapInArrow(run, schema)
 
 
+def arrow_column(returns: str, start: Callable[[], Callable[..., list]]) -> Callable[..., Column]:
+    """A column computed by Python in Arrow batches; the row's other columns stay in the JVM.
+
+    ``start()`` runs once in a task and returns ``step(*columns)``, which gets and returns Python lists,
+    for a bounded number of rows at a time.
+    """
+    from pyspark.sql.pandas.functions import ArrowUDFType
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(returns)
+
+    def run(batches: Iterator[tuple[pa.Array, ...] | pa.Array]) -> Iterator[pa.Array]:
+        target, step = to_arrow_type(kind), start()
+        for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)
+            parts = [pa.array(step(*(c.slice(at, ROWS_AT_ONCE).to_pylist() for c in columns)), type=target) for at in range(0, len(columns[0]), ROWS_AT_ONCE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=target)
+
+    return F.arrow_udf(run, kind, ArrowUDFType.SCALAR_ITER)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen last."""
 
@@ -153,6 +200,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns that ``df`` doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text):
     """Native words ``[^\\x20\\x09-\\x0D]+`` of a text column, as an array; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))

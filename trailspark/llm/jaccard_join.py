@@ -8,9 +8,13 @@
 3. Each remaining pair is verified once, exactly, on the sets of the classes in it; a bit table says
    which documents' sets are worth sending.  ``linkage`` keeps large groups from becoming all pairs.
 
+The order by cells is only as fine as the cells, which costs candidates where the corpus is very large,
+never a link.
+
 Edge cases: null, empty and white-space texts have no shingle, are linked with nothing and are their
 own component; fewer words than a shingle make one shingle of all words; repeated rows are equal
-sets; a null doc_id links others but is never a component's id (null if there is no other).
+sets; a null doc_id links others but is never a component's id (null if there is no other); an empty
+table gives no rows; other columns, whatever their names, are ignored (``keep_one_of_each`` keeps them).
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, materialize, mix, signed, windows
-from .linkage import chosen_sets, least_common, linked, parity
+from .common import WordHashes, arrow_map, fresh, materialize, mix, settled, signed, windows
+from .linkage import chosen_sets, least_common, linked, parity, set_verifier
 
 FREQUENCY_CELLS = 1 << 18
 #: Longs of the parity of a set; as many bits as its suffix filter looks at.
@@ -115,7 +119,8 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80) -
 
         return of
 
-    links, label = linked(postings, ["n", "i"], _keep(percent), bits, percent, PARITY_WORDS, ORDERS, lambda ids: chosen_sets(docs, ids, homes, sets_in))
+    verify = set_verifier(lambda ids: chosen_sets(docs, ids, homes, sets_in), percent)
+    links, label = linked(postings, ["n", "i"], _keep(percent), verify, ORDERS, bits, percent, PARITY_WORDS)
     return table, links, label
 
 
@@ -126,30 +131,37 @@ def with_component(table: DataFrame, label: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
+
+    def build() -> DataFrame:
+        table, _, label = near_duplicate_classes(docs, width, percent)
+        rows = materialize(with_component(table.select("doc_id", "k", "n"), label))
+        first = rows.filter(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("first"))
+        return rows.join(first, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+
+    return settled(docs.sparkSession, build)
+
+
+def lost_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, th (hash of the text) and how often (n) of the rows that aren't the first of their component, or aren't alone."""
     table, _, label = near_duplicate_classes(docs, width, percent)
-    rows = materialize(with_component(table.select("doc_id", "k", "n"), label))
-    first = rows.filter(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("first"))
-    return rows.join(first, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    rows = materialize(with_component(table.select("doc_id", "th", "k"), label).filter(F.col("c").isNotNull()))
+    # a null doc_id comes after all others; ties of doc_id are told apart by their texts
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
+    first = rows.groupBy("c").agg(F.min(rank).alias("f"), F.count(F.lit(1)).alias("of")).filter("of > 1")
+    return rows.join(first, "c").groupBy("doc_id", "th").agg(F.min(rank.eqNullSafe(F.col("f"))).alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest doc_id stays.
 
-    Rows without a shingle stay, and of wholly equal rows one does.
+    Rows without a shingle stay, and of rows with equal doc_id and text one does.
     """
-    table, _, label = near_duplicate_classes(docs, width, percent)
-    rows = materialize(with_component(table.select("doc_id", "th", "k"), label))
-    # a null doc_id comes after all others; ties of doc_id are told apart by their texts
-    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
-    first = rows.filter(F.col("c").isNotNull()).groupBy("c").agg(F.min(rank).alias("f"), F.count(F.lit(1)).alias("of"))
-    lost = rows.join(first, "c").filter(~rank.eqNullSafe(F.col("f"))).select("doc_id", "th").distinct()
-    twice = rows.filter(F.col("c").isNotNull()).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     cols = docs.columns
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    gone = lost.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
-    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_anti")
-    if twice.isEmpty():
-        return left.select(cols)
-    again = twice.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.lit(True).alias("_again"))
-    marked = left.join(again, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
-    return marked.filter(F.col("_again").isNull()).select(cols).unionByName(marked.filter(F.col("_again")).select(cols).dropDuplicates(["doc_id", "text"]))
+    th, d, t, stays = fresh(docs, "th", "d", "t", "stays")
+    lost = settled(docs.sparkSession, lambda: lost_rows(docs.select("doc_id", "text"), width, percent)).select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("stays").alias(stays))
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(th) == F.col(t))
+    if lost.filter(F.col(stays)).isEmpty():
+        return keyed.join(lost, same, "left_anti").select(cols)
+    marked = keyed.join(lost, same, "left").filter(F.coalesce(stays, F.lit(True)))
+    return marked.filter(F.col(stays).isNull()).select(cols).unionByName(marked.filter(F.col(stays).isNotNull()).select(cols).dropDuplicates(["doc_id", "text"]))

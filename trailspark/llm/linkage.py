@@ -1,9 +1,11 @@
 """From lists of items that share a key to verified links and components, without all pairs of a group.
 
-Lists of up to ``LIGHT`` items yield their pairs.  In a longer list every item is compared with a
-leader of the list first.  What these links connect needs no further comparison within a component,
-so a second round compares, in the long lists, only the items outside the list's largest component
-with the items of other components.  No link that would join two components is lost.
+Lists of up to ``LIGHT`` items yield their pairs.  In a longer list every item is compared with a leader
+of the list.  What these links connect needs no further comparison within a component.  As long as
+many items stand outside their lists' largest components, these are compared with another leader, drawn
+from that component; each such round is linear in the lists.  At last the items still outside are
+compared with the items of other components in their lists.  No link that would join two components is
+lost, and no pair is verified twice.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, mix, signed
+from .common import arrow_map, materialize, mix, release, signed, tables_made
 
 LIGHT = 16
+#: Rounds of further leaders at most; and pairs left for each item of long lists that need no further round.
+LEADER_ROUNDS, PAIRS_LEFT = 6, 4
 #: Bits of the ids of which a table says whose sets are wanted.
 ID_BITS = 26
 
@@ -73,18 +77,33 @@ def _sieved(pairs: DataFrame, bits: DataFrame, percent: int, words: int) -> Data
     return both.filter(suffix_filter(lambda c: F.col("x")[c], lambda c: F.col("y")[c], percent, words)).select("a", "b")
 
 
-def left_pairs(lists: DataFrame, labels: DataFrame, bits: DataFrame, keep: Keep, percent: int, words: int) -> DataFrame:
+def _placed(heavy: DataFrame, labels: DataFrame) -> DataFrame:
+    """Long lists with the label of each item, the list's most frequent label and the size of what is outside it."""
+    known = heavy.join(labels.select(F.col("id").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    sizes = known.groupBy("s", "label").agg(F.count(F.lit(1)).alias("c"))
+    most = sizes.groupBy("s").agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("m")).select("s", "m", F.col("x.label").alias("most"), (F.col("m") - F.col("x.c")).alias("outside"))
+    return known.drop("m").join(most.filter("outside > 0"), "s")
+
+
+def leader_pairs(placed: DataFrame, payload: list[str], keep: Keep, orders: int, turn: int) -> DataFrame:
+    """Pairs of the items outside a list's largest component with a leader from it."""
+    order = F.xxhash64("k", F.pmod("s", F.lit(orders)), F.lit(turn))
+    lead = placed.filter(F.col("label") == F.col("most")).groupBy("s").agg(F.min(F.struct(order.alias("r"), "k", *payload)).alias("lead"))
+    met = placed.filter(F.col("label") != F.col("most")).join(lead, "s").filter(keep(F.col, lambda c: F.col(f"lead.{c}")))
+    return _pairs(met.select(F.col("k").alias("p"), F.col("lead.k").alias("q")), "p", "q")
+
+
+def left_pairs(placed: DataFrame, bits: DataFrame | None, keep: Keep, sieve: Keep | None) -> DataFrame:
     """Pairs of different components in long lists, one of them outside the list's largest component."""
-    heavy = lists.filter(F.col("m") > LIGHT).drop("lead", "n")
-    heavy = materialize(heavy.join(labels.select(F.col("id").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k")).join(bits.select("k", "n", "bits"), "k"))
-    sizes = heavy.groupBy("s", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("s").agg(F.max(F.struct("n", "label"))["label"].alias("most"))
-    x = heavy.join(most, "s").filter(F.col("label") != F.col("most")).alias("x")
-    y = heavy.alias("y")
+    if bits is not None:
+        placed = placed.join(bits.select("k", "bits"), "k")
+    placed = materialize(placed)
+    x, y = placed.filter(F.col("label") != F.col("most")).alias("x"), placed.alias("y")
     # two items outside the largest component meet twice here: once is enough
     once = (F.col("y.label") == F.col("x.most")) | (F.col("x.k") < F.col("y.k"))
     a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & once & keep(a, b) & suffix_filter(a, b, percent, words))
+    near = keep(a, b) if sieve is None else keep(a, b) & sieve(a, b)
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & once & near)
     return _pairs(met.select(F.col("x.k").alias("p"), F.col("y.k").alias("q")), "p", "q")
 
 
@@ -130,48 +149,90 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def set_verifier(fetch: Callable[[DataFrame], DataFrame], percent: int) -> Callable[[DataFrame], DataFrame]:
+    """A check of pairs on the sets that ``fetch(ids)`` gives; a set is fetched once."""
+    fetched: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        for sets in fetched:
+            ids = ids.join(sets.select("k"), "k", "left_anti")
+        ids = materialize(ids)
+        if not fetched or not ids.isEmpty():
+            fetched.append(fetch(ids))
+        return verified(pairs, reduce(DataFrame.unionByName, fetched), percent)
+
+    return verify
+
+
+def components(links: DataFrame) -> DataFrame:
     """(id, label) of the items in ``links`` (a, b): the smallest id that links reach.
 
     Each round takes the smallest label of the neighbours, hands it to the root of the own label and
     then follows labels once; every aggregate is a minimum, so no list of neighbours is ever built.
+    Labels only fall, so the rounds come to an end.
     """
+    spark = links.sparkSession
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select("b", "a")))
     label = materialize(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
-    if label.isEmpty():
-        return label
-    for _ in range(most_rounds):
-        near = edges.join(label.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        seen = label.join(near, "id").withColumn("low", F.least("label", "near"))
-        root = seen.groupBy("label").agg(F.min("low").alias("root"))
-        hooked = materialize(seen.join(root, "label").select("id", F.least("low", "root").alias("new"), F.col("label").alias("old")))
-        jump = hooked.select(F.col("id").alias("new"), F.col("new").alias("further"))
-        after = materialize(hooked.join(jump, "new", "left").select("id", F.coalesce("further", "new").alias("label"), "old"))
-        label = after.select("id", "label")
-        if after.filter(F.col("label") != F.col("old")).isEmpty():
-            return label
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
-
-def linked(postings: DataFrame, payload: list[str], keep: Keep, bits: DataFrame, percent: int, words: int, orders: int, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    settled_all = label.isEmpty()
+    while not settled_all:
+        with tables_made() as made:
+            near = edges.join(label.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
+            seen = label.join(near, "id").withColumn("low", F.least("label", "near"))
+            root = seen.groupBy("label").agg(F.min("low").alias("root"))
+            hooked = materialize(seen.join(root, "label").select("id", F.least("low", "root").alias("new"), F.col("label").alias("old")))
+            jump = hooked.select(F.col("id").alias("new"), F.col("new").alias("further"))
+            after = materialize(hooked.join(jump, "new", "left").select("id", F.coalesce("further", "new").alias("label"), "old"))
+            label, settled_all = after.select("id", "label"), after.filter(F.col("label") != F.col("old")).isEmpty()
+            release(spark, made[:1])
+            del made[:1]
+    return label
+
+
+def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable[[DataFrame], DataFrame], orders: int, bits: DataFrame | None = None, percent: int = 0, words: int = 0) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all that is connected, and the components (id, label).
 
-    ``bits``: k, n, bits (parity) of every class; ``sets_of`` gives the sets of classes.  Each pair is
-    verified once.
+    ``verify`` keeps the pairs (a, b) that are links.  ``bits``, if any: k, n, bits (parity) of every item,
+    to drop pairs before.
     """
+    sieve = None if bits is None else (lambda x, y: suffix_filter(x, y, percent, words))
     lists = shared_lists(postings, payload, orders)
-    first = materialize(_sieved(first_pairs(lists, payload, keep), bits, percent, words))
-    ends = F.explode(F.array("a", "b")).alias("k")
-    links = materialize(verified(first, sets_of(first.select(ends)), percent))
+
+    def sieved(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs if bits is None else _sieved(pairs, bits, percent, words))
+
+    tried = sieved(first_pairs(lists, payload, keep))
+    links = materialize(verify(tried))
     label = components(links)
-    if lists.filter(F.col("m") > LIGHT).isEmpty():
+    heavy = lists.filter(F.col("m") > LIGHT).drop("lead")
+    if heavy.isEmpty():
         return links, label
-    more = materialize(left_pairs(lists, label, bits, keep, percent, words))
-    if not more.isEmpty():
-        more = materialize(verified(more, sets_of(more.select(ends)), percent))
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            label = components(links)
+
+    def add(more: DataFrame) -> bool:
+        nonlocal links, label, tried
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            return False
+        tried = tried.unionByName(more)
+        new = materialize(verify(more))
+        if new.isEmpty():
+            return False
+        links = links.unionByName(new)
+        label = components(links)
+        return True
+
+    left = None
+    for turn in range(LEADER_ROUNDS + 1):
+        placed = materialize(_placed(heavy, label))
+        # pairs that the last step would look at, and items; outside counts once for each item
+        work = placed.agg(F.sum("outside").alias("pairs"), F.count(F.lit(1)).alias("items")).first()
+        pairs = work["pairs"] or 0
+        if turn == LEADER_ROUNDS or pairs <= PAIRS_LEFT * work["items"] or (left is not None and pairs > 0.8 * left):
+            break
+        left = pairs
+        add(sieved(leader_pairs(placed, payload, keep, orders, turn)))
+    add(left_pairs(placed, bits, keep, sieve))
     return links, label
 
 

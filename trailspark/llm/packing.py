@@ -1,19 +1,25 @@
 """Operator 6: best-fit packing of tokenised documents into sequences of at most ``capacity`` tokens.
 
-Tokenising is local to a row: white space is dropped by this tokenizer and no piece crosses it, so
-ids are looked up per white-space chunk.  The packing itself needs only how many pieces have each
-length, a table of at most ``capacity`` rows: on it, pieces above a third of a sequence are matched
-greedily, at most two in a sequence, and smaller ones go, longest first, to the smallest gap that
-holds them.  What this yields, ranges of ranks within a length and where they go, is joined back to
-the pieces by length and rank, so no task sees more than its share of the pieces.
+Tokenising is local to a row.  The default tokenizer cuts a text into pre-tokens (runs of letters, single
+digits, runs of marks, contractions) that no id crosses; texts of Latin letters are cut here by the same
+rule and a worker looks up the ids of each pre-token.  Other texts are cut at white space only, and texts
+for a tokenizer with other rules (``tokenizer_path``) aren't cut at all.
+
+The packing itself needs only how many pieces have each length, a table of at most ``capacity`` rows: on
+it, pieces above a third of a sequence are matched greedily, at most two in a sequence, and smaller ones
+go, longest first, to the smallest gap that holds them.  What this yields, ranges of ranks within a length
+and where they go, is joined back to the pieces by length and rank.  Ranks of a frequent length are given
+out in lanes of about ``LANE_ROWS`` pieces, so no task sorts more than that of it.
 
 Edge cases: a null or empty text is the single id 1; a text longer than a sequence is cut into full
-pieces and a rest; repeated rows are separate documents; a null doc_id stays null.
+pieces and a rest; repeated rows are separate documents; a null doc_id stays null; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import sys
@@ -27,27 +33,25 @@ from .common import arrow_map, materialize
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Chunks a worker keeps the ids of before it starts afresh.
-CHUNKS_KEPT = 1_000_000
-#: Ranks within a length are given out in this many lanes, so that a length of very many pieces isn't one task's.
-LANES = 64
+#: Characters of pre-tokens a worker keeps the ids of before it starts afresh, and of the longest it keeps.
+CHARS_KEPT, LONGEST_KEPT = 16_000_000, 64
+#: Pieces of one length in a lane, about.
+LANE_ROWS = 250_000
+#: The rules of the tokenizer whose texts are cut here.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: Letters, digits and white space among the characters that are cut here: Latin-1, dashes, quotes and dots.
+_L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
+_OTHER = re.compile("[^\x00-\xff\u2010-\u2027\u20ac]")
+_PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_WORD = re.compile(f"[{_L}]+")
 _CHUNKS = re.compile("[^ \n]+")
-_PARTS = re.compile("[^ \n.,!%$&*#|]+(?:[.,!%$&*#|]+[^ \n.,!%$&*#|]+)*|[.,!%$&*#|]+")
-
-
-def chunks_of(text: str) -> list[str]:
-    """Parts whose ids add up: cut at spaces and line feeds, and before marks that end a word.
-
-    Letters and digits never share a piece with what is neither.  Plain ASCII is lower-cased here, as
-    the tokenizer does, unless it may hold a special string.
-    """
-    if "<|" in text:
-        return _CHUNKS.findall(text)
-    return _PARTS.findall(text.lower() if text.isascii() else text)
 
 
 class ChunkIds(dict):
-    """Little-endian ids of chunks; words of letters alone are encoded many at a time."""
+    """Little-endian ids of the parts of texts; words of letters alone are encoded many at a time."""
 
     def __init__(self, path: str):
         # a task has one core: no threads of the library's own
@@ -56,27 +60,51 @@ class ChunkIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        model, added = rules["model"], rules["added_tokens"]
+        self.known = all(rules[k] == v for k, v in _RULES.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not any(set(t["content"]) & set(" \n") or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self.specials = [t["content"] for t in added]
         pieces = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.ends = [x.endswith("</w>") for x in pieces]
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CHUNKS_KEPT:
+        self.chars = 0
+
+    def parts_of(self, text: str) -> list[str]:
+        """Parts of a text whose ids add up."""
+        if not self.known:
+            return [text] if text else []
+        if any(x in text for x in self.specials) or _OTHER.search(text):
+            return _CHUNKS.findall(text)
+        return _PRE.findall(text.lower())
+
+    def encode(self, texts: list[str]) -> list[list[bytes]]:
+        """The ids of each text, in parts; new parts of all texts go to the library in one call."""
+        cut = [self.parts_of(t) for t in texts]
+        new = [c for c in set().union(*cut) if c not in self]
+        if self.chars + sum(map(len, new)) > CHARS_KEPT:
             self.clear()
-            new = list(chunks)
-        words, others = [], []
-        for c in new:
-            (words if c.isalpha() else others).append(c)
+            self.chars, new = 0, list(set().union(*cut))
+        words = [c for c in new if self.known and _WORD.fullmatch(c)]
+        others = [c for c in new if not (self.known and _WORD.fullmatch(c))]
         for at in range(0, len(words), 500):
             others += self._words(words[at : at + 500])
         for c, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self[c] = array("I", e.ids).tobytes()
+        out = [list(map(self.__getitem__, c)) for c in cut]
+        for c in new:
+            if len(c) > LONGEST_KEPT:
+                del self[c]
+            else:
+                self.chars += len(c) + 40
+        return out
 
     def _words(self, words: list[str]) -> list[str]:
-        """Learns words set side by side; returns them where they don't come out as one end of word each."""
+        """Learns words set side by side, each one pre-token, so it ends with the only end of a word in it.
+
+        Returns them where they don't come out as one end of word each.
+        """
         ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
         stops = [k + 1 for k, i in enumerate(ids) if self.ends[i]]
-        if len(stops) != len(words):
+        if len(stops) != len(words) or stops[-1] != len(ids):
             return words
         data, at = array("I", ids).tobytes(), 0
         for w, stop in zip(words, stops, strict=True):
@@ -95,11 +123,8 @@ def worker_chunks(path: str) -> ChunkIds:
 
 def piece_rows(ids: list, texts: list[str | None], cache: ChunkIds, capacity: int) -> list[list]:
     out: list[list] = [[], [], [], [], []]
-    # new chunks of all rows go to the library in one call
-    cut = [chunks_of(t or "") for t in texts]
-    cache.learn(set().union(*cut))
-    for doc_id, chunks in zip(ids, cut, strict=True):
-        data = b"".join(map(cache.__getitem__, chunks)) + array("I", [END_ID]).tobytes()
+    for doc_id, parts in zip(ids, cache.encode([t or "" for t in texts]), strict=True):
+        data = b"".join(parts) + array("I", [END_ID]).tobytes()
         for piece, at in enumerate(range(0, len(data), 4 * capacity)):
             part = data[at : at + 4 * capacity]
             for column, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -210,15 +235,14 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """``pieces`` with sequence_id and offset; pieces must be a table that reads the same twice."""
     spark = pieces.sparkSession
-    lane = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(LANES)).cast("int")
-    laned = pieces.withColumn("lane", lane)
-    # at most capacity * LANES rows, whatever the input
-    lanes = laned.groupBy("length", "lane").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts: dict[int, int] = {}
-    before = []
-    for r in sorted(lanes, key=lambda r: (r["length"], r["lane"])):
-        before.append((r["length"], r["lane"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
+    # at most ``capacity`` rows, whatever the input; then one for each lane
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lanes_of = spark.createDataFrame([(n, -(-c // LANE_ROWS)) for n, c in counts.items()], "length long, lanes int")
+    laned = pieces.join(F.broadcast(lanes_of), "length").withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("lanes")).cast("int")).drop("lanes")
+    before, at = [], dict.fromkeys(counts, 0)
+    for r in sorted(laned.groupBy("length", "lane").agg(F.count(F.lit(1)).alias("n")).collect()):
+        before.append((r["length"], r["lane"], at[r["length"]]))
+        at[r["length"]] += r["n"]
     plan = plan_packing(counts, capacity)
     w = Window.partitionBy("length", "lane").orderBy("doc_id", "piece", "ids_crc32")
     starts = spark.createDataFrame(before, "length long, lane int, before long")

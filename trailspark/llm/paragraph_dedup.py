@@ -1,26 +1,27 @@
-"""Operator 5: repeated paragraphs, by MinHash bands, exact verification and components.
-
-A paragraph is a line; a line of more than ``LONG_LINE`` words also yields stretches of sentences, cut
-where the text itself says so (the hash of the word that ends a sentence).  Paragraphs of ``min_words``
-words or more are compared by five-word shingles of the lower-cased words.  Equal ones are one class.
-Bands are as many as a pair at the threshold needs to collide with probability ``recall``; classes that
-collide are verified by exact Jaccard similarity, and of each component of linked classes all but the
-first occurrence (by doc_id, then place) is removed.  Stretches are matched by equality.
-
-Passages inside otherwise different lines are found over the whole word stream of a text, whatever its
-lines and punctuation: seeds of ``SEED_WORDS`` words, so dense that any ``PASSAGE_WORDS - 1`` equal words
-hold one, are matched with their first occurrence.  Runs of such seeds are extended word by word, over
-changed words too as far as the passages' similarity stays at the threshold, and joined; what has
-``PASSAGE_WORDS`` words or more is removed.
+"""Operator 5: repeated paragraphs and passages of ``min_words`` words or more.
+
+1. A paragraph is a line of ``min_words`` words or more, compared by five-word shingles of the lower-cased
+   words.  Equal ones are one class.  MinHash bands are as many as a pair at the threshold needs to collide
+   with probability ``recall``; classes that collide are verified by exact Jaccard similarity, and of each
+   component of linked classes all but the first occurrence (by doc_id, then place) is removed.
+2. A passage is ``min_words`` words or more anywhere in a text's word stream, whatever its lines and
+   punctuation.  It is found by the MinHash of every window of ``SEED_WINDOW`` runs of ``SEED_WORDS`` words,
+   its seed, which any ``SEED_WORDS + SEED_WINDOW - 1`` equal words share.  Two passages of at least
+   49 words whose similarity is 0.8 with words replaced have an unchanged stretch of 24 words (at most one
+   word in 45 is replaced), so no such pair is missed.  A seed is matched with its first occurrence; runs
+   of matched seeds are extended word by word, over changed words too as far as the exact similarity stays
+   at the threshold, and joined.  What then has ``min_words`` words or more is removed.
+
+Shorter repeats, such as common one-sentence lines, stay.
 
 Edge cases: null texts stay null, nothing is removed from them; rows with equal doc_id and text are
 one document, so they keep or lose the same paragraphs; a document may lose all its text, which then
-is empty; a null doc_id comes after all others.
+is empty; a null doc_id comes after all others; an empty table gives no rows; other columns, whatever
+their names, are kept as they are.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import pairwise
 
 import numpy as np
@@ -28,24 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, materialize, signed, windows
-from .linkage import ID_BITS, chosen_sets, id_bits, linked, parity
+from .common import WordHashes, arrow_column, arrow_map, fresh, materialize, settled, signed, windows
+from .linkage import ID_BITS, chosen_sets, id_bits, linked, parity, set_verifier
 
 WIDTH = 5
 PARITY_WORDS = 4
 #: Orders that leaders of long lists are drawn by.
 ORDERS = 12
-LONG_LINE = 40
-#: Words a stretch of sentences has at least.
-STRETCH_WORDS = 12
+#: Words that a removed paragraph or passage has at least.
+MIN_WORDS = 50
 #: Words of a seed of a passage, and how many runs of words a seed is the least of.
 SEED_WORDS = SEED_WINDOW = 12
-#: Words that a passage set anywhere in a text has at least.
-PASSAGE_WORDS = SEED_WORDS + SEED_WINDOW
 #: Words around a run of seeds that are compared with where they are first found.
 CONTEXT = 32
-_END = re.compile(rb"[.!?][\"')\]]*$")
-_CLOSING = b".!?\"')]"
 _SPACE = np.array([bytes([c]).isspace() for c in range(256)])
 
 
@@ -60,46 +56,33 @@ def tune_bands(threshold: float, recall: float, most_hashes: int = 64) -> tuple[
 
 
 class Paragraphs:
-    """Paragraphs of a batch of texts, as arrays over one stream of word hashes."""
+    """Lines of a batch of texts that are long enough, as arrays over one stream of word hashes."""
 
-    def __init__(self, min_words: int, stretches: bool = True):
-        self.cache, self.min_words, self.stretches = WordHashes(), min_words, stretches
+    def __init__(self, min_words: int):
+        self.cache, self.min_words = WordHashes(), min_words
 
     def __call__(self, texts: list[str | None]):
-        """doc, place, length, kind (0 line, 1 stretch), first word, words; the word hashes; and where each text's begin.
+        """doc, place, length, first word, words of each line; the word hashes; and where each text's begin.
 
         place and length are in bytes of the UTF-8 text.
         """
-        out: list[tuple[int, int, int, int, int, int]] = []
+        out: list[tuple[int, int, int, int, int]] = []
         hashes, base = [], [0]
         for d, text in enumerate(texts):
             data = (text or "").encode()
-            words = data.lower().split()
-            h = self.cache.of(words)
-            starts, ends = word_places(data)
-            feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-            begins, stops = np.concatenate(([0], feeds + 1)), np.append(feeds, len(data))
-            firsts = np.append(np.searchsorted(starts, begins), len(starts))
-            for begin, stop, first, n in zip(begins.tolist(), stops.tolist(), firsts.tolist(), np.diff(firsts).tolist(), strict=False):
-                if n >= self.min_words:
-                    out.append((d, begin, stop - begin, 0, base[-1] + first, n))
-                    if self.stretches and n > LONG_LINE:
-                        out += self._stretches(d, data, words, h, starts, ends, first, first + n, base[-1])
+            h = self.cache.of(data.lower().split())
+            if len(h) >= self.min_words:
+                starts, _ = word_places(data)
+                feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+                begins, stops = np.concatenate(([0], feeds + 1)), np.append(feeds, len(data))
+                firsts = np.append(np.searchsorted(starts, begins), len(starts))
+                sizes = np.diff(firsts)
+                for j in np.flatnonzero(sizes >= self.min_words).tolist():
+                    out.append((d, int(begins[j]), int(stops[j] - begins[j]), base[-1] + int(firsts[j]), int(sizes[j])))
             hashes.append(h)
             base.append(base[-1] + len(h))
         return out, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), base
 
-    def _stretches(self, d: int, data: bytes, words: list[bytes], h: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, stop: int, base: int):
-        found, start = [], first
-        odd = (h[first:stop] & np.uint64(1)).astype(bool)
-        at = [j for j in (first + np.flatnonzero(odd)).tolist() if data[ends[j] - 1] in _CLOSING and _END.search(words[j])]
-        for j in at if at and at[-1] == stop - 1 else [*at, stop - 1]:
-            n = j + 1 - start
-            if n >= STRETCH_WORDS and n < stop - first:
-                found.append((d, int(starts[start]), int(ends[j] - starts[start]), 1, base + start, n))
-            start = j + 1
-        return found
-
 
 def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of ``data.split()`` start and end."""
@@ -120,7 +103,7 @@ def seeds(h: np.ndarray, base: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Where in the stream the seeds of its texts begin, and their hashes.
 
     Of any ``SEED_WINDOW`` runs of ``SEED_WORDS`` words that begin one after the other the least is a
-    seed, wherever lines and sentences end: equal passages of ``PASSAGE_WORDS`` words have equal seeds.
+    seed, wherever lines and sentences end.
     """
     if len(h) < SEED_WORDS:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -158,41 +141,42 @@ def _bands(shingles: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, th, place, len, kind, k (class), n (shingles), bits (parity), s (band hashes); written.
 
-    Stretches, and lines of a class that the task has met before, have neither bits nor bands.  A row of
-    kind 2 holds the seeds of a text: their first words in bits, their hashes in s."""
+    A row of kind 0 is a line; one of a class that the task has met before has neither bits nor bands.
+    A row of kind 1 holds the seeds of a text: their first words in bits, their hashes in s.
+    """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
     def start():
         cut, sent = Paragraphs(min_words), set()
 
         def step(ids, hashes, texts):
-            units, h, base = cut(texts)
-            keys, sizes, sets, line, bits = [], [], [], [], []
-            for u in units:
-                part = h[u[4] : u[4] + u[5]]
+            lines, h, base = cut(texts)
+            out: list[list] = [[] for _ in range(9)]
+            sets: list[np.ndarray] = []
+            none = np.zeros(0, np.int64)
+
+            def put(*row) -> None:
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+
+            for d, place, length, first, n in lines:
+                part = h[first : first + n]
                 k = _class(part)
-                keys.append(k)
-                own = u[3] == 0 and k not in sent
                 if len(sent) > 500_000:
                     sent.clear()
-                line.append(own)
-                if own:
+                if k in sent:
+                    put(ids[d], hashes[d], place, length, 0, k, 0, None, none)
+                else:
                     sent.add(k)
                     sets.append(np.unique(windows(part, WIDTH)))
-                sizes.append(len(sets[-1]) if own else 0)
-                bits.append(parity(sets[-1], PARITY_WORDS) if own else None)
+                    put(ids[d], hashes[d], place, length, 0, k, len(sets[-1]), parity(sets[-1], PARITY_WORDS), None)
             values = iter(signed(_bands(sets, bands, rows)) if sets else ())
-            none = np.zeros(0, np.int64)
-            bands_of = [next(values) if own else none for own in line]
+            out[8] = [next(values) if s is None else s for s in out[8]]
             at, found = seeds(h, base)
             for d, (a, b) in enumerate(pairwise(np.searchsorted(at, base).tolist())):
                 if b > a:
-                    units.append((d, 0, 0, 2, 0, 0))
-                    keys.append(0)
-                    sizes.append(0)
-                    bits.append(at[a:b] - base[d])
-                    bands_of.append(signed(found[a:b]))
-            return [[ids[u[0]] for u in units], [hashes[u[0]] for u in units], [u[1] for u in units], [u[2] for u in units], [u[3] for u in units], keys, sizes, bits, bands_of]
+                    put(ids[d], hashes[d], 0, 0, 1, 0, 0, at[a:b] - base[d], signed(found[a:b]))
+            return out
 
         return step
 
@@ -200,23 +184,24 @@ def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> D
 
 
 def repeated_runs(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """doc_id, th, runs: what of a document is made of seeds that an earlier place has; written.
+    """doc_id, th, runs: what of a document is made of seeds that an earlier place has.
 
-    A run: its words [a, b), and the words before and after the places where its first and last seed are
-    found first (left, right: 32-bit hashes; lt, lw and rt, rw: text and word).
+    Each run comes twice, with the words before (side 0) the place where its first seed is found first,
+    and with those after (side 1) that of its last seed: words [a, b) of the document; text t and word w of
+    that place; 32-bit hashes.
     """
-    each = table.filter("kind = 2").select("doc_id", "th", F.explode(F.arrays_zip(F.col("bits").alias("w"), F.col("s").alias("s"))).alias("x")).select(F.col("x.s").alias("s"), "doc_id", "th", F.col("x.w").cast("int").alias("w"))
-    dealt = each.repartition("s")
+    each = table.filter("kind = 1").select("doc_id", "th", F.explode(F.arrays_zip(F.col("bits").alias("w"), F.col("s").alias("s"))).alias("x")).select(F.col("x.s").alias("s"), "doc_id", "th", F.col("x.w").cast("int").alias("w"))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "w")
-    first = dealt.groupBy("s").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("s", "f")
+    # minima first come together within tasks, and the join splits a key of very many rows
+    first = each.groupBy("s").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("s", "f")
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
     # a seed in one text with its first place begins after that has ended
-    hits = materialize(dealt.join(first, "s").filter(~same | (F.col("w") >= F.col("f.w") + SEED_WORDS)).select("doc_id", "th", "w", F.col("f.th").alias("bt"), F.col("f.w").alias("bw")))
+    hits = materialize(each.join(first, "s").filter(~same | (F.col("w") >= F.col("f.w") + SEED_WORDS)).select("doc_id", "th", "w", F.col("f.th").alias("bt"), F.col("f.w").alias("bw")))
     by_text = hits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("w", "bt", "bw"))).alias("hits"))
 
     def chain():
         def step(ids, hashes, found):
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(7)]
             for doc, th, hs in zip(ids, hashes, found, strict=True):
                 runs: list[list[int]] = []
                 for x in hs:
@@ -224,16 +209,17 @@ def repeated_runs(docs: DataFrame, table: DataFrame) -> DataFrame:
                         runs[-1][1], runs[-1][4], runs[-1][5] = x["w"] + SEED_WORDS, x["bt"], x["bw"] + SEED_WORDS
                     else:
                         runs.append([x["w"], x["w"] + SEED_WORDS, x["bt"], x["bw"], x["bt"], x["bw"] + SEED_WORDS])
-                for r in runs:
-                    for column, value in zip(out, (doc, th, *r), strict=True):
-                        column.append(value)
+                for a, b, *places in runs:
+                    for side in (0, 1):
+                        for column, value in zip(out, (doc, th, a, b, side, *places[2 * side : 2 * side + 2]), strict=True):
+                            column.append(value)
             return out
 
         return step
 
-    runs = materialize(arrow_map(by_text, "doc_id long, th long, a int, b int, lt long, lw int, rt long, rw int", chain))
+    runs = materialize(arrow_map(by_text, "doc_id long, th long, a int, b int, side int, t long, w int", chain))
     cells = np.zeros(1 << (ID_BITS - 6), np.uint64)
-    if wanted := id_bits(runs.select(F.explode(F.array("lt", "rt")).alias("k")), "k", ID_BITS):
+    if wanted := id_bits(runs, "t", ID_BITS):
         cells[np.fromiter(wanted, np.int64, len(wanted))] = np.array(list(wanted.values()), np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(cells)
 
@@ -251,11 +237,11 @@ def repeated_runs(docs: DataFrame, table: DataFrame) -> DataFrame:
 
         return step
 
-    words = materialize(arrow_map(docs.select(F.xxhash64("text").alias("th"), "text"), "th long, h array<int>", cut).groupBy("th").agg(F.first("h").alias("h")))
-    left = words.select(F.col("th").alias("lt"), F.col("h").alias("lh"))
-    right = words.select(F.col("th").alias("rt"), F.col("h").alias("rh"))
-    near = F.struct("a", "b", "lt", "lw", "rt", "rw", F.slice("lh", F.greatest(F.lit(1), F.col("lw") - (CONTEXT - 1)), F.least(F.lit(CONTEXT), F.col("lw"))).alias("left"), F.slice("rh", F.col("rw") + 1, F.lit(CONTEXT)).alias("right"))
-    return materialize(runs.join(left, "lt").join(right, "rt").groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(near)).alias("runs")))
+    words = arrow_map(docs.select(F.xxhash64("text").alias("th"), "text"), "t long, h array<int>", cut).groupBy("t").agg(F.first("h").alias("h"))
+    before = F.slice("h", F.greatest(F.lit(1), F.col("w") - (CONTEXT - 1)), F.least(F.lit(CONTEXT), F.col("w")))
+    near = F.when(F.col("side") == 0, before).otherwise(F.slice("h", F.col("w") + 1, F.lit(CONTEXT)))
+    beside = runs.join(words, "t").select("doc_id", "th", F.struct("a", "side", "b", "t", "w", near.alias("near")).alias("run"))
+    return beside.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("run")).alias("runs"))
 
 
 def _short(cache: WordHashes, words: list[bytes]) -> np.ndarray:
@@ -284,7 +270,7 @@ def _extended(own: list[int], source: list[int]) -> list[tuple[int, int, int]]:
             return out
 
 
-def passages(own: list[int], runs: list[dict], percent: int) -> list[tuple[int, int]]:
+def passages(own: list[int], runs: list[dict], percent: int, min_words: int) -> list[tuple[int, int]]:
     """The words [a, b) of passages that occur before: runs, extended and joined as far as the similarity allows."""
 
     def alike(n: int, m: int, common: int) -> bool:
@@ -293,14 +279,15 @@ def passages(own: list[int], runs: list[dict], percent: int) -> list[tuple[int,
 
     # own words, source words, common shingles; and the text and words of the source
     done: list[dict] = []
-    for r in runs:
-        a, b = r["a"], r["b"]
+    for left, right in zip(runs[::2], runs[1::2], strict=True):
+        a, b = left["a"], left["b"]
         n, m, common = b - a, b - a, b - a - (WIDTH - 1)
-        before = _extended(own[max(0, a - CONTEXT) : a][::-1], list(r["left"])[::-1])
+        before = _extended(own[max(0, a - CONTEXT) : a][::-1], list(left["near"])[::-1])
         x, y, more = next(e for e in reversed(before) if alike(n + e[0], m + e[1], common + e[2]))
-        n, m, common, a, first = n + x, m + y, common + more, a - x, r["lw"] - y
-        after = _extended(own[b : b + CONTEXT], list(r["right"]))
+        n, m, common, a, first = n + x, m + y, common + more, a - x, left["w"] - y
+        after = _extended(own[b : b + CONTEXT], list(right["near"]))
         x, y, more = next(e for e in reversed(after) if alike(n + e[0], m + e[1], common + e[2]))
+        r = {"lt": left["t"], "rt": right["t"], "rw": right["w"]}
         new = {"a": a, "b": b + x, "m": m + y, "common": common + more, "lt": r["lt"], "lw": first, "rt": r["rt"], "rw": r["rw"] + y}
         if done:
             last = done[-1]
@@ -317,18 +304,11 @@ def passages(own: list[int], runs: list[dict], percent: int) -> list[tuple[int,
                 last["b"], last["rt"], last["rw"] = new["b"], new["rt"], new["rw"]
                 continue
         done.append(new)
-    return [(d["a"], d["b"]) for d in done if d["b"] - d["a"] >= PASSAGE_WORDS]
-
-
-def _with_passages(cuts: list[dict] | None, text: str, runs: list[dict], percent: int, cache: WordHashes) -> list[dict]:
-    data = text.encode()
-    starts, ends = word_places(data)
-    found = [{"place": int(starts[a]), "len": int(ends[b - 1] - starts[a])} for a, b in passages(_short(cache, data.lower().split()).tolist(), runs, percent)]
-    return sorted([*(cuts or []), *found], key=lambda c: (c["place"], c["len"]))
+    return [(d["a"], d["b"]) for d in done if d["b"] - d["a"] >= min_words]
 
 
-def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, min_words: int = 8) -> DataFrame:
-    """doc_id, th, cuts: the stretches (place, len; in bytes) to remove from each document that has any; and its runs."""
+def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, th; cuts: the lines (place, len; in bytes) to remove from each document that has any; runs of its seeds."""
     bands, rows = tune_bands(threshold, recall)
     table = paragraph_table(docs, min_words, bands, rows)
     runs = repeated_runs(docs, table)
@@ -341,19 +321,20 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float =
         return F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent
 
     def sets_in():
-        cut = Paragraphs(min_words, stretches=False)
+        cut = Paragraphs(min_words)
 
         def of(column):
             units, h, _ = cut(column)
             for u in units:
-                part = h[u[4] : u[4] + u[5]]
+                part = h[u[3] : u[3] + u[4]]
                 yield _class(part), lambda part=part: np.unique(windows(part, WIDTH))
 
         return of
 
-    _, label = linked(postings, ["n"], keep, bits, percent, PARITY_WORDS, ORDERS, lambda ids: chosen_sets(docs, ids, lines.select("k", "th"), sets_in))
+    verify = set_verifier(lambda ids: chosen_sets(docs, ids, lines.select("k", "th"), sets_in), percent)
+    _, label = linked(postings, ["n"], keep, verify, ORDERS, bits, percent, PARITY_WORDS)
     # classes that occur more than once, alone or with what they are linked to
-    places = table.filter("kind < 2").select("doc_id", "th", "place", "len", "k").join(label.select(F.col("id").alias("k"), "label"), "k", "left").withColumn("c", F.coalesce("label", "k"))
+    places = materialize(table.filter("kind = 0").select("doc_id", "th", "place", "len", "k").join(label.select(F.col("id").alias("k"), "label"), "k", "left").select("doc_id", "th", "place", "len", F.coalesce("label", "k").alias("c")))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "place", "len")
     first = places.groupBy("c").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("c", "f")
     cut = places.join(first, "c").filter(~order.eqNullSafe(F.col("f")))
@@ -361,55 +342,58 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float =
     return both.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("c")).alias("cuts"), F.first("runs", ignorenulls=True).alias("runs"))
 
 
-def _without(text: str, cuts: list[dict]) -> tuple[str, list[dict]]:
-    data, spans = text.encode(), []
-    for c in cuts:
-        if spans and c["place"] <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], c["place"] + c["len"])
+def without(data: bytes, cuts: list[tuple[int, int]]) -> tuple[str, list[dict]]:
+    """A UTF-8 text without the bytes [a, b) of ``cuts``, and without lines that so lose all; and what went, in code points."""
+    spans: list[list[int]] = []
+    for a, b in sorted(cuts):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
         else:
-            spans.append([c["place"], c["place"] + c["len"]])
+            spans.append([a, b])
+    raw = np.frombuffer(data, np.uint8)
+    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    line = np.concatenate(([0], np.cumsum(raw == 10)))
     kept, at = [], 0
-    for a, b in spans:
-        kept.append(data[at:a] + b"\n" * data.count(b"\n", a, b))
+    for a, b in spans:  # line feeds inside a passage stay for now, so lines keep their numbers
+        kept += [data[at:a], b"\n" * int(line[b] - line[a])]
         at = b
     kept.append(data[at:])
-    # what held a removed paragraph, and only white space besides, goes
-    removed = {data.count(b"\n", 0, a) + j for a, b in spans for j in range(data.count(b"\n", a, b) + 1)}
-    out, line = [], 0
-    joined = b"".join(kept).split(b"\n")
-    # line feeds inside a passage stay, so lines keep their numbers
-    for line, content in enumerate(joined):
-        if line in removed and not content.strip():
-            continue
-        out.append(content)
-    chars = [{"start": len(data[:a].decode()), "length": len(data[a:b].decode())} for a, b in spans]
-    return b"\n".join(out).decode(), chars
-
-
-def remove_repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, min_words: int = 8) -> DataFrame:
-    """``docs`` with text rid of repeated paragraphs, and removed: their spans in the old text, in code points."""
-    cuts = repeated_paragraphs(docs, threshold, recall, min_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("cuts").alias("_cuts"), F.col("runs").alias("_runs"))
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    joined = keyed.join(cuts, F.col("_d").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_t") == F.col("_th")), "left").drop("_d", "_t", "_th")
-    names = [c for c in joined.columns if c not in ("_cuts", "_runs")]
-    at, percent = names.index("text"), int(round(threshold * 100))
+    removed = {j for a, b in spans for j in range(int(line[a]), int(line[b]) + 1)}
+    left = [content for j, content in enumerate(b"".join(kept).split(b"\n")) if j not in removed or content.strip()]
+    return b"\n".join(left).decode(), [{"start": int(points[a]), "length": int(points[b] - points[a])} for a, b in spans]
+
+
+def remove_repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with text rid of repeated paragraphs, and a last column (removed): their spans in the old text, in code points."""
+    cuts = settled(docs.sparkSession, lambda: repeated_paragraphs(docs.select("doc_id", "text"), threshold, recall, min_words))
+    percent = int(round(threshold * 100))
+    th, d, t, found, removed = fresh(docs, "th", "d", "t", "found", "removed")
+    cuts = cuts.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.struct("cuts", "runs").alias(found))
+    joined = docs.withColumn(th, F.xxhash64("text")).join(cuts, F.col(d).eqNullSafe(F.col("doc_id").cast("long")) & (F.col(t) == F.col(th)), "left")
 
     def start():
         cache = WordHashes()
 
-        def step(*columns):
-            columns = list(columns)
-            texts, spans = [], []
-            for text, cut, runs in zip(columns[at], columns[-2], columns[-1], strict=True):
-                if runs and text is not None:
-                    cut = _with_passages(cut, text, runs, percent, cache)
-                new, gone = _without(text, cut) if cut and text is not None else (text, [])
-                texts.append(new)
-                spans.append(gone)
-            columns[at] = texts
-            return [*columns[:-2], spans]
+        def step(texts, founds):
+            out = []
+            for text, f in zip(texts, founds, strict=True):
+                if text is None or f is None:
+                    out.append(None)
+                    continue
+                data = text.encode()
+                spans = [(c["place"], c["place"] + c["len"]) for c in f["cuts"]]
+                if f["runs"]:
+                    starts, ends = word_places(data)
+                    spans += [(int(starts[a]), int(ends[b - 1])) for a, b in passages(_short(cache, data.lower().split()).tolist(), f["runs"], percent, min_words)]
+                new, gone = without(data, spans) if spans else (text, [])
+                out.append({"text": new, "removed": gone})
+            return out
 
         return step
 
-    schema = ", ".join(f"`{c}` {k}" for c, k in joined.select(*names).dtypes)
-    return arrow_map(joined.select(*names, "_cuts", "_runs"), f"{schema}, removed array<struct<start:long,length:long>>", start)
+    # only texts of which something may go are sent to Python
+    cut = arrow_column("text string, removed array<struct<start:long,length:long>>", start)
+    done = joined.withColumn(found, cut(F.when(F.col(found).isNotNull(), F.col("text")), F.col(found)))
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.col(found)["text"]).alias("text")
+    spans = F.coalesce(F.col(found)["removed"], F.array()).alias(removed)
+    return done.select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns), spans)

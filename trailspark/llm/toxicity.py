@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, arrow_map, words_of
+from .common import CACHE_WORDS, arrow_column, arrow_map, words_of
 from .linear import ftrl, softmax
 
 #: Insults by language.
@@ -142,27 +142,25 @@ class ToxicityModel:
     def __init__(self, mined: list[str], w: np.ndarray, b: float):
         self.mined, self.w, self.b = mined, w.astype(np.float32), b
 
-    def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """``df`` with score and predicted."""
-        mined, b, columns = self.mined, self.b, df.columns
+    def score(self, df: DataFrame, name: str = "score", text_col: str = "text") -> DataFrame:
+        """``df`` with a column ``name``: the score of each text."""
+        mined, b = self.mined, self.b
         weights = {int(f): float(self.w[f]) for f in np.flatnonzero(self.w)}
-        at = columns.index(text_col)
 
         def start():
             words = Words(voters_of(mined), frozenset(weights))
 
-            def step(*cols):
+            def step(texts):
                 scores = []
-                for text in cols[at]:
+                for text in texts:
                     features = {f for t in set((text or "").split()) for f in words[t][0]}
                     z = b + sum(weights[f] for f in features)
                     scores.append(float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))))
-                return [*cols, scores]
+                return scores
 
             return step
 
-        schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-        return arrow_map(df, f"{schema}, score double", start).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        return df.withColumn(name, arrow_column("double", start)(F.col(text_col)))
 
 
 def _mined_words(sample: DataFrame) -> list[str]:
@@ -224,7 +222,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000) ->
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     model = fit_toxicity_model(rows, known.filter(fold != 0), per_class)
-    return model.score(rows.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")).drop("text")
+    scored = model.score(rows.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 __all__ = ["LEXICONS", "ToxicityModel", "Voters", "fit_toxicity_model", "label_model", "normal_word", "score_toxicity", "softmax"]
