@@ -3,16 +3,17 @@
 1. A paragraph is a line of ``min_words`` words or more, compared by five-word shingles of the lower-cased
    words.  Equal ones are one class.  MinHash bands are as many as a pair at the threshold needs to collide
    with probability ``recall``; classes that collide are verified by exact Jaccard similarity, and of each
-   component of linked classes all but the first occurrence (by doc_id, then place) is removed.
+   component of linked classes all that isn't in the document of the first occurrence (by doc_id, then
+   text) is removed.
 2. A passage is ``min_words`` words or more anywhere in a text's word stream, whatever its lines and
    punctuation.  It is found by the MinHash of every window of ``SEED_WINDOW`` runs of ``SEED_WORDS`` words,
    its seed, which any ``SEED_WORDS + SEED_WINDOW - 1`` equal words share.  Two passages of at least
    49 words whose similarity is 0.8 with words replaced have an unchanged stretch of 24 words (at most one
-   word in 45 is replaced), so no such pair is missed.  A seed is matched with its first occurrence; runs
+   word in 45 is replaced), so no such pair is missed.  A seed is matched with its first document; runs
    of matched seeds are extended word by word, over changed words too as far as the exact similarity stays
    at the threshold, and joined.  What then has ``min_words`` words or more is removed.
 
-Shorter repeats, such as common one-sentence lines, stay.
+Shorter repeats, such as common one-sentence lines, stay, and so does what repeats within one document only.
 
 Edge cases: null texts stay null, nothing is removed from them; rows with equal doc_id and text are
 one document, so they keep or lose the same paragraphs; a document may lose all its text, which then
@@ -183,6 +184,11 @@ def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> D
     return materialize(arrow_map(source, "doc_id long, th long, place int, len int, kind int, k long, n int, bits array<long>, s array<long>", start))
 
 
+def _same_document():
+    """Whether a place is in the document of the first one (f)."""
+    return F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
+
+
 def repeated_runs(docs: DataFrame, table: DataFrame) -> DataFrame:
     """doc_id, th, runs: what of a document is made of seeds that an earlier place has.
 
@@ -194,9 +200,7 @@ def repeated_runs(docs: DataFrame, table: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "w")
     # minima first come together within tasks, and the join splits a key of very many rows
     first = each.groupBy("s").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("s", "f")
-    same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
-    # a seed in one text with its first place begins after that has ended
-    hits = materialize(each.join(first, "s").filter(~same | (F.col("w") >= F.col("f.w") + SEED_WORDS)).select("doc_id", "th", "w", F.col("f.th").alias("bt"), F.col("f.w").alias("bw")))
+    hits = materialize(each.join(first, "s").filter(~_same_document()).select("doc_id", "th", "w", F.col("f.th").alias("bt"), F.col("f.w").alias("bw")))
     by_text = hits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("w", "bt", "bw"))).alias("hits"))
 
     def chain():
@@ -337,7 +341,7 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float =
     places = materialize(table.filter("kind = 0").select("doc_id", "th", "place", "len", "k").join(label.select(F.col("id").alias("k"), "label"), "k", "left").select("doc_id", "th", "place", "len", F.coalesce("label", "k").alias("c")))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "place", "len")
     first = places.groupBy("c").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("c", "f")
-    cut = places.join(first, "c").filter(~order.eqNullSafe(F.col("f")))
+    cut = places.join(first, "c").filter(~_same_document())
     both = cut.select("doc_id", "th", F.struct("place", "len").alias("c"), F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")).unionByName(runs.withColumn("c", F.lit(None).cast("struct<place:int,len:int>")))
     return both.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("c")).alias("cuts"), F.first("runs", ignorenulls=True).alias("runs"))
 
