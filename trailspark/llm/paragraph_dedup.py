@@ -198,8 +198,8 @@ def repeated_runs(docs: DataFrame, table: DataFrame) -> DataFrame:
     """
     each = table.filter("kind = 1").select("doc_id", "th", F.explode(F.arrays_zip(F.col("bits").alias("w"), F.col("s").alias("s"))).alias("x")).select(F.col("x.s").alias("s"), "doc_id", "th", F.col("x.w").cast("int").alias("w"))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "w")
-    # minima first come together within tasks, and the join splits a key of very many rows
-    first = each.groupBy("s").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("s", "f")
+    # minima come together within tasks first; the join of two tables then splits a key of very many rows
+    first = materialize(each.groupBy("s").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter(~F.col("f").eqNullSafe(F.col("l"))).select("s", "f"))
     hits = materialize(each.join(first, "s").filter(~_same_document()).select("doc_id", "th", "w", F.col("f.th").alias("bt"), F.col("f.w").alias("bw")))
     by_text = hits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("w", "bt", "bw"))).alias("hits"))
 
