@@ -17,11 +17,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, mix, release, signed, tables_made
+from .common import arrow_map, materialize, mix, signed
 
 LIGHT = 16
 #: Rounds of further leaders at most; and pairs left for each item of long lists that need no further round.
-LEADER_ROUNDS, PAIRS_LEFT = 6, 4
+LEADER_ROUNDS, PAIRS_LEFT = 3, 16
 #: Bits of the ids of which a table says whose sets are wanted.
 ID_BITS = 26
 
@@ -168,25 +168,19 @@ def set_verifier(fetch: Callable[[DataFrame], DataFrame], percent: int) -> Calla
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of the items in ``links`` (a, b): the smallest id that links reach.
 
-    Each round takes the smallest label of the neighbours, hands it to the root of the own label and
-    then follows labels once; every aggregate is a minimum, so no list of neighbours is ever built.
-    Labels only fall, so the rounds come to an end.
+    In each round all items of one label take the smallest label that any of them has for a neighbour;
+    every aggregate is a minimum, so no list of neighbours is ever built.  Labels only fall, so the
+    rounds come to an end.
     """
-    spark = links.sparkSession
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select("b", "a")))
     label = materialize(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
     settled_all = label.isEmpty()
     while not settled_all:
-        with tables_made() as made:
-            near = edges.join(label.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-            seen = label.join(near, "id").withColumn("low", F.least("label", "near"))
-            root = seen.groupBy("label").agg(F.min("low").alias("root"))
-            hooked = materialize(seen.join(root, "label").select("id", F.least("low", "root").alias("new"), F.col("label").alias("old")))
-            jump = hooked.select(F.col("id").alias("new"), F.col("new").alias("further"))
-            after = materialize(hooked.join(jump, "new", "left").select("id", F.coalesce("further", "new").alias("label"), "old"))
-            label, settled_all = after.select("id", "label"), after.filter(F.col("label") != F.col("old")).isEmpty()
-            release(spark, made[:1])
-            del made[:1]
+        near = edges.join(label.select(F.col("id").alias("v"), F.col("label").alias("there")), "v").join(label.select(F.col("id").alias("u"), F.col("label").alias("here")), "u")
+        falls = materialize(near.filter("there < here").groupBy("here").agg(F.min("there").alias("there")))
+        settled_all = falls.isEmpty()
+        if not settled_all:
+            label = materialize(label.join(falls, F.col("label") == F.col("here"), "left").select("id", F.coalesce("there", "label").alias("label")))
     return label
 
 
@@ -200,9 +194,9 @@ def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable
     lists = shared_lists(postings, payload, orders)
 
     def sieved(pairs: DataFrame) -> DataFrame:
-        return materialize(pairs if bits is None else _sieved(pairs, bits, percent, words))
+        return pairs if bits is None else _sieved(pairs, bits, percent, words)
 
-    tried = sieved(first_pairs(lists, payload, keep))
+    tried = materialize(sieved(first_pairs(lists, payload, keep)))
     links = materialize(verify(tried))
     label = components(links)
     heavy = lists.filter(F.col("m") > LIGHT).drop("lead")
