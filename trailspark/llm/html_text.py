@@ -2,31 +2,36 @@
 
 A page is cut into blocks with a zone: *main* (inside an article or main element or what is named like
 one), *outside* (menus, headers, footers, sidebars, notices, adverts, forms, comments; never text) or
-*open* (neither).  Of what isn't main, each run of ``run_tokens`` tokens is hashed, and the distinct pages
-of the whole host that have it are counted, whichever tasks read them: a row for each (host, page, run)
-is dealt by all three, so no host is too large for a task.  Runs of two distinct pages, and of
-``least_share`` of the host's, are the host's boilerplate; they are joined back to the pages that need
-them.  A page with a main zone yields that whole, even what other pages repeat; any other page yields its
-open blocks without the covered tokens, so unique runs stay.  ``main_texts`` does the same for a list of
-pages in memory, by a suffix array.
+*open* (neither).  A page with a main zone yields its main blocks, any other its open ones; of both, what
+the host's pages repeat is removed and unique runs stay.  Zones only say how much a run must be repeated:
+outside main zones ``run_tokens`` tokens on two distinct pages are boilerplate, inside them
+``main_tokens`` tokens on three and on ``least_share`` of the host's pages, which spares a sentence that
+two articles quote.
+
+A suffix array of the host's token stream puts suffixes with equal first tokens side by side; only its
+groups at these two depths matter.  ``main_texts`` sorts it for a list of pages in memory.  Over a table
+the same groups are made by hashes of the first tokens of each suffix: a row for each (host, page, run) is
+dealt by all three, so no host is too large for a task.  Inside main zones only pages that share a seed
+(the least of any ``main_tokens - run_tokens + 1`` runs of ``run_tokens``, which equal ``main_tokens``
+share) are looked at in full.
 
 Edge cases: null, empty or markup-free html is read as it stands (null: empty text); a null url is a
-host of its own; broken markup never fails; copies of a page don't make each other
-boilerplate (equal streams count as one page); a null page_id stays null.
+host of its own; broken markup never fails; copies of a page don't make each other boilerplate (pages of
+equal other text, and in main zones of equal main text, count as one); a null page_id stays null; repeated
+rows give repeated rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, materialize, signed, windows
+from .common import WordHashes, arrow_map, materialize, settled, signed, windows
 
 MAIN, OPEN, OUTSIDE = 0, 1, 2
 #: Elements of HTML by their part in a page.
@@ -161,13 +166,13 @@ def suffix_ranks(tokens: np.ndarray, stream: np.ndarray, depth: int) -> tuple[np
     return rank, room >= depth
 
 
-def boilerplate_tokens(tokens: np.ndarray, stream: np.ndarray, page: np.ndarray, pages: int, depth: int, least_share: float) -> np.ndarray:
-    """Tokens covered by runs of ``depth`` tokens that two distinct pages, and ``least_share`` of all, have."""
+def boilerplate_tokens(tokens: np.ndarray, stream: np.ndarray, page: np.ndarray, pages: int, depth: int, least: int) -> np.ndarray:
+    """Tokens covered by runs of ``depth`` tokens that ``least`` distinct pages have."""
     if not len(tokens):
         return np.zeros(0, bool)
     rank, whole = suffix_ranks(tokens, stream, depth)
     seen = np.unique(rank[whole] * np.int64(pages) + page[whole]) // pages
-    often = np.bincount(seen, minlength=int(rank.max()) + 1) >= max(2, int(np.ceil(least_share * pages)))
+    often = np.bincount(seen, minlength=int(rank.max()) + 1) >= least
     starts = np.flatnonzero(whole & often[rank])
     edge = np.zeros(len(tokens) + depth + 1, np.int64)
     np.add.at(edge, starts, 1)
@@ -175,109 +180,145 @@ def boilerplate_tokens(tokens: np.ndarray, stream: np.ndarray, page: np.ndarray,
     return np.cumsum(edge)[: len(tokens)] > 0
 
 
-def main_texts(pages: list[list[tuple[int, str]]], run_tokens: int = 8, least_share: float = 0.0) -> list[str]:
+def main_texts(pages: list[list[tuple[int, str]]], run_tokens: int = 8, main_tokens: int = 16, least_share: float = 0.2) -> list[str]:
     """Main texts of pages of one host, given their blocks."""
     hashes = WordHashes()
-    number: dict[tuple, int] = {}
-    h, stream, page = [], [], []
-    for k, blocks in enumerate(pages):
-        beside = [(z, t) for z, t in blocks if z != MAIN]
-        # copies of a page are one page
-        who = number.setdefault(tuple(beside), len(number))
-        for j, (_, text) in enumerate(beside):
-            h.append(hashes.of([w.encode() for w in text.split(" ")]))
-            stream.append(np.full(len(h[-1]), k * 1_000_003 + j, np.int64))
-            page.append(np.full(len(h[-1]), who, np.int64))
-    none = [np.zeros(0, np.int64)]
-    covered = boilerplate_tokens(np.concatenate(h or none), np.concatenate(stream or none), np.concatenate(page or none), len(number), run_tokens, least_share)
-    out, at = [], 0
-    for blocks in pages:
-        sizes = [len(text.split(" ")) for z, text in blocks if z != MAIN]
-        out.append(_kept(blocks, iter(np.split(covered[at : at + sum(sizes)], np.cumsum(sizes)[:-1]))))
-        at += sum(sizes)
-    return out
-
-
-def _kept(blocks: list[tuple[int, str]], covered: Iterator[np.ndarray]) -> str:
-    """The text of a page; ``covered`` says of the tokens of each block that isn't main whether they are boilerplate."""
-    has_main = any(z == MAIN for z, _ in blocks)
+    marks: list[list[np.ndarray]] = [[np.zeros(0, bool)] * len(blocks) for blocks in pages]
+    for main, depth in ((False, run_tokens), (True, main_tokens)):
+        number: dict[tuple, int] = {}
+        h, stream, page, where = [], [], [], []
+        for k, blocks in enumerate(pages):
+            mine = [(j, t) for j, (z, t) in enumerate(blocks) if (z == MAIN) == main]
+            # copies of a page are one page
+            who = number.setdefault(tuple(t if main else blocks[j] for j, t in mine), len(number))
+            for j, text in mine:
+                h.append(hashes.of([w.encode() for w in text.split(" ")]))
+                stream.append(np.full(len(h[-1]), len(where), np.int64))
+                page.append(np.full(len(h[-1]), who, np.int64))
+                where.append((k, j))
+        if where:
+            least = max(3, int(np.ceil(least_share * len(number)))) if main else 2
+            covered = boilerplate_tokens(np.concatenate(h), np.concatenate(stream), np.concatenate(page), len(number), depth, least)
+            for (k, j), m in zip(where, np.split(covered, np.cumsum([len(x) for x in h])[:-1]), strict=True):
+                marks[k][j] = m
+    return [_kept(blocks, m) for blocks, m in zip(pages, marks, strict=True)]
+
+
+def _kept(blocks: list[tuple[int, str]], marks: list[np.ndarray]) -> str:
+    """The text of a page; ``marks``: which tokens of each block are boilerplate."""
+    zone = MAIN if any(z == MAIN for z, _ in blocks) else OPEN
     keep = []
-    for zone, text in blocks:
-        if zone == MAIN:
-            keep.append(text)
+    for (z, text), m in zip(blocks, marks, strict=True):
+        if z != zone:
             continue
-        marks = next(covered)
-        if zone == OPEN and not has_main and (rest := " ".join(w for w, m in zip(text.split(" "), marks, strict=True) if not m)):
+        rest = " ".join(w for w, x in zip(text.split(" "), m, strict=True) if not x) if m.any() else text
+        if rest:
             keep.append(rest)
     return "\n".join(keep)
 
 
-def block_runs(blocks: list[tuple[int, str]], hashes: WordHashes, run_tokens: int) -> list[np.ndarray]:
-    """Hashes of the runs of each block that isn't main; none in a block that is too short."""
-    each = [hashes.of([w.encode() for w in text.split(" ")]) for z, text in blocks if z != MAIN]
-    return [windows(h, run_tokens) if len(h) >= run_tokens else h[:0] for h in each]
+def block_runs(blocks: list[tuple[int, str]], hashes: WordHashes, main: bool, tokens: int) -> list[np.ndarray]:
+    """Hashes of the runs of the blocks inside or outside main zones; none in a block that is too short."""
+    each = [hashes.of([w.encode() for w in text.split(" ")]) for z, text in blocks if (z == MAIN) == main]
+    return [windows(h, tokens) if len(h) >= tokens else h[:0] for h in each]
+
 
+def seeds(runs: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` runs that begin one after the other."""
+    if len(runs) < width:
+        return runs[:0]
+    return np.unique(np.lib.stride_tricks.sliding_window_view(runs, width).min(axis=1))
 
-def _covered(runs: np.ndarray, tokens: int, repeated: np.ndarray, run_tokens: int) -> np.ndarray:
+
+def _covered(runs: np.ndarray, length: int, repeated: np.ndarray, tokens: int) -> np.ndarray:
     starts = np.flatnonzero(np.isin(runs, repeated))
-    edge = np.zeros(tokens + run_tokens + 1, np.int64)
+    edge = np.zeros(length + tokens + 1, np.int64)
     edge[starts] += 1
-    edge[starts + run_tokens] -= 1
-    return np.cumsum(edge)[:tokens] > 0
+    edge[starts + tokens] -= 1
+    return np.cumsum(edge)[:length] > 0
+
+
+def _identity(blocks: list[tuple[int, str]], main: bool) -> int:
+    # copies of a page are one page
+    return xxhash.xxh64_intdigest("\n".join(t if main else f"{z}{t}" for z, t in blocks if (z == MAIN) == main).encode()) - (1 << 63)
+
 
+def _counts(rows: DataFrame, least: int) -> DataFrame:
+    """h, run, n: runs (h, who, run) that so many distinct pages of the host have."""
+    return rows.distinct().groupBy("h", "run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
-def repeated_runs(pages: DataFrame, run_tokens: int, least_share: float) -> DataFrame:
-    """h, th, repeated: the runs of host h's boilerplate that are in the html hashed th, where it has no main zone; written."""
+
+def repeated_runs(pages: DataFrame, run_tokens: int, main_tokens: int, least_share: float) -> DataFrame:
+    """h, th, repeated: the runs of host h's boilerplate that are in the text of the html hashed th."""
 
     def start():
         hashes = WordHashes()
 
         def step(hosts, texts, htmls):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(7)]
             for h, th, page in zip(hosts, texts, htmls, strict=True):
                 blocks = blocks_of(page)
-                runs = block_runs(blocks, hashes, run_tokens)
-                # copies of a page, by what isn't main, are one page
-                who = xxhash.xxh64_intdigest("\n".join(f"{z}{t}" for z, t in blocks if z != MAIN).encode()) - (1 << 63)
-                found = signed(np.unique(np.concatenate(runs))) if runs else []
-                for column, value in zip(out, (h, th, who, all(z != MAIN for z, _ in blocks), found), strict=True):
+                beside = block_runs(blocks, hashes, False, run_tokens)
+                inside = [seeds(r, main_tokens - run_tokens + 1) for r in block_runs(blocks, hashes, True, run_tokens)]
+                row = (h, th, _identity(blocks, False), _identity(blocks, True), all(z != MAIN for z, _ in blocks), *(signed(np.unique(np.concatenate(r))) if r else [] for r in (beside, inside)))
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
             return out
 
         return step
 
-    cut = materialize(arrow_map(pages.select("h", "th", "html"), "h long, th long, who long, open boolean, runs array<long>", start))
-    often = cut.select("h", "who", F.explode("runs").alias("run")).distinct().groupBy("h", "run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if least_share > 0:
-        sizes = cut.select("h", "who").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
-        often = often.join(sizes, "h").filter(F.col("n") >= F.ceil(F.lit(least_share) * F.col("pages")))
-    here = cut.filter("open").select("h", "th", F.explode("runs").alias("run"))
-    return materialize(here.join(often.select("h", "run"), ["h", "run"]).groupBy("h", "th").agg(F.collect_set("run").alias("repeated")))
+    cut = materialize(arrow_map(pages.select("h", "th", "html"), "h long, th long, who long, main long, open boolean, runs array<long>, seeds array<long>", start))
+    beside = _counts(cut.select("h", "who", F.explode("runs").alias("run")), 2)
+    here = cut.filter("open").select("h", "th", F.explode("runs").alias("run")).distinct().join(beside, ["h", "run"]).select("h", "th", "run")
+
+    seeded = cut.select("h", "th", "main", F.explode("seeds").alias("run"))
+    near = seeded.join(_counts(seeded.select("h", F.col("main").alias("who"), "run"), 3), ["h", "run"]).select("h", "th", "main").distinct()
+
+    def look():
+        hashes = WordHashes()
+
+        def step(hosts, texts, mains, htmls):
+            found = [block_runs(blocks_of(page), hashes, True, main_tokens) for page in htmls]
+            return [hosts, texts, mains, [signed(np.unique(np.concatenate(r))) if r else [] for r in found]]
+
+        return step
+
+    looked = materialize(arrow_map(pages.dropDuplicates(["h", "th"]).join(near, ["h", "th"]).select("h", "th", "main", "html"), "h long, th long, main long, runs array<long>", look))
+    each = looked.select("h", "th", "main", F.explode("runs").alias("run"))
+    sizes = cut.filter(~F.col("open")).select("h", "main").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
+    inside = _counts(each.select("h", F.col("main").alias("who"), "run"), 3).join(sizes, "h").filter(F.col("n") >= F.ceil(F.lit(least_share) * F.col("pages")))
+    there = each.join(inside, ["h", "run"]).select("h", "th", "run")
+    return here.unionByName(there).groupBy("h", "th").agg(F.collect_set("run").alias("repeated"))
 
 
-def extract_main_text(pages: DataFrame, run_tokens: int = 8, least_share: float = 0.0, partitions: int | None = None) -> DataFrame:
-    """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html)."""
+def extract_main_text(pages: DataFrame, run_tokens: int = 8, main_tokens: int = 16, least_share: float = 0.2, partitions: int | None = None) -> DataFrame:
+    """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html), and n_removed: the tokens of boilerplate cut from it."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host).alias("h"), F.xxhash64("html").alias("th"))
     if partitions:
         rows = rows.repartition(partitions)
-    joined = rows.join(repeated_runs(rows, run_tokens, least_share), ["h", "th"], "left").select("page_id", "url", "html", "repeated")
+    repeated = settled(pages.sparkSession, lambda: repeated_runs(rows, run_tokens, main_tokens, least_share))
+    joined = rows.join(repeated, ["h", "th"], "left").select("page_id", "url", "html", "repeated")
 
     def start():
         hashes = WordHashes()
 
         def step(ids, urls, htmls, repeated):
-            texts = []
+            texts, gone = [], []
             for page, found in zip(htmls, repeated, strict=True):
                 blocks = blocks_of(page)
-                known = np.array(found or (), np.int64).view(np.uint64)
-                beside = [text for z, text in blocks if z != MAIN]
-                marks = (np.zeros(text.count(" ") + 1, bool) for text in beside)
+                main = any(z == MAIN for z, _ in blocks)
+                zone, tokens = (MAIN, main_tokens) if main else (OPEN, run_tokens)
+                marks = [np.zeros(text.count(" ") + 1, bool) for _, text in blocks]
                 if found:
-                    marks = (_covered(r, text.count(" ") + 1, known, run_tokens) for r, text in zip(block_runs(blocks, hashes, run_tokens), beside, strict=True))
+                    known = np.array(found, np.int64).view(np.uint64)
+                    at = [j for j, (z, _) in enumerate(blocks) if (z == MAIN) == main]
+                    for j, r in zip(at, block_runs(blocks, hashes, main, tokens), strict=True):
+                        marks[j] = _covered(r, len(marks[j]), known, tokens)
                 texts.append(_kept(blocks, marks))
-            return [ids, urls, texts, [len(t) for t in texts]]
+                gone.append(sum(int(m.sum()) for (z, _), m in zip(blocks, marks, strict=True) if z == zone))
+            return [ids, urls, texts, [len(t) for t in texts], gone]
 
         return step
 
-    return arrow_map(joined, "page_id long, url string, text string, n_chars long", start)
+    return arrow_map(joined, "page_id long, url string, text string, n_chars long, n_removed long", start)
