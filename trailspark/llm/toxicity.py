@@ -1,20 +1,25 @@
 """Operator 8: toxicity by weak supervision.
 
-Voters look at a text: fixed word lists, words that the labelled rows single out, disguised
-spellings, several hits at once, shouting, and one that votes when nothing is found.  A generative
-label model estimates by EM how often each voter speaks in toxic and in clean texts, and how voters
-agree beyond that, so that voters that repeat each other count less.  A linear classifier on the
-words of a text, fitted by follow-the-regularised-leader to the label model's posteriors, gives the
-scores.  Both are fitted on about ``per_class`` labelled rows of each class, the bound of the sample.
+Voters look at a text: fixed word lists, words that the labelled rows single out (lists of one word),
+disguised spellings, several hits at once, shouting, and one that votes when nothing is found.  A
+generative label model is fitted to the votes alone by EM: a hidden class, how often each voter speaks in
+either class (its accuracy), and its correlation with one other voter, on whose vote its own depends (the
+tree of greatest mutual information within the classes).  Labels choose the mined words, say which hidden
+class is toxic, and calibrate; they are not seen by the EM.  A linear classifier on the words of a text,
+fitted by follow-the-regularised-leader to the label model's posteriors, gives the scores.  All is fitted
+on about ``per_class`` labelled rows of each class, the bound of the sample.
 
 Edge cases: null and empty texts get the score of a text without words; rows without a label are
 scored like any other; a label row without a document, or repeated, changes nothing but its weight;
-with no labelled row the fixed lists alone decide; repeated rows give repeated rows.
+with no labelled row, or of one class only, the fixed lists alone decide; repeated rows give repeated rows
+with equal scores; a null doc_id is never learned from; an empty table gives no rows; other columns,
+whatever their names, are ignored (``ToxicityModel.score`` keeps them).
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, arrow_column, arrow_map, words_of
-from .linear import ftrl, softmax
+from .linear import ftrl
 
 #: Insults by language.
 LEXICONS = {
@@ -116,31 +121,86 @@ class Voters:
         return votes, np.sort(np.fromiter(features, np.int64, len(features)))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Posterior of class 1 for each row of 0/1 votes, by EM from the posteriors ``start``.
-
-    Each voter has a rate of speaking in either class (its accuracy); where it is silent it abstains.
-    Its log likelihood ratio is divided by how much it agrees with all voters within the classes (their
-    squared correlations, its own being 1).  Rates are estimated half from ``start``, as from one more
-    noisy voter, so that the classes stay what they stand for.
-    """
-    p = start
-    odds = np.log(start.mean() / (1 - start.mean()))
-    for _ in range(rounds):
-        q = (p + start) / 2
-        one = (q @ votes + 0.5) / (q.sum() + 1.0)
-        zero = ((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1.0)
-        rest = votes - np.outer(q, one) - np.outer(1 - q, zero)
-        cov = rest.T @ rest / len(votes)
-        sd = np.sqrt(np.diag(cov)) + 1e-6
-        weight = 1.0 / np.maximum(1.0, ((cov / np.outer(sd, sd)) ** 2).sum(axis=1))
-        p = 1.0 / (1.0 + np.exp(-np.clip(odds + votes @ (weight * np.log(one / zero)), -30, 30)))
-    return p
+@dataclass
+class LabelModel:
+    """What EM finds of voters: posteriors, rates of speaking in the clean and the toxic class, and whose vote each leans on."""
+
+    posterior: np.ndarray
+    rates: np.ndarray
+    leans_on: np.ndarray
+
+
+def vote_tree(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each voter the one whose votes say most of its own within the classes (-1: none says enough)."""
+    n, m = votes.shape
+    information = np.zeros((m, m))
+    for weight in (q, 1 - q):
+        total = weight.sum() + 1e-9
+        on = votes.T @ weight
+        both = (votes * weight[:, None]).T @ votes
+        cells = np.stack([both, on[:, None] - both, on[None, :] - both, total - on[:, None] - on[None, :] + both]) + 0.01
+        sides = np.stack([np.outer(a, b) for a in (on, total - on) for b in (on, total - on)]) + 0.01
+        information += (cells * np.log(cells * total / sides)).sum(axis=0) / n
+    np.fill_diagonal(information, 0)
+    parent, best, at = np.full(m, -1), np.full(m, np.log(n) / n), 0
+    left = set(range(1, m))
+    while left:
+        for j in left:
+            if information[at, j] > best[j]:
+                best[j], parent[j] = information[at, j], at
+        at = max(left, key=lambda j: (best[j], -j))
+        left.remove(at)
+    return parent
+
+
+def label_model(votes: np.ndarray, toxic_voters: np.ndarray, rounds: int = 40) -> LabelModel:
+    """A hidden class by EM from 0/1 votes alone; it starts from how many of ``toxic_voters`` speak."""
+    n, m = votes.shape
+    p = np.clip(0.05 + 0.45 * votes[:, toxic_voters].sum(axis=1), 0.05, 0.95)
+    parent = vote_tree(votes, p)
+    for turn in range(rounds):
+        if turn in (5, 10):
+            parent = vote_tree(votes, p)
+        # what each voter's vote depends on: nothing, or the vote of the one it leans on
+        given = np.where(parent >= 0, votes[:, np.maximum(parent, 0)], 0.0)
+        z = np.zeros(n)
+        rates = np.zeros((2, m))
+        for y, weight in ((0, 1 - p), (1, p)):
+            rates[y] = (weight @ votes + 0.5) / (weight.sum() + 1.0)
+            log = np.full(n, np.log(weight.sum() / n + 1e-9))
+            for state in (0.0, 1.0):
+                there = given == state
+                w = weight[:, None] * there
+                # few rows in this state: the voter's rate without it
+                on = ((w * votes).sum(axis=0) + 2 * rates[y]) / (w.sum(axis=0) + 2)
+                log += np.where(there, np.where(votes > 0, np.log(on), np.log(1 - on)), 0.0).sum(axis=1)
+            z += log if y else -log
+        after = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+        done = np.abs(after - p).max() < 1e-4
+        p = after
+        if done and turn > 10:
+            break
+    return LabelModel(p, rates, parent)
+
+
+def calibration(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from scores to labels, by Newton's method with a weak prior of (1, 0)."""
+    x, theta = np.stack([z, np.ones(len(z))], axis=1), np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ theta, -30, 30)))
+        slope = x.T @ (weight * (p - y)) + 2.0 * (theta - [1.0, 0.0])
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 2.0 * np.eye(2), slope)
+        theta = theta - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    return max(0.1, float(theta[0])), float(theta[1])
 
 
 class ToxicityModel:
-    def __init__(self, mined: list[str], w: np.ndarray, b: float):
-        self.mined, self.w, self.b = mined, w.astype(np.float32), b
+    """Weights of word features; and the label model's findings for each voter."""
+
+    def __init__(self, mined: list[str], w: np.ndarray, b: float, voters: list[dict] | None = None):
+        self.mined, self.w, self.b, self.voters = mined, w.astype(np.float32), b, voters or []
 
     def score(self, df: DataFrame, name: str = "score", text_col: str = "text") -> DataFrame:
         """``df`` with a column ``name``: the score of each text."""
@@ -204,16 +264,25 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 3000
         w = np.zeros(DIMS)
         w[listed] = 4.0
         return ToxicityModel([], w, -3.0)
-    votes = np.array(gathered["votes"].to_pylist())
-    posterior = label_model(votes, 0.05 + 0.9 * np.array(gathered["toxic"].to_pylist(), float))
+    votes, labelled = np.array(gathered["votes"].to_pylist()), np.array(gathered["toxic"].to_pylist(), float)
+    names = voter_names(mined)
+    speak = np.flatnonzero(votes.any(axis=0) & ~votes.all(axis=0))
+    found_toxic = np.flatnonzero(speak < len(names) - 5)  # the word lists
+    model = label_model(votes[:, speak], found_toxic)
+    posterior, rates = model.posterior, model.rates
+    if posterior @ (labelled - labelled.mean()) < 0:  # which of the two classes is the toxic one
+        posterior, rates = 1 - posterior, rates[::-1]
+    voters = [{"voter": names[k], "clean": float(rates[0, j]), "toxic": float(rates[1, j]), "leans_on": names[speak[model.leans_on[j]]] if model.leans_on[j] >= 0 else None} for j, k in enumerate(speak)]
     found = [np.array(f, np.int64) for f in gathered["features"].to_pylist()]
     common = np.bincount(np.concatenate(found), minlength=DIMS) >= LEAST_ROWS
     rows = [(f[common[f]], np.ones(int(common[f].sum()))) for f in found]
     w, b = ftrl(rows, np.stack([1 - posterior, posterior], axis=1), DIMS, alpha=0.5, l1=0.6, l2=0.01, epochs=max(8, min(60, 40_000 // len(rows))))
+    w, b = w[:, 1] - w[:, 0], float(b[1] - b[0])
     # the sample has about as many rows of either class; scores are for texts as they come
-    drawn_odds = posterior.mean() / (1 - posterior.mean())
-    odds = min(1.0, sizes[1] / sizes[0] / drawn_odds)
-    return ToxicityModel(mined, w[:, 1] - w[:, 0], float(b[1] - b[0] + np.log(odds)))
+    drawn = [(labelled == y).sum() for y in (0, 1)]
+    weight = np.where(labelled == 1, sizes[1] / drawn[1], sizes[0] / drawn[0]) * len(labelled) / (sizes[0] + sizes[1])
+    slope, offset = calibration(np.array([b + w[f].sum() for f, _ in rows]), labelled, weight)
+    return ToxicityModel(mined, slope * w, slope * b + offset, voters)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
@@ -225,5 +294,3 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000) ->
     scored = model.score(rows.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-
-__all__ = ["LEXICONS", "ToxicityModel", "Voters", "fit_toxicity_model", "label_model", "normal_word", "score_toxicity", "softmax"]
