@@ -163,7 +163,8 @@ def test_token_counts_equal_the_library(docs, empty):
     counts = token_counts.PieceCounts(public_tokenizers.path(token_counts.DEFAULT_MODEL))
     assert [counts.text(t) for t in odd] == [len(sp.encode(t)) for t in odd]
     texts = [r["text"] or "" for r in docs.collect()]
-    assert sorted(r["n_tokens"] for r in token_counts.token_counts(docs).collect()) == sorted(len(sp.encode(t)) for t in texts)
+    for common_ones in (0, 5, token_counts.COMMON):  # all by the shuffle, some, and all that repeat sent to tasks
+        assert sorted(r["n_tokens"] for r in token_counts.token_counts(docs, most_common=common_ones).collect()) == sorted(len(sp.encode(t)) for t in texts)
     assert token_counts.token_counts(empty).count() == 0
 
 
@@ -177,6 +178,37 @@ def test_fingerprints(spark, docs, empty):
         assert 0 <= r["near_next"] <= 1 and r["n_chars"] == len(texts[r["doc_id"]])
     assert all(len(v) == 1 for v in by_text.values())
     assert simhash.fingerprint_documents(empty).count() == 0
+    # the whole of it by brute force: next and edited texts, votes of the terms, likeness and classes
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    terms = {}
+    for r in docs.select("text", simhash.term_hashes(F.coalesce("text", F.lit(""))).alias("h")).collect():
+        terms[r["text"] or ""] = r["h"]
+
+    def bits_of(h):
+        return sum(1 << b for b in range(63) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+    order = sorted(docs.filter("doc_id <> 203 and doc_id is not null").collect(), key=lambda r: r["doc_id"])
+    got = {r["doc_id"]: r for r in simhash.fingerprint_documents(docs.filter("doc_id <> 203 and doc_id is not null"), rows_per_range=7).collect()}
+    edited = []
+    for r, after in zip(order, [*order[1:], order[0]], strict=True):
+        t, n = r["text"] or "", after["text"] or ""
+        edited.append(t[: len(t) - len(t) // 2] + n[: len(t) // 2])
+    hashes = [r["h"] for r in spark.createDataFrame([(i, e) for i, e in enumerate(edited)], "i long, e string").orderBy("i").select(simhash.term_hashes(F.col("e")).alias("h")).collect()]
+    prints = [bits_of(terms[r["text"] or ""]) for r in order]
+    for i, r in enumerate(order):
+        g = got[r["doc_id"]]
+        assert (g["edited_sha256"], g["fingerprint"], g["edited_fingerprint"]) == (hashlib.sha256(edited[i].encode()).hexdigest(), f"{prints[i]:016x}", f"{bits_of(hashes[i]):016x}")
+        assert g["near_next"] == pytest.approx(1 - bin(prints[i] ^ prints[(i + 1) % len(prints)]).count("1") / 63)
+        assert g["near_edited"] == pytest.approx(1 - bin(prints[i] ^ bits_of(hashes[i])).count("1") / 63)
+    label = {p: p for p in prints}
+    for _ in prints:
+        for a in label:
+            label[a] = min(label[b] for b in label if bin(a ^ b).count("1") <= 3)
+    assert all(got[r["doc_id"]]["near_class"] == f"{label[p]:016x}" for r, p in zip(order, prints, strict=True))
+    assert all(got[r["doc_id"]]["class_docs"] == sum(label[q] == label[p] for q in prints) for r, p in zip(order, prints, strict=True))
     rng = random.Random(2)
     prints = [rng.getrandbits(63) for _ in range(60)]
     prints += [p ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for p in prints]
@@ -225,6 +257,31 @@ def test_boilerplate_is_found_over_the_whole_host(spark):
         assert out[300] == out[301] == f"{story(300)}\n{note}"
 
 
+def test_main_texts_over_tables_equal_the_suffix_array(spark, empty):
+    rng = random.Random(12)
+    pool = [" ".join(f"{rng.choice(WORDS)}{rng.randint(0, 999)}" for _ in range(n)) for n in (4, 7, 8, 9, 15, 16, 17, 20, 24, 30)]
+    rows = []
+    for i in range(90):
+        host = rng.choice(("a", "b", "c", "d"))
+        parts = [rng.choice(pool) if rng.random() < 0.5 else text(rng, rng.randint(3, 40)) for _ in range(5)]
+        if i % 3 == 0:  # two blocks, one cut by a repeated run in the middle
+            parts[1] = text(rng, 5) + " " + rng.choice(pool) + " " + text(rng, 5)
+        main = rng.random() < 0.5
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        rows.append((i, f"http://{host}/{i}", f"<nav>{pool[9]}</nav>" + (f"<article>{body}</article><p>{pool[8]}</p>" if main else f"<div>{body}</div>")))
+    rows += [(100, rows[0][1], rows[0][2]), (101, None, rows[1][2]), (102, "http://e/", None), (103, "http://e/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("h", F.lit("clash")).withColumn("text", F.lit("clash"))
+    out = {r["page_id"]: r for r in html_text.extract_main_text(df, partitions=5).collect()}
+    hosts = {}
+    for i, url, page in rows:
+        hosts.setdefault((url or "").removeprefix("http://").split("/")[0], []).append((i, html_text.blocks_of(page)))
+    expected = {i: t for ps in hosts.values() for (i, _), t in zip(ps, html_text.main_texts([b for _, b in ps]), strict=True)}
+    assert {i: r["text"] for i, r in out.items()} == expected
+    # runs are cut from pages with and without a main zone
+    assert {("<article>" in rows[i][2]) for i, r in out.items() if i < 90 and r["n_removed"]} == {True, False}
+    assert html_text.extract_main_text(df.filter("page_id < 0")).count() == 0
+
+
 def test_languages(spark, empty):
     rng = random.Random(4)
     kinds = {"aa": "abcde", "bb": "vwxyz"}

@@ -8,9 +8,15 @@ The next document is found without a global sort: documents fall into ranges of
 at most ``most_ranges``), and the first document of each range is also sent to the range before it,
 that of the first range to the last.  Within a range a window has the next text at hand.
 
+Fingerprints within ``radius`` bits of each other agree in all of ``blocks - radius`` of the ``blocks``
+blocks of their bits, so they meet in one of the permuted tables, one for each choice of so many blocks.
+The classes of what is so connected come from ``linkage``: long lists of one key are compared with leaders
+first, so a large group of copies isn't paired with itself.
+
 Edge cases: null texts count as empty; a text without words has fingerprint 0; equal texts have equal
 fingerprints; a null doc_id comes before all others; documents with one doc_id follow each other in
-the order of their texts' hashes; a single document is its own next one.
+the order of their texts' hashes; a single document is its own next one; an empty table gives no rows;
+other columns, whatever their names, are ignored.  A null fingerprint is near nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize, words_of
+from .common import let, materialize, settled, words_of
+from .linkage import linked
 
 BITS = 63
 LANES = 21
@@ -95,8 +102,8 @@ def _ranges(ids: DataFrame, rows_per_range: int, most_ranges: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def fingerprint_documents(docs: DataFrame, rows_per_range: int = 400, most_ranges: int = 20_000) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def _prints(docs: DataFrame, rows_per_range: int, most_ranges: int) -> DataFrame:
+    """doc_id, n_chars, sha, f, g, fn: the fingerprints of each text, its edited text and the next text.
 
     The edited text of a document has its last floor(n_chars / 2) code points replaced by the first as
     many of the next document, or all it has.
@@ -130,17 +137,35 @@ def fingerprint_documents(docs: DataFrame, rows_per_range: int = 400, most_range
     texts = texts.select("r", "rn", "extra", "doc_id", "n_chars", F.sha2("e", 256).alias("sha"), term_hashes(F.col("t")).alias("ht"), term_hashes(F.col("e")).alias("he"))
     prints = add_fingerprints(texts, ["r", "rn", "extra", "doc_id", "n_chars", "sha"], {"f": "ht", "g": "he"})
     after = F.lead("f").over(Window.partitionBy("r").orderBy("rn"))
-    done = prints.withColumn("fn", after).filter("extra = 0")
-    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return done.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), text("f").alias("fingerprint"), text("g").alias("edited_fingerprint"), likeness(F.col("f"), F.col("g")).alias("near_edited"), likeness(F.col("f"), F.col("fn")).alias("near_next"))
+    return prints.withColumn("fn", after).filter("extra = 0").select("doc_id", "n_chars", "sha", "f", "g", "fn")
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """All pairs (a, b) of distinct fingerprints in column f (long) within ``radius`` bits, a < b.
+def fingerprint_documents(docs: DataFrame, rows_per_range: int = 400, most_ranges: int = 20_000, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_class, class_docs.
 
-    The bits fall into ``blocks`` blocks; two fingerprints within the radius agree in at least
-    ``blocks - radius`` of them, so in one of the tables, one for each choice of so many blocks.
+    near_class: the smallest fingerprint that steps of at most ``radius`` bits between fingerprints reach;
+    class_docs: the documents of the class.
     """
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+
+    def build() -> DataFrame:
+        done = materialize(_prints(docs, rows_per_range, most_ranges))
+        often = done.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+        classes = materialize(often.join(near_classes(often, radius, blocks), F.col("f") == F.col("id"), "left").select("f", "n", F.coalesce("label", "f").alias("c")))
+        sizes = classes.groupBy("c").agg(F.sum("n").alias("class_docs"))
+        # what stands alone needs no join
+        known = classes.join(sizes.filter("class_docs > 1"), "c").select("f", "c", "class_docs")
+        return done.join(known, "f", "left").select(
+            "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), text("f").alias("fingerprint"), text("g").alias("edited_fingerprint"),
+            likeness(F.col("f"), F.col("g")).alias("near_edited"), likeness(F.col("f"), F.col("fn")).alias("near_next"),
+            text(F.coalesce("c", "f")).alias("near_class"), F.coalesce("class_docs", F.lit(1)).cast("long").alias("class_docs"),
+        )
+
+    return settled(docs.sparkSession, build)
+
+
+def _tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """f, t, key: the distinct fingerprints in each of the permuted tables, with the bits that count in it."""
     if not 0 <= radius < blocks:
         raise ValueError("radius must be below the number of blocks")
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -149,7 +174,19 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6) -> Da
     for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         mask = sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in chosen)
         tables.append(F.struct(F.lit(t).alias("t"), F.col("f").bitwiseAND(F.lit(mask)).alias("key")))
-    keyed = materialize(distinct.select("f", F.explode(F.array(*tables)).alias("x")).select("f", "x.t", "x.key"))
+    return distinct.select("f", F.explode(F.array(*tables)).alias("x")).select("f", "x.t", "x.key")
+
+
+def near_classes(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """id, label: of fingerprints (f) that have another within ``radius`` bits, the smallest one that such steps reach."""
+    postings = _tables(prints.filter("f is not null"), radius, blocks).select(F.xxhash64("t", "key").alias("s"), F.col("f").alias("k"))
+    near = lambda x, y: F.bit_count(x("k").bitwiseXOR(y("k"))) <= radius
+    return linked(postings, [], near, lambda pairs: pairs, orders=4)[1]
+
+
+def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """All pairs (a, b) of distinct fingerprints in column f (long) within ``radius`` bits, a < b: as many rows as there are pairs."""
+    keyed = materialize(_tables(prints.filter("f is not null"), radius, blocks))
     x, y = keyed.alias("x"), keyed.alias("y")
     met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.f") < F.col("y.f")) & (F.bit_count(F.col("x.f").bitwiseXOR(F.col("y.f"))) <= radius))
     return met.select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).distinct()
