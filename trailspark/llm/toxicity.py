@@ -79,7 +79,7 @@ class Words(dict):
         word, hidden = normal_word(token)
         raw = _EDGES.sub("", token.lower())
         # a spelling counts as a disguise only if a listed word is under it
-        hidden = hidden and word in self.voters
+        hidden = hidden and any(k in self.voters for k in keys_of(word))
         keys = keys_of(word if hidden else raw)
         hits = tuple({v for k in keys for v in self.voters.get(k, ())})
         features = tuple(f for f in map(feature_of, keys) if self.only is None or f in self.only)
@@ -235,8 +235,14 @@ def _mined_words(sample: DataFrame) -> list[str]:
     counts = sample.select("toxic", word.alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     share = (F.col("a") + 0.5) / (toxic + 1.0)
     odds = F.log(share) - F.log((F.col("b") + 0.5) / (clean + 1.0))
-    best = counts.filter((F.col("a") >= max(8.0, 0.02 * toxic)) & (odds > 3.0)).orderBy((share * odds).desc(), "word").limit(MINED)
-    return [r["word"] for r in best.select("word").collect()]
+    best = counts.filter((F.col("a") >= max(5.0, 0.01 * toxic)) & (odds > 2.0)).orderBy((share * odds).desc(), F.desc("word")).limit(10 * MINED)
+    chosen: dict[str, tuple[str, int, int]] = {}
+    for r in best.select("word", "a", "b").collect():
+        stem = r["word"].rstrip("*")
+        # a word and its beginning that the same rows hold would be one voter twice
+        if not any((r["a"], r["b"]) == (a, b) and (stem.startswith(s) or s.startswith(stem)) for s, a, b in chosen.values()):
+            chosen[r["word"]] = (stem, r["a"], r["b"])
+    return list(chosen)[:MINED]
 
 
 def fit_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> ToxicityModel:
