@@ -94,3 +94,48 @@ def test_live_counts(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert sorted(r["n"] for r in spark.table("counts").collect()) == [1, 1, 2]
+
+
+def test_runs_of_missing_values_merge(spark):
+    s = stream(spark, [("a", e, m) for m, e in enumerate("vwxyz")])
+    from pyspark.sql import functions as F
+
+    kinds = s.add_segment("part", func=lambda df: F.when(df["event"].isin("v", "w", "z"), "p")).collapse_events(group_col="part").df.orderBy("__idx").collect()
+    assert [(r["event"], r["__kind"]) for r in kinds] == [("p", "collapsed"), (None, "collapsed"), ("p", "collapsed")]
+    for bad in ("event", "nothing"):
+        with pytest.raises(ParameterError):
+            s.collapse_events(group_col=bad)
+
+
+def test_mistyped_names_in_patterns_raise(small):
+    from trailspark.errors import PatternError
+
+    for ask in (
+        lambda: small.truncate_paths("[^oops]"), lambda: small.get_conversion_rate("x", "oops"), lambda: small.step_matrix_data(path_pattern="x->oops"), lambda: small.step_matrix_data(anchor="oops"),
+        lambda: small.add_events("new", anchor="oops"), lambda: small.resolve_anchors("x->oops"), lambda: small.restrict_to_pattern("[x|oops]"), lambda: small.transition_graph_data(path_pattern="oops"), lambda: small.route_stats(["x", "oops"]),
+    ):
+        with pytest.raises(UnknownNameError):
+            ask()
+    assert small.truncate_paths(end_anchor=["oops", "y"]).df.columns == small.df.columns
+    with pytest.raises(PatternError):
+        small.rename_events({"y": "[x|z]"}).resolve_anchors("[x|z]")
+    with pytest.raises(PatternError):
+        small.rename_events({"y": "x|z"}).resolve_anchors("[x|z]->x")
+
+
+def test_segment_sql_has_one_column(small):
+    made = small.add_segment("part", sql="with t as (select 1) select case when event = 'x' then 'a' else 'b' end from eventstream")
+    assert {(r["event"], r["part"]) for r in made.df.collect()} == {("x", "a"), ("y", "b"), ("path_start", "b")}
+    for bad in ("select *, 'a' as part from eventstream", "select event from eventstream where event = 'x'"):
+        with pytest.raises(ParameterError):
+            small.add_segment("part", sql=bad)
+
+
+def test_boundary_rows_need_no_second_shuffle(small):
+    plan = small.transition_graph_data("count")._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.find("Initial Plan") :] if "Initial Plan" in plan else plan
+    assert final.count("Exchange hashpartitioning(user_id") == 1
+
+
+def test_levels_bring_only_what_is_asked(small):
+    assert small.levels("event", ["x", "oops"]) == ["x"] and not small._levels

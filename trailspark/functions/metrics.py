@@ -59,7 +59,7 @@ class MetricBuilder:
         self.patterns: dict[str, tuple[str, str | None]] = {}
 
     def _events(self, names: Iterable[str], event_col: str | None) -> None:
-        if self.strict and (missing := sorted(set(names) - set(self.levels(event_col or self.schema.event_col)) - {PATH_START, PATH_END})):
+        if self.strict and (missing := sorted(set(names) - set(self.levels(event_col or self.schema.event_col, names)) - {PATH_START, PATH_END})):
             raise UnknownNameError(f"no event is named {missing}")
 
     def build(self, metric: str | dict) -> Built:
@@ -115,7 +115,7 @@ class MetricBuilder:
                 raise ParameterError("matches_pattern needs a pattern")
             pattern = parse_pattern(a["pattern"])
             if self.strict:
-                pattern.check_names(set(self.levels(column or self.schema.event_col)))
+                pattern.check_names(set(self.levels(column or self.schema.event_col, pattern.candidates())))
             tag = f"p{len(self.patterns)}"
             self.patterns[tag] = (a["pattern"], column)
             return Built([(f"matches_pattern_{prefix}{a['pattern']}", F.coalesce(F.max(f"__hit_{tag}"), F.lit(False)))], False)

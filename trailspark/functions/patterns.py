@@ -27,6 +27,16 @@ class Token:
     names: tuple[str, ...]
     negated: bool = False
     gap: bool = False
+    shaped: bool = False
+
+    @property
+    def spellings(self) -> list[str]:
+        """What an event would be named that is written like this class."""
+        if not self.names or not (self.shaped or len(self.names) > 1):
+            return []
+        inner = "|".join(self.names)
+        whole = f"[{'^' if self.negated else ''}{inner}]"
+        return [whole, *([inner] if len(self.names) > 1 else [])]
 
     @property
     def plain_gap(self) -> bool:
@@ -65,7 +75,7 @@ def parse_token(text: str) -> Token:
         names = tuple(n.strip() for n in m[2].split("|"))
         if not all(names):
             raise PatternError(f"{t!r}: a class has an empty member")
-        return Token(names, bool(m[1]), bool(m[3]))
+        return Token(names, bool(m[1]), bool(m[3]), True)
     if "[" in t or "]" in t:
         raise PatternError(f"{t!r}: brackets don't match, or a class spans {DELIMITER!r}")
     return Token((t,))
@@ -98,11 +108,27 @@ class Pattern:
             ordinal -= len(p)
         raise AssertionError
 
-    def check_names(self, known: set[str]) -> None:
+    def candidates(self) -> set[str]:
+        """Names that ``check_names`` asks about."""
+        out: set[str] = set()
+        for t in (*self.tokens, *self.gaps):
+            out |= {*t.names, *t.spellings}
+            for n in t.names:
+                out |= {n[1:], n[:-1]}
+        return out - {""}
+
+    def check_names(self, known: set[str], absent_narrows: bool = False) -> None:
+        """Raise for a name that is no event, and for a class that reads like the name of one.
+
+        With ``absent_narrows`` only names in negated classes must be known: without them those match more.
+        """
+        for token in (*self.tokens, *self.gaps):
+            if both := [s for s in token.spellings if s in known]:
+                raise PatternError(f"{both[0]!r} reads as a class of events, but an event has that name; rename it first")
         known = known | set(BOUNDS)
         for token in (*self.tokens, *self.gaps):
             for name in token.names:
-                if name in known:
+                if name in known or absent_narrows and not token.negated and not (name.startswith("^") or name.endswith("$") or "|" in name):
                     continue
                 hint = ""
                 if name.startswith("^") and name[1:] in known:
@@ -148,14 +174,16 @@ def with_virtual_bounds(df: DataFrame, schema: StreamSchema, keys: list[str], ev
     real = without_bounds(df)
     flagged = real.withColumn("__first", F.row_number().over(w) == 1).withColumn("__last", F.lead(F.col(IDX)).over(w).isNull())
     columns = real.columns
+    # keys stay outside of what is unfolded, so the partitioning by them stays known
+    inside = [c for c in columns if c not in keys]
     names = {schema.event_col, event}
 
     def as_bound(kind: str) -> Column:
-        return F.struct(*(F.lit(kind).alias(c) if c in names or c == KIND else F.lit(RANKS[kind]).alias(c) if c == RANK else F.col(c) for c in columns))
+        return F.struct(*(F.lit(kind).alias(c) if c in names or c == KIND else F.lit(RANKS[kind]).alias(c) if c == RANK else F.col(c) for c in inside))
 
-    own = F.struct(*(F.col(c) for c in columns))
+    own = F.struct(*(F.col(c) for c in inside))
     rows = F.array_compact(F.array(F.when(F.col("__first"), as_bound(PATH_START)), own, F.when(F.col("__last"), as_bound(PATH_END))))
-    return flagged.select(F.inline(rows))
+    return flagged.select(*keys, F.inline(rows)).select(*columns)
 
 
 def _any(columns: list[Column]) -> Column:

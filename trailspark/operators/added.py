@@ -23,9 +23,11 @@ def _clone(columns: list[str], schema: StreamSchema, name: str, kind: str) -> Co
 
 def _beside(df: DataFrame, schema: StreamSchema, where: Column, name: str, kind: str, columns: list[str] | None = None) -> DataFrame:
     columns = columns or df.columns
-    own = F.struct(*(F.col(c) for c in columns))
-    new = _clone(columns, schema, name, kind)
-    return df.select(F.inline(F.when(where, F.array(new, own)).otherwise(F.array(own))))
+    # path columns stay outside of what is unfolded, so a partitioning by them stays known
+    inside = [c for c in columns if c not in schema.path_cols]
+    own = F.struct(*(F.col(c) for c in inside))
+    new = _clone(inside, schema, name, kind)
+    return df.select(*schema.path_cols, F.inline(F.when(where, F.array(new, own)).otherwise(F.array(own)))).select(*columns)
 
 
 def add_source_events(df: DataFrame, schema: StreamSchema, name: str, source_event) -> DataFrame:
@@ -73,9 +75,7 @@ def add_churn_events(df: DataFrame, schema: StreamSchema, name: str, inactivity_
     rows = df.withColumn("__on", active).withColumn("__next", F.last(F.when(F.col("__on"), ts), ignorenulls=True).over(back))
     rows = rows.join(F.broadcast(end))
     gone = F.col("__on") & ((F.coalesce("__next", "__end") - ts) > int(round(inactivity_days * 86_400_000_000)))
-    columns = df.columns
-    own = F.struct(*(F.col(c) for c in columns))
-    return rows.select(F.inline(F.when(gone, F.array(own, _clone(columns, schema, name, "churn"))).otherwise(F.array(own))))
+    return _beside(rows, schema, gone, name, "churn", df.columns)
 
 
 __all__ = ["add_anchor_events", "add_churn_events", "add_source_events", "add_sql_events", "add_start_end_events", "without_bounds"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
@@ -35,30 +38,42 @@ def by_rules(rules: list) -> Column:
 
 
 def by_sql(df: DataFrame, name: str, sql: str) -> DataFrame:
-    """A SELECT over ``eventstream`` that returns all its columns and the new one, or an SQL expression."""
+    """A SELECT of one column over ``eventstream``, one value for each of its rows, or an SQL expression.
+
+    The stream's columns are selected beside the query's own one, so rows keep their values without a join.
+    """
     if not sql.lstrip().lower().startswith(("select", "with")):
         return df.withColumn(name, F.expr(sql))
-    out = run_sql(df, sql, same_columns=False)
-    if set(out.columns) != {*df.columns, name}:
-        raise ParameterError(f"the query must return the columns of the stream and {name!r}, as SELECT *, ... AS {name}")
-    return out.select(*df.columns, name)
+    if (at := _outer_select(sql)) is None:
+        raise ParameterError("the query has no SELECT")
+    out = run_sql(df, f"{sql[:at]} eventstream.*, {sql[at:]}", same_columns=False)
+    if len(out.columns) != len(df.columns) + 1:
+        raise ParameterError("the query must return a single column")
+    return out.toDF(*df.columns, name)
+
+
+def _outer_select(sql: str) -> int | None:
+    """Where the first SELECT outside of brackets, quotes and comments ends."""
+    depth = 0
+    for m in re.finditer(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|[()]|\bselect\b", sql, re.I | re.S):
+        if m[0] in "()":
+            depth += 1 if m[0] == "(" else -1
+        elif m[0].lower() == "select" and depth == 0:
+            return m.end()
+    return None
 
 
 def funnel_depth(df: DataFrame, schema: StreamSchema, keys: list[str], steps: list[str], extra: list[str] | None = None) -> DataFrame:
     """keys and depth: how many steps each path reaches in order, each at a later index than the one before."""
-    events = without_bounds(df)
-    row = F.struct(F.col("__idx").alias("i"), F.col(schema.event_col).alias("e"))
-    # rows of other events don't enter the list, but their paths count
-    found = F.sort_array(F.collect_list(F.when(F.col(schema.event_col).isin(*steps), row)))
-    begin = F.struct(F.lit(0).alias("d"), F.lit(None).cast("long").alias("at"))
-    wanted = F.array(*(F.lit(s) for s in steps))
-
-    def advance(a: Column, x: Column) -> Column:
-        go = (F.get(wanted, a["d"]) == x["e"]) & (a["at"].isNull() | (x["i"] > a["at"]))
-        return F.when(F.coalesce(go, F.lit(False)), F.struct((a["d"] + 1).alias("d"), x["i"].cast("long").alias("at"))).otherwise(a)
-
-    lists = events.groupBy(*keys, *(extra or [])).agg(found.alias("x"))
-    return lists.select(*keys, *(extra or []), F.aggregate("x", begin, advance, lambda a: a["d"]).alias("depth"))
+    by, e, i = [*keys, *(extra or [])], F.col(schema.event_col), F.col("__idx")
+    rows = without_bounds(df).select(*dict.fromkeys([*by, schema.event_col, "__idx", "__rank"]))
+    # running minima over one window of the path, each of the one before: no list of a path's events
+    so_far = schema.window(by).rowsBetween(Window.unboundedPreceding, 0)
+    for k, s in enumerate(steps):
+        found = (e == s) if k == 0 else (e == s) & (i > F.col(f"__at{k - 1}"))
+        rows = rows.withColumn(f"__at{k}", F.min(F.when(found, i)).over(so_far))
+    reached = [F.max(F.col(f"__at{k}")).isNotNull().cast("int") for k in range(len(steps))]
+    return rows.groupBy(*by).agg(reduce(lambda a, b: a + b, reached).alias("depth"))
 
 
 def by_funnel(df: DataFrame, schema: StreamSchema, keys: list[str], name: str, steps: list[str]) -> DataFrame:

@@ -106,6 +106,10 @@ def collapse_events(df: DataFrame, schema: StreamSchema, keys: list[str], levels
     if len(given) != 1:
         raise ParameterError(f"give one of {list(modes)}, got {given}")
     mode, w, columns = given[0], schema.window(keys), df.columns
+    if mode == "group_col" and group_col not in columns:
+        raise ParameterError(f"no column {group_col!r}")
+    if mode == "group_col" and group_col == schema.event_col:
+        raise ParameterError(f"group_col is not the event column {group_col!r}; loops=True merges runs of one event")
     cases, fallback, name_col = _names(mode, name)
     agg = dict(agg or {})
     if bad := sorted(set(agg.values()) - set(AGGREGATES)):
@@ -118,8 +122,6 @@ def collapse_events(df: DataFrame, schema: StreamSchema, keys: list[str], levels
         rows = df.withColumn("__apart", apart.cast("int")).withColumn(GROUP, F.sum("__apart").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__apart")
         if mode == "loops" and loops is not True:
             rows = rows.withColumn(GROUP, F.when(values_in(schema.event_col, loops), F.col(GROUP)))
-        if mode == "group_col":
-            rows = rows.withColumn(GROUP, F.when(F.col(group_col).isNotNull(), F.col(GROUP)))
     elif mode == "event_groups":
         rows = by_events(df, schema, keys, event_groups, timeout)
     else:

@@ -252,11 +252,10 @@ def route_stats(df: DataFrame, schema: StreamSchema, keys: list[str], nodes: lis
     pairs = list(zip(nodes, nodes[1:], strict=False))
     follows = F.lead(e).over(w)
     rows = rows.select(*keys, F.coalesce(test, F.lit(False)).alias("hit"), took.alias("took"), F.col(e).alias("src"), follows.alias("dst"), (F.col("__kind") == PATH_START).alias("first"))
-    per = rows.groupBy(*keys).agg(F.count(F.when(F.col("hit"), 1)).alias("n"), F.collect_list(F.when(F.col("hit"), F.col("took"))).alias("t"), *(F.count(F.when((F.col("src") == a) & (F.col("dst") == b), 1)).alias(f"e{i}") for i, (a, b) in enumerate(pairs)), *(F.count(F.when((F.col("src") == a) & F.col("dst").isNotNull(), 1)).alias(f"o{i}") for i, (a, _) in enumerate(pairs)))
-    times = per.select(F.explode_outer(F.when(F.size("t") > 0, F.col("t"))).alias("x"), *(c for c in per.columns if c not in ("t", *keys)))
-    # percentiles need the single times, sums the paths: two aggregates of one row each
+    per = rows.groupBy(*keys).agg(F.count(F.when(F.col("hit"), 1)).alias("n"), *(F.count(F.when((F.col("src") == a) & (F.col("dst") == b), 1)).alias(f"e{i}") for i, (a, b) in enumerate(pairs)), *(F.count(F.when((F.col("src") == a) & F.col("dst").isNotNull(), 1)).alias(f"o{i}") for i, (a, _) in enumerate(pairs)))
+    # percentiles need the single times, sums the paths: two aggregates of one row each over one shuffle
     sums = per.agg(F.sum("n").alias("occurrences"), F.count(F.when(F.col("n") > 0, 1)).alias("unique_paths"), F.count(F.lit(1)).alias("paths"), *(F.sum(f"e{i}").alias(f"e{i}") for i in range(k)), *(F.sum(f"o{i}").alias(f"o{i}") for i in range(k)))
-    quantiles = times.agg(F.percentile("x", F.lit(0.5)).alias("time_median"), F.percentile("x", F.lit(0.95)).alias("time_q95"))
+    quantiles = rows.filter("hit").agg(F.percentile("took", F.lit(0.5)).alias("time_median"), F.percentile("took", F.lit(0.95)).alias("time_q95"))
     chain = F.lit(1.0)
     for i in range(k):
         chain = chain * F.coalesce(F.try_divide(F.col(f"e{i}"), F.col(f"o{i}")), F.lit(0.0))

@@ -143,7 +143,7 @@ l AS (SELECT *, max(CASE WHEN act = 1 THEN day END) OVER (PARTITION BY user_id O
 SELECT user_id, day::TIMESTAMP AS timestamp, CASE WHEN act = 1 THEN CASE WHEN p IS NULL THEN 'new' WHEN p >= day - 7 THEN 'current' WHEN p >= day - 30 THEN 'reactivated' ELSE 'resurrected' END WHEN p >= day - 7 THEN 'at_risk_wau' WHEN p >= day - 30 THEN 'at_risk_mau' ELSE 'dormant' END AS event FROM l""")(lambda s: s.to_daily_states(active_events=["purchase"], max_dormant_days=5).df.select("user_id", "timestamp", "event"))
 
 query("segment_rules", "SELECT user_id, event_id, event, CASE WHEN value > 7 THEN 'high' WHEN event IN ('view', 'click') THEN 'browse' ELSE 'rest' END AS tier FROM ev")(lambda s: rows(s.add_segment("tier", rules=[["value", ">", 7, "high"], ["event", "in", ["view", "click"], "browse"], "rest"]), "tier"))
-query("segment_sql", "SELECT user_id, event_id, event, CASE WHEN value > 5 THEN 'a' ELSE 'b' END AS half FROM ev")(lambda s: rows(s.add_segment("half", sql="SELECT *, IF(value > 5, 'a', 'b') AS half FROM eventstream"), "half"))
+query("segment_sql", "SELECT user_id, event_id, event, CASE WHEN value > 5 THEN 'a' ELSE 'b' END AS half FROM ev")(lambda s: rows(s.add_segment("half", sql="SELECT IF(value > 5, 'a', 'b') FROM eventstream"), "half"))
 query("segment_time_range", "SELECT user_id, event_id, event, CASE WHEN timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10 12:00:00' THEN 'inside' ELSE 'outside' END AS early FROM ev")(lambda s: rows(s.add_segment("early", time_range=("2024-01-05", "2024-01-10 12:00:00")), "early"))
 query("segment_funnel", """, f AS (SELECT session_id, min(CASE WHEN event = 'view' THEN idx END) AS a FROM ss GROUP BY 1), h AS (SELECT f.*, (SELECT min(idx) FROM ss WHERE ss.session_id = f.session_id AND event = 'click' AND idx > a) AS b FROM f)
 SELECT user_id, event_id, event, CASE WHEN b IS NOT NULL THEN 'click' WHEN a IS NOT NULL THEN 'view' ELSE 'out_of_funnel' END AS deep FROM ss JOIN h USING (session_id)""", sessions)(lambda s: rows(s.add_segment("deep", funnel_events=["view", "click"], path_col="session_id"), "deep"))
@@ -175,6 +175,53 @@ query("resolve_anchors", """, m AS (SELECT a.user_id, a.idx AS i, b.idx AS j FRO
 SELECT user_id, 0::BIGINT AS ordinal, min(i) AS step, min(i) AS "index" FROM m GROUP BY 1 UNION ALL SELECT user_id, 1, min(j), min(j) FROM m GROUP BY 1""")(lambda s: s.resolve_anchors("view->[^purchase]*->click"))
 
 
+_PAIRS = ", m AS (SELECT a.user_id, a.idx AS i, b.idx AS j FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.idx > a.idx WHERE a.event = 'view' AND b.event = 'click')"
+query("resolve_last", _PAIRS + """ SELECT user_id, 0::BIGINT AS ordinal, max(i) AS step, max(i) AS "index" FROM m GROUP BY 1 UNION ALL SELECT user_id, 1, max(j), max(j) FROM m GROUP BY 1""")(lambda s: s.resolve_anchors("view->.*->click", "last"))
+query("resolve_all", _PAIRS + """ SELECT DISTINCT user_id, 0::BIGINT AS ordinal, i AS step, i AS "index" FROM m UNION ALL SELECT DISTINCT user_id, 1, j, j FROM m""")(lambda s: s.resolve_anchors("view->.*->click", "all"))
+query("restrict_to_pattern", "SELECT user_id, event_id, event FROM ev WHERE user_id IN (SELECT a.user_id FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.idx = a.idx + 1 WHERE a.event = 'signup' AND b.event <> 'error')")(lambda s: rows(s.restrict_to_pattern("signup->[^error]")))
+query("restrict_class_gap", """ SELECT user_id, event_id, event FROM ev WHERE user_id IN (SELECT a.user_id FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.idx > a.idx WHERE a.event = 'signup' AND b.event IN ('purchase', 'error')
+AND NOT EXISTS (SELECT 1 FROM ev c WHERE c.user_id = a.user_id AND c.idx > a.idx AND c.idx < b.idx AND c.event NOT IN ('view', 'click')))""")(lambda s: rows(s.restrict_to_pattern("signup->[view|click]*->[purchase|error]")))
+query("anchor_all_starts", ", a AS (SELECT a.user_id, a.idx FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.idx = a.idx + 1 WHERE a.event = 'view' AND b.event = 'click') SELECT user_id, event_id, event FROM ev UNION ALL SELECT user_id, event_id, 'pair' FROM ev JOIN a USING (user_id, idx)")(lambda s: rows(s.add_events("pair", anchor={"pattern": "view->click", "at": "start", "occurrence": "all"})))
+_MOVED = """, a AS (SELECT user_id, arg_min(timestamp, idx) AS t FROM ev WHERE event = 'view' GROUP BY 1), b AS (SELECT a.user_id, coalesce({ok}, {edge}) AS idx FROM a JOIN ev USING (user_id) GROUP BY a.user_id)
+SELECT user_id, event_id, event FROM ev UNION ALL SELECT user_id, event_id, 'mark' FROM ev JOIN b USING (user_id, idx)"""
+query("anchor_duration_offset", _MOVED.format(ok="min(CASE WHEN timestamp >= t + INTERVAL 1 DAY THEN idx END)", edge="max(idx)"))(lambda s: rows(s.add_events("mark", anchor={"pattern": "view", "offset": "1d", "offset_side": "start"})))
+query("anchor_offset_back", _MOVED.format(ok="max(CASE WHEN timestamp <= t - INTERVAL 12 HOUR THEN idx END)", edge="min(idx)"))(lambda s: rows(s.add_events("mark", anchor={"pattern": "view", "offset": "-12h"})))
+query("anchor_event_col", ", a AS (SELECT user_id, min(idx) AS i FROM ev WHERE seg = '2' GROUP BY 1) SELECT user_id, event_id, event FROM ev JOIN a USING (user_id) WHERE idx >= i")(lambda s: rows(s.truncate_paths({"pattern": "2", "event_col": "seg"})))
+query("truncate_several_anchors", """, b AS (SELECT user_id, min(CASE WHEN event = 'purchase' THEN idx END) AS p, min(CASE WHEN event = 'error' THEN idx END) AS e FROM ev GROUP BY 1)
+SELECT user_id, event_id, event FROM ev JOIN b USING (user_id) WHERE idx <= coalesce(least(p, e), p, e)""")(lambda s: rows(s.truncate_paths(end_anchor=["purchase", "error"])))
+query("sessions_separator_timeout", """, c AS (SELECT *, event = 'signup' AS cut, max((event = 'signup')::INT) OVER w AS seen, coalesce(epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w) > 21600000000, false) AS pause FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY idx)), d AS (SELECT *, NOT cut AND seen = 1 AS i FROM c),
+n AS (SELECT *, CASE WHEN i THEN sum((i AND (NOT coalesce(l, false) OR pause))::INT) OVER (PARTITION BY user_id ORDER BY idx) END::BIGINT AS n FROM (SELECT *, lag(i) OVER (PARTITION BY user_id ORDER BY idx) AS l FROM d))
+SELECT user_id, event_id, event, CASE WHEN n IS NOT NULL THEN user_id || '_' || n END AS session_id, n AS session_index FROM n WHERE NOT cut""")(lambda s: rows(s.split_sessions(separator="signup", timeout="6h"), "session_id", "session_index"))
+query("collapse_group_null", _RUNS.format(cut="idx = 1 OR l IS DISTINCT FROM CASE WHEN value > 5 THEN 'high' END", by="CASE WHEN value > 5 THEN 'high' END") + " SELECT user_id, min(event_id) AS event_id, any_value(CASE WHEN value > 5 THEN 'high' END) AS event, 'collapsed' AS kind FROM r GROUP BY user_id, g")(
+    lambda s: s.add_segment("part", func=lambda df: F.when(df["value"] > 5, "high")).collapse_events(group_col="part", agg={"event_id": "min"}).df.select("user_id", "event_id", "event", F.col("__kind").alias("kind"))
+)
+query("collapse_aggregates", _RUNS.format(cut="l IS DISTINCT FROM seg || event", by="seg || event") + " SELECT user_id, min(event_id) AS event_id, any_value(event) AS event, arg_max(value, idx) AS value FROM r GROUP BY user_id, g")(lambda s: rows(s.collapse_events(loops=True, agg={"value": "last", "event_id": "min"}), "value"))
+query("segment_sql_column", "SELECT user_id, event_id, event, CASE WHEN idx <= 3 THEN 'first' ELSE 'later' END AS phase FROM ev")(lambda s: rows(s.add_segment("phase", sql="SELECT CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY timestamp, event_id) <= 3 THEN 'first' ELSE 'later' END FROM eventstream"), "phase"))
+query("rename_levels", "SELECT user_id, event_id, event, CASE seg WHEN '0' THEN 'zero' WHEN '1' THEN 'one' ELSE seg END AS seg FROM ev")(lambda s: rows(s.rename_segment_levels("seg", {"0": "zero", "1": "one"}), "seg"))
+query("promote_segment", "SELECT user_id AS level, count(*) AS n FROM ev GROUP BY 1 HAVING user_id < 5")(lambda s: s.add_segment("value").drop_segment("value").df.filter("user_id < 5").groupBy(F.col("user_id").alias("level")).agg(F.count(F.lit(1)).alias("n")))
+query("segment_metric_edges", """, m AS (SELECT user_id, (min(CASE WHEN event = 'click' THEN epoch_us(timestamp) END) - min(CASE WHEN event = 'view' THEN epoch_us(timestamp) END)) / 1e6 AS v FROM ev GROUP BY 1)
+SELECT user_id, event_id, event, CASE WHEN v IS NULL THEN 'undefined' WHEN v < 0 THEN 'before' WHEN v < 86400 THEN 'a day' ELSE 'later' END AS soon FROM ev JOIN m USING (user_id)""")(lambda s: rows(s.add_segment("soon", metric_bins={"metric": {"metric": "time_between", "metric_args": {"start_event": "view", "end_event": "click"}}, "edges": [0, 86400], "segment_levels": ["before", "a day", "later"]}), "soon"))
+query("daily_states_fill", """, d AS (SELECT user_id, timestamp::DATE AS day, arg_min(value, idx) AS value FROM ev GROUP BY ALL), r AS (SELECT user_id, min(day) AS a, least(max(day) + 5, (SELECT max(timestamp)::DATE FROM ev)) AS z FROM d GROUP BY 1),
+g AS (SELECT user_id, unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE AS day FROM r)
+SELECT g.user_id, g.day::TIMESTAMP AS timestamp, last_value(d.value IGNORE NULLS) OVER (PARTITION BY g.user_id ORDER BY g.day) AS value FROM g LEFT JOIN d ON g.user_id = d.user_id AND g.day = d.day""")(lambda s: s.to_daily_states(max_dormant_days=5).df.select("user_id", "timestamp", "value"))
+query("step_matrix_diff", """, n AS (SELECT seg AS g, idx AS step, event, count(*) AS n FROM ev WHERE idx <= 3 AND seg IN ('0', '1') GROUP BY ALL), p AS (SELECT seg AS g, count(DISTINCT user_id) AS p FROM ev GROUP BY 1),
+v AS (SELECT g, step, event, n / p::DOUBLE AS v FROM n JOIN p USING (g) UNION ALL SELECT g, 0, 'path_start', 1.0 FROM p WHERE g IN ('0', '1') UNION ALL SELECT g, step, 'path_end', 1.0 - sum(n)::BIGINT / p::DOUBLE FROM n JOIN p USING (g) GROUP BY g, step, p HAVING sum(n) < p)
+SELECT step, event, coalesce(max(CASE WHEN g = '0' THEN v END), 0) - coalesce(max(CASE WHEN g = '1' THEN v END), 0) AS value FROM v GROUP BY step, event""")(lambda s: s.step_matrix_data(max_steps=3, diff=("seg", "0", "1")))
+_EDGES = """, w AS (SELECT user_id, event, idx, {g} AS g FROM ev), x AS (SELECT user_id, g, event, idx, 2 AS k FROM w WHERE g IS NOT NULL UNION ALL SELECT user_id, g, 'path_start', min(idx), 0 FROM w WHERE g IS NOT NULL GROUP BY ALL UNION ALL SELECT user_id, g, 'path_end', max(idx), 4 FROM w WHERE g IS NOT NULL GROUP BY ALL),
+y AS (SELECT g, event AS src, lead(event) OVER (PARTITION BY user_id, g ORDER BY idx, k) AS dst FROM x), c AS (SELECT g, src, dst, count(*) AS n FROM y WHERE dst IS NOT NULL GROUP BY ALL)
+SELECT src, dst, (coalesce(max(CASE WHEN g = 1 THEN n END), 0) - coalesce(max(CASE WHEN g = 2 THEN n END), 0))::DOUBLE AS value FROM c GROUP BY ALL"""
+query("transitions_diff_ids", _EDGES.format(g="CASE WHEN user_id IN (1, 2, 3, 4) THEN 1 WHEN user_id IN (5, 6, 7) THEN 2 END"))(lambda s: s.transition_graph_data("count", diff=([1, 2, 3, 4], [5, 6, 7])))
+query("transitions_diff_missing", _EDGES.format(g="CASE WHEN value > 5 THEN 1 ELSE 2 END"))(lambda s: s.add_segment("part", func=lambda df: F.when(df["value"] > 5, "high")).transition_graph_data("count", diff=("part", "high", "<MISSING>")))
+query("overview_quantiles", _OV + " UNION ALL ".join([" SELECT 'segment_size' AS metric, 'size' AS agg, level, count(*)::DOUBLE AS value FROM m GROUP BY level", "SELECT 'segment_share', 'share', level, count(*) / (SELECT count(*) FROM m)::DOUBLE FROM m GROUP BY level", *(f"SELECT 'length', 'q{q}', level, quantile_cont(length, 0.{q:02d}) FROM m GROUP BY level" for q in (5, 25, 75, 95))]))(
+    lambda s: s.segment_overview_data("seg", [{"metric": "length", "agg": f"q{q}"} for q in (5, 25, 75, 95)])
+)
+_metric("metric_in_segment_bulk", "SELECT user_id, " + ", ".join(f"max((seg = '{v}')::INT) AS in_segment_seg_{v}_any" for v in "012") + " FROM ev GROUP BY 1", [{"metric": "in_segment_bulk"}])
+_metric("metric_event_col", "SELECT session_id, count(CASE WHEN seg = '1' THEN 1 END) AS event_count_seg_1, max((seg = '2')::INT) AS has_event_seg_2 FROM ss GROUP BY 1", [{"metric": "event_count", "metric_args": {"event": "1", "event_col": "seg"}}, {"metric": "has_event", "metric_args": {"event": "2", "event_col": "seg"}}], sessions, "session_id")
+query("sample_paths_whole", "SELECT count(DISTINCT user_id) AS paths, 0::BIGINT AS cut FROM (SELECT DISTINCT user_id FROM ev LIMIT 20)")(
+    lambda s: s.sample_paths(n=20, random_state=3).df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(s.df.groupBy("user_id").agg(F.count(F.lit(1)).alias("of")), "user_id").agg(F.count(F.lit(1)).alias("paths"), F.count(F.when(F.col("n") != F.col("of"), 1)).alias("cut"))
+)
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> Stream:
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_extract("url", "^https?://([^/]*)", 1).alias("user_id"), F.lit("page").alias("event"), F.col("page_id").alias("timestamp"), "page_id", "url")
     return Stream.from_dataframe(rows, {"path_cols": ["user_id"]}, order_col="page_id", validate=False, strict=False)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .errors import EmptyResultError, ParameterError, UnknownNameError
 from .functions.metrics import path_metrics
-from .functions.patterns import resolve_anchors
+from .functions.patterns import anchors_of, parse_pattern, resolve_anchors
 from .operators import added, paths, rows, segments, sessions, urls
 from .plans import learned, tools
 from .schema import BOUNDS, IDX, KIND, MISSING, RANK, RANKS, REST, StreamSchema, is_bound, without_bounds
@@ -43,6 +43,7 @@ class Stream:
     def __init__(self, df: DataFrame, schema: StreamSchema, recipe_ops: tuple = (), strict: bool = True):
         self.df, self.schema, self.recipe_ops, self.strict = df, schema, recipe_ops, strict
         self._levels: dict[str, list] = {}
+        self._present: dict[str, dict] = {}
 
     # sources
 
@@ -89,12 +90,22 @@ class Stream:
         a, b = (s.to_dataframe().select(*cols, IDX) if IDX not in cols else s.to_dataframe().select(*cols) for s in (self, other))
         return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
-    def levels(self, column: str) -> list:
-        """Sorted distinct values of a column that aren't missing; looked up once for a stream."""
+    def levels(self, column: str, among=None) -> list:
+        """Sorted distinct values of a column that aren't missing; looked up once for a stream.
+
+        With ``among`` only which of these values there are: no more reach the driver than are asked about.
+        """
+        if column not in self.df.columns:
+            raise UnknownNameError(f"no column {column!r}")
+        real = without_bounds(self.df)
+        if among is not None and column not in self._levels:
+            asked, seen = list(dict.fromkeys(among)), self._present.setdefault(column, {})
+            if new := [v for v in asked if v not in seen]:
+                there = {r[0] for r in real.filter(F.col(column).isin(*new)).select(column).distinct().collect()}
+                texts = {str(v) for v in there}
+                seen.update({v: v in there or str(v) in texts for v in new})
+            return [v for v in asked if seen[v]]
         if column not in self._levels:
-            if column not in self.df.columns:
-                raise UnknownNameError(f"no column {column!r}")
-            real = without_bounds(self.df)
             self._levels[column] = sorted((r[0] for r in real.select(column).filter(F.col(column).isNotNull()).distinct().collect()), key=str)
         return self._levels[column]
 
@@ -121,8 +132,19 @@ class Stream:
 
     def _known(self, column: str, names) -> None:
         names = [names] if isinstance(names, str) else list(names)
-        if self.strict and (bad := [n for n in names if n not in self.levels(column) and n not in BOUNDS]):
-            raise UnknownNameError(f"{column} has no value {bad}")
+        if self.strict and names:
+            there = self.levels(column, names)
+            if bad := [n for n in names if n not in there and n not in BOUNDS]:
+                raise UnknownNameError(f"{column} has no value {bad}")
+
+    def _known_pattern(self, *patterns, event_col: str | None = None, absent_narrows: bool = False) -> None:
+        """Names in patterns and anchors must be events: a mistyped one would find nothing, or everything."""
+        if not self.strict:
+            return
+        for p in patterns:
+            for spec in anchors_of(p) if p is not None else []:
+                column, parsed = spec.event_col or event_col or self.schema.event_col, parse_pattern(spec.pattern)
+                parsed.check_names(set(self.levels(column, parsed.candidates())), absent_narrows)
 
     def _of(self, df: DataFrame, schema: StreamSchema | None = None) -> Stream:
         return Stream(df, schema or self.schema, self.recipe_ops, self.strict)
@@ -166,6 +188,7 @@ class Stream:
 
     @op
     def restrict_to_pattern(self, pattern: str, path_col: str | None = None) -> Stream:
+        self._known_pattern(pattern)
         return self._of(tools.restrict(self.df, self.schema, self.schema.keys(path_col), pattern))
 
     # added and merged rows
@@ -184,6 +207,7 @@ class Stream:
         if sql is not None:
             return self._of(added.add_sql_events(self.df, self.schema, name, sql))
         if anchor is not None:
+            self._known_pattern(anchor)
             return self._of(added.add_anchor_events(self.df, self.schema, self.schema.keys(path_col), name, anchor))
         return self._of(added.add_churn_events(self.df, self.schema, name, **churn))
 
@@ -197,6 +221,8 @@ class Stream:
 
     @op
     def truncate_paths(self, start_anchor=None, end_anchor=None, path_col: str | None = None) -> Stream:
+        # of several anchors some may name what isn't there
+        self._known_pattern(start_anchor, end_anchor, absent_narrows=True)
         return self._of(paths.truncate_paths(self.df, self.schema, self.schema.keys(path_col), start_anchor, end_anchor))
 
     @op
@@ -228,6 +254,8 @@ class Stream:
             df = self.df.withColumn(name, value if isinstance(value, Column) else F.lit(value))
         elif sql is not None:
             df = segments.by_sql(self.df, name, sql)
+            if self.strict and df.count() != self.df.count():
+                raise ParameterError("the query must return a value for each row of the stream")
         elif funnel_events is not None:
             self._known(self.schema.event_col, funnel_events)
             df = segments.by_funnel(self.df, self.schema, keys, name, funnel_events)
@@ -264,6 +292,7 @@ class Stream:
         return path_metrics(self.df, self.schema, keys, metrics, self.levels, self.strict)[0]
 
     def resolve_anchors(self, pattern: str, occurrence: str = "first", path_col: str | None = None, event_col: str | None = None) -> DataFrame:
+        self._known_pattern(pattern, event_col=event_col)
         return resolve_anchors(self.df, self.schema, self.schema.keys(path_col), pattern, occurrence, event_col)
 
     def _tagged(self, diff: tuple) -> DataFrame:
@@ -300,6 +329,7 @@ class Stream:
 
     def step_matrix_data(self, max_steps: int | None = None, path_col: str | None = None, diff: tuple | None = None, path_pattern: str | None = None, anchor=None) -> DataFrame:
         keys = self.schema.keys(path_col)
+        self._known_pattern(path_pattern, anchor)
         if path_pattern is None and anchor is None:
             return self._asked(lambda df, g: tools.step_matrix(df, self.schema, keys, max_steps, g), diff, ["step", "event"], "value")
         return self._asked(lambda df, g: tools.centred_matrix(df, self.schema, keys, max_steps or 5, path_pattern, anchor, group=g), diff, ["block", "step", "event"], "value")
@@ -318,6 +348,7 @@ class Stream:
         return parts[0].join(parts[1], ["step_index", "step"]).join(parts[2], ["step_index", "step"])
 
     def get_conversion_rate(self, start_anchor, end_anchor, within=None, path_col: str | None = None) -> DataFrame:
+        self._known_pattern(start_anchor, end_anchor)
         return tools.conversion(self.df, self.schema, self.schema.keys(path_col), start_anchor, end_anchor, within)
 
     def segment_overview_data(self, segment_col: str, metrics: list | None = None, path_col: str | None = None) -> DataFrame:
@@ -352,6 +383,7 @@ class Stream:
         return out
 
     def route_stats(self, nodes: list[str], path_col: str | None = None) -> DataFrame:
+        self._known(self.schema.event_col, nodes)
         return tools.route_stats(self.df, self.schema, self.schema.keys(path_col), nodes)
 
 
