@@ -120,7 +120,8 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80) -
         return of
 
     verify = set_verifier(lambda ids: chosen_sets(docs, ids, homes, sets_in), percent)
-    links, label = linked(postings, ["n", "i"], _keep(percent), verify, ORDERS, bits, percent, PARITY_WORDS)
+    # a set of which little is rarer than what it shares is likely to be what the others are copies of
+    links, label = linked(postings, ["n", "i"], _keep(percent), verify, ORDERS, bits, percent, PARITY_WORDS, rank="i")
     return table, links, label
 
 

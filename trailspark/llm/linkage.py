@@ -28,13 +28,14 @@ ID_BITS = 26
 Keep = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def shared_lists(postings: DataFrame, payload: list[str], orders: int) -> DataFrame:
+def shared_lists(postings: DataFrame, payload: list[str], orders: int, rank: str | None = None) -> DataFrame:
     """Postings (s, k, payload) of keys that at least two items have, with the list's size m and leader; written.
 
-    Leaders are drawn by one of ``orders`` orders, by the key of the list, so that a large group gets a few leaders.
+    A leader has the least ``rank``; of several it is drawn by one of ``orders`` orders, by the key of the
+    list, so that a large group gets a few leaders.
     """
     dealt = postings.select("s", "k", *payload).repartition("s")
-    order = F.xxhash64("k", F.pmod("s", F.lit(orders)))
+    order = F.struct(*([F.col(rank).alias("rank")] if rank else []), F.xxhash64("k", F.pmod("s", F.lit(orders))).alias("h"))
     lists = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(order.alias("r"), "k", *payload)).alias("lead")).filter("m > 1")
     return materialize(dealt.join(lists, "s"))
 
@@ -77,6 +78,20 @@ def _sieved(pairs: DataFrame, bits: DataFrame, percent: int, words: int) -> Data
     return both.filter(suffix_filter(lambda c: F.col("x")[c], lambda c: F.col("y")[c], percent, words)).select("a", "b")
 
 
+def open_lists(heavy: DataFrame, labels: DataFrame) -> DataFrame:
+    """The long lists of which some item isn't in the component of its leader, whole; written.
+
+    An item has the same leader in many lists, so each pair of them is looked up once.
+    """
+    pairs = heavy.select("k", F.col("lead.k").alias("l")).filter("k <> l").distinct()
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    known = pairs.join(of("k"), "k", "left").join(of("l"), "l", "left")
+    apart = known.filter(F.coalesce("k_label", "k") != F.coalesce("l_label", "l")).select("k", "l")
+    rows = heavy.withColumn("l", F.col("lead.k")).drop("lead")
+    keys = rows.join(apart, ["k", "l"], "left_semi").select("s").distinct()
+    return materialize(rows.drop("l").join(keys, "s", "left_semi"))
+
+
 def _placed(heavy: DataFrame, labels: DataFrame) -> DataFrame:
     """Long lists with the label of each item, the list's most frequent label and the size of what is outside it."""
     known = heavy.join(labels.select(F.col("id").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
@@ -169,29 +184,33 @@ def components(links: DataFrame) -> DataFrame:
     """(id, label) of the items in ``links`` (a, b): the smallest id that links reach.
 
     In each round all items of one label take the smallest label that any of them has for a neighbour;
-    every aggregate is a minimum, so no list of neighbours is ever built.  Labels only fall, so the
-    rounds come to an end.
+    every aggregate is a minimum, so no list of neighbours is ever built.  Links within a label are
+    dropped, and links between the same labels become one.  Labels only fall, so the rounds come to an end.
     """
-    edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select("b", "a")))
-    label = materialize(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
-    settled_all = label.isEmpty()
-    while not settled_all:
-        near = edges.join(label.select(F.col("id").alias("v"), F.col("label").alias("there")), "v").join(label.select(F.col("id").alias("u"), F.col("label").alias("here")), "u")
-        falls = materialize(near.filter("there < here").groupBy("here").agg(F.min("there").alias("there")))
-        settled_all = falls.isEmpty()
-        if not settled_all:
-            label = materialize(label.join(falls, F.col("label") == F.col("here"), "left").select("id", F.coalesce("there", "label").alias("label")))
-    return label
-
-
-def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable[[DataFrame], DataFrame], orders: int, bits: DataFrame | None = None, percent: int = 0, words: int = 0) -> tuple[DataFrame, DataFrame]:
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("v")).unionAll(links.select("b", "a"))
+    label = materialize(both.groupBy("id").agg(F.least("id", F.min("v")).alias("label")))
+    step, left = label, links
+    while True:
+        # links between labels, from the greater to the smaller
+        to = lambda c: step.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
+        at = lambda c: F.coalesce(f"{c}_label", c)
+        moved = left.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.greatest(at("a"), at("b")).alias("a"), F.least(at("a"), at("b")).alias("b"))
+        left = materialize(moved.filter("a <> b").distinct())
+        if left.isEmpty():
+            return label
+        step = materialize(left.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")))
+        label = materialize(label.join(step.select(F.col("id").alias("label"), F.col("label").alias("lower")), "label", "left").select("id", F.coalesce("lower", "label").alias("label")))
+
+
+def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable[[DataFrame], DataFrame], orders: int, bits: DataFrame | None = None, percent: int = 0, words: int = 0, rank: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all that is connected, and the components (id, label).
 
     ``verify`` keeps the pairs (a, b) that are links.  ``bits``, if any: k, n, bits (parity) of every item,
-    to drop pairs before.
+    to drop pairs before.  ``rank``: a payload column that is least where an item is likely to be like most
+    of a list.
     """
     sieve = None if bits is None else (lambda x, y: suffix_filter(x, y, percent, words))
-    lists = shared_lists(postings, payload, orders)
+    lists = shared_lists(postings, payload, orders, rank)
 
     def sieved(pairs: DataFrame) -> DataFrame:
         return pairs if bits is None else _sieved(pairs, bits, percent, words)
@@ -199,7 +218,10 @@ def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable
     tried = materialize(sieved(first_pairs(lists, payload, keep)))
     links = materialize(verify(tried))
     label = components(links)
-    heavy = lists.filter(F.col("m") > LIGHT).drop("lead")
+    heavy = lists.filter(F.col("m") > LIGHT)
+    if heavy.isEmpty():
+        return links, label
+    heavy = open_lists(heavy, label)
     if heavy.isEmpty():
         return links, label
 
