@@ -139,3 +139,52 @@ def test_boundary_rows_need_no_second_shuffle(small):
 
 def test_levels_bring_only_what_is_asked(small):
     assert small.levels("event", ["x", "oops"]) == ["x"] and not small._levels
+
+
+def test_clusters_over_a_grid(spark):
+    import numpy as np
+
+    rows = [(f"u{u}", e, k) for u in range(60) for k, e in enumerate(["x"] * (1 + 6 * (u % 3)) + ["y"] * (1 + 5 * (u % 2)))]
+    s = stream(spark, rows)
+    features = [{"metric": "event_count", "metric_args": {"event": e}} for e in "xy"]
+    out = s.cluster_analysis_data(features, method_args={"n_clusters": [2, 6]}, nmf_components=[2])
+    grid = out["silhouette"]
+    assert grid["params"] == [{"n_clusters": 2, "nmf_components": 2}, {"n_clusters": 6, "nmf_components": 2}] and grid["best_index"] == 1
+    assert out["best_params"] == {"method": "kmeans", "method_args": {"n_clusters": 6}, "scaler": "minmax", "nmf_components": 2}
+    # weights times parts give the scaled features back, so cluster means do too
+    means = np.array(list(out["nmf"]["W_cluster_means"].values())) @ np.array(out["nmf"]["H_matrix"])
+    assert sorted(map(tuple, np.round(means, 1).tolist())) == [(0.0, 0.0), (0.0, 1.0), (0.5, 0.0), (0.5, 1.0), (1.0, 0.0), (1.0, 1.0)]
+    chosen = s.cluster_analysis_data(features, n_clusters="2-3", select={"n_clusters": 3})
+    assert chosen["n_clusters"] == 3 and chosen["silhouette"]["selected_index"] == 1
+    same = s.add_clusters("c", features, n_clusters=6).df.select("user_id", "c").distinct().collect()
+    groups = {}
+    for r in same:
+        groups.setdefault(r["c"], set()).add(int(r["user_id"][1:]) % 6)
+    assert len(groups) == 6 and all(len(g) == 1 for g in groups.values())
+    for bad in ({"method": "other"}, {"method_args": {"eps": 1}}, {"select": {"n_clusters": 9}}):
+        with pytest.raises(ParameterError):
+            s.cluster_analysis_data(features, **bad)
+
+
+def test_distributions_follow_the_data(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    minutes = {f"u{i}": float(m) for i, m in enumerate(np.concatenate((rng.normal(50, 9, 80), rng.normal(70, 9, 120))))}
+    rows = [(u, e, m) for u, t in minutes.items() for e, m in (("x", 0), ("y", round(t, 3)))]
+    s = stream(spark, rows).add_segment("part", rules=[["user_id", "in", [f"u{i}" for i in range(80)], "low"], "high"])
+    out = s.get_metric_distribution("part", "duration", ["low", "high"])
+    seconds_of = np.array([round(t, 3) * 60 for t in minutes.values()])
+    low, high = seconds_of[:80], seconds_of[80:]
+    edges = np.histogram_bin_edges(seconds_of, "auto")
+    assert not out["discrete"] and not out["log"] and np.allclose(out["edges"], edges, atol=1e-3)
+    for name, own in (("low", low), ("high", high)):
+        got = out["levels"][name]
+        assert sum(got["histogram"]) == len(own) and np.abs(np.array(got["histogram"]) - np.histogram(own, edges)[0]).sum() <= 2
+        x, y = map(np.array, got["density"])
+        width = own.std(ddof=1) * len(own) ** -0.2
+        assert np.allclose(y, np.exp(-0.5 * ((x[:, None] - own) / width) ** 2).mean(1) / (width * np.sqrt(2 * np.pi)), atol=1e-6)
+    grid = np.sort(seconds_of)
+    cdf = lambda own: np.searchsorted(np.sort(own), grid[:-1], "right") / len(own)
+    assert out["distance"] == pytest.approx((np.abs(cdf(low) - cdf(high)) * np.diff(grid)).sum(), rel=1e-6)
+    assert s.get_metric_distribution("part", "length")["levels"]["low"]["histogram"] == [80]

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
 from ..schema import MISSING
+from .tools import complement_distance
 
-#: Points of which a silhouette is computed; it compares all pairs of them.
+#: Points of which a silhouette is computed; it compares all pairs of them.
 SILHOUETTE_POINTS = 2000
 
 
@@ -60,78 +62,169 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float | None:
     return float(s.mean())
 
 
-def nmf(gram_of, features: int, parts: int, rounds: int = 200, seed: int = 42) -> np.ndarray:
-    """Nonnegative parts (parts x features) from the Gram matrix of nonnegative rows alone.
+def _weights(x: np.ndarray, h: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Nonnegative weights w of the parts ``h`` for each row of x, x near w h: multiplicative updates of each row by itself."""
+    w = np.full((len(x), len(h)), max(1e-9, float(x.mean())) if x.size else 1.0)
+    target, gram = x @ h.T, h @ h.T
+    for _ in range(rounds):
+        w *= target / np.maximum(w @ gram, 1e-12)
+    return w
+
 
-    With projective updates H <- H * (H G) / (H G H' H) the rows themselves are never needed, so the
-    matrix may have any number of them.
+def nmf(rows: DataFrame, inputs: list[str], parts: int, rounds: int = 12, seed: int = 42) -> tuple[np.ndarray, DataFrame]:
+    """H (parts x features) of nonnegative rows near W H, and ``rows`` with W in a column ``__w``.
+
+    The sides take turns.  Given H, each row has its weights by itself; given all weights, H needs only the
+    sums W'W and W'X, one aggregate of a row.
     """
-    g = np.asarray(gram_of, float)
-    h = np.abs(np.random.default_rng(seed).normal(1.0, 0.3, (parts, features)))
-    for _ in range(rounds):
-        hg = h @ g
-        h *= np.sqrt(np.maximum(hg, 1e-12) / np.maximum(hg @ h.T @ h, 1e-12))
-        h /= max(1e-12, np.sqrt(np.trace(h @ g @ h.T) / max(1e-12, np.trace(g))))
-    return h
+    k = len(inputs)
+    scale = rows.agg(*(F.avg(c).alias(c) for c in inputs)).first()
+    level = np.array([float(scale[c] or 0.0) for c in inputs])
+    h = np.abs(np.random.default_rng(seed).normal(1.0, 0.5, (parts, k))) * (level + 1e-3)
 
+    def weighted(h: np.ndarray) -> DataFrame:
+        @F.pandas_udf("array<double>")
+        def weights(x: pd.Series) -> pd.Series:
+            return pd.Series(list(_weights(np.stack(x), h))) if len(x) else pd.Series([], dtype=object)
 
-def cluster_paths(values: DataFrame, keys: list[str], features: list[str], n_clusters="3-8", scaler: str | None = "minmax", nmf_components: int | None = None, seed: int = 42) -> tuple[DataFrame, dict]:
-    """keys and cluster (cluster_0, ..) of the best number of clusters by silhouette, and what was tried."""
+        return rows.withColumn("__w", weights(F.array(*inputs)))
+
+    w = lambda i: F.get("__w", F.lit(i))
+    for _ in range(rounds):
+        sums = weighted(h).agg(*(F.sum(w(i) * w(j)).alias(f"g{i}_{j}") for i in range(parts) for j in range(parts)), *(F.sum(w(i) * F.col(c)).alias(f"x{i}_{j}") for i in range(parts) for j, c in enumerate(inputs))).first()
+        gram = np.array([[float(sums[f"g{i}_{j}"] or 0.0) for j in range(parts)] for i in range(parts)])
+        cross = np.array([[float(sums[f"x{i}_{j}"] or 0.0) for j in range(k)] for i in range(parts)])
+        for _ in range(20):
+            h = h * cross / np.maximum(gram @ h, 1e-12)
+    return h, weighted(h)
+
+
+def cluster_paths(values: DataFrame, keys: list[str], features: list[str], n_clusters="3-8", scaler: str | None = "minmax", nmf_components=None, seed: int = 42, select: dict | None = None) -> tuple[DataFrame, dict]:
+    """keys and cluster (cluster_0, ..) of the best point of the grid by silhouette, or of the one that ``select`` names; and what was tried."""
+    if min(parse_range(n_clusters)) < 1:
+        raise ParameterError(f"n_clusters is 1 or more, got {n_clusters!r}")
     rows = scaled(values, features, scaler)
     inputs = [f"__f{k}" for k in range(len(features))]
-    info: dict = {"silhouette": {}}
-    if nmf_components:
-        pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-        sums = rows.agg(*(F.sum(F.col(inputs[i]) * F.col(inputs[j])).alias(f"g{i}_{j}") for i, j in pairs)).first()
-        g = np.zeros((len(features), len(features)))
-        for i, j in pairs:
-            g[i, j] = g[j, i] = float(sums[f"g{i}_{j}"] or 0.0)
-        h = nmf(g, len(features), nmf_components, seed=seed)
-        info["nmf"] = {"features": features, "H": h.tolist()}
-        rows = rows.withColumns({f"__w{p}": sum((F.col(inputs[k]) * float(h[p, k]) for k in range(1, len(features))), F.col(inputs[0]) * float(h[p, 0])) for p in range(nmf_components)})
-        inputs = [f"__w{p}" for p in range(nmf_components)]
-    vectors = VectorAssembler(inputCols=inputs, outputCol="__x").transform(rows).select(*keys, "__x").persist()
-    best = None
-    for k in parse_range(n_clusters):
-        fitted = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="__k").fit(vectors).transform(vectors)
-        sample = fitted.orderBy(F.xxhash64(*keys, F.lit(seed))).limit(SILHOUETTE_POINTS).select("__x", "__k").collect()
-        score = silhouette(np.array([r["__x"].toArray() for r in sample]), np.array([r["__k"] for r in sample])) if sample else None
-        info["silhouette"][k] = score
-        if best is None or (score is not None and (best[0] is None or score > best[0])):
-            best = (score, k, fitted)
-    info["n_clusters"] = best[1]
-    return best[2].select(*keys, F.concat(F.lit("cluster_"), F.col("__k").cast("string")).alias("cluster")), info
-
-
-def distribution(values: DataFrame, column: str, level_col: str, levels: list[str] | None = None, most_bins: int = 50) -> dict:
-    """Histogram, density, mean and median of a metric for each level; only counts of values reach the driver."""
+    many_parts = isinstance(nmf_components, (list, tuple))
+    points = [{"n_clusters": k} | ({} if p is None else {"nmf_components": p}) for p in (nmf_components if many_parts else [nmf_components]) for k in parse_range(n_clusters)]
+    wanted = [j for j, p in enumerate(points) if select is not None and all(p.get(k) == v for k, v in select.items())]
+    if select is not None and len(wanted) != 1:
+        raise ParameterError(f"select names {len(wanted)} points of the grid, not one: {select!r}")
+    scores: list[float | None] = []
+    made: dict = {}
+    tables: dict = {}
+    try:
+        for point in points:
+            p = point.get("nmf_components")
+            if p not in tables:
+                h, weighted = nmf(rows, inputs, p, seed=seed) if p else (None, rows)
+                vector = array_to_vector("__w" if p else F.array(*inputs)).alias("__x")
+                tables[p] = (h, weighted.select(*keys, vector).persist())
+            h, vectors = tables[p]
+            fitted = KMeans(k=point["n_clusters"], seed=seed, featuresCol="__x", predictionCol="__k").fit(vectors).transform(vectors)
+            sample = fitted.orderBy(F.xxhash64(*keys, F.lit(seed))).limit(SILHOUETTE_POINTS).select("__x", "__k").collect()
+            scores.append(silhouette(np.array([r["__x"].toArray() for r in sample]), np.array([r["__k"] for r in sample])) if sample else None)
+            made[len(scores) - 1] = fitted
+        known = [j for j, x in enumerate(scores) if x is not None]
+        best = max(known, key=lambda j: scores[j]) if known else 0
+        chosen = wanted[0] if wanted else best
+        point = points[chosen]
+        name = F.concat(F.lit("cluster_"), F.col("__k").cast("string")).alias("cluster")
+        info: dict = {
+            "silhouette": {"params": points, "silhouette": scores, "best_index": best, "selected_index": chosen}, "n_clusters": point["n_clusters"],
+            "best_params": {"method": "kmeans", "method_args": {"n_clusters": point["n_clusters"]}, "scaler": scaler, **{k: v for k, v in point.items() if k == "nmf_components"}}, "nmf": None,
+        }
+        if (p := point.get("nmf_components")) is not None:
+            w = vector_to_array("__x")
+            means = made[chosen].groupBy(name).agg(*(F.avg(F.get(w, F.lit(i))).alias(f"w{i}") for i in range(p))).collect()
+            info["nmf"] = {"features": features, "H_matrix": tables[p][0].tolist(), "W_cluster_means": {r["cluster"]: [r[f"w{i}"] for i in range(p)] for r in sorted(means)}}
+    finally:
+        for _, vectors in tables.values():
+            vectors.unpersist()
+    return made[chosen].select(*keys, name), info
+
+
+#: Distinct values up to which a metric is discrete; ratio of positive values and skewness above which it is
+#: shown in logarithms; most bins; points of a density, and the share of the range beyond either end that they cover.
+DISCRETE, LOG_RATIO, LOG_SKEW, MOST_BINS, DENSITY_POINTS, DENSITY_MARGIN = 10, 1000, 3.0, 50, 1000, 0.1
+
+
+def bin_edges(n: int, low: float, high: float, q25: float, q75: float) -> np.ndarray:
+    """Equal bins of the smaller of the Freedman-Diaconis and the Sturges width, or ``MOST_BINS`` where these are more."""
+    if low == high:
+        return np.array([low - 0.5, high + 0.5])
+    sturges, diaconis = (high - low) / (np.log2(n) + 1), 2 * (q75 - q25) / n ** (1 / 3)
+    width = min(sturges, diaconis) if diaconis > 0 else sturges
+    return np.linspace(low, high, min(MOST_BINS, int(np.ceil((high - low) / width))) + 1)
+
+
+def density(counts: DataFrame, facts: dict[str, tuple[float, float, float, int]]) -> dict[str, list[list[float]]]:
+    """[x, y] of the Gaussian kernel density of each level (Scott's width), from ``counts`` (level, x, n).
+
+    ``facts``: least and greatest value, deviation and size of a level.  Each task sums up its values; a
+    level's points, a fixed number, reach the driver.
+    """
+    grid, width = {}, {}
+    for level, (low, high, sd, n) in facts.items():
+        if n > 1 and sd > 0:
+            pad = (high - low) * DENSITY_MARGIN
+            grid[level], width[level] = np.linspace(low - pad, high + pad, DENSITY_POINTS), sd * n**-0.2
+    if not grid:
+        return {}
+
+    def sums(parts):
+        total = {level: np.zeros(DENSITY_POINTS) for level in grid}
+        for part in parts:
+            for level, rows in part[part.level.isin(list(grid))].groupby("level"):
+                for at in range(0, len(rows), 1000):
+                    z = (grid[level][:, None] - rows.x.to_numpy()[at : at + 1000]) / width[level]
+                    total[level] += np.exp(-0.5 * z * z) @ rows.n.to_numpy()[at : at + 1000]
+        for level, y in total.items():
+            yield pd.DataFrame({"level": level, "i": np.arange(DENSITY_POINTS), "y": y})
+
+    rows = counts.select("level", "x", "n").mapInPandas(sums, "level string, i int, y double").groupBy("level", "i").agg(F.sum("y").alias("y")).collect()
+    out = {level: np.zeros(DENSITY_POINTS) for level in grid}
+    for r in rows:
+        out[r["level"]][r["i"]] = r["y"]
+    return {level: [grid[level].tolist(), (y / (facts[level][3] * width[level] * np.sqrt(2 * np.pi))).tolist()] for level, y in out.items()}
+
+
+def distribution(values: DataFrame, column: str, level_col: str, levels: list[str] | None = None) -> dict:
+    """Histogram, density, mean and median of a metric for each level, on shared bins; of two levels also their distance.
+
+    Only bins, points and quantiles reach the driver.  With ``log`` all but the raw values are of their
+    logarithms, zeros taken as half of the least positive value.
+    """
     v = F.col(f"`{column}`").cast("double")
     level = F.coalesce(F.col(level_col).cast("string"), F.lit(MISSING))
     rows = values.select(level.alias("level"), v.alias("v")).filter("v is not null")
     if levels is not None:
         rows = rows.filter(F.col("level").isin(*levels))
-    stats = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count_distinct("v").alias("d"), F.skewness("v").alias("s")).first()
+    positive = F.when(F.col("v") > 0, F.col("v"))
+    stats = rows.agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"), F.min(positive).alias("p"), F.count_distinct("v").alias("d"), F.skewness("v").alias("s")).first()
     if stats["a"] is None:
-        return {"levels": {}, "discrete": True, "log": False}
-    discrete = stats["d"] <= 10
-    log = not discrete and stats["a"] >= 0 and (stats["b"] - stats["a"] > 1000 or (stats["s"] or 0) > 3)
-    x = F.log10(F.col("v") + 1) if log else F.col("v")
+        return {"levels": {}, "discrete": True, "log": False, "edges": []}
+    discrete = stats["d"] <= DISCRETE
+    log = not discrete and stats["a"] >= 0 and (stats["b"] / (stats["p"] or 1.0) > LOG_RATIO or (stats["s"] or 0) > LOG_SKEW)
+    rows = rows.withColumn("x", F.log10(F.when(F.col("v") > 0, F.col("v")).otherwise(F.lit(stats["p"] / 2))) if log else F.col("v"))
     if discrete:
-        cell, edges = F.col("v"), None
+        distinct = sorted(r["x"] for r in rows.select("x").distinct().collect())  # at most DISCRETE
+        edges = np.array([distinct[0] - 0.5, *(x + 0.5 for x in distinct)])
     else:
-        low, high = (np.log10(stats["a"] + 1), np.log10(stats["b"] + 1)) if log else (stats["a"], stats["b"])
-        edges = np.linspace(low, high, most_bins + 1)
-        cell = F.least(F.lit(float(most_bins - 1)), F.floor((x - float(low)) / float((high - low) / most_bins)))
+        f = rows.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
+        edges = bin_edges(stats["n"], f["a"], f["b"], *f["q"])
+    inner = F.array(*(F.lit(float(e)) for e in edges[1:-1]))
+    cell = F.size(F.filter(inner, lambda e: e <= F.col("x"))) if len(edges) > 2 else F.lit(0)
     counts = rows.groupBy("level", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
-    moments = {r["level"]: r for r in rows.groupBy("level").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("sd")).collect()}
-    out: dict = {"discrete": discrete, "log": log, "edges": None if edges is None else edges.tolist(), "levels": {}}
+    moments = {r["level"]: r for r in rows.groupBy("level").agg(F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("a"), F.max("x").alias("b")).collect()}
+    curves = {} if discrete else density(rows.groupBy("level", "x").agg(F.count(F.lit(1)).alias("n")), {k: (m["a"], m["b"], m["sd"] or 0.0, m["n"]) for k, m in moments.items()})
+    out: dict = {"discrete": discrete, "log": log, "edges": edges.tolist(), "levels": {}}
     for name, m in sorted(moments.items()):
-        cells = {float(r["cell"]): r["n"] for r in counts if r["level"] == name}
-        one = {"mean": m["mean"], "median": m["median"], "size": m["n"], "histogram": [cells.get(float(i), 0) for i in range(most_bins)] if edges is not None else dict(sorted(cells.items()))}
-        if edges is not None and m["n"] > 1 and m["sd"]:
-            at = np.linspace(edges[0], edges[-1], 1000)
-            centres, weights = (edges[:-1] + edges[1:]) / 2, np.array(one["histogram"], float) / m["n"]
-            width = max(1e-9, m["sd"] * m["n"] ** -0.2)
-            one["density"] = (np.exp(-0.5 * ((at[:, None] - centres) / width) ** 2) @ weights / (width * np.sqrt(2 * np.pi))).tolist()
-        out["levels"][name] = one
+        bars = [0] * (len(edges) - 1)
+        for r in counts:
+            if r["level"] == name:
+                bars[r["cell"]] = r["n"]
+        out["levels"][name] = {"mean": m["mean"], "median": m["median"], "size": m["n"], "histogram": bars, "density": curves.get(name)}
+    if levels is not None and len(out["levels"]) == 2:
+        out["distance"] = complement_distance(rows.select("level", F.col("x").alias("v"))).first()["value"]
     return out

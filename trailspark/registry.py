@@ -217,6 +217,9 @@ query("overview_quantiles", _OV + " UNION ALL ".join([" SELECT 'segment_size' AS
 )
 _metric("metric_in_segment_bulk", "SELECT user_id, " + ", ".join(f"max((seg = '{v}')::INT) AS in_segment_seg_{v}_any" for v in "012") + " FROM ev GROUP BY 1", [{"metric": "in_segment_bulk"}])
 _metric("metric_event_col", "SELECT session_id, count(CASE WHEN seg = '1' THEN 1 END) AS event_count_seg_1, max((seg = '2')::INT) AS has_event_seg_2 FROM ss GROUP BY 1", [{"metric": "event_count", "metric_args": {"event": "1", "event_col": "seg"}}, {"metric": "has_event", "metric_args": {"event": "2", "event_col": "seg"}}], sessions, "session_id")
+query("clusters_separate", ", h AS (SELECT user_id, max((event = 'purchase')::INT) AS hit FROM ev GROUP BY 1) SELECT hit, count(*) AS n, 1::BIGINT AS clusters FROM h GROUP BY 1")(
+    lambda s: s.add_clusters("cluster", [{"metric": "has_event", "metric_args": {"event": "purchase"}}], n_clusters=2).df.groupBy("user_id", "cluster").agg(F.max((F.col("event") == "purchase").cast("int")).alias("hit")).groupBy("hit").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters"))
+)
 query("sample_paths_whole", "SELECT count(DISTINCT user_id) AS paths, 0::BIGINT AS cut FROM (SELECT DISTINCT user_id FROM ev LIMIT 20)")(
     lambda s: s.sample_paths(n=20, random_state=3).df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(s.df.groupBy("user_id").agg(F.count(F.lit(1)).alias("of")), "user_id").agg(F.count(F.lit(1)).alias("paths"), F.count(F.when(F.col("n") != F.col("of"), 1)).alias("cut"))
 )
