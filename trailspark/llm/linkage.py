@@ -123,7 +123,7 @@ def left_pairs(placed: DataFrame, bits: DataFrame | None, keep: Keep, sieve: Kee
 
 
 def chosen_sets(texts: DataFrame, ids: DataFrame, homes: DataFrame, sets_in: Callable[[], Callable[[list], Iterable[tuple[int, Callable[[], np.ndarray]]]]]) -> DataFrame:
-    """(k, h): the sets of the classes ``ids`` (k), each once, and perhaps of a few others; written.
+    """(k, h): the sets of the classes ``ids`` (k), each once and dealt by k, and perhaps of a few others.
 
     ``homes`` (k, th): hashes of texts that hold a class; one text of each class is looked at, the
     others aren't even cut into words.  ``sets_in()`` gives a task its function from texts to keys and
@@ -154,7 +154,7 @@ def chosen_sets(texts: DataFrame, ids: DataFrame, homes: DataFrame, sets_in: Cal
         return step
 
     rows = texts.select(F.xxhash64("text").alias("th"), "text")
-    return materialize(arrow_map(rows, "k long, h array<long>", start).groupBy("k").agg(F.first("h").alias("h")))
+    return arrow_map(rows, "k long, h array<long>", start).groupBy("k").agg(F.first("h").alias("h"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,19 +165,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def set_verifier(fetch: Callable[[DataFrame], DataFrame], percent: int) -> Callable[[DataFrame], DataFrame]:
-    """A check of pairs on the sets that ``fetch(ids)`` gives; a set is fetched once."""
-    fetched: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        for sets in fetched:
-            ids = ids.join(sets.select("k"), "k", "left_anti")
-        ids = materialize(ids)
-        if not fetched or not ids.isEmpty():
-            fetched.append(fetch(ids))
-        return verified(pairs, reduce(DataFrame.unionByName, fetched), percent)
-
-    return verify
+    """A check of pairs on the sets that ``fetch(ids)`` gives.
+
+    Sets come by one shuffle, which both sides of the pairs read, and aren't written.
+    """
+    return lambda pairs: verified(pairs, fetch(pairs.select(F.explode(F.array("a", "b")).alias("k"))), percent)
 
 
 def components(links: DataFrame) -> DataFrame:
