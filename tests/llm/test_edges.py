@@ -20,7 +20,7 @@ def corpus():
     long_text = " ".join(rng.choice(words) for _ in range(150_000))  # over 1 MB
     unspaced = "".join(rng.choice("abcdefgh") for _ in range(1_000_000))
     short = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(12)]
-    rows = [(1, long_text), (2, unspaced), (3, None), (4, ""), (5, " \n\t "), (6, short[0]), (6, short[0]), (7, short[1]), (None, short[2]), (None, None), (8, long_text + " end")]
+    rows = [(1, long_text), (2, unspaced), (3, None), (4, ""), (5, " \n\t "), (6, short[0]), (6, short[0]), (7, short[1]), (None, short[2]), (None, None), (8, long_text + "\nend")]
     return rows + [(10 + j, t) for j, t in enumerate(short[3:])]
 
 
