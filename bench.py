@@ -12,12 +12,16 @@ from pyspark.sql import SparkSession
 QUERIES = ("transitions_count", "transitions_proba_out", "step_matrix", "funnel", "sessions_timeout", "metric_bulk", "metric_matches_pattern", "conversion_rate", "segment_overview", "daily_states", "collapse_loops", "step_matrix_pattern")
 
 
-def main() -> None:
-    sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = (
+def session(cpus: str) -> SparkSession:
+    return (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
+
+
+def main() -> None:
+    sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
+    spark = session(cpus)
     spark.sparkContext.setLogLevel("ERROR")
     from trailspark import registry
 
