@@ -55,8 +55,8 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from files that outlive executors.
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and where: later plans start from files that outlive executors.
 
     What the write has shuffled is removed when it is done.
     """
@@ -66,7 +66,11 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     if (made := _made.get()) is not None:
         made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    return written(df)[0]
 
 
 @contextmanager

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, fresh, materialize, mix, settled, signed, windows
+from .common import WordHashes, arrow_map, fresh, materialize, mix, release, settled, signed, windows, written
 from .linkage import chosen_sets, least_common, linked, parity, set_verifier
 
 FREQUENCY_CELLS = 1 << 18
@@ -63,7 +63,7 @@ def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, th (hash of the text), k (class), n (set size), bits (parity of the set), prefix; written."""
+    """doc_id, th (hash of the text), k (class), n (set size), bits (parity of the set), prefix."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     order = docs.sparkSession.sparkContext.broadcast(_frequencies(rows.select("text"), width))
 
@@ -87,7 +87,7 @@ def prefix_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         return step
 
-    return materialize(arrow_map(rows, "doc_id long, th long, k long, n int, bits array<long>, prefix array<long>", start))
+    return arrow_map(rows, "doc_id long, th long, k long, n int, bits array<long>, prefix array<long>", start)
 
 
 def _keep(percent: int):
@@ -101,11 +101,17 @@ def _keep(percent: int):
 
 
 def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The prefix table of ``docs``, the verified links (a, b) between classes, and their components (id, label)."""
-    table = prefix_table(docs, width, percent)
-    classes = table.filter(F.col("k").isNotNull()).groupBy("k").agg(F.min(F.struct("n", "prefix")).alias("x"))
+    """doc_id, th, k, n of ``docs``, the verified links (a, b) between classes, and their components (id, label).
+
+    What a step alone needs is written by itself and deleted after it.
+    """
+    spark = docs.sparkSession
+    whole, spent = written(prefix_table(docs, width, percent))
+    table, sets = materialize(whole.select("doc_id", "th", "k", "n")), whole.filter(F.col("k").isNotNull())
+    bits = materialize(sets.select("k", "n", "bits").dropDuplicates(["k"]))
+    classes, listed = written(sets.groupBy("k").agg(F.min(F.struct("n", "prefix")).alias("x")))
+    release(spark, [spent])
     postings = classes.select("k", F.col("x.n").alias("n"), F.posexplode("x.prefix").alias("i", "s"))
-    bits = table.filter(F.col("k").isNotNull()).select("k", "n", "bits").dropDuplicates(["k"])
     homes = table.filter(F.col("k").isNotNull()).select("k", "th")
 
     def sets_in():
@@ -121,7 +127,7 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80) -
 
     verify = set_verifier(lambda ids: chosen_sets(docs, ids, homes, sets_in), percent)
     # a set of which little is rarer than what it shares is likely to be what the others are copies of
-    links, label = linked(postings, ["n", "i"], _keep(percent), verify, ORDERS, bits, percent, PARITY_WORDS, rank="i")
+    links, label = linked(postings, ["n", "i"], _keep(percent), verify, ORDERS, bits, percent, PARITY_WORDS, rank="i", listed=lambda: release(spark, [listed]))
     return table, links, label
 
 

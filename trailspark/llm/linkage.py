@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, mix, signed
+from .common import arrow_map, materialize, mix, release, signed, written
 
 LIGHT = 16
 #: Rounds of further leaders at most; and pairs left for each item of long lists that need no further round.
@@ -29,7 +29,7 @@ Keep = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
 def shared_lists(postings: DataFrame, payload: list[str], orders: int, rank: str | None = None) -> DataFrame:
-    """Postings (s, k, payload) of keys that at least two items have, with the list's size m and leader; written.
+    """Postings (s, k, payload) of keys that at least two items have, with the list's size m and leader.
 
     A leader has the least ``rank``; of several it is drawn by one of ``orders`` orders, by the key of the
     list, so that a large group gets a few leaders.
@@ -37,7 +37,7 @@ def shared_lists(postings: DataFrame, payload: list[str], orders: int, rank: str
     dealt = postings.select("s", "k", *payload).repartition("s")
     order = F.struct(*([F.col(rank).alias("rank")] if rank else []), F.xxhash64("k", F.pmod("s", F.lit(orders))).alias("h"))
     lists = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(order.alias("r"), "k", *payload)).alias("lead")).filter("m > 1")
-    return materialize(dealt.join(lists, "s"))
+    return dealt.join(lists, "s")
 
 
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -194,23 +194,26 @@ def components(links: DataFrame) -> DataFrame:
         label = materialize(label.join(step.select(F.col("id").alias("label"), F.col("label").alias("lower")), "label", "left").select("id", F.coalesce("lower", "label").alias("label")))
 
 
-def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable[[DataFrame], DataFrame], orders: int, bits: DataFrame | None = None, percent: int = 0, words: int = 0, rank: str | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable[[DataFrame], DataFrame], orders: int, bits: DataFrame | None = None, percent: int = 0, words: int = 0, rank: str | None = None, listed: Callable[[], None] = lambda: None) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all that is connected, and the components (id, label).
 
     ``verify`` keeps the pairs (a, b) that are links.  ``bits``, if any: k, n, bits (parity) of every item,
     to drop pairs before.  ``rank``: a payload column that is least where an item is likely to be like most
-    of a list.
+    of a list.  ``listed`` is called when ``postings`` isn't read any more.
     """
     sieve = None if bits is None else (lambda x, y: suffix_filter(x, y, percent, words))
-    lists = shared_lists(postings, payload, orders, rank)
+    spark = postings.sparkSession
+    lists, where = written(shared_lists(postings, payload, orders, rank))
+    listed()
 
     def sieved(pairs: DataFrame) -> DataFrame:
         return pairs if bits is None else _sieved(pairs, bits, percent, words)
 
     tried = materialize(sieved(first_pairs(lists, payload, keep)))
+    heavy = materialize(lists.filter(F.col("m") > LIGHT))
+    release(spark, [where])
     links = materialize(verify(tried))
     label = components(links)
-    heavy = lists.filter(F.col("m") > LIGHT)
     if heavy.isEmpty():
         return links, label
     heavy = open_lists(heavy, label)
