@@ -188,3 +188,12 @@ def test_distributions_follow_the_data(spark):
     cdf = lambda own: np.searchsorted(np.sort(own), grid[:-1], "right") / len(own)
     assert out["distance"] == pytest.approx((np.abs(cdf(low) - cdf(high)) * np.diff(grid)).sum(), rel=1e-6)
     assert s.get_metric_distribution("part", "length")["levels"]["low"]["histogram"] == [80]
+
+
+def test_payloads_are_whole_or_an_error(small):
+    import json
+
+    out = Stream.payload(small.transition_graph_data("proba_out"))
+    assert json.loads(json.dumps(out)) == out and out["columns"] == ["src", "dst", "value"] and len(out["rows"]) == small.transition_graph_data("count").count()
+    with pytest.raises(ParameterError):
+        Stream.payload(small.transition_graph_data("count"), most_rows=1)

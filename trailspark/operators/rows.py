@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
-from ..schema import DELIMITER, StreamSchema
+from ..schema import DELIMITER, MISSING, StreamSchema
 
 
 def values_in(column: str, values) -> Column:
-    return F.col(column).isin(*([values] if isinstance(values, str) else list(values)))
+    """Whether a column has one of the values; ``MISSING`` among them stands for no value."""
+    names = [values] if isinstance(values, str) else list(values)
+    if MISSING not in names:
+        return F.col(column).isin(*names)
+    return F.col(column).isNull() | F.coalesce(F.col(column).isin(*(n for n in names if n != MISSING)), F.lit(False))
 
 
 def filter_events(df: DataFrame, schema: StreamSchema, keep: dict | None = None, drop: dict | None = None, func=None, sql: str | None = None) -> DataFrame:

@@ -220,6 +220,13 @@ _metric("metric_event_col", "SELECT session_id, count(CASE WHEN seg = '1' THEN 1
 query("clusters_separate", ", h AS (SELECT user_id, max((event = 'purchase')::INT) AS hit FROM ev GROUP BY 1) SELECT hit, count(*) AS n, 1::BIGINT AS clusters FROM h GROUP BY 1")(
     lambda s: s.add_clusters("cluster", [{"metric": "has_event", "metric_args": {"event": "purchase"}}], n_clusters=2).df.groupBy("user_id", "cluster").agg(F.max((F.col("event") == "purchase").cast("int")).alias("hit")).groupBy("hit").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters"))
 )
+query("top_transitions", "SELECT src, dst, n AS value FROM ed ORDER BY n DESC, src, dst LIMIT 7")(lambda s: s.top_transitions(7))
+query("top_of_steps", """, c AS (SELECT idx AS step, event, count(*) AS n FROM ev WHERE idx <= 4 GROUP BY ALL), p AS (SELECT count(DISTINCT user_id) AS p FROM ev),
+v AS (SELECT step, event, n / p::DOUBLE AS value FROM c, p UNION ALL SELECT 0, 'path_start', 1.0 UNION ALL SELECT step, 'path_end', 1.0 - sum(n)::BIGINT / p::DOUBLE FROM c, p GROUP BY step, p HAVING sum(n) < p),
+r AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY abs(value) DESC, event) AS rank FROM v) SELECT step, event, value, rank FROM r WHERE rank <= 2 OR event = 'error'""")(lambda s: s.top_of_steps(2, ["error"], max_steps=4))
+query("filter_missing", "SELECT user_id, event_id, event FROM ev WHERE NOT coalesce(value > 5, false) OR value > 9")(
+    lambda s: rows(s.add_segment("part", func=lambda df: F.when(df["value"] > 9, "top").when(df["value"] > 5, "high")).filter_events(keep={"part": ["top", "<MISSING>"]}))
+)
 query("sample_paths_whole", "SELECT count(DISTINCT user_id) AS paths, 0::BIGINT AS cut FROM (SELECT DISTINCT user_id FROM ev LIMIT 20)")(
     lambda s: s.sample_paths(n=20, random_state=3).df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(s.df.groupBy("user_id").agg(F.count(F.lit(1)).alias("of")), "user_id").agg(F.count(F.lit(1)).alias("paths"), F.count(F.when(F.col("n") != F.col("of"), 1)).alias("cut"))
 )

@@ -8,7 +8,7 @@ import inspect
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .errors import EmptyResultError, ParameterError, UnknownNameError
@@ -133,8 +133,8 @@ class Stream:
     def _known(self, column: str, names) -> None:
         names = [names] if isinstance(names, str) else list(names)
         if self.strict and names:
-            there = self.levels(column, names)
-            if bad := [n for n in names if n not in there and n not in BOUNDS]:
+            there = self.levels(column, [n for n in names if n != MISSING])
+            if bad := [n for n in names if n not in there and n not in (*BOUNDS, MISSING)]:
                 raise UnknownNameError(f"{column} has no value {bad}")
 
     def _known_pattern(self, *patterns, event_col: str | None = None, absent_narrows: bool = False) -> None:
@@ -336,6 +336,24 @@ class Stream:
 
     step_sankey_data = step_matrix_data
 
+    def top_transitions(self, n: int = 20, edge_weight: str = "count", path_col: str | None = None, diff: tuple | None = None) -> DataFrame:
+        """The ``n`` edges of the largest weight, or difference of weights, whatever its sign."""
+        return self.transition_graph_data(edge_weight, path_col, diff).orderBy(F.abs("value").desc_nulls_last(), "src", "dst").limit(n)
+
+    def top_of_steps(self, k: int = 5, events: list[str] | None = None, max_steps: int | None = None, path_col: str | None = None, diff: tuple | None = None) -> DataFrame:
+        """step, event, value, rank: the ``k`` largest cells of each step, and all cells of ``events``."""
+        cells = self.step_matrix_data(max_steps, path_col, diff)
+        ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy("step").orderBy(F.abs("value").desc(), "event")).cast("long"))
+        return ranked.filter((F.col("rank") <= k) | F.col("event").isin(*(events or [])))
+
+    @staticmethod
+    def payload(rows: DataFrame, most_rows: int = 10_000) -> dict:
+        """A result table as JSON-ready columns and rows; more than ``most_rows`` are an error, not cut off."""
+        found = rows.limit(most_rows + 1).collect()
+        if len(found) > most_rows:
+            raise ParameterError(f"the result has more than {most_rows} rows")
+        return {"columns": rows.columns, "rows": [json.loads(json.dumps(list(r), default=str)) for r in found]}
+
     def funnel_data(self, steps: list[str], diff: tuple | None = None, path_col: str | None = None) -> DataFrame:
         keys = self.schema.keys(path_col)
         if not steps:
