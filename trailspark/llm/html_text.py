@@ -283,7 +283,7 @@ def repeated_runs(pages: DataFrame, run_tokens: int, main_tokens: int, least_sha
 
         return step
 
-    looked = materialize(arrow_map(pages.dropDuplicates(["h", "th"]).join(near, ["h", "th"]).select("h", "th", "main", "html"), "h long, th long, main long, runs array<long>", look))
+    looked = materialize(arrow_map(pages.join(near, ["h", "th"]).dropDuplicates(["h", "th"]).select("h", "th", "main", "html"), "h long, th long, main long, runs array<long>", look))
     each = looked.select("h", "th", "main", F.explode("runs").alias("run"))
     sizes = cut.filter(~F.col("open")).select("h", "main").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
     inside = _counts(each.select("h", F.col("main").alias("who"), "run"), 3).join(sizes, "h").filter(F.col("n") >= F.ceil(F.lit(least_share) * F.col("pages")))
