@@ -22,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 #: Rows that a Python worker turns into objects at once; a batch of Arrow may be larger.
 ROWS_AT_ONCE = 512
 #: Words a worker keeps hashes of before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 #: Where ``materialize`` notes the tables it writes, for ``tables_made``.
 _made: ContextVar[list[str] | None] = ContextVar("tables made", default=None)
@@ -107,6 +107,13 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB where the session has the default of 64, so a worker never holds much text at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == "67108864b":
+        spark.conf.set(name, "8m")
+
+
 def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[tuple]]], finish: bool = False) -> DataFrame:
     """Run Python over ``df`` in Arrow batches, a bounded number of rows at a time.
 
@@ -118,6 +125,7 @@ def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list
     from pyspark.sql.types import StructType
 
     struct = StructType.fromDDL(schema)
+    _small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(struct)
@@ -151,6 +159,7 @@ def arrow_column(returns: str, start: Callable[[], Callable[..., list]]) -> Call
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(returns)
+    _small_batches(SparkSession.active())
 
     def run(batches: Iterator[tuple[pa.Array, ...] | pa.Array]) -> Iterator[pa.Array]:
         target, step = to_arrow_type(kind), start()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, arrow_column, arrow_map, words_of
+from .common import arrow_column, arrow_map, words_of
 from .linear import ftrl
 
 #: Insults by language.
@@ -40,6 +40,8 @@ DIMS = 1 << 16
 MINED = 60
 #: Rows of the sample that a word or beginning must occur in to be a feature.
 LEAST_ROWS = 4
+#: Tokens a task keeps with all that is known of them, and those it keeps with their features alone.
+WORDS_KEPT, FEATURES_KEPT = 50_000, 150_000
 #: Letters of the beginnings of words that are features besides the words.
 PREFIXES = (4, 5, 6)
 _LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
@@ -74,8 +76,12 @@ class Words(dict):
         self.voters, self.only = voters, only
 
     def __missing__(self, token: str):
-        if len(self) > CACHE_WORDS:
+        if len(self) > WORDS_KEPT:
             self.clear()
+        value = self[token] = self.look(token)
+        return value
+
+    def look(self, token: str):
         word, hidden = normal_word(token)
         raw = _EDGES.sub("", token.lower())
         # a spelling counts as a disguise only if a listed word is under it
@@ -83,7 +89,20 @@ class Words(dict):
         keys = keys_of(word if hidden else raw)
         hits = tuple({v for k in keys for v in self.voters.get(k, ())})
         features = tuple(f for f in map(feature_of, keys) if self.only is None or f in self.only)
-        value = self[token] = (features, hits, hidden, word)
+        return features, hits, hidden, word
+
+
+class WordFeatures(dict):
+    """The features of each token alone: of most there is none, so a token costs little more than its letters."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) > FEATURES_KEPT:
+            self.clear()
+        value = self[token] = self.words.look(token)[0]
         return value
 
 
@@ -208,12 +227,12 @@ class ToxicityModel:
         weights = {int(f): float(self.w[f]) for f in np.flatnonzero(self.w)}
 
         def start():
-            words = Words(voters_of(mined), frozenset(weights))
+            words = WordFeatures(Words(voters_of(mined), frozenset(weights)))
 
             def step(texts):
                 scores = []
                 for text in texts:
-                    features = {f for t in set((text or "").split()) for f in words[t][0]}
+                    features = {f for t in set((text or "").split()) for f in words[t]}
                     z = b + sum(weights[f] for f in features)
                     scores.append(float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))))
                 return scores
