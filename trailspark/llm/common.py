@@ -22,7 +22,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 #: Rows that a Python worker turns into objects at once; a batch of Arrow may be larger.
 ROWS_AT_ONCE = 512
 #: Words a worker keeps hashes of before it starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
+#: Keys a worker remembers to have handed on before it starts afresh.
+KEYS_KEPT = 100_000
 
 #: Where ``materialize`` notes the tables it writes, for ``tables_made``.
 _made: ContextVar[list[str] | None] = ContextVar("tables made", default=None)
@@ -144,6 +146,7 @@ def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list
             columns = step.finish()
             if len(columns[0]):
                 yield pack(columns)
+        pa.default_memory_pool().release_unused()  # the worker may wait long for its next task
 
     return df.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, mix, release, signed, written
+from .common import KEYS_KEPT, arrow_map, materialize, mix, release, signed, written
 
 LIGHT = 16
 #: Rounds of further leaders at most; and pairs left for each item of long lists that need no further round.
@@ -144,7 +144,7 @@ def chosen_sets(texts: DataFrame, ids: DataFrame, homes: DataFrame, sets_in: Cal
             keys, sets = [], []
             for k, h in of([t for th, t in zip(hashes, column, strict=True) if has(th)]):
                 if has(k) and k not in sent:
-                    if len(sent) > 500_000:
+                    if len(sent) > KEYS_KEPT:
                         sent.clear()
                     sent.add(k)
                     keys.append(k)

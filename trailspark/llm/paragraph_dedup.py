@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_column, arrow_map, fresh, materialize, settled, signed, windows
+from .common import KEYS_KEPT, WordHashes, arrow_column, arrow_map, fresh, materialize, settled, signed, windows
 from .linkage import ID_BITS, chosen_sets, id_bits, linked, parity, set_verifier
 
 WIDTH = 5
@@ -163,7 +163,7 @@ def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> D
             for d, place, length, first, n in lines:
                 part = h[first : first + n]
                 k = _class(part)
-                if len(sent) > 500_000:
+                if len(sent) > KEYS_KEPT:
                     sent.clear()
                 if k in sent:
                     put(ids[d], hashes[d], place, length, 0, k, 0, None, none)
