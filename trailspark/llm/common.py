@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -116,6 +117,15 @@ def _small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "8m")
 
 
+def _give_back() -> None:
+    """What a task has freed goes back to the system: the worker keeps it otherwise, and may wait long for its next task."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[tuple]]], finish: bool = False) -> DataFrame:
     """Run Python over ``df`` in Arrow batches, a bounded number of rows at a time.
 
@@ -146,7 +156,8 @@ def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list
             columns = step.finish()
             if len(columns[0]):
                 yield pack(columns)
-        pa.default_memory_pool().release_unused()  # the worker may wait long for its next task
+        del step
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -170,6 +181,8 @@ def arrow_column(returns: str, start: Callable[[], Callable[..., list]]) -> Call
             columns = columns if isinstance(columns, tuple) else (columns,)
             parts = [pa.array(step(*(c.slice(at, ROWS_AT_ONCE).to_pylist() for c in columns)), type=target) for at in range(0, len(columns[0]), ROWS_AT_ONCE)]
             yield pa.concat_arrays(parts) if parts else pa.array([], type=target)
+        del step
+        _give_back()
 
     return F.arrow_udf(run, kind, ArrowUDFType.SCALAR_ITER)
 

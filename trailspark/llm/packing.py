@@ -34,7 +34,7 @@ from .common import arrow_map, materialize
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Characters of pre-tokens a worker keeps the ids of before it starts afresh, and of the longest it keeps.
-CHARS_KEPT, LONGEST_KEPT = 8_000_000, 64
+CHARS_KEPT, LONGEST_KEPT = 5_000_000, 64
 #: Pieces of one length in a lane, about.
 LANE_ROWS = 250_000
 #: The rules of the tokenizer whose texts are cut here.
