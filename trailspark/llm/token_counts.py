@@ -11,7 +11,7 @@ whose counts simply add up.
    ``COMMON`` pre-tokens that most texts have, a table of bounded size, are sent to every task, the others
    are joined by a shuffle, so neither a frequent pre-token nor the number of pre-tokens matters.
 
-Pre-tokens are known by 128-bit hashes; no ids of a text are ever made.
+Pre-tokens are known by 64-bit hashes; no ids of a text are ever made.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; repeated rows give repeated rows; a null
 doc_id stays null; a very long text without spaces is one pre-token, counted once; an empty table gives no
@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, settled
+from .common import CACHE_WORDS, arrow_map, materialize, settled
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
-#: Pre-tokens sent to every task at most: 16 bytes of hash and 4 of count each.
-COMMON = 1 << 17
+#: Pre-tokens sent to every task at most: 8 bytes of hash and 4 of count each.
+COMMON = 1 << 18
 #: Characters of the pre-tokens a task gathers before it hands on what it has.
 CHARS_HELD = 8_000_000
 _RUN = re.compile(" +[^ ]*")
@@ -47,8 +47,8 @@ def pre_tokens(text: str) -> list[str]:
     return text.split(" ")
 
 
-def key_of(pre_token: str) -> bytes:
-    return xxhash.xxh3_128_digest(pre_token.encode())
+def key_of(pre_token: str) -> int:
+    return xxhash.xxh64_intdigest(pre_token.encode()) - (1 << 63)
 
 
 class PieceCounts:
@@ -98,7 +98,7 @@ def distinct_pre_tokens(rows: DataFrame) -> DataFrame:
         step.finish = out
         return step
 
-    return arrow_map(rows.select("t"), "key binary, piece string, n long", start, finish=True).groupBy("key").agg(F.first("piece").alias("piece"), F.sum("n").alias("n"))
+    return arrow_map(rows.select("t"), "key long, piece string, n long", start, finish=True).groupBy("key").agg(F.first("piece").alias("piece"), F.sum("n").alias("n"))
 
 
 def pre_token_counts(rows: DataFrame, model_path: str | None) -> DataFrame:
@@ -113,7 +113,20 @@ def pre_token_counts(rows: DataFrame, model_path: str | None) -> DataFrame:
         count = PieceCounts(path)
         return lambda keys, pieces, n: [keys, [count(x) for x in pieces], n]
 
-    return materialize(arrow_map(distinct_pre_tokens(rows), "key binary, pieces int, n long", start))
+    return materialize(arrow_map(distinct_pre_tokens(rows), "key long, pieces int, n long", start))
+
+
+def least_common(counts: DataFrame, most: int) -> int:
+    """In how many texts a pre-token must be, two at least, so that no more than ``most`` are: by steps of an eighth, from a small histogram."""
+    step = F.floor(F.log2("n") * 6).cast("int")  # as many rows as there are steps reach the driver
+    steps = sorted(counts.filter("n > 1").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).collect(), key=lambda r: -r["step"])
+    least, total = (1 << 63) - 1, 0
+    for r in steps:
+        total += r["c"]
+        if total > most:
+            break
+        least = r["n"]
+    return least
 
 
 def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", most_common: int = COMMON) -> DataFrame:
@@ -127,14 +140,14 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = 40
     def build() -> DataFrame:
         counts = pre_token_counts(rows, model_path)
         # at most ``most_common`` rows
-        common = counts.filter("n > 1").orderBy(F.col("n").desc(), "key").limit(most_common).select("key", "pieces").toArrow()
+        common = counts.filter(F.col("n") >= F.lit(least_common(counts, most_common))).select("key", "pieces").toArrow()
         known = spark.sparkContext.broadcast(dict(zip(common["key"].to_pylist(), common["pieces"].to_pylist(), strict=True)))
 
         def start():
             pieces, keys = known.value, {}
 
-            def key(x: str) -> bytes:
-                if len(keys) > COMMON:
+            def key(x: str) -> int:
+                if len(keys) > CACHE_WORDS:
                     keys.clear()
                 value = key_of(x)
                 if len(x) < 40:
@@ -146,7 +159,8 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = 40
                 for doc_id, t in zip(ids, texts, strict=True):
                     total, rare = 0, []
                     for x, n in Counter(pre_tokens(t or "")).items():
-                        k = keys.get(x) or key(x)
+                        k = keys.get(x)
+                        k = key(x) if k is None else k
                         c = pieces.get(k)
                         if c is None:
                             rare.append({"key": k, "n": n})
@@ -159,7 +173,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = 40
             return step
 
         # the number of a row is written with it, so it stays the same
-        parts = materialize(arrow_map(rows, "doc_id long, n_bytes long, common long, rare array<struct<key:binary,n:int>>", start).withColumn("row", F.monotonically_increasing_id()))
+        parts = materialize(arrow_map(rows, "doc_id long, n_bytes long, common long, rare array<struct<key:long,n:int>>", start).withColumn("row", F.monotonically_increasing_id()))
         rare = parts.select("row", F.explode("rare").alias("x")).select("row", F.col("x.key").alias("key"), F.col("x.n").alias("n"))
         sums = rare.join(counts.select("key", "pieces"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("rest"))
         return parts.select("row", "doc_id", "n_bytes", "common").join(sums, "row", "left").select("doc_id", "n_bytes", (F.col("common") + F.coalesce("rest", F.lit(0))).alias("n_tokens"))
