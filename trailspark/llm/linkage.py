@@ -194,23 +194,23 @@ def components(links: DataFrame) -> DataFrame:
         label = materialize(label.join(step.select(F.col("id").alias("label"), F.col("label").alias("lower")), "label", "left").select("id", F.coalesce("lower", "label").alias("label")))
 
 
-def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable[[DataFrame], DataFrame], orders: int, bits: DataFrame | None = None, percent: int = 0, words: int = 0, rank: str | None = None, listed: Callable[[], None] = lambda: None) -> tuple[DataFrame, DataFrame]:
+def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable[[DataFrame], DataFrame], orders: int, bits: DataFrame | None = None, percent: int = 0, words: int = 0, rank: str | None = None, listed: Callable[[], None] = lambda: None, lists: Callable[..., DataFrame] = shared_lists) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all that is connected, and the components (id, label).
 
     ``verify`` keeps the pairs (a, b) that are links.  ``bits``, if any: k, n, bits (parity) of every item,
     to drop pairs before.  ``rank``: a payload column that is least where an item is likely to be like most
-    of a list.  ``listed`` is called when ``postings`` isn't read any more.
+    of a list.  ``listed`` is called when ``postings`` isn't read any more.  ``lists`` makes the lists of postings.
     """
     sieve = None if bits is None else (lambda x, y: suffix_filter(x, y, percent, words))
     spark = postings.sparkSession
-    lists, where = written(shared_lists(postings, payload, orders, rank))
+    listings, where = written(lists(postings, payload, orders, rank))
     listed()
 
     def sieved(pairs: DataFrame) -> DataFrame:
         return pairs if bits is None else _sieved(pairs, bits, percent, words)
 
-    tried = materialize(sieved(first_pairs(lists, payload, keep)))
-    heavy = materialize(lists.filter(F.col("m") > LIGHT))
+    tried = materialize(sieved(first_pairs(listings, payload, keep)))
+    heavy = materialize(listings.filter(F.col("m") > LIGHT))
     release(spark, [where])
     links = materialize(verify(tried))
     label = components(links)

@@ -1,4 +1,4 @@
-"""The queries of the ten operators over whole tables, and their SQL where SQL can express them."""
+"""The queries of the thirteen operators over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .filter_audit import AUDIT_SQL, audit_filters
 from .html_text import extract_main_text
+from .hyper_minhash import NEAR_SQL, components_sql, near_duplicates
 from .jaccard_join import jaccard_components
 from .langid import predict_languages
+from .merkle import MERKLE_SQL, merkle_manifest
 from .mixing import document_rates
 from .packing import pack_documents
 from .paragraph_dedup import remove_repeated_paragraphs
@@ -69,6 +72,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_source_mixing, op4_fingerprints, op5_substring_dedup, op6_packing, op7_language_id, op8_toxicity, op9_jaccard_join, op10_token_counts)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY_SQL}
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_source_mixing, op4_fingerprints, op5_substring_dedup, op6_packing, op7_language_id, op8_toxicity, op9_jaccard_join, op10_token_counts, op11_merkle_manifest, op12_filter_audit, op13_minhash_dedup)}
+
+ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op9_jaccard_join": components_sql(4, 85), "op11_merkle_manifest": MERKLE_SQL, "op12_filter_audit": AUDIT_SQL, "op13_minhash_dedup": NEAR_SQL}
