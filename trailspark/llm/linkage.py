@@ -72,10 +72,10 @@ def suffix_filter(x: Callable[[str], Column], y: Callable[[str], Column], percen
     return apart <= x("n") + y("n") - 2 * least_common(x("n"), y("n"), percent)
 
 
-def _sieved(pairs: DataFrame, bits: DataFrame, percent: int, words: int) -> DataFrame:
+def _sieved(pairs: DataFrame, bits: DataFrame, sieve: Keep) -> DataFrame:
     x, y = bits.select(F.col("k").alias("a"), F.struct("n", "bits").alias("x")), bits.select(F.col("k").alias("b"), F.struct("n", "bits").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
-    return both.filter(suffix_filter(lambda c: F.col("x")[c], lambda c: F.col("y")[c], percent, words)).select("a", "b")
+    return both.filter(sieve(lambda c: F.col("x")[c], lambda c: F.col("y")[c])).select("a", "b")
 
 
 def open_lists(heavy: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,20 +194,20 @@ def components(links: DataFrame) -> DataFrame:
         label = materialize(label.join(step.select(F.col("id").alias("label"), F.col("label").alias("lower")), "label", "left").select("id", F.coalesce("lower", "label").alias("label")))
 
 
-def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable[[DataFrame], DataFrame], orders: int, bits: DataFrame | None = None, percent: int = 0, words: int = 0, rank: str | None = None, listed: Callable[[], None] = lambda: None, lists: Callable[..., DataFrame] = shared_lists) -> tuple[DataFrame, DataFrame]:
+def linked(postings: DataFrame, payload: list[str], keep: Keep, verify: Callable[[DataFrame], DataFrame], orders: int, bits: DataFrame | None = None, percent: int = 0, words: int = 0, rank: str | None = None, listed: Callable[[], None] = lambda: None, lists: Callable[..., DataFrame] = shared_lists, sieve: Keep | None = None) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all that is connected, and the components (id, label).
 
     ``verify`` keeps the pairs (a, b) that are links.  ``bits``, if any: k, n, bits (parity) of every item,
-    to drop pairs before.  ``rank``: a payload column that is least where an item is likely to be like most
+    to drop pairs before, by ``sieve`` if it isn't the suffix filter.  ``rank``: a payload column that is least where an item is likely to be like most
     of a list.  ``listed`` is called when ``postings`` isn't read any more.  ``lists`` makes the lists of postings.
     """
-    sieve = None if bits is None else (lambda x, y: suffix_filter(x, y, percent, words))
+    sieve = sieve or (None if bits is None else (lambda x, y: suffix_filter(x, y, percent, words)))
     spark = postings.sparkSession
     listings, where = written(lists(postings, payload, orders, rank))
     listed()
 
     def sieved(pairs: DataFrame) -> DataFrame:
-        return pairs if bits is None else _sieved(pairs, bits, percent, words)
+        return pairs if bits is None else _sieved(pairs, bits, sieve)
 
     tried = materialize(sieved(first_pairs(listings, payload, keep)))
     heavy = materialize(listings.filter(F.col("m") > LIGHT))
