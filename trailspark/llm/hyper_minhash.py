@@ -6,9 +6,10 @@
 2. ``BAND`` neighbouring registers are a band; classes that agree in a band that isn't empty are candidates.  Two sets at
    85 % agree in a bucket with a probability of 0.85 or more (empty ones agree), so all 42 bands miss such a
    pair about twice in 10^9.
-3. Candidates are compared by their registers' last two bits, then by whole registers: those that agree, less those that
-   sets of these sizes have equal by chance, over those that aren't empty, estimate the similarity.  Pairs that
-   are ``SIGMAS`` deviations below the threshold go.
+3. Registers of candidates are compared whole: those that agree, less those that sets of these sizes have equal by
+   chance, over those that aren't empty, estimate the similarity.  Pairs that are ``SIGMAS`` deviations below
+   the threshold go.  Before, sizes and the parities of hash cells, which bound how much two sets differ, drop pairs
+   where they meet in a list.
 4. The others are verified exactly on their whole sets; ``linkage`` keeps large groups from becoming all pairs.
 
 Edge cases: null, empty and white-space texts have no shingle, are linked with nothing, are their own component and are
@@ -24,19 +25,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, arrow_column, arrow_map, materialize, mix, release, settled, written
-from .jaccard_join import set_key, shingle_set, with_component
-from .linkage import LIGHT, chosen_sets, linked, set_verifier
+from .jaccard_join import PARITY_WORDS, set_key, shingle_set, with_component
+from .linkage import LIGHT, chosen_sets, linked, parity, set_verifier
 
 #: Registers of a band, and of a set.
 BAND = 6
 BUCKETS = 42 * BAND
 MANTISSA = 10
-#: Longs of a bit for each register.
-PLANE = -(-BUCKETS // 64)
 #: How far below the threshold, in deviations of the estimate, a pair is still verified; with fewer registers it always is.
 SIGMAS, LEAST_REGISTERS = 6.0, 30
-#: Orders that leaders of long lists are drawn by.
-ORDERS = 4
+#: Orders that leaders of long lists are drawn by: one, so that the many lists of a group mostly have the same leader.
+ORDERS = 1
 
 
 def registers(h: np.ndarray) -> np.ndarray:
@@ -73,27 +72,6 @@ def likeness(n, m, x: list[bytes], y: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return np.clip((equal - chance) / np.maximum(full - chance, 1e-9), 0.0, 1.0), full
 
 
-def planes(regs: np.ndarray) -> np.ndarray:
-    """Of a set's registers which aren't empty, and their last bit and the one before: each as ``PLANE`` longs."""
-    bits = np.zeros((3, 64 * PLANE), np.uint8)
-    bits[:, :BUCKETS] = regs > 0, regs & 1, regs >> 1 & 1
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
-
-
-def plane_sieve(percent: int):
-    """Whether the last bits (column bits) leave it open that the similarity is reached; a fourth of unlike registers have them equal."""
-    share = percent / 100 + (1 - percent / 100) / 4
-
-    def sieve(x, y) -> Column:
-        at = lambda of, k: F.get(of("bits"), F.lit(k))
-        full = sum((F.bit_count(at(x, k).bitwiseOR(at(y, k))) for k in range(PLANE)), F.lit(0))
-        apart = [at(x, k).bitwiseXOR(at(y, k)).bitwiseOR(at(x, k + PLANE).bitwiseXOR(at(y, k + PLANE))).bitwiseOR(at(x, k + 2 * PLANE).bitwiseXOR(at(y, k + 2 * PLANE))) for k in range(PLANE)]
-        agree = full - sum((F.bit_count(c) for c in apart), F.lit(0))
-        return (full < LEAST_REGISTERS) | (agree >= full * share - SIGMAS * F.sqrt(full * (share * (1 - share))))
-
-    return sieve
-
-
 def promising(percent: int):
     """A column of two sizes and registers: whether the estimate leaves it open that the similarity is reached."""
 
@@ -112,7 +90,7 @@ def promising(percent: int):
 
 
 def register_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, th (hash of the text), k (class), n (set size), bits (last bits of the registers) and regs of each row."""
+    """doc_id, th (hash of the text), k (class), n (set size), bits (parity of the set) and regs of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
     def start():
@@ -123,7 +101,7 @@ def register_table(docs: DataFrame, width: int) -> DataFrame:
             for t in texts:
                 h = shingle_set(t, width, cache)
                 regs = registers(h) if len(h) else None
-                for column, value in zip(out[2:], (None, 0, None, None) if regs is None else (set_key(h), len(h), planes(regs), regs.tobytes()), strict=True):
+                for column, value in zip(out[2:], (None, 0, None, None) if regs is None else (set_key(h), len(h), parity(h, PARITY_WORDS), regs.tobytes()), strict=True):
                     column.append(value)
             return out
 
@@ -185,7 +163,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         homes = table.filter(F.col("k").isNotNull()).select("k", "th")
         exact = set_verifier(lambda ids: chosen_sets(docs, ids, homes, sets_in), percent)
         verify = lambda pairs: exact(materialize(_estimated(pairs, classes, percent)))
-        _, label = linked(bands(classes), ["n"], _keep(percent), verify, ORDERS, classes.select("k", "n", "bits"), lists=counted_lists, sieve=plane_sieve(percent))
+        _, label = linked(bands(classes), ["n"], _keep(percent), verify, ORDERS, classes.select("k", "n", "bits"), percent, PARITY_WORDS, lists=counted_lists)
         rows = materialize(with_component(table.select("doc_id", "k", "n"), label))
         first = rows.filter(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("first"))
         out = rows.join(first, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
