@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError, PatternError, UnknownNameError
+from ..operators.scan import running
 from ..schema import BOUNDS, DELIMITER, IDX, KIND, PATH_END, PATH_START, RANK, RANKS, StreamSchema, is_bound, micros, without_bounds
 from .durations import seconds
 
@@ -170,10 +171,10 @@ def parse_pattern(text: str) -> Pattern:
 
 def with_virtual_bounds(df: DataFrame, schema: StreamSchema, keys: list[str], event: str) -> DataFrame:
     """Boundary rows around each path, in place of any it has, by one explode; event names them in ``event`` too."""
-    w = schema.window(keys)
     real = without_bounds(df)
-    flagged = real.withColumn("__first", F.row_number().over(w) == 1).withColumn("__last", F.lead(F.col(IDX)).over(w).isNull())
     columns = real.columns
+    flagged = running(real, schema, keys, __place=("number", None), __next=("lead", F.col(IDX)))
+    flagged = flagged.withColumns({"__first": F.col("__place") == 1, "__last": F.col("__next").isNull()})
     # keys stay outside of what is unfolded, so the partitioning by them stays known
     inside = [c for c in columns if c not in keys]
     names = {schema.event_col, event}

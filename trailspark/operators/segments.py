@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
 from ..functions.metrics import path_metrics
 from ..schema import StreamSchema, without_bounds
 from .rows import rename_values, run_sql, temp_name
+from .scan import running
 
 OPS = {"=": "eqNullSafe", "==": "eqNullSafe", "!=": "__ne__", ">": "__gt__", "<": "__lt__", ">=": "__ge__", "<=": "__le__"}
 
@@ -67,11 +68,10 @@ def funnel_depth(df: DataFrame, schema: StreamSchema, keys: list[str], steps: li
     """keys and depth: how many steps each path reaches in order, each at a later index than the one before."""
     by, e, i = [*keys, *(extra or [])], F.col(schema.event_col), F.col("__idx")
     rows = without_bounds(df).select(*dict.fromkeys([*by, schema.event_col, "__idx", "__rank"]))
-    # running minima over one window of the path, each of the one before: no list of a path's events
-    so_far = schema.window(by).rowsBetween(Window.unboundedPreceding, 0)
+    # running minima, each of the one before: no list of a path's events
     for k, s in enumerate(steps):
         found = (e == s) if k == 0 else (e == s) & (i > F.col(f"__at{k - 1}"))
-        rows = rows.withColumn(f"__at{k}", F.min(F.when(found, i)).over(so_far))
+        rows = running(rows, schema, by, **{f"__at{k}": ("min", F.when(found, i))})
     reached = [F.max(F.col(f"__at{k}")).isNotNull().cast("int") for k in range(len(steps))]
     return rows.groupBy(*by).agg(reduce(lambda a, b: a + b, reached).alias("depth"))
 
@@ -105,7 +105,9 @@ def by_metric(df: DataFrame, schema: StreamSchema, keys: list[str], name: str, b
     if quantiles is not None:
         shares = [i / quantiles for i in range(1, quantiles)] if isinstance(quantiles, int) else list(quantiles)
         n_levels = len(shares) + 1
-        cuts = values.agg(F.percentile(v, F.array(*(F.lit(float(s)) for s in shares))).alias("__cuts"))  # one row
+        from ..plans.quantiles import quantiles
+
+        cuts = quantiles(values, [], F.col(v), [float(s) for s in shares]).agg(F.max("q").alias("__cuts"))  # one row
         values = values.join(F.broadcast(cuts))
         bounds = [F.get("__cuts", F.lit(k)) for k in range(len(shares))]
     else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
@@ -13,28 +13,30 @@ from ..functions.durations import seconds
 from ..functions.metrics import MetricBuilder
 from ..schema import IDX, KIND, RANK, RANKS, StreamSchema, micros
 from .rows import check_names, values_in
+from .scan import running
 
 GROUP = "__group"
 NAMED_GROUPS = ("event_groups", "bounds")
 
 
-def _pause(schema: StreamSchema, keys: list[str], timeout: str) -> Column:
-    gap = micros(schema.timestamp_col) - F.lag(micros(schema.timestamp_col)).over(schema.window(keys))
+def _pause(schema: StreamSchema, timeout: str) -> Column:
+    """Whether a row comes too long after the one before, whose time is ``__before``."""
+    gap = micros(schema.timestamp_col) - F.col("__before")
     return F.coalesce(gap > int(round(seconds(timeout, "timeout") * 1e6)), F.lit(False))
 
 
 def _numbered(df: DataFrame, schema: StreamSchema, keys: list[str], inside: Column, start: Column | None, timeout: str | None) -> DataFrame:
     """Adds the number of the stretch each row is in (NULL outside): a new one where ``inside`` begins, at ``start`` or after a pause."""
-    w = schema.window(keys)
     df = df.withColumn("__in", F.coalesce(inside, F.lit(False)))
-    begins = ~F.coalesce(F.lag("__in").over(w), F.lit(False))
+    times = {} if timeout is None else {"__before": ("lag", micros(schema.timestamp_col))}
+    df = running(df, schema, keys, __was=("lag", F.col("__in")), **times)
+    begins = ~F.coalesce("__was", F.lit(False))
     if start is not None:
         begins = begins | start
     if timeout is not None:
-        begins = begins | _pause(schema, keys, timeout)
-    df = df.withColumn("__new", (F.col("__in") & begins).cast("int"))
-    number = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(GROUP, F.when(F.col("__in"), number)).drop("__in", "__new")
+        begins = begins | _pause(schema, timeout)
+    df = running(df, schema, keys, __number=("sum", (F.col("__in") & begins).cast("int")))
+    return df.withColumn(GROUP, F.when(F.col("__in"), F.col("__number"))).drop("__in", "__was", "__before", "__number")
 
 
 def by_events(df: DataFrame, schema: StreamSchema, keys: list[str], events, timeout: str | None = None) -> DataFrame:
@@ -43,17 +45,16 @@ def by_events(df: DataFrame, schema: StreamSchema, keys: list[str], events, time
 
 def by_separator(df: DataFrame, schema: StreamSchema, keys: list[str], separator, timeout: str | None = None) -> DataFrame:
     cut = F.coalesce(values_in(schema.event_col, separator), F.lit(False))
-    seen = F.max(cut.cast("int")).over(schema.window(keys).rowsBetween(Window.unboundedPreceding, 0))
-    return _numbered(df.withColumn("__seen", seen), schema, keys, ~cut & (F.col("__seen") == 1), None, timeout).drop("__seen")
+    df = running(df, schema, keys, __seen=("max", cut.cast("int")))
+    return _numbered(df, schema, keys, ~cut & (F.col("__seen") == 1), None, timeout).drop("__seen")
 
 
 def by_bounds(df: DataFrame, schema: StreamSchema, keys: list[str], start_event, end_event, timeout: str | None = None) -> DataFrame:
     """From a start event to the next end event, both included; without one to the end of the path."""
-    w = schema.window(keys)
-    df = df.withColumn("__n", F.row_number().over(w))
-    begun = F.max(F.when(values_in(schema.event_col, start_event), F.col("__n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ended = F.max(F.when(values_in(schema.event_col, end_event), F.col("__n"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("__begun", begun).withColumn("__ended", ended)
+    df = running(df, schema, keys, __n=("number", None))
+    at = lambda events: ("max", F.when(values_in(schema.event_col, events), F.col("__n")))
+    df = running(df, schema, keys, __begun=at(start_event), __till=at(end_event))
+    df = running(df, schema, keys, __ended=("lag", F.col("__till"))).drop("__till")
     inside = F.col("__begun").isNotNull() & (F.col("__ended").isNull() | (F.col("__begun") > F.col("__ended")))
     # right behind an end event a new stretch begins, even if no row lies between
     behind = F.coalesce(F.col("__ended") == F.col("__n") - 1, F.lit(False))
@@ -105,7 +106,7 @@ def collapse_events(df: DataFrame, schema: StreamSchema, keys: list[str], levels
     given = [k for k, v in modes.items() if v not in (None, False)]
     if len(given) != 1:
         raise ParameterError(f"give one of {list(modes)}, got {given}")
-    mode, w, columns = given[0], schema.window(keys), df.columns
+    mode, columns = given[0], df.columns
     if mode == "group_col" and group_col not in columns:
         raise ParameterError(f"no column {group_col!r}")
     if mode == "group_col" and group_col == schema.event_col:
@@ -116,17 +117,20 @@ def collapse_events(df: DataFrame, schema: StreamSchema, keys: list[str], levels
         raise ParameterError(f"agg takes {list(AGGREGATES)}, got {bad}")
     if mode in ("loops", "group_col"):
         by = schema.event_col if mode == "loops" else group_col
-        apart = ~F.col(by).eqNullSafe(F.lag(by).over(w)) | (F.row_number().over(w) == 1)
+        times = {} if timeout is None else {"__before": ("lag", micros(schema.timestamp_col))}
+        rows = running(df, schema, keys, __last=("lag", F.col(by)), __n=("number", None), **times)
+        apart = ~F.col(by).eqNullSafe(F.col("__last")) | (F.col("__n") == 1)
         if timeout is not None:
-            apart = apart | _pause(schema, keys, timeout)
-        rows = df.withColumn("__apart", apart.cast("int")).withColumn(GROUP, F.sum("__apart").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__apart")
+            apart = apart | _pause(schema, timeout)
+        rows = running(rows, schema, keys, **{GROUP: ("sum", apart.cast("int"))}).drop("__last", "__before")
         if mode == "loops" and loops is not True:
             rows = rows.withColumn(GROUP, F.when(values_in(schema.event_col, loops), F.col(GROUP)))
     elif mode == "event_groups":
         rows = by_events(df, schema, keys, event_groups, timeout)
     else:
         rows = by_bounds(df, schema, keys, bounds["start_event"], bounds["end_event"], timeout)
-    rows = rows.withColumn("__n", F.row_number().over(w))
+    if "__n" not in rows.columns:
+        rows = running(rows, schema, keys, __n=("number", None))
     # a row that stays is a group of its own
     rows = rows.withColumn("__g", F.coalesce(F.col(GROUP).cast("long"), -F.col("__n").cast("long")))
     order = F.col("__n")

@@ -5,12 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
 from ..schema import MISSING
+from .density import NOISE, coordinates, density_model, distances
+from .quantiles import quantiles
+from .shared import Tables, tables
 from .tools import complement_distance
 
 #: Points of which a silhouette is computed; it compares all pairs of them.
@@ -49,7 +52,7 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float | None:
     names = np.unique(labels)
     if len(names) < 2 or len(names) >= len(points):
         return None
-    d = np.sqrt(np.maximum(((points[:, None] - points[None]) ** 2).sum(-1), 0))
+    d = distances(points, points)
     sums = np.stack([d[:, labels == n].sum(1) for n in names], 1)
     sizes = np.array([(labels == n).sum() for n in names])
     own = np.searchsorted(names, labels)
@@ -99,49 +102,86 @@ def nmf(rows: DataFrame, inputs: list[str], parts: int, rounds: int = 12, seed:
     return h, weighted(h)
 
 
-def cluster_paths(values: DataFrame, keys: list[str], features: list[str], n_clusters="3-8", scaler: str | None = "minmax", nmf_components=None, seed: int = 42, select: dict | None = None) -> tuple[DataFrame, dict]:
-    """keys and cluster (cluster_0, ..) of the best point of the grid by silhouette, or of the one that ``select`` names; and what was tried."""
-    if min(parse_range(n_clusters)) < 1:
-        raise ParameterError(f"n_clusters is 1 or more, got {n_clusters!r}")
-    rows = scaled(values, features, scaler)
-    inputs = [f"__f{k}" for k in range(len(features))]
+#: Methods and their arguments with defaults.
+METHODS: dict[str, dict] = {"kmeans": {"n_clusters": "3-8"}, "hdbscan": {"min_cluster_size": 5, "cluster_selection_epsilon": 0.0}}
+
+
+def method_grid(method: str, method_args: dict | None) -> list[dict]:
+    """The points of the grid that a method's arguments span: each may be a list, whole numbers a range too."""
+    if method not in METHODS:
+        raise ParameterError(f"method is one of {sorted(METHODS)}, got {method!r}")
+    if unknown := sorted(set(method_args or {}) - set(METHODS[method])):
+        owners = {a: m for m, args in METHODS.items() for a in args}
+        raise ParameterError(f"unknown method_args of {method}: " + ", ".join(f"{a!r}" + (f" belongs to the {owners[a]!r} method" if a in owners else "") for a in unknown))
+    args = METHODS[method] | {k: v for k, v in (method_args or {}).items() if v is not None}
+    if method == "kmeans":
+        numbers = parse_range(args["n_clusters"])
+        if min(numbers) < 1:
+            raise ParameterError(f"n_clusters is 1 or more, got {args['n_clusters']!r}")
+        return [{"n_clusters": k} for k in numbers]
+    sizes, epsilons = parse_range(args["min_cluster_size"]), args["cluster_selection_epsilon"]
+    epsilons = [float(e) for e in (epsilons if isinstance(epsilons, (list, tuple)) else [epsilons])]
+    if min(sizes) < 2 or min(epsilons) < 0:
+        raise ParameterError("min_cluster_size is 2 or more, cluster_selection_epsilon 0 or more")
+    return [{"min_cluster_size": k, "cluster_selection_epsilon": e} for k in sizes for e in epsilons]
+
+
+def cluster_paths(values: DataFrame, keys: list[str], features: list[str], method: str = "kmeans", method_args: dict | None = None, scaler: str | None = "minmax", nmf_components=None, seed: int = 42, select: dict | None = None) -> tuple[DataFrame, dict]:
+    """keys and cluster (cluster_0, .., noise) of the best point of the grid by silhouette, or of the one that ``select`` names; and what was tried.
+
+    The labels are a written table.  Paths of equal features are one point for the density method.
+    """
+    own, spark = method_grid(method, method_args), values.sparkSession
     many_parts = isinstance(nmf_components, (list, tuple))
-    points = [{"n_clusters": k} | ({} if p is None else {"nmf_components": p}) for p in (nmf_components if many_parts else [nmf_components]) for k in parse_range(n_clusters)]
+    points = [q | ({} if p is None else {"nmf_components": p}) for p in (nmf_components if many_parts else [nmf_components]) for q in own]
     wanted = [j for j, p in enumerate(points) if select is not None and all(p.get(k) == v for k, v in select.items())]
     if select is not None and len(wanted) != 1:
         raise ParameterError(f"select names {len(wanted)} points of the grid, not one: {select!r}")
+    inputs = [f"__f{k}" for k in range(len(features))]
     scores: list[float | None] = []
     made: dict = {}
-    tables: dict = {}
-    try:
+    with tables(spark) as keep:
+        rows = keep.keep(scaled(values, features, scaler).select(*keys, *inputs))
+        vectors: dict = {}
+        models: dict = {}
+
+        def labelled(p: int | None, point: dict) -> DataFrame:
+            """keys, __x and __k."""
+            if method == "kmeans":
+                x = vectors[p][1].withColumn("__v", array_to_vector("__x"))
+                return KMeans(k=point["n_clusters"], seed=seed, featuresCol="__v", predictionCol="__k").fit(x).transform(x).drop("__v")
+            size = point["min_cluster_size"]
+            distinct = vectors[p][2]
+            if (p, size) not in models:
+                models[p, size] = density_model(distinct, size, keep)
+            labels = models[p, size].labels(distinct, point["cluster_selection_epsilon"]).withColumnRenamed("label", "__k").withColumnRenamed("x", "__x")
+            return vectors[p][1].join(labels, "__x")
+
         for point in points:
             p = point.get("nmf_components")
-            if p not in tables:
+            if p not in vectors:
                 h, weighted = nmf(rows, inputs, p, seed=seed) if p else (None, rows)
-                vector = array_to_vector("__w" if p else F.array(*inputs)).alias("__x")
-                tables[p] = (h, weighted.select(*keys, vector).persist())
-            h, vectors = tables[p]
-            fitted = KMeans(k=point["n_clusters"], seed=seed, featuresCol="__x", predictionCol="__k").fit(vectors).transform(vectors)
-            sample = fitted.orderBy(F.xxhash64(*keys, F.lit(seed))).limit(SILHOUETTE_POINTS).select("__x", "__k").collect()
-            scores.append(silhouette(np.array([r["__x"].toArray() for r in sample]), np.array([r["__k"] for r in sample])) if sample else None)
+                x = keep.keep(weighted.select(*keys, (F.col("__w") if p else F.array(*inputs)).alias("__x")))
+                vectors[p] = (h, x, keep.keep(x.groupBy(F.col("__x").alias("x")).agg(F.count(F.lit(1)).alias("g"))) if method != "kmeans" else None)
+            fitted = labelled(p, point)
+            sample = fitted.filter(F.col("__k") != NOISE).orderBy(F.xxhash64(*keys, F.lit(seed))).limit(SILHOUETTE_POINTS).select("__x", "__k").collect()
+            scores.append(silhouette(coordinates(r["__x"] for r in sample), np.array([r["__k"] for r in sample])) if sample else None)
             made[len(scores) - 1] = fitted
         known = [j for j, x in enumerate(scores) if x is not None]
         best = max(known, key=lambda j: scores[j]) if known else 0
         chosen = wanted[0] if wanted else best
         point = points[chosen]
-        name = F.concat(F.lit("cluster_"), F.col("__k").cast("string")).alias("cluster")
+        name = F.when(F.col("__k") == NOISE, F.lit("noise")).otherwise(F.concat(F.lit("cluster_"), F.col("__k").cast("string"))).alias("cluster")
+        args = {k: v for k, v in point.items() if k != "nmf_components"}
         info: dict = {
-            "silhouette": {"params": points, "silhouette": scores, "best_index": best, "selected_index": chosen}, "n_clusters": point["n_clusters"],
-            "best_params": {"method": "kmeans", "method_args": {"n_clusters": point["n_clusters"]}, "scaler": scaler, **{k: v for k, v in point.items() if k == "nmf_components"}}, "nmf": None,
+            "silhouette": {"params": points, "silhouette": scores, "best_index": best, "selected_index": chosen}, "n_clusters": point.get("n_clusters"),
+            "best_params": {"method": method, "method_args": args, "scaler": scaler, **{k: v for k, v in point.items() if k == "nmf_components"}}, "nmf": None,
         }
         if (p := point.get("nmf_components")) is not None:
-            w = vector_to_array("__x")
-            means = made[chosen].groupBy(name).agg(*(F.avg(F.get(w, F.lit(i))).alias(f"w{i}") for i in range(p))).collect()
-            info["nmf"] = {"features": features, "H_matrix": tables[p][0].tolist(), "W_cluster_means": {r["cluster"]: [r[f"w{i}"] for i in range(p)] for r in sorted(means)}}
-    finally:
-        for _, vectors in tables.values():
-            vectors.unpersist()
-    return made[chosen].select(*keys, name), info
+            means = made[chosen].groupBy(name).agg(*(F.avg(F.get("__x", F.lit(i))).alias(f"w{i}") for i in range(p))).collect()
+            info["nmf"] = {"features": features, "H_matrix": vectors[p][0].tolist(), "W_cluster_means": {r["cluster"]: [r[f"w{i}"] for i in range(p)] for r in sorted(means)}}
+        labels = Tables(spark).keep(made[chosen].select(*keys, name))
+    return labels, info
 
 
 #: Distinct values up to which a metric is discrete; ratio of positive values and skewness above which it is
@@ -211,12 +251,13 @@ def distribution(values: DataFrame, column: str, level_col: str, levels: list[st
         distinct = sorted(r["x"] for r in rows.select("x").distinct().collect())  # at most DISCRETE
         edges = np.array([distinct[0] - 0.5, *(x + 0.5 for x in distinct)])
     else:
-        f = rows.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
-        edges = bin_edges(stats["n"], f["a"], f["b"], *f["q"])
+        f = rows.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
+        edges = bin_edges(stats["n"], f["a"], f["b"], *quantiles(rows, [], F.col("x"), [0.25, 0.75]).first()["q"])
     inner = F.array(*(F.lit(float(e)) for e in edges[1:-1]))
     cell = F.size(F.filter(inner, lambda e: e <= F.col("x"))) if len(edges) > 2 else F.lit(0)
     counts = rows.groupBy("level", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
-    moments = {r["level"]: r for r in rows.groupBy("level").agg(F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("a"), F.max("x").alias("b")).collect()}
+    moments = {r["level"]: r for r in rows.groupBy("level").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("a"), F.max("x").alias("b")).collect()}
+    medians = {r["level"]: r["q"][0] for r in quantiles(rows, ["level"], F.col("x"), [0.5]).collect()}
     curves = {} if discrete else density(rows.groupBy("level", "x").agg(F.count(F.lit(1)).alias("n")), {k: (m["a"], m["b"], m["sd"] or 0.0, m["n"]) for k, m in moments.items()})
     out: dict = {"discrete": discrete, "log": log, "edges": edges.tolist(), "levels": {}}
     for name, m in sorted(moments.items()):
@@ -224,7 +265,7 @@ def distribution(values: DataFrame, column: str, level_col: str, levels: list[st
         for r in counts:
             if r["level"] == name:
                 bars[r["cell"]] = r["n"]
-        out["levels"][name] = {"mean": m["mean"], "median": m["median"], "size": m["n"], "histogram": bars, "density": curves.get(name)}
+        out["levels"][name] = {"mean": m["mean"], "median": medians[name], "size": m["n"], "histogram": bars, "density": curves.get(name)}
     if levels is not None and len(out["levels"]) == 2:
         out["distance"] = complement_distance(rows.select("level", F.col("x").alias("v"))).first()["value"]
     return out

@@ -13,8 +13,10 @@ from ..errors import ParameterError
 from ..functions.durations import seconds
 from ..functions.metrics import normal, path_metrics
 from ..functions.patterns import Resolver, add_position, anchors_of, needs_bounds, parse_pattern, with_virtual_bounds
+from ..operators.scan import running
 from ..operators.segments import funnel_depth
 from ..schema import MISSING, PATH_END, PATH_START, StreamSchema, is_bound, micros, without_bounds
+from .quantiles import is_count, quantiles
 
 GROUP = "__grp"
 EDGE_WEIGHTS = ("count", "unique_paths", "share_of_total", "avg_per_path", "proba_out", "proba_in", "time_median", "time_q95")
@@ -35,13 +37,13 @@ def transitions(df: DataFrame, schema: StreamSchema, keys: list[str], edge_weigh
     g = [GROUP] if group else []
     by, e, ts = [*keys, *g], schema.event_col, schema.timestamp_col
     rows = with_virtual_bounds(df.select(*dict.fromkeys([*by, e, ts, "__kind", "__idx", "__rank"])), schema, by, e)
-    w = schema.window(by)
-    timed = edge_weight.startswith("time")
-    follow = rows.select(*by, F.col(e).alias("src"), F.lead(e).over(w).alias("dst"), *([(F.lead(F.unix_seconds(F.col(ts).cast("timestamp"))).over(w) - F.unix_seconds(F.col(ts).cast("timestamp"))).alias("__s")] if timed else [])).filter("dst is not null")
+    timed, at = edge_weight.startswith("time"), F.unix_seconds(F.col(ts).cast("timestamp"))
+    rows = running(rows, schema, by, __dst=("lead", F.col(e)), **({"__then": ("lead", at)} if timed else {}))
+    follow = rows.select(*by, F.col(e).alias("src"), F.col("__dst").alias("dst"), *([(F.col("__then") - at).alias("__s")] if timed else [])).filter("dst is not null")
     cell = [*g, "src", "dst"]
     if timed:
         share = 0.5 if edge_weight == "time_median" else 0.95
-        return follow.groupBy(*cell).agg(F.percentile("__s", F.lit(share)).alias("value"))
+        return quantiles(follow, cell, F.col("__s"), [share]).select(*cell, F.get("q", F.lit(0)).alias("value"))
     if edge_weight == "count":
         return follow.groupBy(*cell).agg(F.count(F.lit(1)).alias("value"))
     if edge_weight == "unique_paths":
@@ -61,7 +63,7 @@ def step_matrix(df: DataFrame, schema: StreamSchema, keys: list[str], max_steps:
     """step, event, value: the share of paths at each event; step 0 is the start, the rest has ended."""
     g = [GROUP] if group else []
     by = [*keys, *g]
-    rows = without_bounds(df).withColumn("step", F.row_number().over(schema.window(by)).cast("long"))
+    rows = running(without_bounds(df), schema, by, step=("number", None))
     if max_steps is not None:
         rows = rows.filter(F.col("step") <= max_steps)
     cells = rows.groupBy(*g, "step", F.col(schema.event_col).alias("event")).agg(F.count(F.lit(1)).alias("n"))
@@ -185,7 +187,8 @@ def conversion(df: DataFrame, schema: StreamSchema, keys: list[str], start_ancho
     return sums.select(F.inline(F.array(*out)))
 
 
-AGGS = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "q5": lambda c: F.percentile(c, F.lit(0.05)), "q25": lambda c: F.percentile(c, F.lit(0.25)), "q75": lambda c: F.percentile(c, F.lit(0.75)), "q95": lambda c: F.percentile(c, F.lit(0.95))}
+#: Aggregates of an overview: the mean, and quantiles by their shares.
+AGGS = {"mean": None, "median": 0.5, "q5": 0.05, "q25": 0.25, "q75": 0.75, "q95": 0.95}
 
 
 def segment_overview(df: DataFrame, schema: StreamSchema, keys: list[str], segment_col: str, metrics: list[dict], levels, strict: bool = True) -> DataFrame:
@@ -201,13 +204,23 @@ def segment_overview(df: DataFrame, schema: StreamSchema, keys: list[str], segme
     wanted: list[tuple[str, str]] = []
     for (_, agg), columns in zip(configs, names if configs else [], strict=False):
         wanted += [(c, agg) for c in columns if (c, agg) not in wanted]
-    plain = [(c, a) for c, a in wanted if a != "complement_distance"]
     number = lambda c: F.col(f"`{c}`").cast("double")
-    one = values.groupBy("level").agg(F.count(F.lit(1)).cast("double").alias("__size"), *(AGGS[a](number(c)).alias(f"__v{k}") for k, (c, a) in enumerate(plain)))
+    selected: dict[str, list[str]] = {}
+    for c, a in wanted:
+        if AGGS.get(a) is not None and not is_count(values, c):
+            selected.setdefault(c, []).append(a)
+    plain = [(c, a) for c, a in wanted if a != "complement_distance" and a not in selected.get(c, ())]
+    summed = lambda c, a: F.avg(number(c)) if AGGS[a] is None else F.percentile(number(c), F.lit(AGGS[a]))
+    one = values.groupBy("level").agg(F.count(F.lit(1)).cast("double").alias("__size"), *(summed(c, a).alias(f"__v{k}") for k, (c, a) in enumerate(plain)))
     total = one.agg(F.sum("__size").alias("__t"))  # one row
     cells = [F.struct(F.lit("segment_size").alias("metric"), F.lit("size").alias("agg"), F.col("__size").alias("value")), F.struct(F.lit("segment_share").alias("metric"), F.lit("share").alias("agg"), (F.col("__size") / F.col("__t")).alias("value"))]
     cells += [F.struct(F.lit(c).alias("metric"), F.lit(a).alias("agg"), F.col(f"__v{k}").cast("double").alias("value")) for k, (c, a) in enumerate(plain)]
     out = one.join(F.broadcast(total)).select("level", F.explode(F.array(*cells)).alias("x")).select(F.col("x.metric"), F.col("x.agg"), "level", F.col("x.value"))
+    for c, names in selected.items():
+        cells = [F.struct(F.lit(c).alias("metric"), F.lit(a).alias("agg"), F.get("q", F.lit(k)).alias("value")) for k, a in enumerate(names)]
+        found = quantiles(values, ["level"], number(c), [AGGS[a] for a in names])
+        every = values.select("level").distinct().join(found, "level", "left")  # a level without a value has none
+        out = out.unionByName(every.select("level", F.explode(F.array(*cells)).alias("x")).select(F.col("x.metric"), F.col("x.agg"), "level", F.col("x.value")))
     for c in dict.fromkeys(c for c, a in wanted if a == "complement_distance"):
         out = out.unionByName(complement_distance(values.select("level", number(c).alias("v"))).select(F.lit(c).alias("metric"), F.lit("complement_distance").alias("agg"), "level", "value"))
     return out
@@ -253,13 +266,13 @@ def route_stats(df: DataFrame, schema: StreamSchema, keys: list[str], nodes: lis
     follows = F.lead(e).over(w)
     rows = rows.select(*keys, F.coalesce(test, F.lit(False)).alias("hit"), took.alias("took"), F.col(e).alias("src"), follows.alias("dst"), (F.col("__kind") == PATH_START).alias("first"))
     per = rows.groupBy(*keys).agg(F.count(F.when(F.col("hit"), 1)).alias("n"), *(F.count(F.when((F.col("src") == a) & (F.col("dst") == b), 1)).alias(f"e{i}") for i, (a, b) in enumerate(pairs)), *(F.count(F.when((F.col("src") == a) & F.col("dst").isNotNull(), 1)).alias(f"o{i}") for i, (a, _) in enumerate(pairs)))
-    # percentiles need the single times, sums the paths: two aggregates of one row each over one shuffle
+    # quantiles need the single times, sums the paths
     sums = per.agg(F.sum("n").alias("occurrences"), F.count(F.when(F.col("n") > 0, 1)).alias("unique_paths"), F.count(F.lit(1)).alias("paths"), *(F.sum(f"e{i}").alias(f"e{i}") for i in range(k)), *(F.sum(f"o{i}").alias(f"o{i}") for i in range(k)))
-    quantiles = rows.filter("hit").agg(F.percentile("took", F.lit(0.5)).alias("time_median"), F.percentile("took", F.lit(0.95)).alias("time_q95"))
+    times = quantiles(rows.filter("hit"), [], F.col("took"), [0.5, 0.95]).agg(F.max(F.get("q", F.lit(0))).alias("time_median"), F.max(F.get("q", F.lit(1))).alias("time_q95"))
     chain = F.lit(1.0)
     for i in range(k):
         chain = chain * F.coalesce(F.try_divide(F.col(f"e{i}"), F.col(f"o{i}")), F.lit(0.0))
-    return sums.join(F.broadcast(quantiles)).select("occurrences", "unique_paths", F.try_divide("unique_paths", "paths").alias("path_share"), "time_median", "time_q95", chain.alias("markov_probability"))
+    return sums.join(F.broadcast(times)).select("occurrences", "unique_paths", F.try_divide("unique_paths", "paths").alias("path_share"), "time_median", "time_q95", chain.alias("markov_probability"))
 
 
 def event_counts(df: DataFrame, schema: StreamSchema) -> DataFrame:
@@ -279,8 +292,15 @@ def path_stats(df: DataFrame, schema: StreamSchema, keys: list[str], percentiles
     stats: list[tuple[str, str, Column]] = []
     for m in ("length", "duration"):
         stats += [(m, "count", F.count(m).cast("double")), (m, "mean", F.avg(m)), (m, "std", F.stddev_samp(m)), (m, "min", F.min(m)), (m, "max", F.max(m))]
-        stats += [(m, f"{int(p * 100)}%", F.percentile(m, F.lit(float(p)))) for p in percentiles]
+        if m == "length":  # few distinct values
+            stats += [(m, f"{int(p * 100)}%", F.percentile(m, F.lit(float(p)))) for p in percentiles]
     one = per.agg(*(c.alias(f"s{k}") for k, (_, _, c) in enumerate(stats)))
+    if percentiles:
+        times = quantiles(per, [], F.col("duration"), [float(p) for p in percentiles]).agg(F.max("q").alias("q"))
+        one = one.join(F.broadcast(times))
+        for k, p in enumerate(percentiles):
+            one = one.withColumn(f"s{len(stats)}", F.get("q", F.lit(k)))
+            stats.append(("duration", f"{int(p * 100)}%", F.col("q")))
     return one.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(s).alias("stat"), F.col(f"s{k}").alias("value")) for k, (m, s, _) in enumerate(stats)))))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .stream import Stream
@@ -12,6 +12,8 @@ from .stream import Stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: What a query asks of its stream.
+ASKED: dict[str, Callable[[Stream], DataFrame]] = {}
 
 _BASE = """WITH ev AS (SELECT user_id, event_type AS event, ts AS timestamp, event_id, value, CAST(user_id % 3 AS VARCHAR) AS seg,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx FROM events),
@@ -23,9 +25,9 @@ ed AS (SELECT src, dst, count(*) AS n, count(DISTINCT user_id) AS u FROM ld WHER
 """
 
 
-def events(spark: SparkSession, sf_dir: str) -> Stream:
+def events(spark: SparkSession, sf_dir: str, long_paths: int | None = None) -> Stream:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_type").alias("event"), F.col("ts").alias("timestamp"), "event_id", "value", (F.col("user_id") % 3).cast("string").alias("seg"))
-    return Stream.from_dataframe(rows, {"path_cols": ["user_id"], "segment_cols": ["seg"]}, order_col="event_id", validate=False, strict=False)
+    return Stream.from_dataframe(rows, {"path_cols": ["user_id"], "segment_cols": ["seg"], "long_paths": long_paths}, order_col="event_id", validate=False, strict=False)
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> Stream:
@@ -34,7 +36,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> Stream:
 
 def query(name: str, sql: str | None, of: Callable[[SparkSession, str], Stream] = events, base: bool = True):
     def register(f: Callable[[Stream], DataFrame]) -> Callable[[Stream], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(of(spark, sf_dir))
+        QUERIES[name], ASKED[name] = lambda spark, sf_dir: f(of(spark, sf_dir)), f
         if sql is not None:
             ORACLES[name] = (_BASE if base else "") + sql
         return f
@@ -220,6 +222,19 @@ _metric("metric_event_col", "SELECT session_id, count(CASE WHEN seg = '1' THEN 1
 query("clusters_separate", ", h AS (SELECT user_id, max((event = 'purchase')::INT) AS hit FROM ev GROUP BY 1) SELECT hit, count(*) AS n, 1::BIGINT AS clusters FROM h GROUP BY 1")(
     lambda s: s.add_clusters("cluster", [{"metric": "has_event", "metric_args": {"event": "purchase"}}], n_clusters=2).df.groupBy("user_id", "cluster").agg(F.max((F.col("event") == "purchase").cast("int")).alias("hit")).groupBy("hit").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters"))
 )
+
+
+def _part(alone: Column) -> Column:
+    return F.when(F.col("user_id") % 25 == 7, alone).otherwise((F.col("user_id") % 3).cast("string"))
+
+
+query("clusters_density", ", h AS (SELECT user_id, CASE WHEN user_id % 25 = 7 THEN 'alone' ELSE seg END AS part FROM ev GROUP BY ALL) SELECT part, count(*) AS n, 1::BIGINT AS clusters, (part = 'alone')::BIGINT AS noise FROM h GROUP BY 1")(
+    # three dense parts, and pairs of users that lie alone
+    lambda s: s.add_segment("part", func=lambda df: _part(F.concat(F.lit("alone"), F.floor(F.col("user_id") / 50).cast("string"))))
+    .add_clusters("cluster", [{"metric": "in_segment_bulk", "metric_args": {"segment_name": "part"}}], method="hdbscan", method_args={"min_cluster_size": 3})
+    .df.select("user_id", "cluster", _part(F.lit("alone")).alias("part")).distinct()
+    .groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters"), F.max((F.col("cluster") == "noise").cast("long")).alias("noise"))
+)
 query("top_transitions", "SELECT src, dst, n AS value FROM ed ORDER BY n DESC, src, dst LIMIT 7")(lambda s: s.top_transitions(7))
 query("top_of_steps", """, c AS (SELECT idx AS step, event, count(*) AS n FROM ev WHERE idx <= 4 GROUP BY ALL), p AS (SELECT count(DISTINCT user_id) AS p FROM ev),
 v AS (SELECT step, event, n / p::DOUBLE AS value FROM c, p UNION ALL SELECT 0, 'path_start', 1.0 UNION ALL SELECT step, 'path_end', 1.0 - sum(n)::BIGINT / p::DOUBLE FROM c, p GROUP BY step, p HAVING sum(n) < p),
@@ -243,3 +258,19 @@ SELECT page_id, 'page:/' || CASE WHEN locale <> '' THEN CASE WHEN p = locale THE
 query("sample_paths", None)(lambda s: rows(s.sample_paths(n=20, random_state=3)))
 query("clusters_kmeans", None)(lambda s: rows(s.add_clusters("cluster", ["length", {"metric": "event_count", "metric_args": {"event": "purchase"}}], n_clusters="2-3"), "cluster"))
 query("recipe_replay", "SELECT user_id, event_id, CASE event WHEN 'view' THEN 'seen' ELSE event END AS event FROM ev WHERE event <> 'error'")(lambda s: rows(s.apply(s.drop_events(["error"]).rename_events({"view": "seen"}).recipe())))
+
+# the same answers where a path is cut into chunks of 16 indexes
+for _name in ("sessions_timeout", "sessions_separator_timeout", "sessions_bounds", "collapse_loops", "funnel", "transitions_count", "step_matrix"):
+    QUERIES[f"long_{_name}"] = lambda spark, sf_dir, name=_name: ASKED[name](_long(spark, sf_dir, name))
+    ORACLES[f"long_{_name}"] = ORACLES[_name]
+
+
+def _long(spark: SparkSession, sf_dir: str, name: str) -> Stream:
+    s = events(spark, sf_dir, long_paths=16)
+    return s.split_sessions(timeout="6h") if name == "funnel" else s
+
+
+query("overview_duration_quantiles", """, m AS (SELECT user_id, seg AS level, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6 AS d FROM ev GROUP BY ALL)
+SELECT 'duration' AS metric, a AS agg, level, v AS value FROM (SELECT level, quantile_cont(d, 0.05) AS q5, quantile_cont(d, 0.5) AS median, quantile_cont(d, 0.95) AS q95 FROM m GROUP BY level) UNPIVOT (v FOR a IN (q5, median, q95))""")(
+    lambda s: s.segment_overview_data("seg", [{"metric": "duration", "agg": a} for a in ("q5", "median", "q95")]).filter("metric = 'duration'")
+)

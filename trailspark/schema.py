@@ -31,6 +31,8 @@ class StreamSchema:
     timestamp_col: str = "timestamp"
     segment_cols: tuple[str, ...] = ()
     custom_cols: tuple[str, ...] | None = field(default=None)
+    #: Indexes of a chunk where paths may be too long for one task; None where each path is one task's work.
+    long_paths: int | None = None
 
     def __post_init__(self) -> None:
         for name in ("path_cols", "segment_cols", "custom_cols"):
@@ -41,6 +43,8 @@ class StreamSchema:
                 object.__setattr__(self, name, tuple(value))
         if not self.path_cols:
             raise SchemaError("path_cols must name at least one column")
+        if self.long_paths is not None and (isinstance(self.long_paths, bool) or not isinstance(self.long_paths, int) or self.long_paths < 1):
+            raise SchemaError(f"long_paths is a positive number of indexes, got {self.long_paths!r}")
         names = [*self.path_cols, self.event_col, self.timestamp_col, *self.segment_cols, *(self.custom_cols or ())]
         if twice := sorted({n for n in names if names.count(n) > 1}):
             raise SchemaError(f"columns with more than one role: {twice}")

@@ -42,6 +42,11 @@ def load(df: DataFrame, schema: StreamSchema, order_col: str | None = None, vali
     order = "__order"
     rows = df.select(*roles, (F.col(order_col) if order_col else F.monotonically_increasing_id()).alias(order))
     rows = rows.withColumn(schema.timestamp_col, as_timestamp(schema.timestamp_col, df.schema[schema.timestamp_col].dataType)).withColumn(schema.event_col, F.col(schema.event_col).cast("string"))
+    if schema.long_paths is not None:
+        from ..operators.scan import numbered_by_ranges
+
+        rows = numbered_by_ranges(rows, schema.path_col, [schema.timestamp_col, order], IDX)
+        return rows.drop(order).withColumns({KIND: F.lit("raw"), RANK: F.lit(RANKS["raw"])}).select(*(c for c in rows.columns if c not in (order, IDX)), KIND, RANK, IDX), schema
     from pyspark.sql import Window
 
     w = Window.partitionBy(schema.path_col).orderBy(schema.timestamp_col, order)

@@ -281,7 +281,7 @@ class Stream:
     @op
     def add_clusters(self, name: str, features: list, n_clusters="3-8", scaler: str | None = "minmax", nmf_components=None, path_col: str | None = None, method: str = "kmeans", method_args: dict | None = None) -> Stream:
         keys = self.schema.keys(path_col)
-        labels, _ = self._clusters(features, self._cluster_numbers(method, method_args, n_clusters), scaler, nmf_components, keys)
+        labels, _ = self._clusters(features, method, self._method_args(method, method_args, n_clusters), scaler, nmf_components, keys)
         df = self.df.join(labels.withColumnRenamed("cluster", name), keys, "left").select(*self.df.columns, name)
         return self._of(df, self.schema.with_segment(name))
 
@@ -389,20 +389,17 @@ class Stream:
         return self._of(df, self.schema.with_segment("cluster")).get_metric_distribution("cluster", metric, clusters, path_col)
 
     @staticmethod
-    def _cluster_numbers(method: str, method_args: dict | None, n_clusters):
-        if method != "kmeans":
-            raise ParameterError(f"method is kmeans, got {method!r}")
-        if unknown := sorted(set(method_args or {}) - {"n_clusters"}):
-            raise ParameterError(f"unknown method_args {unknown}")
-        return (method_args or {}).get("n_clusters", n_clusters)
-
-    def _clusters(self, features: list, n_clusters, scaler, nmf_components, keys: list[str], select: dict | None = None):
+    def _method_args(method: str, method_args: dict | None, n_clusters) -> dict:
+        """``n_clusters`` is short for the argument of k-means."""
+        return {"n_clusters": n_clusters, **(method_args or {})} if method == "kmeans" else method_args or {}
+
+    def _clusters(self, features: list, method: str, method_args: dict, scaler, nmf_components, keys: list[str], select: dict | None = None):
         values, names = path_metrics(self.df, self.schema, keys, features, self.levels, self.strict)
-        return learned.cluster_paths(values, keys, list(dict.fromkeys(n for group in names for n in group)), n_clusters, scaler, nmf_components, select=select)
+        return learned.cluster_paths(values, keys, list(dict.fromkeys(n for group in names for n in group)), method, method_args, scaler, nmf_components, select=select)
 
     def cluster_analysis_data(self, features: list, n_clusters="3-8", scaler: str | None = "minmax", nmf_components=None, overview_metrics: list | None = None, path_col: str | None = None, method: str = "kmeans", method_args: dict | None = None, select: dict | None = None) -> dict:
         keys = self.schema.keys(path_col)
-        labels, info = self._clusters(features, self._cluster_numbers(method, method_args, n_clusters), scaler, nmf_components, keys, select)
+        labels, info = self._clusters(features, method, self._method_args(method, method_args, n_clusters), scaler, nmf_components, keys, select)
         df = self.df.join(labels, keys, "left")
         overview = self._of(df, self.schema.with_segment("cluster")).segment_overview_data("cluster", overview_metrics or features, path_col)
         return {"labels": labels, "overview": overview, **info}
