@@ -215,3 +215,38 @@ def test_silhouette_of_many_features():
     a = np.array([d[i, labels == labels[i]].sum() / 299 for i in range(600)])
     b = np.array([d[i, labels != labels[i]].mean() for i in range(600)])
     assert learned.silhouette(x, labels) == pytest.approx(((b - a) / np.maximum(a, b)).mean())
+
+
+@pytest.mark.parametrize("seed, blocks, size", [(0, 4, 5), (1, 9, 12), (2, 30, 25), (3, 60, 7), (4, 300, 4)])
+def test_reaches_over_borders(seed, blocks, size):
+    """Blocks first, then trees of what they leave open, also where a cluster needs more points than a block has."""
+    rng = np.random.default_rng(seed)
+    x = np.unique(np.concatenate([blobs(rng), rng.integers(-9, 9, (150, 2))]), axis=0)
+    core, edges, expected, _ = solved(x, size)
+    block = density.Cuts(x, blocks).of(x)
+    reach, node = [None] * len(x), np.arange(len(x))
+    for b in np.unique(block):
+        ids = np.flatnonzero(block == b)
+        inner = [e for e in edges if block[e[1]] == b == block[e[2]]]
+        leaving = {}
+        for e in edges:
+            for v in e[1:]:
+                if block[e[1]] != block[e[2]] and block[v] == b:
+                    leaving[v] = min(leaving.get(v, e), e)
+        found, nodes = density.reach_inside(ids, np.ones(len(ids), int), core[ids], inner, leaving, size)
+        for j, r, k in zip(ids, found, nodes, strict=True):
+            reach[j], node[j] = r, k
+    open_ = [j for j, r in enumerate(reach) if r is None]
+    assert open_ and all(r is None or r == expected[j] for j, r in enumerate(reach))
+    weight = {}
+    for j in open_:
+        weight[node[j]] = weight.get(node[j], 0) + 1
+    arcs = []
+    for e in sorted(edges):
+        a, b = (node[v] if reach[v] is None else None for v in e[1:])
+        if a is not None and b is not None and a != b:
+            arcs.append((e, a, b, None))
+        elif (a is None) != (b is None):
+            arcs.append((e, b if a is None else a, None, reach[e[1]] or reach[e[2]]))
+    rest = density.reach_among(weight, arcs, size)
+    assert all(rest[node[j]] == expected[j] for j in open_)

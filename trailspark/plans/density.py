@@ -8,7 +8,7 @@
    as long as nothing outside can be nearer; what is left of them is joined by rounds over all blocks, in which only points
    visit that may have an edge as light as their component's best so far.
 4. A point's reach is the edge by which its component comes to have ``size`` points.  Blocks find it for what doesn't
-   depend on other blocks; the rest follows its lightest edge.  An edge that comes after the reach of both its ends
+   depend on other blocks; the rest, along their borders, is found tree by tree.  An edge that comes after the reach of both its ends
    splits two clusters; without these edges the tree falls into the leaves of the condensed tree.
 5. The splits, a row each, and sums for each cluster reach the driver, which selects the clusters of most stability.
 
@@ -266,6 +266,44 @@ def reach_inside(ids: np.ndarray, g: np.ndarray, core: np.ndarray, edges: list[t
     return reach, node
 
 
+def reach_among(weight: dict[int, int], arcs: list[tuple], size: int) -> dict[int, tuple]:
+    """Reach of each node of a tree; ``arcs`` (edge, node, other node or none, the reach of an end that has one) in order.
+
+    What joins a point or a component of known reach has the later of this reach and the edge that joins.
+    """
+    parent, held, members, known = {n: n for n in weight}, dict(weight), {n: [n] for n in weight}, {}
+    out: dict[int, tuple] = {}
+
+    def root(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    def settle(n: int, reach: tuple) -> None:
+        known[n] = reach
+        out.update(dict.fromkeys(members.pop(n), reach))
+
+    for edge, node, other, reach in arcs:
+        a = root(node)
+        if other is None:
+            if a not in known:
+                settle(a, max(edge, reach))
+            continue
+        b = root(other)
+        if a in known and b in known:
+            continue
+        if a in known or b in known:
+            a, b = (a, b) if a in known else (b, a)
+            settle(b, max(edge, known[a]))
+            continue
+        parent[b] = a
+        held[a] += held[b]
+        members[a] += members.pop(b)
+        if held[a] >= size:
+            settle(a, edge)
+    return out
+
+
 # over all blocks
 
 
@@ -438,7 +476,9 @@ def _by_block(edges: DataFrame) -> DataFrame:
 def reaches(points: DataFrame, edges: DataFrame, size: int, keep: Tables) -> DataFrame:
     """id, t: the edge (w, lo, hi) by which a point's component comes to weigh ``size``, edges taken in order.
 
-    A point that weighs so much by itself has its core distance and no ends.
+    A point that weighs so much by itself has its core distance and no ends.  What is open after the blocks' own
+    work, components that touch other blocks before they are large, is done by trees of such components: small
+    ones along the borders, unless ``size`` is above what a block holds.
     """
 
     def inside(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -456,24 +496,30 @@ def reaches(points: DataFrame, edges: DataFrame, size: int, keep: Tables) -> Dat
     found = keep.keep(found.select("id", "g", "node", F.when(F.col("w").isNotNull(), F.struct("w", "lo", "hi")).alias("t")))
     done = found.filter("t is not null").select("id", "t")
     left = found.filter("t is null").select("id", "g", "node")
-    nodes = keep.keep(left.groupBy("node").agg(F.sum("g").alias("g")))
-    where = keep.keep(left.select("id", "node"))  # node of each point without a reach; nodes only merge
-    ends = edges.select("w", "lo", "hi", F.explode(F.array(F.struct(F.col("lo").alias("id"), F.col("hi").alias("to")), F.struct(F.col("hi").alias("id"), F.col("lo").alias("to")))).alias("e")).select("w", "lo", "hi", "e.*")
-    arcs = keep.keep(ends.join(where.select("id"), "id"))
-    while not nodes.isEmpty():
-        at = arcs.join(where, "id").join(where.select(F.col("id").alias("to"), F.col("node").alias("other")), "to", "left").join(done.select(F.col("id").alias("to"), "t"), "to", "left").filter("other is null or other <> node")
-        best = keep.keep(at.groupBy("node").agg(F.min(F.struct("w", "lo", "hi", "other", "t")).alias("e")).select("node", "e.*").join(nodes, "node"))
-        back = best.select(F.col("node").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("g").alias("g2"))
-        pair = (F.col("lo") == F.col("lo2")) & (F.col("hi") == F.col("hi2"))
-        both = best.join(back, "other", "left")
-        edge = F.struct("w", "lo", "hi")
-        known = F.when(F.col("t").isNotNull(), F.greatest(edge, "t")).when(pair & (F.col("g") + F.col("g2") >= size), edge)
-        step = keep.keep(both.select("node", known.alias("reached"), F.when(pair, F.least("node", "other")).otherwise(F.col("node")).alias("now"), "g"))
-        moved = keep.keep(where.join(step, "node"))
-        done = keep.keep(done.unionByName(moved.filter("reached is not null").select("id", F.col("reached").alias("t"))))
-        where = moved.filter("reached is null").select("id", F.col("now").alias("node"))
-        nodes = keep.keep(step.filter("reached is null").groupBy(F.col("now").alias("node")).agg(F.sum("g").alias("g")))
-    return done
+    where = keep.keep(left.select("id", "node", "g"))  # what blocks couldn't tell, as nodes of a forest
+    if where.isEmpty():
+        return done
+    at = lambda c: where.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node"))
+    known = lambda c: done.select(F.col("id").alias(c), F.col("t").alias(f"{c}_t"))
+    open_ = edges.join(at("lo"), "lo", "left").join(at("hi"), "hi", "left").filter("lo_node is not null or hi_node is not null")
+    open_ = keep.keep(open_.join(known("lo"), "lo", "left").join(known("hi"), "hi", "left"))
+    links = open_.filter("lo_node <> hi_node").select(F.greatest("lo_node", "hi_node").alias("comp"), F.least("lo_node", "hi_node").alias("to"))
+    tree = _forest(links, where.select(F.col("node").alias("id")).distinct(), keep)
+    name = lambda c: tree.select(F.col("id").alias(c), F.col("leaf").alias("tree"))
+    nodes = where.groupBy("node").agg(F.sum("g").alias("g")).join(name("node"), "node")
+    arcs = open_.filter("lo_node is null or hi_node is null or lo_node <> hi_node").select(
+        "w", "lo", "hi", F.coalesce("lo_node", "hi_node").alias("node"), F.when(F.col("lo_node").isNotNull(), F.col("hi_node")).alias("other"), F.coalesce("lo_t", "hi_t").alias("t")
+    )
+    arcs = arcs.join(name("node"), "node").select("tree", "node", "other", "w", "lo", "hi", F.col("t.w").alias("tw"), F.col("t.lo").alias("tlo"), F.col("t.hi").alias("thi"))
+
+    def among(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(own.w.tolist(), own.lo.tolist(), own.hi.tolist(), own.node.tolist(), own.other.tolist(), own.tw.tolist(), own.tlo.tolist(), own.thi.tolist(), strict=True), key=lambda r: r[:3])
+        arcs = [(r[:3], r[3], None if r[4] != r[4] or r[4] is None else int(r[4]), (r[5], int(r[6]), int(r[7])) if r[5] == r[5] and r[5] is not None else None) for r in rows]
+        found = reach_among(dict(zip(part.node.tolist(), part.g.tolist(), strict=True)), arcs, size)
+        return _frame({"node": list(found), **{c: [v[k] for v in found.values()] for k, c in enumerate(("w", "lo", "hi"))}})
+
+    rest = keep.keep(nodes.groupBy("tree").cogroup(arcs.groupBy("tree")).applyInPandas(among, "node long, w double, lo long, hi long"))
+    return done.unionByName(where.join(rest, "node").select("id", F.struct("w", "lo", "hi").alias("t")))
 
 
 def connected(points: DataFrame, edges: DataFrame, keep: Tables) -> DataFrame:
@@ -495,7 +541,13 @@ def connected(points: DataFrame, edges: DataFrame, keep: Tables) -> DataFrame:
     at = keep.keep(points.select("id", "b").groupBy("b").cogroup(_by_block(edges).groupBy("b")).applyInPandas(inside, "id long, leaf long"))
     to = lambda c: at.select(F.col("id").alias(c), F.col("leaf").alias(f"{c}_leaf"))
     links = edges.filter(_block("lo") != _block("hi")).join(to("lo"), "lo").join(to("hi"), "hi")
-    left = keep.keep(links.select(F.greatest("lo_leaf", "hi_leaf").alias("comp"), F.least("lo_leaf", "hi_leaf").alias("to")))
+    root = _forest(links.select(F.greatest("lo_leaf", "hi_leaf").alias("comp"), F.least("lo_leaf", "hi_leaf").alias("to")), at.select(F.col("leaf").alias("id")).distinct(), keep)
+    return at.join(root.select(F.col("id").alias("leaf"), F.col("leaf").alias("root")), "leaf").select("id", F.col("root").alias("leaf"))
+
+
+def _forest(links: DataFrame, ids: DataFrame, keep: Tables) -> DataFrame:
+    """id, leaf: the components that ``links`` (comp, to: a smaller id) make of ``ids``, named by their smallest."""
+    at, left = keep.keep(ids.select("id", F.col("id").alias("leaf"))), keep.keep(links)
     while not left.isEmpty():
         step = keep.keep(left.groupBy("comp").agg(F.min("to").alias("to")))
         # pointers fall, so they end at ids that don't point on
@@ -504,8 +556,7 @@ def connected(points: DataFrame, edges: DataFrame, keep: Tables) -> DataFrame:
         at = keep.keep(at.join(root.select(F.col("comp").alias("leaf"), "root"), "leaf", "left").select("id", F.coalesce("root", "leaf").alias("leaf")))
         named = lambda c: root.select(F.col("comp").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
         moved = left.join(named("comp"), "comp", "left").join(named("to"), "to", "left").select(F.coalesce("comp_root", "comp").alias("a"), F.coalesce("to_root", "to").alias("z"))
-        again = moved.select(F.greatest("a", "z").alias("comp"), F.least("a", "z").alias("to"))
-        left = keep.keep(again.filter("comp <> to").distinct())
+        left = keep.keep(moved.filter("a <> z").select(F.greatest("a", "z").alias("comp"), F.least("a", "z").alias("to")).distinct())
     return at
 
 
