@@ -197,3 +197,15 @@ def test_payloads_are_whole_or_an_error(small):
     assert json.loads(json.dumps(out)) == out and out["columns"] == ["src", "dst", "value"] and len(out["rows"]) == small.transition_graph_data("count").count()
     with pytest.raises(ParameterError):
         Stream.payload(small.transition_graph_data("count"), most_rows=1)
+
+
+def test_differences_of_many_paths(spark):
+    rows = [(u, e, 60 * k) for u in range(60) for k, e in enumerate("ab" if u % 2 else "ac")]
+    s = Stream.from_dataframe(spark.createDataFrame(rows, "user_id int, event string, timestamp long"))
+    odd, all_of = [u for u in range(60) if u % 2], list(range(60))
+    got = {(r["src"], r["dst"]): r["value"] for r in s.transition_graph_data("count", diff=(odd, all_of)).collect()}
+    assert got[("a", "b")] == 0 and got[("a", "c")] == -30 and got[("path_start", "a")] == -30
+    assert {r["value"] for r in s.transition_graph_data("count", diff=([], [1])).collect()} == {-1.0}
+    assert s.transition_graph_data("count", diff=([], [])).collect() == []
+    plan = s.transition_graph_data("count", diff=(list(range(5000)), [1]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" not in plan and " IN (" not in plan

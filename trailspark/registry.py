@@ -274,3 +274,25 @@ query("overview_duration_quantiles", """, m AS (SELECT user_id, seg AS level, (e
 SELECT 'duration' AS metric, a AS agg, level, v AS value FROM (SELECT level, quantile_cont(d, 0.05) AS q5, quantile_cont(d, 0.5) AS median, quantile_cont(d, 0.95) AS q95 FROM m GROUP BY level) UNPIVOT (v FOR a IN (q5, median, q95))""")(
     lambda s: s.segment_overview_data("seg", [{"metric": "duration", "agg": a} for a in ("q5", "median", "q95")]).filter("metric = 'duration'")
 )
+
+
+query("urls_nodes", r"""WITH p AS (SELECT page_id, rtrim(ltrim(lower(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '')), '/'), '/') AS p, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) <> '' AS has FROM pages),
+q AS (SELECT page_id, CASE WHEN p = '' AND has THEN '/' ELSE p END AS p FROM p WHERE p <> 'fr' AND NOT starts_with(p, 'fr/')),
+s AS (SELECT page_id, p, CASE WHEN starts_with(p, 'en/') THEN CASE split_part(p, '/', 2) WHEN '615.html' THEN 'special' WHEN '300' THEN 'page' ELSE 'page' END WHEN p <> 'es/254' AND starts_with(p, 'es/') AND NOT starts_with(p, 'es/254/') THEN 'sub-page' WHEN starts_with(p, 'es/254/') THEN 'below' ELSE '' END AS slug FROM q)
+SELECT page_id, slug, 'page:/' || CASE WHEN slug = '' THEN p WHEN starts_with(p, 'es/254/') THEN 'es/254/' || slug ELSE split_part(p, '/', 1) || '/' || slug END AS event FROM s""", _pages, base=False)(
+    lambda s: s.urls_to_events(
+        "url", strip_locale=False, slug_col="slug",
+        nodes=[{"path": "en", "aggregate_children": True, "name": "page"}, {"path": "en/615.html", "name": "special"}, {"path": "en/300"}, {"path": "/FR/", "exclude": True}, {"path": "es", "aggregate_children": True}, {"path": "es/254", "aggregate_children": True, "name": "below"}],
+    ).df.select("page_id", "slug", "event")
+)
+
+
+def _bars(s: Stream) -> DataFrame:
+    early = s.filter_events(func=lambda df: F.hour("timestamp") < 3)
+    found = early.get_metric_distribution("seg", {"metric": "event_count", "metric_args": {"event": "purchase"}})
+    rows = [(level, k, n, float(x["mean"]), x["median"], x["size"]) for level, x in found["levels"].items() for k, n in enumerate(x["histogram"])]
+    return s.df.sparkSession.createDataFrame(rows, "level string, bin long, n long, mean double, median double, size long")
+
+
+query("distribution_counts", """, h AS (SELECT user_id, seg, sum((event = 'purchase')::INT) AS v FROM ev WHERE hour(timestamp) < 3 GROUP BY ALL), b AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS bin FROM (SELECT DISTINCT v FROM h))
+SELECT l.seg AS level, bin, count(h.v) AS n, any_value(l.mean) AS mean, any_value(l.median) AS median, any_value(l.size) AS size FROM (SELECT seg, avg(v) AS mean, quantile_cont(v::DOUBLE, 0.5) AS median, count(*) AS size FROM h GROUP BY 1) l CROSS JOIN b LEFT JOIN h ON h.seg = l.seg AND h.v = b.v GROUP BY l.seg, bin""")(_bars)

@@ -312,7 +312,14 @@ class Stream:
 
             one, two = side(sides[0], sides[1]), side(sides[1], sides[0])
         elif len(diff) == 2:
-            one, two = (F.col(self.schema.path_col).isin(*ids) for ids in diff)
+            # a table of ids, however many: a plan of as many literals would not do
+            groups: dict = {}
+            for g, ids in enumerate(diff, 1):
+                for i in ids:
+                    groups.setdefault(i, set()).add(g)
+            kind = self.df.schema[self.schema.path_col].dataType.simpleString()
+            known = self.df.sparkSession.createDataFrame([(i, sorted(g)) for i, g in groups.items()], ["__id", "__in"] if groups else f"__id {kind}, __in array<int>")
+            return self.df.join(known, F.col(self.schema.path_col) == F.col("__id")).withColumn(tools.GROUP, F.explode(F.col("__in").cast("array<int>"))).drop("__id", "__in")
         else:
             raise ParameterError("diff is (segment, level, level) or two lists of path ids")
         return self.df.withColumn(tools.GROUP, F.explode(F.array_compact(F.array(F.when(one, 1), F.when(two, 2)))))
