@@ -174,6 +174,20 @@ def test_label_model_needs_no_labels():
     assert model.leans_on[5] == 0 or model.leans_on[0] == 5
 
 
+def test_label_model_keeps_kinds_of_toxic_texts_together():
+    """One kind of toxic text speaks to a few frequent voters, three others to many rare ones: all are one class, with no clean one in it (by votes alone 0.63 of the first kind)."""
+    rng = np.random.default_rng(2)
+    kind = rng.choice(5, 6000, p=[0.64, 0.22, 0.06, 0.04, 0.04])  # 0: clean
+    words = np.concatenate([(rng.random((6000, n)) < np.where(kind == k, rate, 0.0)[:, None]) for k, n, rate in ((1, 10, 0.5), (2, 17, 0.3), (3, 17, 0.3), (4, 16, 0.3))], axis=1)
+    words[:, -1] |= (kind == 0) & (rng.random(6000) < 0.01)
+    lists = np.stack([words[:, :10].any(axis=1), words[:, [1, 12]].any(axis=1), words[:, [1, 30]].any(axis=1)], axis=1)
+    listed = words.sum(axis=1)
+    votes = np.column_stack((lists, words, listed >= 2, listed >= 5, listed == 0)).astype(float)
+    label = (kind > 0) ^ (rng.random(6000) < 0.03)
+    model = toxicity.label_model(votes, np.arange(63), np.where(label, toxicity.LABEL_EVIDENCE, -toxicity.LABEL_EVIDENCE))
+    assert all(((model.posterior > 0.5) == (k > 0))[kind == k].mean() > 0.97 for k in range(5))
+
+
 def test_join(docs, corpus):
     out = jaccard_join.jaccard_components(docs)
     assert dict(out.dtypes)["n_shingles"] == "bigint"

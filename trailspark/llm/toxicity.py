@@ -2,10 +2,11 @@
 
 Voters look at a text: fixed word lists, words that the labelled rows single out (lists of one word),
 disguised spellings, several hits at once, shouting, and one that votes when nothing is found.  A
-generative label model is fitted to the votes alone by EM: a hidden class, how often each voter speaks in
-either class (its accuracy), and its correlation with one other voter, on whose vote its own depends (the
-tree of greatest mutual information within the classes).  Labels choose the mined words, say which hidden
-class is toxic, and calibrate; they are not seen by the EM.  A linear classifier on the words of a text,
+generative label model is fitted to the votes by EM: a hidden class, how often each voter speaks in either
+class (its accuracy), and its correlation with one other voter, on whose vote its own depends (the tree of
+greatest mutual information within the classes).  Labels choose the mined words, calibrate, and are weak
+evidence of a row's class in the EM: votes alone may be as well explained by classes that divide the kinds
+of toxic texts (languages share few voters) as by toxic and clean.  A linear classifier on the words of a text,
 fitted by follow-the-regularised-leader to the label model's posteriors, gives the scores.  All is fitted
 on about ``per_class`` labelled rows of each class, the bound of the sample.
 
@@ -38,6 +39,8 @@ LEXICONS = {
 }
 DIMS = 1 << 16
 MINED = 60
+#: Log odds that a row's hidden class is what its label says, in the label model: nine labels of ten are right.
+LABEL_EVIDENCE = float(np.log(9.0))
 #: Rows of the sample that a word or beginning must occur in to be a feature.
 LEAST_ROWS = 4
 #: Tokens a task keeps with all that is known of them, and those it keeps with their features alone.
@@ -172,17 +175,21 @@ def vote_tree(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
     return parent
 
 
-def label_model(votes: np.ndarray, toxic_voters: np.ndarray, rounds: int = 40) -> LabelModel:
-    """A hidden class by EM from 0/1 votes alone; it starts from how many of ``toxic_voters`` speak."""
+def label_model(votes: np.ndarray, toxic_voters: np.ndarray, evidence: np.ndarray | float = 0.0, rounds: int = 40) -> LabelModel:
+    """A hidden class by EM from 0/1 votes; it starts from how many of ``toxic_voters`` speak.
+
+    ``evidence``: log odds of each row's class from elsewhere.
+    """
     n, m = votes.shape
     p = np.clip(0.05 + 0.45 * votes[:, toxic_voters].sum(axis=1), 0.05, 0.95)
+    p = 1.0 / (1.0 + np.exp(-(np.log(p / (1 - p)) + evidence)))
     parent = vote_tree(votes, p)
     for turn in range(rounds):
         if turn in (5, 10):
             parent = vote_tree(votes, p)
         # what each voter's vote depends on: nothing, or the vote of the one it leans on
         given = np.where(parent >= 0, votes[:, np.maximum(parent, 0)], 0.0)
-        z = np.zeros(n)
+        z = np.zeros(n) + evidence
         rates = np.zeros((2, m))
         for y, weight in ((0, 1 - p), (1, p)):
             rates[y] = (weight @ votes + 0.5) / (weight.sum() + 1.0)
@@ -293,7 +300,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 3000
     names = voter_names(mined)
     speak = np.flatnonzero(votes.any(axis=0) & ~votes.all(axis=0))
     found_toxic = np.flatnonzero(speak < len(names) - 5)  # the word lists
-    model = label_model(votes[:, speak], found_toxic)
+    model = label_model(votes[:, speak], found_toxic, np.where(labelled == 1, LABEL_EVIDENCE, -LABEL_EVIDENCE))
     posterior, rates = model.posterior, model.rates
     if posterior @ (labelled - labelled.mean()) < 0:  # which of the two classes is the toxic one
         posterior, rates = 1 - posterior, rates[::-1]
