@@ -1,13 +1,15 @@
 """Very long texts, clashing columns, nulls, ties and repeats through every operator; each result is checked, not only that there is one."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 np = pytest.importorskip("numpy")
+pa = pytest.importorskip("pyarrow")
 pytest.importorskip("trailspark.llm")
-from trailspark.llm import html_text, jaccard_join, langid, mixing, packing, paragraph_dedup, quality, simhash, token_counts, toxicity  # noqa: E402
+from trailspark.llm import common, html_text, jaccard_join, langid, mixing, packing, paragraph_dedup, quality, simhash, token_counts, toxicity  # noqa: E402
 
 #: Names that operators use inside, and names of their results.
 CLASHES = ("score", "predicted", "removed", "label", "id", "k", "s", "n", "m", "th", "d", "t", "f", "r", "c", "i", "x", "h", "w", "a", "b", "found", "stays", "mixture", "lane", "kept", "piece", "row", "key", "rate", "domain", "posterior", "n_tokens", "near", "run", "repeated", "held_out")
@@ -188,6 +190,14 @@ def test_label_model_keeps_kinds_of_toxic_texts_together():
     assert all(((model.posterior > 0.5) == (k > 0))[kind == k].mean() > 0.97 for k in range(5))
 
 
+def test_letters_are_counted_of_lines_with_capitals(spark):
+    """The first look at a line lets through every line that has too many capitals, and few others."""
+    rows = [("A" * n + "a" * m + ".", n) for n in range(9, 23) for m in range(0, 25)]
+    lines = spark.createDataFrame([(x, n, len(x) - 1 >= 20 and 2 * n > len(x) - 1) for x, n in rows], "line string, n int, bad boolean")
+    out = lines.select("n", "bad", quality.bad_line(F.col("line")).alias("got"), F.col("line").rlike(quality.CAPITALS).alias("seen")).collect()
+    assert all(r["got"] == r["bad"] and r["seen"] == (r["n"] > 10) for r in out)
+
+
 def test_join(docs, corpus):
     out = jaccard_join.jaccard_components(docs)
     assert dict(out.dtypes)["n_shingles"] == "bigint"

@@ -21,6 +21,8 @@ BOILERPLATE = r"all rights reserved|licensed under|released under the|under the
 NAVIGATION = r"^\s*(home|next|previous|menu|login|log in|sign in|sign up|search|share|tweet|read more|click here|back to top|skip to content|contact us|about us|subscribe|site map|sitemap)\W*$|[»›]\s*\S+\s*[»›]"
 SYMBOLS = "#*$%&|<>"
 LINE_END = r"""[.!?:;…"'”’»)\]]\s*$"""
+#: More than half of 20 letters or more: few lines have so many capitals, so few have their letters counted.
+CAPITALS = r"^(?:[^A-Z]*+[A-Z]){11}"
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -55,7 +57,7 @@ def bad_line(line: Column) -> Column:
         ~line.rlike(LINE_END)
         | (symbol_count(line) * 25 > F.length(line))
         | (F.length(line) - F.length(F.translate(line, "|", "")) >= 3)
-        | ((capitals * 2 > letters) & (letters >= 20))
+        | (line.rlike(CAPITALS) & (capitals * 2 > letters) & (letters >= 20))
         | F.lower(line).rlike(NAVIGATION)
         | F.lower(line).rlike(BOILERPLATE)
     )
