@@ -190,6 +190,12 @@ def test_label_model_keeps_kinds_of_toxic_texts_together():
     assert all(((model.posterior > 0.5) == (k > 0))[kind == k].mean() > 0.97 for k in range(5))
 
 
+def test_lists_of_a_sample_are_views():
+    column = pa.chunked_array([pa.array([[1, 2], [], [3]], pa.list_(pa.int32())), pa.array([[4]] * 3, pa.list_(pa.int32())).slice(1)])
+    lists = common.lists_in(column)
+    assert [x.tolist() for x in lists] == [[1, 2], [], [3], [4], [4]] and all(not x.flags.owndata for x in lists)
+
+
 def test_letters_are_counted_of_lines_with_capitals(spark):
     """The first look at a line lets through every line that has too many capitals, and few others."""
     rows = [("A" * n + "a" * m + ".", n) for n in range(9, 23) for m in range(0, 25)]

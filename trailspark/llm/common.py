@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -117,8 +118,8 @@ def _small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "8m")
 
 
-def _give_back() -> None:
-    """What a task has freed goes back to the system: the worker keeps it otherwise, and may wait long for its next task."""
+def give_back() -> None:
+    """What a task, or a fit on the driver, has freed goes back to the system: the process keeps it otherwise, and may wait long for its next use."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -126,6 +127,15 @@ def _give_back() -> None:
             trim(0)
 
 
+def lists_in(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow column as views of its values: no Python object for each value."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        values, edges = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in pairwise(edges.tolist())]
+    return out
+
+
 def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[tuple]]], finish: bool = False) -> DataFrame:
     """Run Python over ``df`` in Arrow batches, a bounded number of rows at a time.
 
@@ -157,7 +167,7 @@ def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list
             if len(columns[0]):
                 yield pack(columns)
         del step
-        _give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -182,7 +192,7 @@ def arrow_column(returns: str, start: Callable[[], Callable[..., list]]) -> Call
             parts = [pa.array(step(*(c.slice(at, ROWS_AT_ONCE).to_pylist() for c in columns)), type=target) for at in range(0, len(columns[0]), ROWS_AT_ONCE)]
             yield pa.concat_arrays(parts) if parts else pa.array([], type=target)
         del step
-        _give_back()
+        give_back()
 
     return F.arrow_udf(run, kind, ArrowUDFType.SCALAR_ITER)
 

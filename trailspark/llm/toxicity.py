@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, arrow_map, words_of
+from .common import arrow_column, arrow_map, give_back, lists_in, words_of
 from .linear import ftrl
 
 #: Insults by language.
@@ -296,7 +296,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 3000
         w = np.zeros(DIMS)
         w[listed] = 4.0
         return ToxicityModel([], w, -3.0)
-    votes, labelled = np.array(gathered["votes"].to_pylist()), np.array(gathered["toxic"].to_pylist(), float)
+    votes, labelled = np.stack(lists_in(gathered["votes"])), gathered["toxic"].to_numpy().astype(float)
     names = voter_names(mined)
     speak = np.flatnonzero(votes.any(axis=0) & ~votes.all(axis=0))
     found_toxic = np.flatnonzero(speak < len(names) - 5)  # the word lists
@@ -305,15 +305,20 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 3000
     if posterior @ (labelled - labelled.mean()) < 0:  # which of the two classes is the toxic one
         posterior, rates = 1 - posterior, rates[::-1]
     voters = [{"voter": names[k], "clean": float(rates[0, j]), "toxic": float(rates[1, j]), "leans_on": names[speak[model.leans_on[j]]] if model.leans_on[j] >= 0 else None} for j, k in enumerate(speak)]
-    found = [np.array(f, np.int64) for f in gathered["features"].to_pylist()]
-    common = np.bincount(np.concatenate(found), minlength=DIMS) >= LEAST_ROWS
-    rows = [(f[common[f]], np.ones(int(common[f].sum()))) for f in found]
+    found = lists_in(gathered["features"])
+    common = sum(np.bincount(f, minlength=DIMS) for f in found) >= LEAST_ROWS
+    found = [f[common[f]] for f in found]
+    # rows share one array of ones
+    ones = np.ones(max(map(len, found)))
+    rows = [(f, ones[: len(f)]) for f in found]
     w, b = ftrl(rows, np.stack([1 - posterior, posterior], axis=1), DIMS, alpha=0.5, l1=0.6, l2=0.01, epochs=max(8, min(60, 40_000 // len(rows))))
     w, b = w[:, 1] - w[:, 0], float(b[1] - b[0])
     # the sample has about as many rows of either class; scores are for texts as they come
     drawn = [(labelled == y).sum() for y in (0, 1)]
     weight = np.where(labelled == 1, sizes[1] / drawn[1], sizes[0] / drawn[0]) * len(labelled) / (sizes[0] + sizes[1])
     slope, offset = calibration(np.array([b + w[f].sum() for f, _ in rows]), labelled, weight)
+    del gathered, found, rows
+    give_back()
     return ToxicityModel(mined, slope * w, slope * b + offset, voters)
 
 
