@@ -204,6 +204,26 @@ def test_letters_are_counted_of_lines_with_capitals(spark):
     assert all(r["got"] == r["bad"] and r["seen"] == (r["n"] > 10) for r in out)
 
 
+def test_runs_of_pages_are_dealt_by_their_hash_alone(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    real = common.materialize
+    monkeypatch.setattr(common, "materialize", noted)
+    monkeypatch.setattr(html_text, "materialize", noted)
+    footer = "all the words of one long notice that every page of this host ends with again and again today"
+    pages = [(i, f"http://h{i % 2}.org/{i}", f"<div>own {i} text of page {i * 7} here</div><div>{footer} {'x' if i % 2 else 'y'}</div>") for i in range(8)]
+    pages += [(20, "http://other.org/1", f"<div>{footer} y</div>")]
+    out = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    # a run counts within its host only
+    assert out == {i: f"own {i} text of page {i * 7} here" for i in range(8)} | {20: f"{footer} y"}
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", "\n".join(plans))
+    assert not any("run#" in x and x.count("#") > 1 for x in dealt), dealt
+
+
 def test_join(docs, corpus):
     out = jaccard_join.jaccard_components(docs)
     assert dict(out.dtypes)["n_shingles"] == "bigint"

@@ -10,8 +10,8 @@ two articles quote.
 
 A suffix array of the host's token stream puts suffixes with equal first tokens side by side; only its
 groups at these two depths matter.  ``main_texts`` sorts it for a list of pages in memory.  Over a table
-the same groups are made by hashes of the first tokens of each suffix: a row for each (host, page, run) is
-dealt by all three, so no host is too large for a task.  Inside main zones only pages that share a seed
+the same groups are made by hashes of host and first tokens of each suffix: each distinct page deals its runs by
+these, so no host is too large for a task.  Inside main zones only pages that share a seed
 (the least of any ``main_tokens - run_tokens + 1`` runs of ``run_tokens``, which equal ``main_tokens``
 share) are looked at in full.
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, materialize, settled, signed, windows
+from .common import WordHashes, arrow_map, materialize, mix, settled, signed, windows
 
 MAIN, OPEN, OUTSIDE = 0, 1, 2
 #: Elements of HTML by their part in a page.
@@ -219,7 +219,7 @@ def _kept(blocks: list[tuple[int, str]], marks: list[np.ndarray]) -> str:
 
 def block_runs(blocks: list[tuple[int, str]], hashes: WordHashes, main: bool, tokens: int) -> list[np.ndarray]:
     """Hashes of the runs of the blocks inside or outside main zones; none in a block that is too short."""
-    each = [hashes.of([w.encode() for w in text.split(" ")]) for z, text in blocks if (z == MAIN) == main]
+    each = [hashes.of(text.encode().split(b" ")) for z, text in blocks if (z == MAIN) == main]
     return [windows(h, tokens) if len(h) >= tokens else h[:0] for h in each]
 
 
@@ -238,14 +238,23 @@ def _covered(runs: np.ndarray, length: int, repeated: np.ndarray, tokens: int) -
     return np.cumsum(edge)[:length] > 0
 
 
-def _identity(blocks: list[tuple[int, str]], main: bool) -> int:
-    # copies of a page are one page
-    return xxhash.xxh64_intdigest("\n".join(t if main else f"{z}{t}" for z, t in blocks if (z == MAIN) == main).encode()) - (1 << 63)
+def _identity(blocks: list[tuple[int, str]], main: bool, h: int) -> int:
+    # copies of a page are one page of host h
+    return xxhash.xxh64_intdigest("\n".join(t if main else f"{z}{t}" for z, t in blocks if (z == MAIN) == main).encode(), seed=h & (2**64 - 1)) - (1 << 63)
 
 
-def _counts(rows: DataFrame, least: int) -> DataFrame:
-    """h, run, n: runs (h, who, run) that so many distinct pages of the host have."""
-    return rows.distinct().groupBy("h", "run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+def _of_host(hashes: np.ndarray, h: int) -> np.ndarray:
+    """Hashes that hold for host h alone, so a run needs no column for its host."""
+    return mix(hashes ^ np.uint64(h & (2**64 - 1)))
+
+
+def _counts(rows: DataFrame, who: str, runs: str, least: int) -> DataFrame:
+    """run, n, h: runs that so many distinct pages of their host have; written.
+
+    Each page comes once, so rows are counted, and what is counted goes over the network as the hash alone.
+    """
+    once = rows.select("h", who, runs).dropDuplicates([who])
+    return materialize(once.select("h", F.explode(runs).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h")).filter(F.col("n") >= least))
 
 
 def repeated_runs(pages: DataFrame, run_tokens: int, main_tokens: int, least_share: float) -> DataFrame:
@@ -260,7 +269,7 @@ def repeated_runs(pages: DataFrame, run_tokens: int, main_tokens: int, least_sha
                 blocks = blocks_of(page)
                 beside = block_runs(blocks, hashes, False, run_tokens)
                 inside = [seeds(r, main_tokens - run_tokens + 1) for r in block_runs(blocks, hashes, True, run_tokens)]
-                row = (h, th, _identity(blocks, False), _identity(blocks, True), all(z != MAIN for z, _ in blocks), *(signed(np.unique(np.concatenate(r))) if r else [] for r in (beside, inside)))
+                row = (h, th, _identity(blocks, False, h), _identity(blocks, True, h), all(z != MAIN for z, _ in blocks), *(signed(_of_host(np.unique(np.concatenate(r)), h)) if r else [] for r in (beside, inside)))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             return out
@@ -268,26 +277,26 @@ def repeated_runs(pages: DataFrame, run_tokens: int, main_tokens: int, least_sha
         return step
 
     cut = materialize(arrow_map(pages.select("h", "th", "html"), "h long, th long, who long, main long, open boolean, runs array<long>, seeds array<long>", start))
-    beside = _counts(cut.select("h", "who", F.explode("runs").alias("run")), 2)
-    here = cut.filter("open").select("h", "th", F.explode("runs").alias("run")).distinct().join(beside, ["h", "run"]).select("h", "th", "run")
+    beside = _counts(cut, "who", "runs", 2).select("run")
+    here = cut.filter("open").select("h", "th", "runs").dropDuplicates(["h", "th"]).select("h", "th", F.explode("runs").alias("run")).join(beside, "run").select("h", "th", "run")
 
-    seeded = cut.select("h", "th", "main", F.explode("seeds").alias("run"))
-    near = seeded.join(_counts(seeded.select("h", F.col("main").alias("who"), "run"), 3), ["h", "run"]).select("h", "th", "main").distinct()
+    shared = _counts(cut, "main", "seeds", 3).select("run")
+    alike = cut.select("main", "seeds").dropDuplicates(["main"]).select("main", F.explode("seeds").alias("run")).join(shared, "run").select("main").distinct()
+    near = materialize(cut.select("h", "th", "main").distinct().join(alike, "main").select("h", "th", "main"))
 
     def look():
         hashes = WordHashes()
 
         def step(hosts, texts, mains, htmls):
             found = [block_runs(blocks_of(page), hashes, True, main_tokens) for page in htmls]
-            return [hosts, texts, mains, [signed(np.unique(np.concatenate(r))) if r else [] for r in found]]
+            return [hosts, texts, mains, [signed(_of_host(np.unique(np.concatenate(r)), h)) if r else [] for h, r in zip(hosts, found, strict=True)]]
 
         return step
 
     looked = materialize(arrow_map(pages.join(near, ["h", "th"]).dropDuplicates(["h", "th"]).select("h", "th", "main", "html"), "h long, th long, main long, runs array<long>", look))
-    each = looked.select("h", "th", "main", F.explode("runs").alias("run"))
     sizes = cut.filter(~F.col("open")).select("h", "main").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
-    inside = _counts(each.select("h", F.col("main").alias("who"), "run"), 3).join(sizes, "h").filter(F.col("n") >= F.ceil(F.lit(least_share) * F.col("pages")))
-    there = each.join(inside, ["h", "run"]).select("h", "th", "run")
+    inside = materialize(_counts(looked, "main", "runs", 3).join(sizes, "h").filter(F.col("n") >= F.ceil(F.lit(least_share) * F.col("pages"))).select("run"))
+    there = looked.select("h", "th", F.explode("runs").alias("run")).join(inside, "run").select("h", "th", "run")
     return here.unionByName(there).groupBy("h", "th").agg(F.collect_set("run").alias("repeated"))
 
 
@@ -298,14 +307,14 @@ def extract_main_text(pages: DataFrame, run_tokens: int = 8, main_tokens: int =
     if partitions:
         rows = rows.repartition(partitions)
     repeated = settled(pages.sparkSession, lambda: repeated_runs(rows, run_tokens, main_tokens, least_share))
-    joined = rows.join(repeated, ["h", "th"], "left").select("page_id", "url", "html", "repeated")
+    joined = rows.join(repeated, ["h", "th"], "left").select("page_id", "url", "html", "h", "repeated")
 
     def start():
         hashes = WordHashes()
 
-        def step(ids, urls, htmls, repeated):
+        def step(ids, urls, htmls, hosts, repeated):
             texts, gone = [], []
-            for page, found in zip(htmls, repeated, strict=True):
+            for page, h, found in zip(htmls, hosts, repeated, strict=True):
                 blocks = blocks_of(page)
                 main = any(z == MAIN for z, _ in blocks)
                 zone, tokens = (MAIN, main_tokens) if main else (OPEN, run_tokens)
@@ -314,7 +323,7 @@ def extract_main_text(pages: DataFrame, run_tokens: int = 8, main_tokens: int =
                     known = np.array(found, np.int64).view(np.uint64)
                     at = [j for j, (z, _) in enumerate(blocks) if (z == MAIN) == main]
                     for j, r in zip(at, block_runs(blocks, hashes, main, tokens), strict=True):
-                        marks[j] = _covered(r, len(marks[j]), known, tokens)
+                        marks[j] = _covered(_of_host(r, h), len(marks[j]), known, tokens)
                 texts.append(_kept(blocks, marks))
                 gone.append(sum(int(m.sum()) for (z, _), m in zip(blocks, marks, strict=True) if z == zone))
             return [ids, urls, texts, [len(t) for t in texts], gone]
