@@ -149,6 +149,26 @@ def test_token_ids_equal_the_library():
     assert not other.known and [b"".join(p) for p in other.encode(["Hello  it's"])] == [array("I", Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("Hello  it's", add_special_tokens=False).ids).tobytes()]
 
 
+def test_frequent_words_are_encoded_once(monkeypatch):
+    """What each batch has stays known while rare words come and go; ids are the library's throughout."""
+    from array import array
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.DEFAULT_TOKENIZER)
+    monkeypatch.setattr(packing, "CHARS_KEPT", 3000)
+    library, own, learned = Tokenizer.from_file(path), packing.ChunkIds(path), []
+    learn = own._words
+    monkeypatch.setattr(own, "_words", lambda words: learned.extend(words) or learn(words))
+    rng = random.Random(3)
+    for _ in range(40):
+        texts = ["often, the same " + "".join(rng.choice("aeiounst") for _ in range(9)) for _ in range(30)]
+        assert [b"".join(parts) for parts in own.encode(texts)] == [array("I", e.ids).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert len(own) < 300
+    assert [learned.count(w) for w in ("often", "the", "same")] == [1, 1, 1] and len(learned) > 1000
+
+
 def test_languages(docs, corpus):
     out = langid.predict_languages(docs).collect()
     assert ids(out) == every(corpus)

@@ -33,7 +33,7 @@ from .common import arrow_map, materialize
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Characters of pre-tokens a worker keeps the ids of before it starts afresh, and of the longest it keeps.
+#: Characters of pre-tokens in each of the two generations a worker keeps the ids of, about, and of the longest it keeps.
 CHARS_KEPT, LONGEST_KEPT = 5_000_000, 64
 #: Pieces of one length in a lane, about.
 LANE_ROWS = 250_000
@@ -51,7 +51,11 @@ _CHUNKS = re.compile("[^ \n]+")
 
 
 class ChunkIds(dict):
-    """Little-endian ids of the parts of texts; words of letters alone are encoded many at a time."""
+    """Little-endian ids of the parts of texts; words of letters alone are encoded many at a time.
+
+    When ``CHARS_KEPT`` is reached all parts become the old generation, in place of the one before; what
+    is met again is taken over from it, so frequent parts stay and only those not met for long go.
+    """
 
     def __init__(self, path: str):
         # a task has one core: no threads of the library's own
@@ -66,31 +70,39 @@ class ChunkIds(dict):
         self.specials = [t["content"] for t in added]
         pieces = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.ends = [x.endswith("</w>") for x in pieces]
+        self.old: dict[str, bytes] = {}
         self.chars = 0
 
     def parts_of(self, text: str) -> list[str]:
         """Parts of a text whose ids add up."""
         if not self.known:
             return [text] if text else []
-        if any(x in text for x in self.specials) or _OTHER.search(text):
+        if any(x in text for x in self.specials) or not text.isascii() and _OTHER.search(text):
             return _CHUNKS.findall(text)
         return _PRE.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[list[bytes]]:
         """The ids of each text, in parts; new parts of all texts go to the library in one call."""
         cut = [self.parts_of(t) for t in texts]
-        new = [c for c in set().union(*cut) if c not in self]
-        if self.chars + sum(map(len, new)) > CHARS_KEPT:
+        if self.chars > CHARS_KEPT:
+            self.old = dict(self)
             self.clear()
-            self.chars, new = 0, list(set().union(*cut))
-        words = [c for c in new if self.known and _WORD.fullmatch(c)]
-        others = [c for c in new if not (self.known and _WORD.fullmatch(c))]
+            self.chars = 0
+        absent = set().union(*cut).difference(self)
+        words, others = [], []
+        for c in absent:
+            if (ids := self.old.get(c)) is not None:
+                self[c] = ids
+            elif self.known and _WORD.fullmatch(c):
+                words.append(c)
+            else:
+                others.append(c)
         for at in range(0, len(words), 500):
             others += self._words(words[at : at + 500])
         for c, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self[c] = array("I", e.ids).tobytes()
         out = [list(map(self.__getitem__, c)) for c in cut]
-        for c in new:
+        for c in absent:
             if len(c) > LONGEST_KEPT:
                 del self[c]
             else:
@@ -123,8 +135,9 @@ def worker_chunks(path: str) -> ChunkIds:
 
 def piece_rows(ids: list, texts: list[str | None], cache: ChunkIds, capacity: int) -> list[list]:
     out: list[list] = [[], [], [], [], []]
+    end = array("I", [END_ID]).tobytes()
     for doc_id, parts in zip(ids, cache.encode([t or "" for t in texts]), strict=True):
-        data = b"".join(parts) + array("I", [END_ID]).tobytes()
+        data = b"".join(parts) + end
         for piece, at in enumerate(range(0, len(data), 4 * capacity)):
             part = data[at : at + 4 * capacity]
             for column, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
