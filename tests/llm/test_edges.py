@@ -169,6 +169,18 @@ def test_frequent_words_are_encoded_once(monkeypatch):
     assert [learned.count(w) for w in ("often", "the", "same")] == [1, 1, 1] and len(learned) > 1000
 
 
+def test_workers_let_go_of_what_packing_keeps(spark):
+    """A worker that has packed holds the tokenizer and its words; the next operator's task lets go of them."""
+    import sys
+
+    def held():
+        return lambda column: [[sum(isinstance(v, dict) and any(type(c).__name__ == "ChunkIds" for c in v.values()) for v in vars(sys).values())] * len(column)]
+
+    rows = spark.createDataFrame([(i, f"words of text {i}") for i in range(8)], "doc_id long, text string").coalesce(1)
+    assert packing.pack_documents(rows).count() == 8
+    assert {r["n"] for r in common.arrow_map(rows.select("doc_id"), "n long", held).collect()} == {0}
+
+
 def test_languages(docs, corpus):
     out = langid.predict_languages(docs).collect()
     assert ids(out) == every(corpus)

@@ -127,6 +127,20 @@ def give_back() -> None:
             trim(0)
 
 
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What this Python worker keeps under a name for later tasks of the same operator; made if it isn't there."""
+    have = sys.__dict__.setdefault("_trailspark_kept", {})
+    if name not in have:
+        have[name] = make()
+    return have[name]
+
+
+def let_go() -> None:
+    """A worker serves the tasks of many operators: what another one has kept would stay beside all that follows."""
+    if sys.__dict__.pop("_trailspark_kept", None):
+        give_back()
+
+
 def lists_in(column: pa.ChunkedArray) -> list[np.ndarray]:
     """The lists of an Arrow column as views of its values: no Python object for each value."""
     out: list[np.ndarray] = []
@@ -136,12 +150,12 @@ def lists_in(column: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
-def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[tuple]]], finish: bool = False) -> DataFrame:
+def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[tuple]]], finish: bool = False, keeps: bool = False) -> DataFrame:
     """Run Python over ``df`` in Arrow batches, a bounded number of rows at a time.
 
     ``start()`` runs once in a task and returns ``step(*columns)``, which gets Python lists and
     returns a list of result columns (lists or numpy arrays).  With ``finish``, ``step.finish()``
-    is called at the end for what the task has summed up.
+    is called at the end for what the task has summed up.  With ``keeps``, what a worker has by ``kept`` stays.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -150,6 +164,8 @@ def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[..., list
     _small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
         target = to_arrow_schema(struct)
         step = start()
 
@@ -186,6 +202,7 @@ def arrow_column(returns: str, start: Callable[[], Callable[..., list]]) -> Call
     _small_batches(SparkSession.active())
 
     def run(batches: Iterator[tuple[pa.Array, ...] | pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         target, step = to_arrow_type(kind), start()
         for columns in batches:
             columns = columns if isinstance(columns, tuple) else (columns,)

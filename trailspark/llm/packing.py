@@ -22,14 +22,13 @@ import bisect
 import json
 import os
 import re
-import sys
 import zlib
 from array import array
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize
+from .common import arrow_map, kept, materialize
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -127,10 +126,7 @@ class ChunkIds(dict):
 
 def worker_chunks(path: str) -> ChunkIds:
     """The chunks that this Python worker knows; it may serve many tasks."""
-    known = sys.__dict__.setdefault("_trailspark_chunks", {})
-    if path not in known:
-        known[path] = ChunkIds(path)
-    return known[path]
+    return kept(f"chunks {path}", lambda: ChunkIds(path))
 
 
 def piece_rows(ids: list, texts: list[str | None], cache: ChunkIds, capacity: int) -> list[list]:
@@ -158,7 +154,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 4096, tokenizer_path: str
         return lambda ids, texts: piece_rows(ids, texts, cache, capacity)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_map(rows, "doc_id long, piece int, start long, length long, ids_crc32 long", start)
+    return arrow_map(rows, "doc_id long, piece int, start long, length long, ids_crc32 long", start, keeps=True)
 
 
 class _Gaps:
