@@ -181,6 +181,21 @@ def test_workers_let_go_of_what_packing_keeps(spark):
     assert {r["n"] for r in common.arrow_map(rows.select("doc_id"), "n long", held).collect()} == {0}
 
 
+def test_batches_hold_little_text(spark):
+    """A worker, and the executor that fills its batches, never hold more than about 1 MB of texts and one text at once."""
+    rows = spark.range(1000, numPartitions=1).select("id", F.rpad(F.col("id").cast("string"), 16384, "x").alias("text"))
+
+    def held():
+        return lambda texts: [[sum(map(len, texts))]]
+
+    def beside():
+        return lambda texts: [sum(map(len, texts))] * len(texts)
+
+    n = [r["n"] for r in common.arrow_map(rows.select("text"), "n long", held).collect()]
+    assert sum(n) == 1000 * 16384 and max(n) <= 1.1 * 2**20
+    assert [r["n"] <= 1.1 * 2**20 for r in rows.select(common.arrow_column("long", beside)("text").alias("n")).collect()] == [True] * 1000
+
+
 def test_languages(docs, corpus):
     out = langid.predict_languages(docs).collect()
     assert ids(out) == every(corpus)

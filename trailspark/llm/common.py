@@ -23,6 +23,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
 #: Rows that a Python worker turns into objects at once; a batch of Arrow may be larger.
 ROWS_AT_ONCE = 512
+#: Bytes of an Arrow batch. The executor's buffer for a column of texts doubles as it fills; what exceeds a
+#: chunk of its pool (4 MB) is taken from the system each time, and stays with its thread when freed.
+BATCH_BYTES = "1m"
 #: Words a worker keeps hashes of before it starts afresh.
 CACHE_WORDS = 100_000
 #: Keys a worker remembers to have handed on before it starts afresh.
@@ -112,10 +115,10 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB where the session has the default of 64, so a worker never holds much text at once."""
+    """Arrow batches of 1 MB where the session has the default of 64: worker and executor hold each several times, outside the heap."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) == "67108864b":
-        spark.conf.set(name, "8m")
+    if spark.conf.get(name) == "67108864b":  # with None for a default, get gives None where nothing is set
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def give_back() -> None:
