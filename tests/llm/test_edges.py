@@ -169,6 +169,22 @@ def test_frequent_words_are_encoded_once(monkeypatch):
     assert [learned.count(w) for w in ("often", "the", "same")] == [1, 1, 1] and len(learned) > 1000
 
 
+def test_a_large_vocabulary_is_encoded_once(monkeypatch):
+    """As many words as a worker meets in tens of thousands of texts are still known when they come again."""
+    from itertools import batched, product
+
+    import public_tokenizers
+
+    own, learned = packing.ChunkIds(public_tokenizers.path(packing.DEFAULT_TOKENIZER)), []
+    learn = own._words
+    monkeypatch.setattr(own, "_words", lambda words: learned.append(len(words)) or learn(words))
+    texts = [" ".join(map("".join, words)) for words in batched(product("etaoinshrdlu", repeat=5), 5000)]
+    first = [b"".join(own.encode([t])[0]) for t in texts]
+    assert sum(learned) == 12**5
+    assert [b"".join(own.encode([t])[0]) for t in texts] == first
+    assert sum(learned) == 12**5
+
+
 def test_workers_let_go_of_what_packing_keeps(spark):
     """A worker that has packed holds the tokenizer and its words; the next operator's task lets go of them."""
     import sys

@@ -32,8 +32,9 @@ from .common import arrow_map, kept, materialize
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Characters of pre-tokens in each of the two generations a worker keeps the ids of, about, and of the longest it keeps.
-CHARS_KEPT, LONGEST_KEPT = 5_000_000, 64
+#: Characters of pre-tokens in each of the two generations a worker keeps the ids of, about (40 more count for
+#: each; some 400000 words, 70 MB), and of the longest it keeps.
+CHARS_KEPT, LONGEST_KEPT = 20_000_000, 64
 #: Pieces of one length in a lane, about.
 LANE_ROWS = 250_000
 #: The rules of the tokenizer whose texts are cut here.
