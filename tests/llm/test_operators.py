@@ -116,6 +116,30 @@ def test_passages_in_other_lines_stay_once(spark):
     assert all("".join(texts[d][s["start"] : s["start"] + s["length"]] for s in r["removed"]).split() for d, r in out.items() if d % 100)
 
 
+def test_words_of_a_batch_are_hashed_once(monkeypatch):
+    """Hashes are those of the words one by one, over borders of blocks too; a batch hashes no word twice."""
+    import xxhash
+
+    rng = random.Random(9)
+    alphabet = "aAbBzZ.éÉß日😀\x00\x1c\x85\xa0"
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 12))) for _ in range(300)] + ["long" * 50]
+    texts = [None, "", " \n "] + ["".join(rng.choice(words) + rng.choice(" \n\t\r\x0b\x0c") * rng.choice((1, 1, 90)) for _ in range(200)) for _ in range(10)]
+    texts += [" ".join(f"w{i}" for i in range(120_000))] * 2  # more than a worker used to remember
+    expected = [[xxhash.xxh64_intdigest(w) for w in (t or "").encode().lower().split()] for t in texts]
+    hashed, digest = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w: hashed.append(w) or digest(w))
+    for block in (64, 1 << 16):
+        monkeypatch.setattr(paragraph_dedup, "BLOCK", block, raising=False)
+        hashed.clear()
+        lines, h, base = paragraph_dedup.Paragraphs(5)(texts)
+        assert [h[a:b].tolist() for a, b in zip(base, base[1:], strict=False)] == expected
+        assert len(hashed) == len(set(hashed)) == len({w for t in texts for w in (t or "").encode().lower().split()})
+        cut = [(d, text.encode()[place : place + n].lower().split()) for d, place, n, _, _ in lines for text in [texts[d]]]
+        assert cut == [(d, ws) for d, t in enumerate(texts) for ws in ([line.lower().split() for line in (t or "").encode().split(b"\n")]) if len(ws) >= 5]
+        assert [h[a : a + n].tolist() for *_, a, n in lines] == [[digest(w) for w in ws] for _, ws in cut]
+    assert paragraph_dedup.Paragraphs(5)([])[0] == []
+
+
 def test_packing_is_gapless_and_whole(docs, empty):
     out = packing.pack_documents(docs, capacity=64).collect()
     ends = {}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS_KEPT, WordHashes, arrow_column, arrow_map, fresh, materialize, settled, signed, windows
+from .common import KEYS_KEPT, arrow_column, arrow_map, fresh, materialize, settled, signed, windows
 from .linkage import ID_BITS, chosen_sets, id_bits, linked, parity, set_verifier
 
 WIDTH = 5
@@ -43,7 +43,13 @@ MIN_WORDS = 50
 SEED_WORDS = SEED_WINDOW = 12
 #: Words around a run of seeds that are compared with where they are first found.
 CONTEXT = 32
+#: Bytes of words that are summed up at once.
+BLOCK = 1 << 16
 _SPACE = np.array([bytes([c]).isspace() for c in range(256)])
+#: A random number for each byte, the same for A and a, none for space; an odd factor and its inverse modulo 2**64.
+_VALUES = np.where(_SPACE, np.uint64(0), np.random.default_rng(5).integers(1, 2**64, 256, dtype=np.uint64)[np.frombuffer(bytes(range(256)).lower(), np.uint8)])
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 2**64)
 
 
 def tune_bands(threshold: float, recall: float, most_hashes: int = 64) -> tuple[int, int]:
@@ -60,29 +66,25 @@ class Paragraphs:
     """Lines of a batch of texts that are long enough, as arrays over one stream of word hashes."""
 
     def __init__(self, min_words: int):
-        self.cache, self.min_words = WordHashes(), min_words
+        self.min_words = min_words
 
     def __call__(self, texts: list[str | None]):
         """doc, place, length, first word, words of each line; the word hashes; and where each text's begin.
 
         place and length are in bytes of the UTF-8 text.
         """
-        out: list[tuple[int, int, int, int, int]] = []
-        hashes, base = [], [0]
-        for d, text in enumerate(texts):
-            data = (text or "").encode()
-            h = self.cache.of(data.lower().split())
-            if len(h) >= self.min_words:
-                starts, _ = word_places(data)
-                feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-                begins, stops = np.concatenate(([0], feeds + 1)), np.append(feeds, len(data))
-                firsts = np.append(np.searchsorted(starts, begins), len(starts))
-                sizes = np.diff(firsts)
-                for j in np.flatnonzero(sizes >= self.min_words).tolist():
-                    out.append((d, int(begins[j]), int(stops[j] - begins[j]), base[-1] + int(firsts[j]), int(sizes[j])))
-            hashes.append(h)
-            base.append(base[-1] + len(h))
-        return out, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), base
+        parts = [(text or "").encode() for text in texts]
+        data = b"\n".join(parts)
+        texts_at = np.cumsum([0] + [len(p) + 1 for p in parts])
+        starts, ends = word_places(data)
+        feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        begins, stops = np.concatenate(([0], feeds + 1)), np.append(feeds, len(data))
+        firsts = np.append(np.searchsorted(starts, begins), len(starts))
+        sizes = np.diff(firsts)
+        long = np.flatnonzero(sizes >= self.min_words)
+        docs = np.searchsorted(texts_at, begins[long], "right") - 1
+        columns = docs, begins[long] - texts_at[docs], (stops - begins)[long], firsts[long], sizes[long]
+        return list(zip(*(c.tolist() for c in columns), strict=True)), word_hashes(data, starts, ends), np.searchsorted(starts, texts_at).tolist()
 
 
 def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +93,34 @@ def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges < 0), np.flatnonzero(edges > 0)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate((np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, f, np.uint64)))) for f in (_FACTOR, _INVERSE))
+
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``data.lower().split()``, which are where ``word_places`` says.
+
+    Each distinct word is hashed once.  Equal words are known by 64-bit sums: a word's bytes are digits of a
+    number to the base ``_FACTOR``, modulo 2**64, and spaces are 0, so all words are summed up without a
+    Python object for each, in blocks of whole words, whatever the place where a word begins.
+    """
+    raw, sums = np.frombuffer(data, np.uint8), np.zeros(len(starts), np.uint64)
+    up, down = _powers(min(len(raw), BLOCK)) if len(raw) else (sums, sums)
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(starts, first + BLOCK)) - 1) if first + BLOCK < len(raw) else len(starts)
+        end = int(starts[stop]) if stop < len(starts) else len(raw)
+        if end - first > len(up):  # a word longer than a block
+            up, down = _powers(end - first)
+        places = starts[at:stop] - first
+        sums[at:stop] = np.add.reduceat(_VALUES[raw[first:end]] * up[: end - first], places) * down[places]
+        at = stop
+    _, one, which = np.unique(sums, return_index=True, return_inverse=True)
+    low, edges = data.lower(), zip(starts[one].tolist(), ends[one].tolist(), strict=True)
+    return np.fromiter((xxhash.xxh64_intdigest(low[a:b]) for a, b in edges), np.uint64, len(one))[which]
+
+
 def _pooled(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     have = 1
     while have < width:
@@ -122,6 +152,11 @@ def _class(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), seed=len(h)) - (1 << 63)
 
 
+def _shingles(h: np.ndarray, runs: np.ndarray, first: int, n: int) -> np.ndarray:
+    """The set of a line of ``n`` words, of the runs of ``WIDTH`` words of all the stream."""
+    return np.unique(runs[first : first + n - WIDTH + 1] if n >= WIDTH else windows(h[first : first + n], WIDTH))
+
+
 def _bands(shingles: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     """Band hashes, one row for each set."""
     flat = np.concatenate(shingles)
@@ -152,6 +187,7 @@ def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> D
 
         def step(ids, hashes, texts):
             lines, h, base = cut(texts)
+            runs = windows(h, WIDTH)
             out: list[list] = [[] for _ in range(9)]
             sets: list[np.ndarray] = []
             none = np.zeros(0, np.int64)
@@ -161,15 +197,14 @@ def paragraph_table(docs: DataFrame, min_words: int, bands: int, rows: int) -> D
                     column.append(value)
 
             for d, place, length, first, n in lines:
-                part = h[first : first + n]
-                k = _class(part)
+                k = _class(h[first : first + n])
                 if len(sent) > KEYS_KEPT:
                     sent.clear()
                 if k in sent:
                     put(ids[d], hashes[d], place, length, 0, k, 0, None, none)
                 else:
                     sent.add(k)
-                    sets.append(np.unique(windows(part, WIDTH)))
+                    sets.append(_shingles(h, runs, first, n))
                     put(ids[d], hashes[d], place, length, 0, k, len(sets[-1]), parity(sets[-1], PARITY_WORDS), None)
             values = iter(signed(_bands(sets, bands, rows)) if sets else ())
             out[8] = [next(values) if s is None else s for s in out[8]]
@@ -228,7 +263,7 @@ def repeated_runs(docs: DataFrame, table: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(cells)
 
     def cut():
-        bits, cache = shared.value, WordHashes()
+        bits = shared.value
 
         def step(hashes, texts):
             out: list[list] = [[], []]
@@ -236,7 +271,8 @@ def repeated_runs(docs: DataFrame, table: DataFrame) -> DataFrame:
                 x = th & ((1 << ID_BITS) - 1)
                 if text and int(bits[x >> 6]) >> (x & 63) & 1:
                     out[0].append(th)
-                    out[1].append(_short(cache, text.encode().lower().split()))
+                    data = text.encode()
+                    out[1].append(_short(data, *word_places(data)))
             return out
 
         return step
@@ -248,8 +284,8 @@ def repeated_runs(docs: DataFrame, table: DataFrame) -> DataFrame:
     return beside.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("run")).alias("runs"))
 
 
-def _short(cache: WordHashes, words: list[bytes]) -> np.ndarray:
-    return (cache.of(words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _short(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return (word_hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _extended(own: list[int], source: list[int]) -> list[tuple[int, int, int]]:
@@ -329,9 +365,9 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall: float =
 
         def of(column):
             units, h, _ = cut(column)
-            for u in units:
-                part = h[u[3] : u[3] + u[4]]
-                yield _class(part), lambda part=part: np.unique(windows(part, WIDTH))
+            runs = windows(h, WIDTH)
+            for *_, first, n in units:
+                yield _class(h[first : first + n]), lambda first=first, n=n: _shingles(h, runs, first, n)
 
         return of
 
@@ -376,8 +412,6 @@ def remove_repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall:
     joined = docs.withColumn(th, F.xxhash64("text")).join(cuts, F.col(d).eqNullSafe(F.col("doc_id").cast("long")) & (F.col(t) == F.col(th)), "left")
 
     def start():
-        cache = WordHashes()
-
         def step(texts, founds):
             out = []
             for text, f in zip(texts, founds, strict=True):
@@ -388,7 +422,7 @@ def remove_repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, recall:
                 spans = [(c["place"], c["place"] + c["len"]) for c in f["cuts"]]
                 if f["runs"]:
                     starts, ends = word_places(data)
-                    spans += [(int(starts[a]), int(ends[b - 1])) for a, b in passages(_short(cache, data.lower().split()).tolist(), f["runs"], percent, min_words)]
+                    spans += [(int(starts[a]), int(ends[b - 1])) for a, b in passages(_short(data, starts, ends).tolist(), f["runs"], percent, min_words)]
                 new, gone = without(data, spans) if spans else (text, [])
                 out.append({"text": new, "removed": gone})
             return out
