@@ -229,11 +229,12 @@ def density(counts: DataFrame, facts: dict[str, tuple[float, float, float, int]]
     return {level: [grid[level].tolist(), (y / (facts[level][3] * width[level] * np.sqrt(2 * np.pi))).tolist()] for level, y in out.items()}
 
 
-def distribution(values: DataFrame, column: str, level_col: str, levels: list[str] | None = None) -> dict:
+def distribution(values: DataFrame, column: str, level_col: str, levels: list[str] | None = None, by_value: bool = False) -> dict:
     """Histogram, density, mean and median of a metric for each level, on shared bins; of two levels also their distance.
 
     Only bins, points and quantiles reach the driver.  With ``log`` all but the raw values are of their
-    logarithms, zeros taken as half of the least positive value.
+    logarithms, zeros taken as half of the least positive value.  ``by_value``: a bin for each distinct value,
+    however many there are.
     """
     v = F.col(f"`{column}`").cast("double")
     level = F.coalesce(F.col(level_col).cast("string"), F.lit(MISSING))
@@ -244,28 +245,31 @@ def distribution(values: DataFrame, column: str, level_col: str, levels: list[st
     stats = rows.agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"), F.min(positive).alias("p"), F.count_distinct("v").alias("d"), F.skewness("v").alias("s")).first()
     if stats["a"] is None:
         return {"levels": {}, "discrete": True, "log": False, "edges": []}
-    discrete = stats["d"] <= DISCRETE
+    discrete = by_value or stats["d"] <= DISCRETE
     log = not discrete and stats["a"] >= 0 and (stats["b"] / (stats["p"] or 1.0) > LOG_RATIO or (stats["s"] or 0) > LOG_SKEW)
     rows = rows.withColumn("x", F.log10(F.when(F.col("v") > 0, F.col("v")).otherwise(F.lit(stats["p"] / 2))) if log else F.col("v"))
     if discrete:
-        distinct = sorted(r["x"] for r in rows.select("x").distinct().collect())  # at most DISCRETE
+        distinct = sorted(r["x"] for r in rows.select("x").distinct().collect())  # at most DISCRETE, or a bin for each is asked for
         edges = np.array([distinct[0] - 0.5, *(x + 0.5 for x in distinct)])
     else:
         f = rows.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
         edges = bin_edges(stats["n"], f["a"], f["b"], *quantiles(rows, [], F.col("x"), [0.25, 0.75]).first()["q"])
-    inner = F.array(*(F.lit(float(e)) for e in edges[1:-1]))
-    cell = F.size(F.filter(inner, lambda e: e <= F.col("x"))) if len(edges) > 2 else F.lit(0)
-    counts = rows.groupBy("level", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if by_value:
+        bins = rows.sparkSession.createDataFrame(list(enumerate(distinct)), "cell int, x double")
+        binned, cell = rows.join(F.broadcast(bins), "x"), F.col("cell")
+    else:
+        inner = F.array(*(F.lit(float(e)) for e in edges[1:-1]))
+        binned, cell = rows, F.size(F.filter(inner, lambda e: e <= F.col("x"))) if len(edges) > 2 else F.lit(0)
+    counts = binned.groupBy("level", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+    bars_of: dict[str, list[int]] = {}
+    for r in counts:
+        bars_of.setdefault(r["level"], [0] * (len(edges) - 1))[r["cell"]] = r["n"]
     moments = {r["level"]: r for r in rows.groupBy("level").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("a"), F.max("x").alias("b")).collect()}
     medians = {r["level"]: r["q"][0] for r in quantiles(rows, ["level"], F.col("x"), [0.5]).collect()}
     curves = {} if discrete else density(rows.groupBy("level", "x").agg(F.count(F.lit(1)).alias("n")), {k: (m["a"], m["b"], m["sd"] or 0.0, m["n"]) for k, m in moments.items()})
     out: dict = {"discrete": discrete, "log": log, "edges": edges.tolist(), "levels": {}}
     for name, m in sorted(moments.items()):
-        bars = [0] * (len(edges) - 1)
-        for r in counts:
-            if r["level"] == name:
-                bars[r["cell"]] = r["n"]
-        out["levels"][name] = {"mean": m["mean"], "median": medians[name], "size": m["n"], "histogram": bars, "density": curves.get(name)}
+        out["levels"][name] = {"mean": m["mean"], "median": medians[name], "size": m["n"], "histogram": bars_of[name], "density": curves.get(name)}
     if levels is not None and len(out["levels"]) == 2:
         out["distance"] = complement_distance(rows.select("level", F.col("x").alias("v"))).first()["value"]
     return out

@@ -289,7 +289,7 @@ SELECT page_id, slug, 'page:/' || CASE WHEN slug = '' THEN p WHEN starts_with(p,
 
 def _bars(s: Stream) -> DataFrame:
     early = s.filter_events(func=lambda df: F.hour("timestamp") < 3)
-    found = early.get_metric_distribution("seg", {"metric": "event_count", "metric_args": {"event": "purchase"}})
+    found = early.get_metric_distribution("seg", {"metric": "event_count", "metric_args": {"event": "purchase"}}, by_value=True)
     rows = [(level, k, n, float(x["mean"]), x["median"], x["size"]) for level, x in found["levels"].items() for k, n in enumerate(x["histogram"])]
     return s.df.sparkSession.createDataFrame(rows, "level string, bin long, n long, mean double, median double, size long")
 

@@ -379,10 +379,11 @@ class Stream:
     def segment_overview_data(self, segment_col: str, metrics: list | None = None, path_col: str | None = None) -> DataFrame:
         return tools.segment_overview(self.df, self.schema, self.schema.keys(path_col), segment_col, metrics or [], self.levels, self.strict)
 
-    def get_metric_distribution(self, segment_col: str, metric, segment_levels: list | None = None, path_col: str | None = None) -> dict:
+    def get_metric_distribution(self, segment_col: str, metric, segment_levels: list | None = None, path_col: str | None = None, by_value: bool = False) -> dict:
+        """``by_value``: a bin for each distinct value; without it only up to ten values have one each."""
         keys = self.schema.keys(path_col)
         values, names = path_metrics(self.df, self.schema, keys, [metric], self.levels, self.strict, [segment_col])
-        out = learned.distribution(values, names[0][0], segment_col, segment_levels)
+        out = learned.distribution(values, names[0][0], segment_col, segment_levels, by_value)
         v = F.col(f"`{names[0][0]}`").cast("double").alias("v")
         level = F.coalesce(F.col(segment_col).cast("string"), F.lit(MISSING)).alias("level")
         for r in tools.complement_distance(values.select(level, v)).collect():
