@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError, UnknownNameError
 from ..schema import MISSING, PATH_END, PATH_START, StreamSchema, micros, without_bounds
 from .patterns import Resolver, parse_pattern
 
+#: Values of a column above which clustering by density takes the metrics of each as entries, not as columns.
+MANY_VALUES = 64
 BULK = ("event_count_bulk", "has_event_bulk", "in_segment_bulk")
 EVENT_METRICS = ("event_count", "has_event", "event_count_bulk", "has_event_bulk", "has_all_events", "has_any_event", "time_between", "matches_pattern")
 ARGS = {
@@ -126,7 +128,8 @@ class MetricBuilder:
             return f"event_count_{prefix}{e}", F.count(F.when(event == e, F.lit(1)))
         return f"has_event_{prefix}{e}", F.max(F.coalesce(event == e, F.lit(False)).cast("int"))
 
-    def _segment(self, a: dict, name: str) -> Built:
+    def segments(self, a: dict, name: str) -> tuple[list[str], str, float | None]:
+        """Segments, mode and threshold that a metric of segments asks for."""
         mode, threshold = a.get("mode", "any"), a.get("threshold")
         if mode not in ("any", "all", "event_share"):
             raise ParameterError(f"mode is any, all or event_share, got {mode!r}")
@@ -136,10 +139,15 @@ class MetricBuilder:
         if given is None and name == "in_segment":
             raise ParameterError("in_segment needs a segment_name")
         names = list(self.schema.segment_cols) if given is None else [given]
-        out = []
         for s in names:
             if s not in self.schema.segment_cols:
                 raise UnknownNameError(f"no segment is named {s!r}")
+        return names, mode, threshold
+
+    def _segment(self, a: dict, name: str) -> Built:
+        names, mode, threshold = self.segments(a, name)
+        out = []
+        for s in names:
             level = a.get("segment_level")
             known = self.levels(s) if level is None or self.strict else None
             levels = known if level is None else _as_list(level, "segment_level") if isinstance(level, (list, tuple, str)) else [level]
@@ -197,3 +205,70 @@ def path_metrics(df: DataFrame, schema: StreamSchema, keys: list[str], metrics:
                 aggregates.append((n, c if b.default is None else F.coalesce(c, F.lit(b.default))))
     by = [*keys, *(extra or [])]
     return rows.groupBy(*by).agg(*(c.alias(n) for n, c in aggregates)), names
+
+
+@dataclass(frozen=True)
+class Open:
+    """A metric for each value of a column, none of them named; its columns' names are ``prefix``, value and ``suffix``."""
+
+    column: str
+    kind: str  # event_count, has_event, any, all or event_share
+    threshold: float | None = None
+
+    @property
+    def affixes(self) -> tuple[str, str]:
+        return (f"in_segment_{self.column}_", f"_{self.kind}") if self.kind in ("any", "all", "event_share") else (f"{self.kind}_", "")
+
+
+def open_metrics(metrics: list, schema: StreamSchema, keys: list[str], levels, strict: bool = True) -> tuple[list[Open], list]:
+    """The metrics that have a column for each value of a column of the data, and the other ones.
+
+    None of the former where a name of a column could come from two metrics, as the first of them counts.
+    """
+    builder = MetricBuilder(schema, keys, levels, strict)
+    found: list[Open] = []
+    rest: list = []
+    for metric in metrics:
+        m = normal(metric)
+        name, a = m["metric"], m["metric_args"]
+        if name in ("event_count_bulk", "has_event_bulk") and a.get("events") is None and not a.get("event_col"):
+            found.append(Open(schema.event_col, name.removesuffix("_bulk")))
+        elif name == "in_segment_bulk" and a.get("segment_level") is None:
+            names, mode, threshold = builder.segments(a, name)
+            found += [Open(s, mode, threshold) for s in names]
+        else:
+            rest.append(metric)
+    found = list(dict.fromkeys(found))
+    named = [n for m in rest for n, _ in MetricBuilder(schema, keys, levels, strict).build(m).columns] if found else []
+    fixed = [o.affixes for o in found] + [(n, None) for n in named]
+    clash = any(x.startswith(p) and (y is None and x.endswith(q) or y == q) for k, (p, q) in enumerate(fixed) if q is not None for j, (x, y) in enumerate(fixed) if j != k)
+    return ([], metrics) if clash or any(o.threshold == 0 for o in found) else (found, rest)
+
+
+def path_entries(df: DataFrame, schema: StreamSchema, keys: list[str], found: list[Open], rest: list, levels, strict: bool = True) -> DataFrame:
+    """keys, feature, v: a row for each metric of a path that isn't 0 (of ``rest``, also where it is), and one without a feature for each path.
+
+    So a path has rows for the values it has, not columns for all values there are.
+    """
+    real = without_bounds(df)
+    out = real.select(*keys).distinct().select(*keys, F.lit(None).cast("string").alias("feature"), F.lit(0.0).alias("v"))
+    for k, o in enumerate(found):
+        path = Window.partitionBy(*keys)
+        counts = real.groupBy(*keys, F.col(o.column).cast("string").alias("__level")).agg(F.count(F.lit(1)).alias("__n"))
+        value = F.lit(1.0)
+        if o.kind == "event_count":
+            value = F.col("__n").cast("double")
+        elif o.kind == "all":
+            counts = counts.withColumn("__of", F.count("__level").over(path)).filter("__of = 1")
+        elif o.kind == "event_share":
+            counts = counts.withColumn("__of", F.sum("__n").over(path))
+            share = F.col("__n").cast("double") / F.col("__of")
+            value = share if o.threshold is None else (share >= o.threshold).cast("double")
+        own = counts.filter("__level is not null").select(*keys, F.concat(F.lit(f"{k}:"), "__level").alias("feature"), value.alias("v"))
+        out = out.unionByName(own.filter("v <> 0"))
+    if rest:
+        values, names = path_metrics(df, schema, keys, rest, levels, strict)
+        every = list(dict.fromkeys(n for group in names for n in group))
+        pairs = F.array(*(F.struct(F.lit(f":{n}").alias("feature"), F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)).alias("v")) for n in every))
+        out = out.unionByName(values.select(*keys, F.inline(pairs)))
+    return out

@@ -13,6 +13,9 @@
 5. The splits, a row each, and sums for each cluster reach the driver, which selects the clusters of most stability.
 
 The work grows with the points times the blocks that balls of core distance meet: few in few dimensions, many in many.
+
+Points of very many dimensions, few of them other than 0, come as pairs of dimension and value (``Space``).  Then boxes are
+made in ``AXES`` dimensions only: no two points are nearer than their boxes, as before, but more boxes are visited.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .shared import Tables, tables
 BLOCKS, POINTS_IN_BLOCK, SAMPLE = 1024, 2000, 20_000
 #: Points that are compared with as many others at once.
 LEAF = 128
+#: Dimensions of the boxes of points given by dimension and value, and the least share of points that a cut leaves on a side of those.
+AXES, LEAST_SIDE = 32, 1 / 8
 #: Splits of two clusters at most; more are an error.
 MOST_SPLITS = 1_000_000
 #: Distances below this count as this where their reciprocals are summed.
@@ -47,23 +52,104 @@ def coordinates(column: Iterable) -> np.ndarray:
     return np.stack(rows).astype(float) if rows else np.zeros((0, 1))
 
 
+class Rows:
+    """Points by their coordinates other than 0, in order of dimension, and in ``box`` by those that boxes are made of."""
+
+    def __init__(self, start: np.ndarray, dim: np.ndarray, value: np.ndarray, box: np.ndarray):
+        self.start, self.dim, self.value, self.box = start, dim, value, box
+        self.of = np.repeat(np.arange(len(start) - 1), np.diff(start))
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def __getitem__(self, rows) -> Rows:
+        rows = np.arange(len(self))[rows]
+        size = self.start[rows + 1] - self.start[rows]
+        start = np.r_[0, np.cumsum(size)]
+        at = np.repeat(self.start[rows] - start[:-1], size) + np.arange(start[-1])
+        return Rows(start, self.dim[at], self.value[at], self.box[rows])
+
+    def squares(self) -> np.ndarray:
+        return np.bincount(self.of, self.value**2, minlength=len(self))
+
+    def shares(self) -> np.ndarray:
+        """A hash of each point in [0, 1)."""
+        h = self.dim.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ self.value.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+        total = np.zeros(len(self), np.uint64)
+        np.add.at(total, self.of, h ^ h >> np.uint64(31))
+        return (total >> np.uint64(11)) / 2.0**53
+
+    def dense(self, dims: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self), len(dims)))
+        out[self.of, np.searchsorted(dims, self.dim)] = self.value
+        return out
+
+
+class Space:
+    """How a column of points is read: as all coordinates, or with ``axes`` as pairs of dimension and value, boxes being made in these axes."""
+
+    def __init__(self, axes: np.ndarray | None = None):
+        self.axes = axes
+
+    def points(self, column: Iterable) -> np.ndarray | Rows:
+        if self.axes is None:
+            return coordinates(column)
+        rows = [np.asarray(r, float) for r in column]
+        flat = np.concatenate(rows) if rows else np.zeros(0)
+        dim, value, start = flat[::2].astype(np.int64), flat[1::2].copy(), np.r_[0, np.cumsum([len(r) // 2 for r in rows], dtype=np.int64)]
+        out = Rows(start, dim, value, np.zeros((len(rows), len(self.axes))))
+        if len(self.axes):  # none where only distances are asked for
+            at = np.minimum(np.searchsorted(self.axes, dim), len(self.axes) - 1)
+            own = self.axes[at] == dim
+            out.box[out.of[own], at[own]] = value[own]
+        return out
+
+    def cuttable(self, column: Iterable) -> np.ndarray:
+        """Coordinates by which points are dealt to blocks; with ``axes`` the last one is a hash, for points that these don't tell apart."""
+        x = self.points(column)
+        return x if self.axes is None else np.column_stack([x.box, x.shares()])
+
+
+def boxed(x: np.ndarray | Rows) -> np.ndarray:
+    """The coordinates that boxes are made of."""
+    return x.box if isinstance(x, Rows) else x
+
+
+def widest_axes(points: DataFrame) -> np.ndarray:
+    """The ``AXES`` dimensions of most variance of points (x) given by dimension and value; any one if all points are 0."""
+    n = points.count()
+    pairs = points.filter(F.size("x") > 0).select(F.inline(F.transform(F.sequence(F.lit(0), F.size("x") - 2, F.lit(2)), lambda i: F.struct(F.get("x", i).cast("long").alias("d"), F.get("x", i + 1).alias("v")))))
+    spread = pairs.groupBy("d").agg((F.sum(F.col("v") * F.col("v")) / n - F.pow(F.sum("v") / n, 2)).alias("s"))
+    return np.sort(np.array([r["d"] for r in spread.orderBy(F.desc("s"), "d").limit(AXES).collect()] or [0], np.int64))
+
+
 class Cuts:
-    """A k-d tree: which block a point falls into."""
+    """A k-d tree: which block a point falls into.
 
-    def __init__(self, sample: np.ndarray, blocks: int):
+    ``even``: the last dimension is a hash, which cuts where every other one would leave little on a side.
+    """
+
+    def __init__(self, sample: np.ndarray, blocks: int, even: bool = False):
         self.dim, self.cut, self.child, self.block = [-1], [0.0], [(0, 0)], [0]
         held, count = {0: sample}, 1
         while count < blocks and held:
             node = max(held, key=lambda n: len(held[n]))
             x = held.pop(node)
             spread = x.max(0) - x.min(0) if len(x) else np.zeros(1)
-            d = int(spread.argmax())
-            if not spread[d] > 0:
+            dims = [*np.argsort(-spread[:-1], kind="stable"), len(spread) - 1] if even else [int(spread.argmax())]
+            for d in dims:
+                if not spread[d] > 0:
+                    continue
+                values = x[:, d]
+                cut = float(np.median(values))
+                if cut >= values.max():
+                    cut = float(values[values < values.max()].max())
+                if d == dims[-1] or min((values <= cut).mean(), (values > cut).mean()) >= LEAST_SIDE:
+                    break
+            else:
                 continue
-            values = x[:, d]
-            cut = float(np.median(values))
-            if cut >= values.max():
-                cut = float(values[values < values.max()].max())
             left, right = len(self.dim), len(self.dim) + 1
             self.dim[node], self.cut[node], self.child[node] = d, cut, (left, right)
             self.dim += [-1, -1]
@@ -99,8 +185,9 @@ class Boxes:
         return np.sqrt(out)
 
 
-def leaves_of(x: np.ndarray) -> list[np.ndarray]:
+def leaves_of(x: np.ndarray | Rows) -> list[np.ndarray]:
     """Rows of x in groups of ``LEAF`` or fewer neighbours."""
+    x = boxed(x)
     out, todo = [], [np.arange(len(x))] if len(x) else []
     while todo:
         rows = todo.pop()
@@ -113,27 +200,50 @@ def leaves_of(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def boxes_of(x: np.ndarray, groups: list[np.ndarray]) -> Boxes:
+def boxes_of(x: np.ndarray | Rows, groups: list[np.ndarray]) -> Boxes:
+    x = boxed(x)
     return Boxes(np.arange(len(groups)), np.stack([x[g].min(0) for g in groups]), np.stack([x[g].max(0) for g in groups]))
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def distances(a: np.ndarray | Rows, b: np.ndarray | Rows) -> np.ndarray:
     out = np.zeros((len(a), len(b)))
+    if isinstance(a, Rows):
+        for i in range(0, len(a), LEAF):
+            for j in range(0, len(b), LEAF):
+                out[i : i + LEAF, j : j + LEAF] = _squares_apart(a[i : i + LEAF], b[j : j + LEAF])
+        return np.sqrt(out)
     for d in range(a.shape[1]):
         out += (a[:, d, None] - b[None, :, d]) ** 2
     return np.sqrt(out)
 
 
+def _squares_apart(a: Rows, b: Rows) -> np.ndarray:
+    """Squared distances: of points without a common dimension from their squares, of others by dimensions in order; the same in any group."""
+    out = a.squares()[:, None] + b.squares()[None]
+    common = np.intersect1d(a.dim, b.dim)
+    if len(common):
+        i, j = np.unique(a.of[np.isin(a.dim, common)]), np.unique(b.of[np.isin(b.dim, common)])
+        a, b = a[i], b[j]
+        dims = np.union1d(a.dim, b.dim)
+        x, y = a.dense(dims), b.dense(dims)
+        apart = np.zeros((len(i), len(j)))
+        for d in range(len(dims)):
+            apart += (x[:, d, None] - y[None, :, d]) ** 2
+        meet = (x != 0).astype(float) @ (y != 0).astype(float).T > 0
+        out[np.ix_(i, j)] = np.where(meet, apart, out[np.ix_(i, j)])
+    return out
+
+
 # searches within a block
 
 
-def nearest(q: np.ndarray, within: np.ndarray, x: np.ndarray, g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest(q: np.ndarray | Rows, within: np.ndarray, x: np.ndarray | Rows, g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each q distances and weights of its ``size`` nearest of the points x, inf where there are fewer or none ``within``."""
     dist, weight = np.full((len(q), size), np.inf), np.zeros((len(q), size), np.int64)
     groups = leaves_of(x)
     boxes = boxes_of(x, groups)
     for rows in leaves_of(q):
-        apart = boxes.distance(q[rows].min(0)[None], q[rows].max(0)[None])[0]
+        apart = boxes.distance(boxed(q)[rows].min(0)[None], boxed(q)[rows].max(0)[None])[0]
         for j in np.argsort(apart, kind="stable"):
             if apart[j] > np.minimum(within[rows], dist[rows, -1]).max():
                 break
@@ -173,7 +283,7 @@ def lightest_edges(q: dict, p: dict, bound: np.ndarray) -> Lightest:
     boxes = boxes_of(p["x"], groups)
     alone = np.array([p["comp"][r[0]] if (p["comp"][r] == p["comp"][r[0]]).all() else -1 for r in groups])
     for rows in leaves_of(q["x"]):
-        apart = boxes.distance(q["x"][rows].min(0)[None], q["x"][rows].max(0)[None])[0]
+        apart = boxes.distance(boxed(q["x"])[rows].min(0)[None], boxed(q["x"])[rows].max(0)[None])[0]
         for j in np.argsort(apart, kind="stable"):
             limit = best.w[q["comp"][rows]]
             if apart[j] > limit.max():
@@ -315,39 +425,47 @@ def _frame(columns: dict) -> pd.DataFrame:
     return pd.DataFrame(columns)
 
 
-def points_with_cores(points: DataFrame, size: int, keep: Tables) -> tuple[DataFrame, "Boxes"]:
+def points_with_cores(points: DataFrame, size: int, keep: Tables, space: Space = Space()) -> tuple[DataFrame, "Boxes"]:  # noqa: B008
     """id, b (block), x, g, core and out (distance to the nearest other box) of the distinct points (x, g); and the boxes.
 
     A block is one group: it has about ``POINTS_IN_BLOCK`` points, or a share of 1 / ``BLOCKS`` of very many.
     """
     spark = points.sparkSession
-    sample = coordinates(r["x"] for r in points.select("x").orderBy(F.xxhash64("x")).limit(SAMPLE).collect())
+    sparse = space.axes is not None
+
+    @F.pandas_udf("array<double>")
+    def cuttable(x: pd.Series) -> pd.Series:
+        return pd.Series(list(space.cuttable(x)) if len(x) else [], dtype=object)
+
+    some = points.orderBy(F.xxhash64("x")).limit(SAMPLE)
+    sample = coordinates(r["x"] for r in some.select(cuttable("x").alias("x") if sparse else "x").collect())
     n, width = points.count(), sample.shape[1]
-    cuts = Cuts(sample, int(min(BLOCKS, max(1, -(-n // POINTS_IN_BLOCK)))))
+    cuts = Cuts(sample, int(min(BLOCKS, max(1, -(-n // POINTS_IN_BLOCK)))), sparse)
 
     @F.pandas_udf("int")
     def block(x: pd.Series) -> pd.Series:
-        return pd.Series(cuts.of(coordinates(x)) if len(x) else [], dtype="int32")
+        return pd.Series(cuts.of(space.cuttable(x)) if len(x) else [], dtype="int32")
 
     dealt = points.withColumn("b", block("x"))
 
     def number(part: pd.DataFrame) -> pd.DataFrame:
-        x = coordinates(part.x)
-        order = np.lexsort(x.T[::-1])
-        x, g, b = x[order], part.g.to_numpy()[order], int(part.b.iloc[0])
+        x = space.points(part.x)
+        order = np.array(sorted(range(len(x)), key=lambda j: tuple(part.x.iloc[j]))) if sparse else np.lexsort(x.T[::-1])
+        x, raw, g, b = x[order], part.x.iloc[order], part.g.to_numpy()[order], int(part.b.iloc[0])
         dist, weight = nearest(x, np.full(len(x), np.inf), x, g, size)
-        return _frame({"id": (b << 32) + np.arange(len(x)), "b": b, "x": list(x), "g": g, "core": core_of(dist, weight, size), "dist": list(dist), "weight": list(weight)})
+        return _frame({"id": (b << 32) + np.arange(len(x)), "b": b, "x": list(raw), "g": g, "core": core_of(dist, weight, size), "dist": list(dist), "weight": list(weight)})
 
     numbered = keep.keep(dealt.groupBy("b").applyInPandas(number, "id long, b int, x array<double>, g long, core double, dist array<double>, weight array<long>"))
-    ends = numbered.groupBy("b").agg(*(f(F.get("x", F.lit(d))).alias(f"{n}{d}") for d in range(width) for n, f in (("a", F.min), ("z", F.max)))).orderBy("b").collect()  # at most BLOCKS
+    at, width = (cuttable("x"), width - 1) if sparse else (F.col("x"), width)
+    ends = numbered.select("b", at.alias("x")).groupBy("b").agg(*(f(F.get("x", F.lit(d))).alias(f"{n}{d}") for d in range(width) for n, f in (("a", F.min), ("z", F.max)))).orderBy("b").collect()  # at most BLOCKS
     boxes = Boxes(np.array([r["b"] for r in ends]), *(np.array([[r[f"{n}{d}"] for d in range(width)] for r in ends]) for n in "az"))
 
-    visits = visiting(numbered.select("id", "b", "x", F.col("core").alias("within")), boxes)
+    visits = visiting(numbered.select("id", "b", "x", F.col("core").alias("within")), boxes, space)
 
     def visit(part: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(guests):
             return _frame({"id": [], "d": [], "w": []})
-        dist, weight = nearest(coordinates(guests.x), guests.within.to_numpy(), coordinates(part.x), part.g.to_numpy(), size)
+        dist, weight = nearest(space.points(guests.x), guests.within.to_numpy(), space.points(part.x), part.g.to_numpy(), size)
         found = np.isfinite(dist) & (dist <= guests.within.to_numpy()[:, None])
         return _frame({"id": np.broadcast_to(guests.id.to_numpy()[:, None], dist.shape)[found], "d": dist[found], "w": weight[found]})
 
@@ -364,7 +482,7 @@ def points_with_cores(points: DataFrame, size: int, keep: Tables) -> tuple[DataF
         every = Boxes(*shared.value)
         if not len(x) or len(every.number) < 2:
             return pd.Series(np.full(len(x), np.inf))
-        at = coordinates(x)
+        at = boxed(space.points(x))
         apart = np.concatenate([every.distance(at[k : k + 256], at[k : k + 256]) for k in range(0, len(at), 256)])
         apart[every.number[None] == b.to_numpy()[:, None]] = np.inf
         return pd.Series(apart.min(1))
@@ -372,7 +490,7 @@ def points_with_cores(points: DataFrame, size: int, keep: Tables) -> tuple[DataF
     return keep.keep(numbered.join(met, "id", "left").select("id", "b", "x", "g", core.alias("core"), out("x", "b").alias("out"))), boxes
 
 
-def visiting(rows: DataFrame, boxes: Boxes) -> DataFrame:
+def visiting(rows: DataFrame, boxes: Boxes, space: Space) -> DataFrame:
     """``rows`` (id, b, x, within, ..) once for each other block whose box is ``within`` reach, with b that block."""
     shared = rows.sparkSession.sparkContext.broadcast(boxes.arrays())
 
@@ -380,7 +498,7 @@ def visiting(rows: DataFrame, boxes: Boxes) -> DataFrame:
     def to(x: pd.Series, b: pd.Series, within: pd.Series) -> pd.Series:
         every, found = Boxes(*shared.value), []
         for k in range(0, len(x), 256):
-            at = coordinates(x[k : k + 256])
+            at = boxed(space.points(x[k : k + 256]))
             near = every.distance(at, at) <= within[k : k + 256].to_numpy()[:, None]
             near &= every.number[None] != b[k : k + 256].to_numpy()[:, None]
             found += [every.number[r] for r in near]
@@ -394,8 +512,8 @@ _POINT = "id long, b int, x array<double>, g long, core double, comp long"
 _EDGE = "w double, lo long, hi long"
 
 
-def _arrays(part: pd.DataFrame, comps: np.ndarray) -> dict:
-    return {"x": coordinates(part.x), "core": part.core.to_numpy(), "id": part.id.to_numpy(), "comp": np.searchsorted(comps, part.comp.to_numpy())}
+def _arrays(part: pd.DataFrame, comps: np.ndarray, space: Space) -> dict:
+    return {"x": space.points(part.x), "core": part.core.to_numpy(), "id": part.id.to_numpy(), "comp": np.searchsorted(comps, part.comp.to_numpy())}
 
 
 def _found(best: Lightest, comps: np.ndarray) -> pd.DataFrame:
@@ -403,12 +521,12 @@ def _found(best: Lightest, comps: np.ndarray) -> pd.DataFrame:
     return _frame({"comp": comps[rows], "w": best.w[rows], "lo": best.lo[rows], "hi": best.hi[rows], "other": comps[best.to[rows]]})
 
 
-def spanning_tree(points: DataFrame, boxes: Boxes, keep: Tables) -> DataFrame:
+def spanning_tree(points: DataFrame, boxes: Boxes, keep: Tables, space: Space = Space()) -> DataFrame:  # noqa: B008
     """w, lo, hi: the edges of a minimum spanning tree of the mutual reachability of ``points`` (id, b, x, g, core, out)."""
 
     def inside(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", ignore_index=True)
-        p = {"x": coordinates(part.x), "core": part.core.to_numpy(), "id": part.id.to_numpy()}
+        p = {"x": space.points(part.x), "core": part.core.to_numpy(), "id": part.id.to_numpy()}
         comp, edges = joined_inside(p, part.out.to_numpy())
         first = np.full(int(comp.max()) + 1, NO_ID)
         np.minimum.at(first, comp, p["id"])
@@ -423,29 +541,29 @@ def spanning_tree(points: DataFrame, boxes: Boxes, keep: Tables) -> DataFrame:
 
     def own(part: pd.DataFrame) -> pd.DataFrame:
         comps = np.unique(part.comp.to_numpy())
-        p = _arrays(part, comps)
+        p = _arrays(part, comps, space)
         return _found(lightest_edges(p, p, np.full(len(comps), np.inf)), comps)
 
     def met(part: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(guests):
             return _frame({"comp": [], "w": [], "lo": [], "hi": [], "other": []})
         comps = np.unique(np.r_[part.comp.to_numpy(), guests.comp.to_numpy()])
-        q, bound = _arrays(guests, comps), np.full(len(comps), -np.inf)
+        q, bound = _arrays(guests, comps, space), np.full(len(comps), -np.inf)
         bound[q["comp"]] = guests.within.to_numpy()
-        return _found(lightest_edges(q, _arrays(part, comps), bound), comps)
+        return _found(lightest_edges(q, _arrays(part, comps, space), bound), comps)
 
     while not at.select("comp").distinct().limit(2).count() < 2:
         found = keep.keep(at.groupBy("b").applyInPandas(own, schema))
         # a component that fills its blocks alone gets a bound from one point of each block
         some = at.groupBy("b").agg(F.min(F.struct("id", "x", "core", "comp")).alias("p")).select("p.*").collect()  # at most BLOCKS
-        x, core, comp = coordinates(r["x"] for r in some), np.array([r["core"] for r in some]), np.array([r["comp"] for r in some])
+        x, core, comp = space.points(r["x"] for r in some), np.array([r["core"] for r in some]), np.array([r["comp"] for r in some])
         w = np.maximum(np.maximum(distances(x, x), core[:, None]), core[None])
         w[comp[:, None] == comp[None]] = np.inf
         rough = [(int(c), float(v)) for c, v in zip(comp, w.min(1), strict=True) if np.isfinite(v)]
         bounds = found.select("comp", "w").unionByName(spark.createDataFrame(rough, "comp long, w double"))
         bounds = keep.keep(bounds.groupBy("comp").agg(F.min("w").alias("within")))
         guests = at.join(bounds, "comp").filter("core <= within").select("id", "b", "x", "core", "comp", "within")
-        more = at.groupBy("b").cogroup(visiting(guests, boxes).groupBy("b")).applyInPandas(met, schema)
+        more = at.groupBy("b").cogroup(visiting(guests, boxes, space).groupBy("b")).applyInPandas(met, schema)
         best = found.unionByName(more).groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e"))
         best = keep.keep(best.select("comp", "e.*"))
         edges = edges.unionByName(best.select("w", "lo", "hi").distinct())
@@ -684,15 +802,19 @@ class DensityModel:
         return self.placed.select("x", label("cluster").alias("label"))
 
 
-def density_model(points: DataFrame, size: int, keep: Tables) -> DensityModel:
-    """The condensed tree of weighted distinct points (x, g) for clusters of ``size`` or more; placed points stay in ``keep``."""
+def density_model(points: DataFrame, size: int, keep: Tables, sparse: bool = False) -> DensityModel:
+    """The condensed tree of weighted distinct points (x, g) for clusters of ``size`` or more; placed points stay in ``keep``.
+
+    ``sparse``: x holds dimension and value in turn, in order of dimension, of the coordinates other than 0.
+    """
     if isinstance(size, bool) or not isinstance(size, int) or size < 2:
         raise ParameterError(f"min_cluster_size is 2 or more, got {size!r}")
     if (points.agg(F.sum("g").alias("g")).first()["g"] or 0) < size:
         return DensityModel(None, None)
     with tables(points.sparkSession) as work:
-        at, boxes = points_with_cores(points, size, work)
-        edges = spanning_tree(at, boxes, work)
+        space = Space(widest_axes(points)) if sparse else Space()
+        at, boxes = points_with_cores(points, size, work, space)
+        edges = spanning_tree(at, boxes, work, space)
         reach = work.keep(reaches(at, edges, size, work))
         of = lambda c: reach.select(F.col("id").alias(c), F.col("t").alias(f"{c}_t"))
         marked = work.keep(edges.join(of("lo"), "lo").join(of("hi"), "hi").withColumn("split", F.struct("w", "lo", "hi") > F.greatest("lo_t", "hi_t")))

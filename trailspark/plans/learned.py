@@ -6,12 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
 from ..schema import MISSING
-from .density import NOISE, coordinates, density_model, distances
+from .density import NOISE, Rows, Space, density_model, distances
 from .quantiles import quantiles
 from .shared import Tables, tables
 from .tools import complement_distance
@@ -47,7 +47,23 @@ def scaled(values: DataFrame, features: list[str], scaler: str | None) -> DataFr
     return out.drop(*(f"__{x}{k}" for k in range(len(features)) for x in "ab"))
 
 
-def silhouette(points: np.ndarray, labels: np.ndarray) -> float | None:
+def sparse_points(entries: DataFrame, keys: list[str], scaler: str | None, keep: Tables) -> DataFrame:
+    """keys, __x of the entries (keys, feature, v) of paths: number and scaled value of the features that aren't 0, in turn.
+
+    A feature that a path has no entry of is 0 there, and none that some path lacks is negative, so 0 stays 0.
+    """
+    entries = keep.keep(entries)
+    paths = entries.filter("feature is null").count()
+    all_ = F.col("n") == paths
+    stats = entries.filter("feature is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+    stats = stats.select("feature", F.when(all_, F.col("a")).otherwise(F.lit(0.0)).alias("a"), "b", F.row_number().over(Window.orderBy("feature")).cast("double").alias("i"))
+    value = F.col("v") if scaler is None else F.coalesce(F.try_divide(F.col("v") - F.col("a"), F.col("b") - F.col("a")), F.lit(0.0))
+    rows = entries.join(keep.keep(stats), "feature").select(*keys, "i", value.alias("v")).unionByName(entries.filter("feature is null").select(*keys, F.lit(None).cast("double").alias("i"), "v"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("i").isNotNull() & (F.col("v") != 0), F.struct("i", "v"))))
+    return rows.groupBy(*keys).agg(F.flatten(F.transform(pairs, lambda p: F.array(p["i"], p["v"]))).alias("__x"))
+
+
+def silhouette(points: np.ndarray | Rows, labels: np.ndarray) -> float | None:
     """Mean Euclidean silhouette; None with fewer than two clusters."""
     names = np.unique(labels)
     if len(names) < 2 or len(names) >= len(points):
@@ -126,10 +142,11 @@ def method_grid(method: str, method_args: dict | None) -> list[dict]:
     return [{"min_cluster_size": k, "cluster_selection_epsilon": e} for k in sizes for e in epsilons]
 
 
-def cluster_paths(values: DataFrame, keys: list[str], features: list[str], method: str = "kmeans", method_args: dict | None = None, scaler: str | None = "minmax", nmf_components=None, seed: int = 42, select: dict | None = None) -> tuple[DataFrame, dict]:
+def cluster_paths(values: DataFrame, keys: list[str], features: list[str] | None, method: str = "kmeans", method_args: dict | None = None, scaler: str | None = "minmax", nmf_components=None, seed: int = 42, select: dict | None = None) -> tuple[DataFrame, dict]:
     """keys and cluster (cluster_0, .., noise) of the best point of the grid by silhouette, or of the one that ``select`` names; and what was tried.
 
-    The labels are a written table.  Paths of equal features are one point for the density method.
+    The labels are a written table.  Paths of equal features are one point for the density method.  Without ``features``
+    values are entries (keys, feature, v), which the density method takes if it is given no scaler but ``minmax`` and no components.
     """
     own, spark = method_grid(method, method_args), values.sparkSession
     many_parts = isinstance(nmf_components, (list, tuple))
@@ -137,11 +154,12 @@ def cluster_paths(values: DataFrame, keys: list[str], features: list[str], metho
     wanted = [j for j, p in enumerate(points) if select is not None and all(p.get(k) == v for k, v in select.items())]
     if select is not None and len(wanted) != 1:
         raise ParameterError(f"select names {len(wanted)} points of the grid, not one: {select!r}")
-    inputs = [f"__f{k}" for k in range(len(features))]
+    sparse = features is None
+    inputs = [f"__f{k}" for k in range(len(features or ()))]
     scores: list[float | None] = []
     made: dict = {}
     with tables(spark) as keep:
-        rows = keep.keep(scaled(values, features, scaler).select(*keys, *inputs))
+        rows = sparse_points(values, keys, scaler, keep) if sparse else keep.keep(scaled(values, features, scaler).select(*keys, *inputs))
         vectors: dict = {}
         models: dict = {}
 
@@ -153,7 +171,7 @@ def cluster_paths(values: DataFrame, keys: list[str], features: list[str], metho
             size = point["min_cluster_size"]
             distinct = vectors[p][2]
             if (p, size) not in models:
-                models[p, size] = density_model(distinct, size, keep)
+                models[p, size] = density_model(distinct, size, keep, sparse)
             labels = models[p, size].labels(distinct, point["cluster_selection_epsilon"]).withColumnRenamed("label", "__k").withColumnRenamed("x", "__x")
             return vectors[p][1].join(labels, "__x")
 
@@ -161,11 +179,11 @@ def cluster_paths(values: DataFrame, keys: list[str], features: list[str], metho
             p = point.get("nmf_components")
             if p not in vectors:
                 h, weighted = nmf(rows, inputs, p, seed=seed) if p else (None, rows)
-                x = keep.keep(weighted.select(*keys, (F.col("__w") if p else F.array(*inputs)).alias("__x")))
+                x = keep.keep(weighted if sparse else weighted.select(*keys, (F.col("__w") if p else F.array(*inputs)).alias("__x")))
                 vectors[p] = (h, x, keep.keep(x.groupBy(F.col("__x").alias("x")).agg(F.count(F.lit(1)).alias("g"))) if method != "kmeans" else None)
             fitted = labelled(p, point)
             sample = fitted.filter(F.col("__k") != NOISE).orderBy(F.xxhash64(*keys, F.lit(seed))).limit(SILHOUETTE_POINTS).select("__x", "__k").collect()
-            scores.append(silhouette(coordinates(r["__x"] for r in sample), np.array([r["__k"] for r in sample])) if sample else None)
+            scores.append(silhouette(Space(np.zeros(0, int) if sparse else None).points(r["__x"] for r in sample), np.array([r["__k"] for r in sample])) if sample else None)
             made[len(scores) - 1] = fitted
         known = [j for j, x in enumerate(scores) if x is not None]
         best = max(known, key=lambda j: scores[j]) if known else 0

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .errors import EmptyResultError, ParameterError, UnknownNameError
-from .functions.metrics import path_metrics
+from .functions.metrics import MANY_VALUES, open_metrics, path_entries, path_metrics
 from .functions.patterns import anchors_of, parse_pattern, resolve_anchors
 from .operators import added, paths, rows, segments, sessions, urls
 from .plans import learned, tools
@@ -402,6 +402,12 @@ class Stream:
         return {"n_clusters": n_clusters, **(method_args or {})} if method == "kmeans" else method_args or {}
 
     def _clusters(self, features: list, method: str, method_args: dict, scaler, nmf_components, keys: list[str], select: dict | None = None):
+        if method == "hdbscan" and nmf_components is None and scaler in (None, "minmax"):
+            found, rest = open_metrics(features, self.schema, keys, self.levels, self.strict)
+            real = without_bounds(self.df)
+            if any(real.select(c).distinct().limit(MANY_VALUES + 1).count() > MANY_VALUES for c in dict.fromkeys(o.column for o in found)):
+                entries = path_entries(self.df, self.schema, keys, found, rest, self.levels, self.strict)
+                return learned.cluster_paths(entries, keys, None, method, method_args, scaler, select=select)
         values, names = path_metrics(self.df, self.schema, keys, features, self.levels, self.strict)
         return learned.cluster_paths(values, keys, list(dict.fromkeys(n for group in names for n in group)), method, method_args, scaler, nmf_components, select=select)
 
